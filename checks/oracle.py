@@ -4,44 +4,27 @@ from __future__ import annotations
 
 import textwrap
 
-# Named parts that queries build on; each may use the ones before it.
-PARTS: dict[str, str] = {
-    "axis": """
-        SELECT user_id AS track, event_id, event_type AS kind, value, props,
-               date_diff('microsecond', min(ts) OVER (PARTITION BY user_id), ts) // 1000 AS start_ms
-        FROM events""",
-    "cues": """
-        SELECT track, row_number() OVER (PARTITION BY track ORDER BY start_ms, event_id) AS line, event_id, kind,
-               start_ms, start_ms + greatest(1, CAST(trunc(value * 600000) AS BIGINT)) AS end_ms,
-               kind || ' ' || props AS text
-        FROM axis""",
-    "speech": "SELECT * FROM cues WHERE kind <> 'error'",
-    "mutes": "SELECT * FROM cues WHERE kind = 'error'",
-    "totals": "SELECT track, max(end_ms) AS total_ms FROM cues GROUP BY track",
-    "clear": """
-        SELECT track, row_number() OVER (PARTITION BY track ORDER BY start_ms, line) AS line, event_id, kind,
-               start_ms, end_ms, text
-        FROM (SELECT s.track, s.line, s.event_id, s.kind, s.start_ms, s.text, coalesce(z.first_zone, s.end_ms) AS end_ms,
-                     z.first_zone
-              FROM speech s LEFT JOIN (
-                  SELECT s.track, s.line, min(m.start_ms) AS first_zone
-                  FROM speech s JOIN mutes m ON s.track = m.track AND s.end_ms > m.start_ms AND s.start_ms < m.end_ms
-                  GROUP BY s.track, s.line) z ON s.track = z.track AND s.line = z.line)
-        WHERE (first_zone IS NULL OR first_zone > start_ms) AND end_ms - start_ms >= 100""",
-}
-
-QUERIES: dict[str, tuple[str, str]] = {
-    "clip_drop_cues": ("clear", "SELECT track, line, event_id, start_ms, end_ms, text FROM clear"),
-}
-
-
-def sql(upto: str, select: str) -> str:
-    """``select`` with all parts up to and including ``upto`` in front."""
-    names = list(PARTS)
+from checks import interval_sql, layout_sql
+
+MODULES = [interval_sql, layout_sql]
+
+
+def _with(upto: str | None, parts: dict[str, str]) -> str:
+    names = list(parts)
     used = names[: names.index(upto) + 1] if upto else []
-    with_ = ",\n".join(f"{n} AS ({textwrap.dedent(PARTS[n])})" for n in used)
-    return (f"WITH {with_}\n" if used else "") + select
+    return ",\n".join(f"{n} AS ({textwrap.dedent(parts[n])})" for n in used)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql(upto, select) for name, (upto, select) in QUERIES.items()}
+    """Named parts go before each select; each part may use the ones before it."""
+    parts: dict[str, str] = {}
+    for module in MODULES:
+        parts.update(module.PARTS)
+    out = {}
+    for module in MODULES:
+        for name, (upto, select) in module.QUERIES.items():
+            head = f"WITH {_with(upto, parts)}\n" if upto else ""
+            out[name] = head + select
+        for name, (upto, head, select) in getattr(module, "RECURSIVE", {}).items():
+            out[name] = head.replace("{parts}", _with(upto, parts)) + select
+    return out

@@ -1,25 +1,7 @@
-"""One registered query per operator, over the given tables."""
+"""All registered queries."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from cuespan.operators import intervals
-from cuespan.plans.views import Views
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-
-
-def query(build: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-    QUERIES[build.__name__] = lambda spark, sf_dir: build(Views(spark, sf_dir))
-    return build
-
-
-@query
-def clip_drop_cues(v: Views) -> DataFrame:
-    kept = intervals.clip_drop(v.speech(), v.mutes(), hot=v.hot)
-    return kept.select("track", "line", "event_id", "start_ms", "end_ms", "text")
+from cuespan.plans import (  # noqa: F401 - each module registers its queries
+    interval_queries,
+    layout_queries,
+)
+from cuespan.plans.registry import QUERIES  # noqa: F401
