@@ -147,9 +147,9 @@ QUERIES = {
                      CASE WHEN first_loud IS NULL THEN length_ms
                           WHEN length_ms - over_ms >= 100 THEN least(length_ms, over_ms + 30) ELSE length_ms END AS keep_to_ms
               FROM (SELECT track, total_ms AS length_ms, min(at_ms) FILTER (value >= 60) AS first_loud,
-                           coalesce(arg_max(next_ms, at_ms * 1000000000 + event_id) FILTER (value >= 60), total_ms) AS over_ms
+                           least(total_ms, arg_max(next_ms, at_ms * 1000000000 + event_id) FILTER (value >= 60)) AS over_ms
                     FROM (SELECT *, coalesce(lead(at_ms) OVER (PARTITION BY track ORDER BY at_ms, event_id),
-                                             NULL) AS next_ms FROM series)
+                                             9223372036854775807) AS next_ms FROM series)
                     JOIN totals USING (track) GROUP BY track, total_ms))"""),
 }
 

@@ -71,6 +71,16 @@ PARTS = {
                        ELSE first_new - (first_orig - p.at_ms) END / 1000.0::DOUBLE) * 30.0::DOUBLE, 0)
                        / 30.0::DOUBLE * 1000.0::DOUBLE END AS new_ms
         FROM stops p JOIN ends_ e ON e.track = p.track LEFT JOIN hits h ON h.track = p.track AND h.at_ms = p.at_ms""",
+    "near_clip": """
+        SELECT c.track, c.line, arg_min(struct_pack(clip := t.clip_ms, ne := t.new_end), t.seg_no) AS s
+        FROM clear c JOIN timeline t ON t.track = c.track AND t.kind = 'tts' AND abs(t.orig_start - c.start_ms) < 100
+        GROUP BY c.track, c.line""",
+    "clip_timed": """
+        SELECT c.track, c.line, c.text, a.new_ms AS s_ms,
+               CASE WHEN n.s.clip > 0 THEN least(a.new_ms + n.s.clip, n.s.ne) ELSE b.new_ms END AS e_ms
+        FROM clear c JOIN moved a ON a.track = c.track AND a.at_ms = c.start_ms
+        JOIN moved b ON b.track = c.track AND b.at_ms = c.end_ms
+        LEFT JOIN near_clip n ON n.track = c.track AND n.line = c.line""",
     "slotted": """
         SELECT c.track, c.line, c.start_ms, n AS end_ms, n - c.start_ms AS slot_ms, coalesce(p.clip_ms, n - c.start_ms) AS clip_ms
         FROM (SELECT c.*, coalesce(lead(start_ms) OVER (PARTITION BY track ORDER BY start_ms, line), total_ms) AS n
@@ -137,20 +147,10 @@ QUERIES = {
                CAST(round_even(CASE WHEN b.new_ms <= a.new_ms THEN a.new_ms + 100 ELSE b.new_ms END, 0) AS BIGINT) AS end_ms, c.text
         FROM speech c JOIN moved a ON a.track = c.track AND a.at_ms = c.start_ms
         JOIN moved b ON b.track = c.track AND b.at_ms = c.end_ms"""),
-    "retime_by_clip": ("moved", """
-        WITH near AS (
-            SELECT c.track, c.line, arg_min(struct_pack(clip := t.clip_ms, ne := t.new_end), t.seg_no) AS s
-            FROM clear c JOIN timeline t ON t.track = c.track AND t.kind = 'tts' AND abs(t.orig_start - c.start_ms) < 100
-            GROUP BY c.track, c.line),
-        timed AS (
-            SELECT c.track, c.line, c.text, a.new_ms AS s_ms,
-                   CASE WHEN n.s.clip > 0 THEN least(a.new_ms + n.s.clip, n.s.ne) ELSE b.new_ms END AS e_ms
-            FROM clear c JOIN moved a ON a.track = c.track AND a.at_ms = c.start_ms
-            JOIN moved b ON b.track = c.track AND b.at_ms = c.end_ms
-            LEFT JOIN near n ON n.track = c.track AND n.line = c.line)
+    "retime_by_clip": ("clip_timed", """
         SELECT track, line, CAST(round_even(s_ms, 0) AS BIGINT) AS start_ms,
                CAST(round_even(CASE WHEN e_ms <= s_ms THEN s_ms + 100 ELSE e_ms END, 0) AS BIGINT) AS end_ms, text
-        FROM timed"""),
+        FROM clip_timed"""),
     "drift_audit": ("realised", """
         SELECT *, CASE WHEN drift_frames <= 3 AND not_rising = 0 AND seams = 0 AND worst_batch_frames <= 3
                        THEN 'PASS' ELSE 'FAIL' END AS verdict

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import textwrap
 
-from checks import interval_sql, layout_sql
+from checks import interval_sql, layout_sql, text_sql
 
-MODULES = [interval_sql, layout_sql]
+MODULES = [interval_sql, layout_sql, text_sql]
 
 
 def _with(upto: str | None, parts: dict[str, str]) -> str:

@@ -3,5 +3,6 @@
 from cuespan.plans import (  # noqa: F401 - each module registers its queries
     interval_queries,
     layout_queries,
+    text_queries,
 )
 from cuespan.plans.registry import QUERIES  # noqa: F401
