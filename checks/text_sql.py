@@ -21,6 +21,11 @@ PARTS = {
         SELECT track, frame_no, frame_no / 10.0::DOUBLE AS ts_s, changed,
                len(list_filter(embedding, lambda x: abs(x) > 0.25::DOUBLE)) / len(embedding) >= 0.03 AS passed
         FROM changed_""",
+    "replies_": """
+        SELECT track, line, CASE track % 7 WHEN 1 THEN substring(text, 1, 1) WHEN 2 THEN ' None' || chr(10)
+                   WHEN 3 THEN text || ' https://x.example/y' WHEN 4 THEN CAST(line AS VARCHAR)
+                   WHEN 5 THEN repeat(substring(text, 1, 1), line) WHEN 6 THEN line || chr(10) || track ELSE text END AS text
+        FROM lines""",
     "line_chars": """
         SELECT track, line, text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i
         FROM lines WHERE text <> ''""",
@@ -65,11 +70,11 @@ QUERIES = {
         FROM (SELECT *, i - row_number() OVER (PARTITION BY track, line ORDER BY i) AS run_no FROM line_chars
               WHERE regexp_full_match(c, '[À-ÿ]'))
         GROUP BY track, line, run_no"""),
-    "junk_filter": ("lines", f"""
+    "junk_filter": ("replies_", f"""
         SELECT track, line, reason, CASE WHEN reason IS NULL THEN {STRIP.format('text')} ELSE '' END AS kept
-        FROM (SELECT *, {reason('text', True)} AS reason FROM lines)"""),
-    "junk_filter_lenient": (None, f"""
-        SELECT * FROM (SELECT doc_id, {reason('text', False)} AS reason FROM documents) WHERE reason IS NOT NULL"""),
+        FROM (SELECT *, {reason('text', True)} AS reason FROM replies_)"""),
+    "junk_filter_lenient": ("replies_", f"""
+        SELECT * FROM (SELECT track, line, {reason('text', False)} AS reason FROM replies_) WHERE reason IS NOT NULL"""),
     "reasoning_removed": (None, f"""
         SELECT conv_id, turn, {STRIP.format('text')} AS spoken, {STRIP.format('text')} AS bare FROM conversations"""),
     "tagged_payload": (None, r"""

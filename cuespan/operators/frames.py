@@ -34,6 +34,15 @@ def evenly_spaced(frames: DataFrame, count: int) -> DataFrame:
     return wanted.join(frames, ["track", "frame_no"])
 
 
+def sign_hash(features: str) -> Column:
+    """64-bit hash of an array: bit i is set where item i is positive."""
+    bits = F.transform(
+        F.slice(features, 1, 64),
+        lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")),
+    )
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+
+
 def clamped_box(x, y, w, h, width, height) -> Column:
     """Corners of a box cut to the frame, and whether anything is left of it."""
 

@@ -6,6 +6,7 @@ order is restored by (track, batch, pos).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,6 +23,21 @@ class IntegrityError(RuntimeError):
     """A reply that cannot be used: empty, without payload, or with another number of blocks."""
 
 
+def reply_problem(reply: str, blocks: int) -> None:
+    """Raise IntegrityError unless the reply's payload holds that many subtitle blocks."""
+    bare = re.sub(r"<think>.*?</think>", "", reply, flags=re.I | re.S)
+    payload = re.search(rf"<{PAYLOAD_TAG}>(.*?)(?:</{PAYLOAD_TAG}>|$)", bare, re.S | re.I)
+    if payload is None:
+        raise IntegrityError(f"no <{PAYLOAD_TAG}> in the reply")
+    usable = 0
+    for block in re.split(r"\n\s*\n", payload.group(1).strip()):
+        lines = block.strip().splitlines()
+        if len(lines) > 2 and lines[0].strip().isdigit() and "-->" in lines[1] and "".join(lines[2:]).strip():
+            usable += 1
+    if usable != blocks:
+        raise IntegrityError(f"{usable} blocks for {blocks}")
+
+
 def call_batches(
     messages: DataFrame,
     model: Callable[[], Callable[[str], str]],

@@ -47,16 +47,29 @@ def script_runs_with_context(v: Views) -> DataFrame:
     )
 
 
+def _replies(v: Views) -> DataFrame:
+    """Lines as a recogniser might return them, junk included."""
+    first = F.substring("text", 1, 1)
+    k = F.col("track") % 7
+    reply = (
+        F.when(k == 1, first).when(k == 2, F.lit(" None\n")).when(k == 3, F.concat("text", F.lit(" https://x.example/y")))
+        .when(k == 4, F.col("line").cast("string")).when(k == 5, F.repeat(first, F.col("line").cast("int")))
+        .when(k == 6, F.concat(F.col("line").cast("string"), F.lit("\n"), F.col("track").cast("string")))
+        .otherwise(F.col("text"))
+    )
+    return v.lines().withColumn("text", reply)
+
+
 @query
 def junk_filter(v: Views) -> DataFrame:
-    return v.lines().select(
+    return _replies(v).select(
         "track", "line", rules.reject_reason("text").alias("reason"), rules.without_junk("text").alias("kept")
     )
 
 
 @query
 def junk_filter_lenient(v: Views) -> DataFrame:
-    judged = v.table("documents").select("doc_id", rules.reject_reason("text", strict=False).alias("reason"))
+    judged = _replies(v).select("track", "line", rules.reject_reason("text", strict=False).alias("reason"))
     return judged.filter("reason is not null")
 
 

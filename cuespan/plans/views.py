@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuespan import sequence as seq
-from cuespan.operators import layout
+from cuespan.operators import frames, layout
 
 CLIP_UNIT_MS = 600_000
 
@@ -113,7 +113,4 @@ class Views:
             F.col("label").cast("bigint").alias("track"), "vec_id", "embedding"
         )
         numbered = seq.extend(features, ["vec_id"], {"_no": seq.position()}, hot=self.hot_frames)
-        sign = F.expr(
-            "aggregate(transform(slice(embedding, 1, 64), (x, i) -> IF(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)"
-        )
-        return numbered.select("track", (F.col("_no") - 1).alias("frame_no"), sign.alias("hash"), "embedding")
+        return numbered.select("track", (F.col("_no") - 1).alias("frame_no"), frames.sign_hash("embedding").alias("hash"), "embedding")
