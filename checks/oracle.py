@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import textwrap
 
-from checks import interval_sql, layout_sql, text_sql
+from checks import file_sql, interval_sql, layout_sql, segment_sql, stream_sql, text_sql
 
-MODULES = [interval_sql, layout_sql, text_sql]
+MODULES = [interval_sql, layout_sql, text_sql, segment_sql, file_sql, stream_sql]
 
 
 def _with(upto: str | None, parts: dict[str, str]) -> str:

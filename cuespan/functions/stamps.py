@@ -17,9 +17,10 @@ def strip(text) -> Column:
 
 def clock_to_seconds(stamp) -> Column:
     """``HH:MM:SS,mmm`` (or ``.mmm``) to seconds; NULL where it is no such stamp."""
-    parts = F.split(F.replace(strip(stamp), F.lit(","), F.lit(".")), ":")
-    h, m = (strip(F.get(parts, F.lit(i))).try_cast("bigint") for i in (0, 1))
-    s = strip(F.get(parts, F.lit(2))).try_cast("double")
+    parts = F.split(F.translate(_col(stamp), ",", "."), ":")
+    # Casts pass over white space around a number.
+    h, m = (F.get(parts, F.lit(i)).try_cast("bigint") for i in (0, 1))
+    s = F.get(parts, F.lit(2)).try_cast("double")
     return F.when(F.size(parts) >= 3, (h * 3600 + m * 60) + s)
 
 
@@ -36,7 +37,7 @@ def tolerant_seconds(stamp) -> Column:
 
 def flexible_seconds(stamp) -> Column:
     """``MM:SS.ff`` or ``HH:MM:SS.ff`` to seconds; NULL for any other number of parts."""
-    parts = F.split(F.replace(strip(stamp), F.lit(","), F.lit(".")), ":")
+    parts = F.split(F.translate(_col(stamp), ",", "."), ":")
 
     def whole(i: int) -> Column:
         return F.get(parts, F.lit(i)).try_cast("bigint")
@@ -88,7 +89,7 @@ def ms_to_centi(ms) -> Column:
 
 def centi_to_ms(stamp) -> Column:
     """``H:MM:SS.cc`` to milliseconds; no fraction counts as 0, malformed gives NULL."""
-    parts = F.split(strip(stamp), ":")
+    parts = F.split(_col(stamp), ":")
     tail = F.split(F.get(parts, F.lit(2)), r"\.")
     h, m = (F.get(parts, F.lit(i)).try_cast("bigint") for i in (0, 1))
     s = F.get(tail, F.lit(0)).try_cast("bigint")

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuespan.functions import text as rules
 from cuespan.sources.srt import blocks_to_cues
@@ -81,10 +82,8 @@ def call_batches(
             yield pd.concat([pdf, out], axis=1)
 
     spread = messages.repartition(parallel, "track", "batch") if parallel else messages
-    schema = messages.schema
-    for name, kind in (("reply", "string"), ("status", "string"), ("attempts", "int"), ("error", "string")):
-        schema = schema.add(name, kind)
-    return spread.mapInPandas(run, schema)
+    told = T.StructType.fromDDL("reply string, status string, attempts int, error string")
+    return spread.mapInPandas(run, T.StructType([*messages.schema.fields, *told.fields]))
 
 
 def merge_replies(batched: DataFrame, replies: DataFrame, payload: bool = True) -> DataFrame:
@@ -123,7 +122,7 @@ def recognise(
 ) -> DataFrame:
     """Add ``text`` from a batch recogniser. An item that is NULL gives ''; a batch that fails
     gives '' for all its items. The model is loaded once per task."""
-    schema = items.schema.add("text", "string")
+    schema = T.StructType([*items.schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = None

@@ -59,7 +59,7 @@ def file_ending(path) -> Column:
     """Lower-case ending of the last part of a path, '' if it has none."""
     path = F.col(path) if isinstance(path, str) else path
     name = F.regexp_extract(path, r"([^/]*)/*$", 1)
-    return F.lower(F.regexp_extract(name, r"[^.].*\.([^./]+)$|^[^.]\.([^./]+)$", 1))
+    return F.lower(F.regexp_extract(name, r"^.+\.([^.]+)$", 1))
 
 
 def media_type(path) -> Column:

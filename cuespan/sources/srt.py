@@ -33,10 +33,10 @@ def parsed_blocks(texts: DataFrame, keys=("track",), min_lines: int = 2, arrow:
     read = lines.withColumns(
         {
             "_n": F.size("_lines"),
-            "line": rules.strip(line[0]).try_cast("bigint"),
+            "line": line[0].try_cast("bigint"),
             "time": rules.strip(line[1]),
-            "start_raw": rules.strip(F.get(times, F.lit(0))),
-            "end_raw": rules.strip(F.get(times, F.lit(1))),
+            "start_raw": F.trim(F.get(times, F.lit(0))),
+            "end_raw": F.trim(F.get(times, F.lit(1))),
             "text": rules.strip(F.regexp_replace(untagged, "\n{2,}", "\n")),
         }
     ).withColumns({"start_ms": stamps.clock_to_ms("start_raw"), "end_ms": stamps.clock_to_ms("end_raw")})
