@@ -130,6 +130,14 @@ QUERIES = {
                round(video_speed, 6) AS video_speed, round(audio_speed, 6) AS audio_speed,
                round(actual_frames / 30.0::DOUBLE * 1000.0::DOUBLE, 6) AS new_chunk_dur, kind, clip_ms
         FROM realised WINDOW w AS (PARTITION BY track ORDER BY seg_no ROWS UNBOUNDED PRECEDING)"""),
+    "rebase_on_measured": ("realised", """
+        SELECT track, CAST(seg_no AS BIGINT) AS seg_no, round(orig_start, 6) AS orig_start, round(orig_end, 6) AS orig_end,
+               round((sum(a) OVER w - a) / 30.0::DOUBLE * 1000.0::DOUBLE, 6) AS new_start,
+               round((sum(a) OVER w) / 30.0::DOUBLE * 1000.0::DOUBLE, 6) AS new_end,
+               round(video_speed, 6) AS video_speed, round(audio_speed, 6) AS audio_speed,
+               round(a / 30.0::DOUBLE * 1000.0::DOUBLE, 6) AS new_chunk_dur, kind, clip_ms
+        FROM (SELECT *, actual_frames + seg_no % 2 AS a FROM realised WHERE seg_no <= 40)
+        WINDOW w AS (PARTITION BY track ORDER BY seg_no ROWS UNBOUNDED PRECEDING)"""),
     "realised_frames": ("realised", """
         SELECT track, round(orig_start, 6) AS orig_start, round(orig_end, 6) AS orig_end, kind, actual_frames FROM realised"""),
     "timeline_complement": ("timeline", """

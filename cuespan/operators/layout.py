@@ -243,19 +243,21 @@ def timeline(blocks: DataFrame, total: DataFrame | None = None, fps: float = 30.
 
 
 def realised(segments: DataFrame, fps: float = 30.0) -> DataFrame:
-    """Frames a cutter makes of each segment: ``track, seg_no, actual_frames``."""
+    """Add ``actual_frames``: how many frames a cutter makes of each segment."""
     length = F.col("orig_end") - F.col("orig_start")
-    return segments.select(
-        "track", "seg_no", stamps.realised_frames(length, "video_speed", fps).alias("actual_frames")
-    )
+    return segments.withColumn("actual_frames", stamps.realised_frames(length, "video_speed", fps))
+
+
+def measured(segments: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Add ``actual_frames`` from a table ``track, seg_no, actual_frames``. Segments it does
+    not tell of fall away."""
+    return segments.join(lengths.select("track", "seg_no", "actual_frames"), ["track", "seg_no"])
 
 
-def rebase(segments: DataFrame, actual: DataFrame, fps: float = 30.0, hot: bool | None = None) -> DataFrame:
-    """Lay a timeline anew from the frames its segments really have. Segments without an
-    actual length fall away."""
-    names = segments.columns
-    paired = segments.join(actual.select("track", "seg_no", "actual_frames"), ["track", "seg_no"])
-    laid = seq.extend(paired, ["seg_no"], {"_before": seq.total_before("actual_frames")}, hot=hot)
+def rebase(segments: DataFrame, fps: float = 30.0, hot: bool | None = None) -> DataFrame:
+    """Lay a timeline anew from the frames its segments really have (``actual_frames``)."""
+    names = [c for c in segments.columns if c != "actual_frames"]
+    laid = seq.extend(segments, ["seg_no"], {"_before": seq.total_before("actual_frames")}, hot=hot)
     made = {
         "new_start": stamps.frames_to_ms("_before", fps),
         "new_end": stamps.frames_to_ms(F.col("_before") + F.col("actual_frames"), fps),

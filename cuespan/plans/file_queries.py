@@ -66,7 +66,8 @@ EVENTS = "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Eff
 
 @query
 def ass_render(v: Views) -> DataFrame:
-    return v.cues().withColumn("value", ass.rendered(v.cues(), 14)).select("track", "line", "value")
+    cues = v.cues()
+    return cues.select("track", "line", ass.rendered(cues, 14).alias("value"))
 
 
 def _ass_lines(v: Views) -> DataFrame:
@@ -103,11 +104,13 @@ def ass_scaled(v: Views) -> DataFrame:
 @query
 def ass_retimed(v: Views) -> DataFrame:
     """Dialogues on the dubbed timeline of the track they belong to."""
-    rendered = v.cues().select(
+    timeline = v.timeline(FPS)
+    cues = v.cues()
+    rendered = cues.select(
         "track", F.col("line").alias("line_no"), F.lit("events").alias("section"),
-        ass.rendered(v.cues(), 14).alias("value"),
+        ass.rendered(cues, 14).alias("value"),
     )
-    return ass.retimed(ass.dialogues(rendered), v.timeline(FPS), 15, FPS, hot=v.hot)
+    return ass.retimed(ass.dialogues(rendered), timeline, 15, FPS, hot=v.hot)
 
 
 @query
@@ -249,6 +252,7 @@ def recognised_items(v: Views) -> DataFrame:
 
 
 def _clips_made(v: Views) -> DataFrame:
+    v.store()
     return models.make_clips(srt.speech_queue(v.cues(), hot=v.hot), stand_ins.speaker, v.clips())
 
 
@@ -264,12 +268,14 @@ def clip_outcomes(v: Views) -> DataFrame:
 
 @query
 def dubbed_cues(v: Views) -> DataFrame:
+    v.store()
     cues = v.speech().select("track", "line", "start_ms", "end_ms", "text")
     return jobs.dub(cues, v.mutes(), v.totals(), v.clips(), FPS, hot=v.hot)[1]
 
 
 @query
 def dubbed_timeline(v: Views) -> DataFrame:
+    v.store()
     cues = v.speech().select("track", "line", "start_ms", "end_ms", "text")
     return rounded(jobs.dub(cues, v.mutes(), v.totals(), v.clips(), FPS, hot=v.hot)[0].drop("seg_no"))
 

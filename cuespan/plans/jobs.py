@@ -27,7 +27,8 @@ def dub(
     clear = intervals.clip_drop(cues, mutes, hot=hot)
     blocks = layout.slots(layout.with_clips(clear, clips), mutes, total, hot)
     planned = layout.timeline(layout.with_speeds(blocks, cap, no_cap), total, fps, hot)
-    cut = layout.rebase(planned, layout.realised(planned, fps), fps, hot)
+    # The timeline is a result, and retiming reads it twice.
+    cut = written(layout.rebase(layout.realised(planned, fps), fps, hot))
     return cut, intervals.retime(clear, cut, fps, by_clip=True, hot=hot)
 
 

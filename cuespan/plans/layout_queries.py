@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuespan.operators import aggregates, intervals, layout
 from cuespan.plans.registry import query
 from cuespan.plans.views import Views
+from cuespan.session import written
 
 FPS = 30.0
 
@@ -24,6 +25,7 @@ def _cleared(v: Views) -> DataFrame:
 
 @query
 def clip_lookup(v: Views) -> DataFrame:
+    v.store()
     found = layout.with_clips(_cleared(v), v.clips())
     return found.select("track", "line", "event_id", "clip_ms", "clip_missing")
 
@@ -57,34 +59,46 @@ def timeline_with_head_and_tail(v: Views) -> DataFrame:
 
 @query
 def rebase_timeline(v: Views) -> DataFrame:
-    timeline = v.timeline(FPS)
-    actual = layout.realised(timeline, FPS)
-    return rounded(layout.rebase(timeline, actual, FPS, hot=v.hot).drop("seg_no"))
+    cut = layout.realised(v.timeline(FPS), FPS)
+    return rounded(layout.rebase(cut, FPS, hot=v.hot).drop("seg_no"))
+
+
+@query
+def rebase_on_measured(v: Views) -> DataFrame:
+    """Measured lengths come as a table of their own; the timeline ends where it does."""
+    timeline = written(v.timeline(FPS))
+    measured = layout.realised(timeline, FPS).filter("seg_no <= 40").select(
+        "track", "seg_no", (F.col("actual_frames") + F.col("seg_no") % 2).alias("actual_frames")
+    )
+    return rounded(layout.rebase(layout.measured(timeline, measured), FPS, hot=v.hot))
 
 
 @query
 def realised_frames(v: Views) -> DataFrame:
-    timeline = v.timeline(FPS)
-    counts = timeline.join(layout.realised(timeline, FPS), ["track", "seg_no"])
+    counts = layout.realised(v.timeline(FPS), FPS)
     return rounded(counts.select("track", "orig_start", "orig_end", "kind", "actual_frames"))
 
 
 @query
 def remap_points(v: Views) -> DataFrame:
-    points = v.series().select("track", "event_id", "at_ms")
-    return rounded(intervals.remap(points, v.timeline(FPS), "event_id", FPS, hot=v.hot))
+    timeline = v.timeline(FPS)
+    points = v.cues().select("track", "event_id", F.col("start_ms").alias("at_ms"))
+    return rounded(intervals.remap(points, timeline, "event_id", FPS, hot=v.hot))
 
 
 @query
 def retime_cues(v: Views) -> DataFrame:
+    timeline = v.timeline(FPS)
     cues = v.speech().select("track", "line", "start_ms", "end_ms", "text")
-    return intervals.retime(cues, v.timeline(FPS), FPS, hot=v.hot)
+    return intervals.retime(cues, timeline, FPS, hot=v.hot)
 
 
 @query
 def retime_by_clip(v: Views) -> DataFrame:
+    # Anchoring and remapping both read the timeline.
+    timeline = written(v.timeline(FPS))
     cues = _cleared(v).select("track", "line", "start_ms", "end_ms", "text")
-    return intervals.retime(cues, v.timeline(FPS), FPS, by_clip=True, hot=v.hot)
+    return intervals.retime(cues, timeline, FPS, by_clip=True, hot=v.hot)
 
 
 @query
@@ -93,6 +107,7 @@ def drift_audit(v: Views) -> DataFrame:
 
 
 def _cues_with_clips(v: Views) -> DataFrame:
+    v.store()
     cues = v.cues().select("track", "line", "start_ms", "end_ms", (F.col("line") - 1).alias("clip_no"))
     return cues.join(v.clips(), ["track", "clip_no"], "left").drop("clip_no")
 

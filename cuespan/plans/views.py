@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuespan import sequence as seq
 from cuespan.operators import frames, layout
+from cuespan.session import written
 
 CLIP_UNIT_MS = 600_000
 
@@ -19,9 +20,13 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
+        self._keep = False
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     @cached_property
     def hot(self) -> bool:
@@ -42,16 +47,27 @@ class Views:
         since = F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col("ts"))
         return timed.withColumn("start_ms", F.floor(since / 1000).cast("bigint")).drop("_t0")
 
-    def cues(self) -> DataFrame:
-        timed = self._on_axis()
+    def _derived_cues(self) -> DataFrame:
         length = F.greatest(F.lit(1), (F.col("value") * 600000).cast("bigint"))
-        numbered = seq.extend(timed, ["start_ms", "event_id"], {"line": seq.position()}, hot=self.hot)
+        numbered = seq.extend(self._on_axis(), ["start_ms", "event_id"], {"line": seq.position()}, hot=self.hot)
         return numbered.select(
             "track", "line", "event_id", F.col("event_type").alias("kind"), "start_ms",
             (F.col("start_ms") + length).alias("end_ms"),
             F.concat_ws(" ", "event_type", "props").alias("text"),
         )
 
+    @cached_property
+    def _stored_cues(self) -> DataFrame:
+        return written(self._derived_cues())
+
+    def store(self) -> Views:
+        """Write the cues once and read them from there on: for jobs that use them often."""
+        self._keep = True
+        return self
+
+    def cues(self) -> DataFrame:
+        return self._stored_cues if self._keep else self._derived_cues()
+
     def speech(self) -> DataFrame:
         return self.cues().filter("kind <> 'error'")
 
@@ -63,18 +79,16 @@ class Views:
 
     def clips(self) -> DataFrame:
         """Clip lengths by 0-based place of the cue; one in seven is missing."""
-        k = F.get_json_object("props", "$.k").cast("bigint")
-        timed = self._on_axis().withColumn("_k", k)
-        placed = seq.extend(timed, ["start_ms", "event_id"], {"_no": seq.position()}, hot=self.hot)
-        return placed.filter("_k % 7 <> 0").select(
-            "track", (F.col("_no") - 1).alias("clip_no"), (F.col("_k") * CLIP_UNIT_MS).alias("clip_ms")
-        )
+        k = F.get_json_object(F.substring_index("text", " ", -2), "$.k").cast("bigint")
+        numbered = self.cues().select("track", (F.col("line") - 1).alias("clip_no"), k.alias("_k"))
+        return numbered.filter("_k % 7 <> 0").select("track", "clip_no", (F.col("_k") * CLIP_UNIT_MS).alias("clip_ms"))
 
     def series(self) -> DataFrame:
         """Sampled values on the track's axis."""
         return self._on_axis().select("track", "event_id", F.col("start_ms").alias("at_ms"), "value")
 
     def slots(self) -> DataFrame:
+        self.store()
         return layout.slots_of(self.speech(), self.mutes(), self.totals(), self.clips(), hot=self.hot)
 
     def timeline(self, fps: float = 30.0) -> DataFrame:
