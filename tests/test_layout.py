@@ -70,7 +70,7 @@ def _slots_by_hand(cues, mutes, total):
     return out
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(3))
 def test_slots_against_the_loop_with_and_without_ties(spark, hot, seed):
     rnd = random.Random(seed)
     mutes = _random(rnd, 5, 4000, 300)
