@@ -12,6 +12,8 @@ from cuespan.operators import frames, layout
 from cuespan.session import written
 
 CLIP_UNIT_MS = 600_000
+# Tables whose rows take long to work on.
+TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 class Views:
@@ -25,7 +27,11 @@ class Views:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            read = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            # A table of few row groups would keep most cores idle; a large one never does.
+            cores = self.spark.sparkContext.defaultParallelism
+            small = name in TEXT_TABLES and read.rdd.getNumPartitions() < cores
+            self._tables[name] = read.repartition(cores) if small else read
         return self._tables[name]
 
     @cached_property
