@@ -48,8 +48,18 @@ def _records(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def _values(column: pa.Array) -> list:
+    """Python values; by way of numpy where that loses nothing, as it is much faster."""
+    kind = column.type
+    if pa.types.is_string(kind) or (
+        column.null_count == 0 and (pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind))
+    ):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    return zip(*(column.to_pylist() for column in batch.columns))
+    return zip(*(_values(column) for column in batch.columns))
 
 
 def _fold_stream(fold: Fold, width: int, schema: pa.Schema, guided: bool):

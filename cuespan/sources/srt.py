@@ -24,26 +24,34 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def parsed_blocks(texts: DataFrame, keys=("track",), min_lines: int = 2, arrow: str = "-->") -> DataFrame:
     """All blocks of SRT texts with what was read and why a block is unusable (``reason``)."""
     body = F.regexp_replace(rules.strip("content"), "\r\n", "\n")
-    blocks = texts.select(*keys, F.posexplode(F.split(body, r"\n(?U:\s)*\n")).alias("block", "raw"))
-    lines = blocks.withColumn("_lines", F.split(rules.strip("raw"), LINE_ENDS))
+    split = F.transform(
+        F.split(body, r"\n(?U:\s)*\n"),
+        lambda raw: F.struct(raw.alias("raw"), F.split(rules.strip(raw), LINE_ENDS).alias("_lines")),
+    )
+    blocks = texts.select(*keys, F.posexplode(split).alias("block", "_b")).select(*keys, "block", "_b.*")
     line = [F.get("_lines", F.lit(i)) for i in (0, 1)]
     times = F.split(line[1], arrow)
     rest = F.array_join(F.slice("_lines", 3, F.greatest(F.size("_lines") - 2, F.lit(0))), "\n")
     untagged = rules.without_tags(rules.strip(rest))
-    read = lines.withColumns(
-        {
-            "_n": F.size("_lines"),
-            "line": line[0].try_cast("bigint"),
-            "time": rules.strip(line[1]),
-            "start_raw": F.trim(F.get(times, F.lit(0))),
-            "end_raw": F.trim(F.get(times, F.lit(1))),
-            "text": rules.strip(F.regexp_replace(untagged, "\n{2,}", "\n")),
-        }
-    ).withColumns({"start_ms": stamps.clock_to_ms("start_raw"), "end_ms": stamps.clock_to_ms("end_raw")})
+    start, end = (F.trim(F.get(times, F.lit(i))) for i in (0, 1))
+    fields = {
+        "_n": F.size("_lines"),
+        "_arrow": F.contains(line[1], F.lit(arrow)),
+        "line": line[0].try_cast("bigint"),
+        "time": rules.strip(line[1]),
+        "start_raw": start,
+        "end_raw": end,
+        "start_ms": stamps.clock_to_ms(start),
+        "end_ms": stamps.clock_to_ms(end),
+        "text": rules.strip(F.regexp_replace(untagged, "\n{2,}", "\n")),
+    }
+    parsed = blocks.select(*keys, "block", "raw", *[c.alias(n) for n, c in fields.items()])
+    # Through a generator, so that filters on the fields are not pushed back into the parsing.
+    read = parsed.select(*keys, "block", "raw", F.inline(F.array(F.struct(*fields))))
     reason = (
         F.when(F.col("_n") < min_lines, "too few lines")
         .when(F.col("line").isNull(), "no index")
-        .when(~F.contains(line[1], F.lit(arrow)), "no arrow")
+        .when(~F.coalesce("_arrow", F.lit(False)), "no arrow")
         .when(F.col("start_ms").isNull() | F.col("end_ms").isNull(), "bad stamp")
         .when(F.col("end_ms") <= F.col("start_ms"), "no length")
     )
