@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cuespan import sequence as seq
 from cuespan.functions import stamps
+from cuespan.functions.text import soft_wrap
 
 
 def renumbered(cues: DataFrame, order=("start_ms", "line"), hot: bool | None = None) -> DataFrame:
@@ -277,10 +278,12 @@ def anchored(cues: DataFrame, timeline: DataFrame, within_ms: int = 100, hot: bo
 
 
 def retime(
-    cues: DataFrame, timeline: DataFrame, fps: float = 30.0, by_clip: bool = False, hot: bool | None = None
+    cues: DataFrame, timeline: DataFrame, fps: float = 30.0, by_clip: bool = False, width: int = 0,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Move cues to the new timeline. ``by_clip`` ends a cue with its clip, where it has one
-    of some length, though not after its slot. A cue lasts 100 ms if nothing else."""
+    of some length, though not after its slot. A cue lasts 100 ms if nothing else. Texts are
+    wrapped softly where ``width`` is given."""
     if hot is None:
         hot = seq.too_long(cues) or seq.too_long(timeline)
     names = cues.columns
@@ -311,4 +314,6 @@ def retime(
         end = F.when(clip > 0, F.least(F.col("_start") + clip, F.col("anchor.new_end"))).otherwise(end)
     end = F.when(end <= F.col("_start"), F.col("_start") + 100).otherwise(end)
     made = {"start_ms": F.rint("_start").cast("bigint"), "end_ms": F.rint(end).cast("bigint")}
+    if width > 0:
+        made["text"] = soft_wrap("text", width)
     return both.select(*[made[c].alias(c) if c in made else F.col(c) for c in names])

@@ -14,7 +14,8 @@ from cuespan.streaming import folds, passes
 def _cue_stream(v: Views) -> DataFrame:
     """Events as cues on the absolute axis: a stream does not know a track's first event."""
     events = folds.file_stream(v.spark, v.sf_dir, "events.parquet")
-    start = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    start = F.floor(F.timestamp_diff("MICROSECOND", epoch, F.col("ts")) / 1000)
     length = F.greatest(F.lit(1), (F.col("value") * 600000).cast("bigint"))
     return events.select(
         F.col("user_id").alias("track"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("line"),

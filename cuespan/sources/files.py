@@ -117,6 +117,14 @@ def read_manifest(spark: SparkSession, path: str, ending: str, default_dir: str
     return resolve_outputs(rows, ending, default_dir)
 
 
+def routed(cues: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Cues of the inputs a manifest names, with the ``output`` each goes to. Cues are known
+    by the path they were read from; the manifest names as many paths as it has rows."""
+    path = F.regexp_replace("track", "^file:/*", "/")
+    wanted = manifest.filter("not rejected").select(F.col("input").alias("_path"), "output", "output_dir", "output_stem")
+    return cues.withColumn("_path", path).join(wanted, "_path").drop("_path")
+
+
 def word_json(
     words: DataFrame, language: str, texts: DataFrame | None = None, part_rows: int = 1000, hot: bool | None = None
 ) -> DataFrame:

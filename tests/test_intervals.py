@@ -170,6 +170,12 @@ def test_cues_are_retimed_by_timeline_or_clip(spark, hot):
     assert by_clip == [(1, 10067, 22067, "A"), (2, 25000, 25100, "B")]
 
 
+def test_retimed_texts_may_be_wrapped(spark):
+    timeline = _timeline(spark, [(0, 10000, 0, 10000, "gap", 0)])
+    got = intervals.retime(_cues(spark, [(0, 1000, "one two three")]), timeline, width=7, hot=False)
+    assert rows(got, "text") == [("one two\nthree",)]
+
+
 def test_segments_outside_the_track_are_left_out(spark):
     lengths = spark.createDataFrame([(1, 100)], "track int, length_ms bigint")
     zones = _cues(spark, [(-1, 10, "a"), (0, 100, "b"), (50, 101, "c")])

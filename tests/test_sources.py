@@ -143,6 +143,15 @@ def test_transcripts_boxes_and_manifests(spark, tmp_path):
     assert files.read_manifest(spark, str(tmp_path / "tasks.json"), ".srt", "dflt").filter("input = 'c.mp4'").first().output == "dflt/c.srt"
 
 
+def test_a_manifest_routes_what_was_read(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        (tmp_path / f"{name}.srt").write_text(f"1\n00:00:00,000 --> 00:00:01,000\n{name}\n")
+    (tmp_path / "tasks.json").write_text(json.dumps([{"input": str(tmp_path / "a.srt"), "output": "out/x.srt"}, {"input": str(tmp_path / "b.srt")}]))
+    manifest = files.read_manifest(spark, str(tmp_path / "tasks.json"), ".txt")
+    got = files.routed(srt.read_srt(spark, str(tmp_path / "*.srt")), manifest)
+    assert rows(got, "text", "output") == [("a", "out/x.srt"), ("b", str(tmp_path / "b.txt"))]
+
+
 def test_files_are_listed_by_kind(spark, tmp_path):
     for name in ("a.MP4", "b.wav", "c.srt", "d.ass", "e.txt", "f", "g.webm"):
         (tmp_path / name).write_text("x")
