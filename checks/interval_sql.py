@@ -88,19 +88,22 @@ QUERIES = {
     "valid_segments": ("valid", "SELECT * FROM valid"),
     "segment_totals": ("valid", """
         SELECT track, count(*) AS segments, CAST(sum(end_ms - start_ms) AS BIGINT) AS total_ms FROM valid GROUP BY track"""),
-    "mute_series": ("series", """
+    "mute_series": ("valid", """
         SELECT s.track, s.event_id, s.at_ms,
-               CASE WHEN EXISTS (SELECT 1 FROM mutes m WHERE m.track = s.track AND m.start_ms <= s.at_ms AND s.at_ms < m.end_ms)
+               CASE WHEN EXISTS (SELECT 1 FROM valid m WHERE m.track = s.track AND m.start_ms <= s.at_ms AND s.at_ms < m.end_ms)
                     THEN 0.0::DOUBLE ELSE s.value END AS value
         FROM series s"""),
     "extract_series": ("series", """
         SELECT s.track, s.event_id, s.at_ms, round(s.value * count(c.line), 6) AS value
-        FROM series s LEFT JOIN speech c ON c.track = s.track AND c.start_ms <= s.at_ms AND s.at_ms < c.end_ms
+        FROM series s LEFT JOIN (
+            SELECT c.* FROM speech c JOIN (SELECT track, max(at_ms) AS length_ms FROM series GROUP BY track) USING (track)
+            WHERE c.start_ms >= 0 AND c.end_ms <= length_ms) c
+        ON c.track = s.track AND c.start_ms <= s.at_ms AND s.at_ms < c.end_ms
         GROUP BY s.track, s.event_id, s.at_ms, s.value"""),
     "enabled_points": ("series", """
         SELECT s.track, s.event_id, s.at_ms,
-               EXISTS (SELECT 1 FROM mutes m WHERE m.track = s.track AND s.at_ms BETWEEN m.start_ms AND m.end_ms) AS enabled
-        FROM series s"""),
+               EXISTS (SELECT 1 FROM cues m WHERE m.track = s.track AND s.at_ms BETWEEN m.start_ms AND m.end_ms) AS enabled
+        FROM (SELECT track, event_id, at_ms - event_id % 1000 * 1000 AS at_ms FROM series) s"""),
     "snap_to_anchor": ("series", """
         SELECT s.track, s.event_id, s.at_ms,
                coalesce(arg_min(m.end_ms, struct_pack(d := abs(m.end_ms - s.at_ms), k := m.end_ms)), s.at_ms) AS snapped_ms
@@ -139,7 +142,7 @@ QUERIES = {
             SELECT track, count(*) AS entries, CAST(sum(end_ms - start_ms) AS BIGINT) AS total_ms,
                    CAST(sum(length(text)) AS BIGINT) AS total_chars, round(avg(end_ms - start_ms), 4) AS avg_ms,
                    round(avg(length(text)), 4) AS avg_chars, min(end_ms - start_ms) AS min_ms, max(end_ms - start_ms) AS max_ms
-            FROM cues WHERE kind = 'signup' GROUP BY track) f USING (track)"""),
+            FROM cues GROUP BY track) f USING (track)"""),
     "quiet_edges": ("series", """
         SELECT track, keep_from_ms, keep_to_ms, length_ms - (keep_to_ms - keep_from_ms) AS removed_ms
         FROM (SELECT track, length_ms,

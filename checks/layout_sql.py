@@ -136,7 +136,8 @@ QUERIES = {
                round((sum(a) OVER w) / 30.0::DOUBLE * 1000.0::DOUBLE, 6) AS new_end,
                round(video_speed, 6) AS video_speed, round(audio_speed, 6) AS audio_speed,
                round(a / 30.0::DOUBLE * 1000.0::DOUBLE, 6) AS new_chunk_dur, kind, clip_ms
-        FROM (SELECT *, actual_frames + seg_no % 2 AS a FROM realised WHERE seg_no <= 40)
+        FROM (SELECT *, actual_frames + seg_no % 2 AS a FROM realised
+              QUALIFY 10 * seg_no <= 9 * count(*) OVER (PARTITION BY track))
         WINDOW w AS (PARTITION BY track ORDER BY seg_no ROWS UNBOUNDED PRECEDING)"""),
     "realised_frames": ("realised", """
         SELECT track, round(orig_start, 6) AS orig_start, round(orig_end, 6) AS orig_end, kind, actual_frames FROM realised"""),

@@ -288,10 +288,12 @@ def retime(
         hot = seq.too_long(cues) or seq.too_long(timeline)
     names = cues.columns
     source = anchored(cues, timeline, hot=hot) if by_clip else cues
-    carried = [c for c in source.columns if c not in ("track", "line", "start_ms", "end_ms")]
+    # Line numbers may repeat within a track, so cues are told apart by their place.
+    source = seq.extend(source, ["start_ms", "line", "end_ms"], {"_pos": seq.position()}, hot=hot)
+    carried = [c for c in source.columns if c not in ("track", "_pos", "start_ms", "end_ms")]
     # Both ends of a cue go through one sweep; the payload travels with the start only.
     ends = source.select(
-        "track", "line",
+        "track", "_pos",
         F.explode(
             F.array(
                 F.struct(
@@ -301,13 +303,13 @@ def retime(
                 F.struct(F.col("end_ms").alias("at_ms"), F.lit(1).alias("which"), F.lit(None).alias("load")),
             )
         ).alias("p"),
-    ).select("track", "line", "p.*")
-    moved = remap(ends, timeline, "line", fps, hot)
+    ).select("track", "_pos", "p.*")
+    moved = remap(ends, timeline, "_pos", fps, hot)
     start, end = (F.max(F.when(F.col("which") == i, F.col("new_ms"))) for i in (0, 1))
-    both = moved.groupBy("track", "line").agg(
+    both = moved.groupBy("track", "_pos").agg(
         start.alias("_start"), end.alias("_end"), F.first("load", ignorenulls=True).alias("_load")
     )
-    both = both.select("track", "line", "_start", "_end", *[F.col(f"_load.{c}").alias(c) for c in carried])
+    both = both.select("track", "_start", "_end", *[F.col(f"_load.{c}").alias(c) for c in carried])
     end = F.col("_end")
     if by_clip:
         clip = F.col("anchor.clip_ms")

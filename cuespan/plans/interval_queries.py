@@ -44,19 +44,22 @@ def segment_totals(v: Views) -> DataFrame:
 
 @query
 def mute_series(v: Views) -> DataFrame:
-    return intervals.mask(v.series(), v.mutes(), "event_id", hot=v.hot)
+    inside = intervals.valid_segments(v.mutes(), _lengths(v))
+    return intervals.mask(v.series(), inside, "event_id", hot=v.hot)
 
 
 @query
 def extract_series(v: Views) -> DataFrame:
-    kept = intervals.overlay(v.series(), v.speech(), "event_id", hot=v.hot)
+    lengths = v.series().groupBy("track").agg(F.max("at_ms").alias("length_ms"))
+    kept = intervals.overlay(v.series(), intervals.valid_segments(v.speech(), lengths), "event_id", hot=v.hot)
     return kept.withColumn("value", F.round("value", 6))
 
 
 @query
 def enabled_points(v: Views) -> DataFrame:
-    points = v.series().select("track", "event_id", "at_ms")
-    return intervals.enabled(points, v.mutes(), "event_id", hot=v.hot)
+    # Points some time before the cues begin, so that some lie in none.
+    points = v.series().select("track", "event_id", (F.col("at_ms") - F.col("event_id") % 1000 * 1000).alias("at_ms"))
+    return intervals.enabled(points, v.cues(), "event_id", hot=v.hot)
 
 
 @query
@@ -148,9 +151,7 @@ def carried_context(v: Views) -> DataFrame:
 
 @query
 def track_statistics(v: Views) -> DataFrame:
-    # Cues of one kind only: some tracks have none.
-    some = v.cues().filter("kind = 'signup'")
-    return aggregates.track_statistics(some, v.cues()).withColumns(
+    return aggregates.track_statistics(v.cues(), v.cues()).withColumns(
         {"avg_ms": F.round("avg_ms", 4), "avg_chars": F.round("avg_chars", 4)}
     )
 

@@ -65,9 +65,10 @@ def rebase_timeline(v: Views) -> DataFrame:
 
 @query
 def rebase_on_measured(v: Views) -> DataFrame:
-    """Measured lengths come as a table of their own; the timeline ends where it does."""
+    """Measured lengths come as a table of their own, a tenth shorter; each timeline ends where they do."""
     timeline = written(v.timeline(FPS))
-    measured = layout.realised(timeline, FPS).filter("seg_no <= 40").select(
+    length = timeline.groupBy("track").agg(F.count("*").alias("_n"))
+    measured = layout.realised(timeline, FPS).join(length, "track").filter("10 * seg_no <= 9 * _n").select(
         "track", "seg_no", (F.col("actual_frames") + F.col("seg_no") % 2).alias("actual_frames")
     )
     return rounded(layout.rebase(layout.measured(timeline, measured), FPS, hot=v.hot))
