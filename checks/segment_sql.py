@@ -1,6 +1,33 @@
 """SQL of the segmentation queries that SQL can express."""
 
+
+def strip(text: str) -> str:
+    return f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+
+
+_MARKS = "[,.?!;，。？；！ ]"
+_NEAR = "(?s).{1,30}\\z|" + "|".join(f".{{{k}}}{_MARKS}" for k in range(27, 32)) + "|.{30}"
+_STRONG, _EITHER = "。！？.!?…\\n", "。！？.!?…\\n，,；;、"
+_SENTENCES = f"(?s)[^{_STRONG}]{{0,24}}[{_STRONG}]|[^{_STRONG}]{{24}}[^{_EITHER}]*[{_EITHER}]|.+"
+
 PARTS = {
+    "near_": f"""
+        SELECT track, line, text, s, CASE WHEN length(s) <= 30 THEN s
+               WHEN len(p) > 1 AND length(p[-1]) < 3 THEN {strip("array_to_string(list_append(p[1:len(p) - 2], p[-2] || p[-1]), chr(10))")}
+               ELSE {strip("array_to_string(p, chr(10))")} END AS broken
+        FROM (SELECT *, flatten(list_transform(string_split(replace(s, '\\n', chr(10)), chr(10)),
+                     lambda x: regexp_extract_all({strip("x")}, '{_NEAR}'))) AS p
+              FROM (SELECT track, line, text, {strip("text")} AS s FROM lines))""",
+    "sentences_": f"""
+        SELECT track, line, text, s, CASE WHEN length(s) > 50 AND regexp_matches(s, '[{_STRONG}]') THEN
+                   CASE WHEN NOT regexp_matches(last, '[{_STRONG}]\\z')
+                             AND NOT (regexp_matches(last, '[{_EITHER}]\\z') AND length(last) >= 25)
+                             AND length(tail) < 3 AND tail <> '' AND len(clean) > 1
+                        THEN list_append(clean[1:len(clean) - 2], clean[-2] || ' ' || tail) ELSE clean END END AS parts
+        FROM (SELECT *, raw[-1] AS last, {strip("raw[-1]")} AS tail,
+                     list_filter(list_transform(raw, lambda x: {strip("x")}), lambda x: x <> '') AS clean
+              FROM (SELECT track, line, text, {strip("text")} AS s, regexp_extract_all({strip("text")}, '{_SENTENCES}') AS raw FROM lines)
+              WHERE s <> '')""",
     "words_": """
         SELECT doc_id AS track, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w,
                generate_subscripts(string_split(replace(text, chr(10), ' '), ' '), 1) - 1 AS tok_idx,
@@ -18,6 +45,26 @@ PARTS = {
 }
 
 QUERIES = {
+    "broken_near": ("near_", "SELECT track, line, broken FROM near_"),
+    "broken_lines": ("near_", """
+        SELECT track, line, unnest(string_split(broken, chr(10))) AS text,
+               generate_subscripts(string_split(broken, chr(10)), 1) - 1 AS part
+        FROM near_ WHERE s <> ''"""),
+    "split_by_marks": ("sentences_", """
+        SELECT track, row_number() OVER (PARTITION BY track ORDER BY line, grp) AS line, start_ms, end_ms, text FROM (
+            SELECT track, line, 0 AS grp, line * 10000 AS start_ms, line * 10000 + 9000 AS end_ms, text
+            FROM sentences_ WHERE parts IS NULL OR len(parts) <= 1
+            UNION ALL
+            SELECT track, line, grp, min(a), max(b), string_agg(part, ' ' ORDER BY i) FROM (
+                SELECT *, sum(CASE WHEN i > 1 AND b - a < 1000 THEN 0 ELSE 1 END)
+                          OVER (PARTITION BY track, line ORDER BY i ROWS UNBOUNDED PRECEDING) AS grp
+                FROM (SELECT track, line, i, part,
+                             CAST(trunc(line * 10000 + (upto - length(part)) / length(s) * 9000) AS BIGINT) AS a,
+                             CAST(trunc(line * 10000 + upto / length(s) * 9000) AS BIGINT) AS b
+                      FROM (SELECT *, sum(length(part)) OVER (PARTITION BY track, line ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+                            FROM (SELECT track, line, s, unnest(parts) AS part, generate_subscripts(parts, 1) AS i
+                                  FROM sentences_ WHERE len(parts) > 1))))
+            GROUP BY track, line, grp)"""),
     "grammar_blocks": ("tokens", """
         SELECT track, tok_idx, text,
                CAST(coalesce(sum(CASE WHEN regexp_matches(text, '[.,!?:;。，！？：；、]') THEN 1 ELSE 0 END) OVER (
