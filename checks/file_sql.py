@@ -72,7 +72,7 @@ PARTS["scene_runs"] = islands("scene_cues", "text = ptext")
 
 TRANSLATED = """
     SELECT track, line, (no - 1) // 30 AS batch, (no - 1) % 30 AS pos,
-           first_value(line) OVER (PARTITION BY track, (no - 1) // 30 ORDER BY line) // 30 % 4 <> 1 AS ok, text
+           first_value(line) OVER (PARTITION BY track, (no - 1) // 30 ORDER BY line) // 30 % 4 NOT IN (1, 2) AS ok, text
     FROM told_lines"""
 
 QUERIES = {
@@ -92,10 +92,10 @@ QUERIES = {
         FROM cues WHERE event_id % 20 IN (1, 2, 3, 4, 5) OR {STRICT_BACK.format('end_ms')} <= {STRICT_BACK.format('start_ms')}"""),
     "srt_parse_strict": ("cues", """
         SELECT track, line, round(s, 6) AS start_s, round(CASE WHEN e < s THEN s + 1.0 ELSE e END, 6) AS end_s,
-               CASE event_id % 20 WHEN 5 THEN '' WHEN 6 THEN text || chr(10) || 'two' ELSE text END AS text
+               CASE event_id % 20 WHEN 5 THEN '<i></i>' WHEN 6 THEN '<b>' || text || '</b>' || chr(10) || '<i>two</i>' ELSE text END AS text
         FROM (SELECT *, CASE WHEN event_id % 20 = 3 THEN 0.0::DOUBLE ELSE start_ms / 1000.0::DOUBLE END AS s,
                      CASE WHEN event_id % 20 = 4 THEN 0.0::DOUBLE ELSE end_ms / 1000.0::DOUBLE END AS e FROM cues)
-        WHERE event_id % 20 NOT IN (1, 2)"""),
+        WHERE event_id % 20 NOT IN (1, 2, 7)"""),
     "ass_render": ("cues", f"""
         SELECT track, line, {DIALOGUE.format(s=CENTI.format('start_ms'), e=CENTI.format('end_ms'), t=WRAPPED.format('text'))} AS value
         FROM cues"""),

@@ -24,17 +24,35 @@ class IntegrityError(RuntimeError):
     """A reply that cannot be used: empty, without payload, or with another number of blocks."""
 
 
+def _milliseconds(stamp: str) -> int | None:
+    parts = stamp.strip().replace(",", ".").split(":")
+    try:
+        return int((int(parts[0]) * 3600 + int(parts[1]) * 60 + float(parts[2])) * 1000) if len(parts) > 2 else None
+    except ValueError:
+        return None
+
+
+def usable_blocks(payload: str) -> int:
+    """How many blocks of a payload ``merge_replies`` can use: with a number, two stamps the later of which comes
+    second, and some text beside plain tags."""
+    usable = 0
+    for block in re.split(r"\n\s*\n", payload.strip().replace("\r\n", "\n")):
+        lines = block.strip().splitlines()
+        if len(lines) < 2 or not re.fullmatch(r"\s*[+-]?\d+\s*", lines[0]) or "-->" not in lines[1]:
+            continue
+        start, end = (_milliseconds(s) for s in lines[1].split("-->")[:2])
+        text = re.sub(r"</?[a-zA-Z]+>", "", "\n".join(lines[2:]))
+        usable += start is not None and end is not None and start < end and bool(text.strip())
+    return usable
+
+
 def reply_problem(reply: str, blocks: int) -> None:
-    """Raise IntegrityError unless the reply's payload holds that many subtitle blocks."""
+    """Raise IntegrityError unless the reply's payload holds that many usable subtitle blocks."""
     bare = re.sub(r"<think>.*?</think>", "", reply, flags=re.I | re.S)
-    payload = re.search(rf"<{PAYLOAD_TAG}>(.*?)(?:</{PAYLOAD_TAG}>|$)", bare, re.S | re.I)
+    payload = re.search(rf"<{PAYLOAD_TAG}>(.*?)(?:</{PAYLOAD_TAG}>|\Z)", bare, re.S | re.I)
     if payload is None:
         raise IntegrityError(f"no <{PAYLOAD_TAG}> in the reply")
-    usable = 0
-    for block in re.split(r"\n\s*\n", payload.group(1).strip()):
-        lines = block.strip().splitlines()
-        if len(lines) > 2 and lines[0].strip().isdigit() and "-->" in lines[1] and "".join(lines[2:]).strip():
-            usable += 1
+    usable = usable_blocks(payload.group(1))
     if usable != blocks:
         raise IntegrityError(f"{usable} blocks for {blocks}")
 

@@ -27,13 +27,15 @@ def srt_write_untimed(v: Views) -> DataFrame:
     return srt.srt_parts(v.mutes(), with_text=False, part_rows=PART_ROWS, hot=v.hot)
 
 
-def _spoiled(v: Views) -> DataFrame:
-    """SRT texts of 40 cues, every few blocks of which cannot be used."""
+def _spoiled(v: Views, twice: bool = False) -> DataFrame:
+    """SRT texts of 40 cues, every few blocks of which cannot be used. ``twice`` adds blocks with two arrows."""
     k = F.col("event_id") % 20
     number = F.when(k == 1, F.lit("x")).otherwise(F.col("line").cast("string"))
     arrow = F.when(k == 2, F.lit(" -> ")).otherwise(F.lit(" --> "))
     start = F.when(k == 3, F.lit("00:bad:00,000")).otherwise(stamps.ms_to_clock("start_ms"))
     end = F.when(k == 4, F.lit("00:00:00,000")).otherwise(stamps.ms_to_clock("end_ms"))
+    if twice:
+        end = F.when(k == 7, F.concat(end, F.lit(" --> 00:00:09,000"))).otherwise(end)
     body = (
         F.when(k == 5, F.lit("<i></i>")).when(k == 6, F.concat(F.lit("<b>"), "text", F.lit("</b>\r\n<i>two</i>")))
         .otherwise(F.col("text"))
@@ -56,7 +58,7 @@ def srt_rejects(v: Views) -> DataFrame:
 
 @query
 def srt_parse_strict(v: Views) -> DataFrame:
-    return rounded(srt.read_strict(_spoiled(v), ["track", "part"]).drop("part"))
+    return rounded(srt.read_strict(_spoiled(v, twice=True), ["track", "part"]).drop("part"))
 
 
 HEADER = {"ScriptType": "v4.00+", "PlayResX": "1920"}

@@ -76,7 +76,9 @@ def translate(
     # The replies are used twice; they are written so that the model is asked once.
     replies = written(models.call_batches(messages, model, models.reply_problem, attempts, parallel))
     merged = models.merge_replies(split, replies)
-    return merged, replies
+    # What counts is whether the texts were replaced.
+    outcome = merged.groupBy("track", "batch").agg(F.max("status").alias("status"))
+    return merged, replies.drop("status").join(outcome, ["track", "batch"])
 
 
 def speech_to_cues(

@@ -7,16 +7,19 @@ from cuespan.operators.models import PAYLOAD_TAG
 
 
 def translator():
-    """Puts a mark before each text. Forgets the last block when the first block's number
-    leaves 1 on division by 4."""
+    """Puts a mark before each text. By the first block's number, some replies lack their last block, and some
+    let it end before it starts."""
 
     def call(message: str) -> str:
         out = []
         for block in message.split("\n\n"):
             line, time, text = block.split("\n", 2)
             out.append(f"{line}\n{time}\n» {text}")
-        if int(out[0].split("\n", 1)[0]) // 30 % 4 == 1:
-            out.pop()
+        kind = int(out[0].split("\n", 1)[0]) // 30 % 4
+        if kind in (1, 2):
+            line, time, text = out.pop().split("\n", 2)
+            if kind == 2:
+                out.append(f"{line}\n{' --> '.join(reversed(time.split(' --> ')))}\n{text}")
         return f"<think>{len(out)} blocks</think><{PAYLOAD_TAG}>\n" + "\n\n".join(out) + f"\n</{PAYLOAD_TAG}>"
 
     return call

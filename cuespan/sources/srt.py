@@ -81,15 +81,20 @@ def read_srt(spark: SparkSession, path: str, skip_empty: bool = True) -> DataFra
 
 
 def read_strict(texts: DataFrame, keys=("track",)) -> DataFrame:
-    """The stricter reading in seconds: at least three lines, an exact `` --> ``, unreadable
-    stamps count as 0, and a cue that ends before it starts lasts one second."""
-    good = parsed_blocks(texts, keys, min_lines=3, arrow=" --> ").filter(
-        "line is not null and start_raw is not null and end_raw is not null"
-    ).filter("reason is null or reason in ('bad stamp', 'no length')")
-    start, end = stamps.tolerant_seconds("start_raw"), stamps.tolerant_seconds("end_raw")
-    return good.select(
-        *keys, "line", *[c.alias(n) for c, n in zip(valid_seconds(start, end), ("start_s", "end_s"))], "text"
+    """The stricter reading in seconds: blocks part at an empty line, have three lines or more, a number, and
+    exactly one `` --> `` between two stamps. Texts stay as they stand. Unreadable stamps count as 0, and a cue
+    that ends before it starts lasts one second."""
+    body = rules.strip(F.regexp_replace("content", "\r\n?", "\n"))
+    lines = F.transform(F.split(body, "\n\n"), lambda block: F.split(rules.strip(block), "\n"))
+    blocks = texts.select(*keys, F.explode(F.filter(lines, lambda b: F.size(b) >= 3)).alias("_lines"))
+    times = F.split(F.get("_lines", F.lit(1)), " --> ")
+    start, end = (stamps.tolerant_seconds(F.get(times, F.lit(i))) for i in (0, 1))
+    read = blocks.select(
+        *keys, F.get("_lines", F.lit(0)).try_cast("bigint").alias("line"), F.size(times).alias("_stamps"),
+        *[c.alias(n) for c, n in zip(valid_seconds(start, end), ("start_s", "end_s"))],
+        F.array_join(F.slice("_lines", 3, F.size("_lines")), "\n").alias("text"),
     )
+    return read.filter("line is not null and _stamps = 2").drop("_stamps")
 
 
 def valid_seconds(start: Column, end: Column) -> tuple[Column, Column]:

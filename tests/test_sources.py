@@ -200,13 +200,15 @@ def test_only_unusable_replies_are_asked_for_again(spark):
                 raise ValueError("no service")
             if message == "slow" and asked[message] < 3:
                 return "no payload"
-            return "" if message == "empty" else "<TRANSLATE_TEXT>1\n00:00 --> 00:01\nx</TRANSLATE_TEXT>"
+            if message == "reversed":
+                return "<TRANSLATE_TEXT>1\n00:00:02,000 --> 00:00:01,000\nx</TRANSLATE_TEXT>"
+            return "" if message == "empty" else "<TRANSLATE_TEXT>1\n00:00:00,000 --> 00:00:01,000\nx</TRANSLATE_TEXT>"
 
         return call
 
-    df = spark.createDataFrame([(1, i, 1, m) for i, m in enumerate(["fine", "slow", "broken", "empty"])], "track int, batch bigint, blocks bigint, message string")
+    df = spark.createDataFrame([(1, i, 1, m) for i, m in enumerate(["fine", "slow", "broken", "empty", "reversed"])], "track int, batch bigint, blocks bigint, message string")
     got = models.call_batches(df, model, models.reply_problem, 3, parallel=1)
-    assert rows(got, "message", "status", "attempts") == [("broken", "failed", 1), ("empty", "failed", 3), ("fine", "ok", 1), ("slow", "ok", 3)]
+    assert rows(got, "message", "status", "attempts") == [("broken", "failed", 1), ("empty", "failed", 3), ("fine", "ok", 1), ("reversed", "failed", 3), ("slow", "ok", 3)]
     again = models.call_batches(df, model, models.reply_problem, 0, parallel=1).filter("message = 'slow'").first()
     assert (again.status, again.attempts) == ("failed", 1)
 
@@ -243,6 +245,6 @@ def test_translation_job_reports_what_it_did(spark):
     cues = spark.createDataFrame([(1, i + 1, i * 1000, i * 1000 + 500, f"t{i}") for i in range(70)],
                                  "track int, line bigint, start_ms bigint, end_ms bigint, text string")
     merged, replies = jobs.translate(cues, stand_ins.translator, 30, attempts=2, hot=False)
-    assert rows(replies, "batch", "blocks", "status", "attempts") == [(0, 30, "ok", 1), (1, 30, "failed", 2), (2, 10, "ok", 1)]
+    assert rows(replies, "batch", "blocks", "status", "attempts") == [(0, 30, "ok", 1), (1, 30, "failed", 2), (2, 10, "failed", 2)]
     texts = [r.text for r in merged.orderBy("line").collect()]
-    assert texts[:2] == ["» t0", "» t1"] and texts[30] == "t30" and texts[69] == "» t69"
+    assert texts[:2] == ["» t0", "» t1"] and texts[30] == "t30" and texts[69] == "t69"
