@@ -1,6 +1,6 @@
 """Sampling frames, finding changes, and turning changes into cues.
 
-Frames have ``track, frame_no`` and a ``hash`` or an array of features; pixels are not
+Frames have ``track, frame_no`` and a ``hash`` (a word or an array of words) or an array of features; pixels are not
 decoded here.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuespan import sequence as seq
 from cuespan.folds import Fold, fold_tracks
@@ -35,12 +36,26 @@ def evenly_spaced(frames: DataFrame, count: int) -> DataFrame:
 
 
 def sign_hash(features: str) -> Column:
-    """64-bit hash of an array: bit i is set where item i is positive."""
-    bits = F.transform(
-        F.slice(features, 1, 64),
-        lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")),
-    )
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+    """Hash of an array, as 64-bit words: bit i of the words in a row is set where item i is positive."""
+    zero = F.lit(0).cast("bigint")
+
+    def word(number):
+        bits = F.transform(
+            F.slice(features, number * 64 + 1, 64),
+            lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(zero),
+        )
+        return F.aggregate(bits, zero, lambda a, b: a.bitwiseOR(b))
+
+    words = F.greatest(F.lit(1), F.ceil(F.size(features) / 64)).cast("int")
+    return F.transform(F.sequence(F.lit(0), words - 1), word)
+
+
+def hash_distance(frames: DataFrame, a: str, b: str) -> Column:
+    """Number of bits in which two hashes differ, be they one word or an array of words."""
+    if isinstance(frames.schema[a].dataType, T.ArrayType):
+        differ = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        return F.aggregate(differ, F.lit(0).cast("bigint"), lambda n, d: n + d)
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))).cast("bigint")
 
 
 def clamped_box(x, y, w, h, width, height) -> Column:
@@ -69,8 +84,7 @@ def changes(frames: DataFrame, max_distance: int = 4, hot: bool | None = None) -
     """Add ``distance`` to the frame before and ``changed``. The first frame is changed; the
     comparison is always with the frame right before."""
     near = seq.extend(frames, ["frame_no"], {"_hash": seq.prev("hash")}, hot=hot)
-    distance = F.bit_count(F.col("hash").bitwiseXOR(F.col("_hash"))).cast("bigint")
-    return near.withColumn("distance", distance).withColumn(
+    return near.withColumn("distance", hash_distance(near, "hash", "_hash")).withColumn(
         "changed", F.col("_hash").isNull() | (F.col("distance") > max_distance)
     ).drop("_hash")
 

@@ -39,7 +39,7 @@ def scene_recogniser():
     """Names a scene by the number of bits set in its hash."""
 
     def call(items: list) -> list[str]:
-        return [SCENES[(int(item) & (2**64 - 1)).bit_count() % len(SCENES)] for item in items]
+        return [SCENES[sum((int(w) & (2**64 - 1)).bit_count() for w in item) % len(SCENES)] for item in items]
 
     return call
 

@@ -13,7 +13,7 @@ from cuespan.streaming import folds, passes
 
 def _cue_stream(v: Views) -> DataFrame:
     """Events as cues on the absolute axis: a stream does not know a track's first event."""
-    events = folds.file_stream(v.spark, v.sf_dir, "events.parquet")
+    events = folds.file_stream(v.spark, f"{v.sf_dir}/events.parquet")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     start = F.floor(F.timestamp_diff("MICROSECOND", epoch, F.col("ts")) / 1000)
     length = F.greatest(F.lit(1), (F.col("value") * 600000).cast("bigint"))
@@ -25,8 +25,8 @@ def _cue_stream(v: Views) -> DataFrame:
 
 @query
 def streamed_changes(v: Views) -> DataFrame:
-    images = folds.file_stream(v.spark, v.sf_dir, "embeddings.parquet").select(
-        F.col("label").cast("bigint").alias("track"), F.timestamp_millis(F.col("vec_id") * 100).alias("ts"),
+    images = folds.file_stream(v.spark, f"{v.sf_dir}/embeddings.parquet").select(
+        F.col("label").cast("bigint").alias("track"), F.timestamp_millis(F.col("vec_id") * 100 + 1000).alias("ts"),
         (F.col("vec_id") / 10.0).alias("at_s"), frames.sign_hash("embedding").alias("hash"),
         frames.active_enough("embedding", 0.25, 0.03).alias("passed"),
     )
@@ -36,7 +36,7 @@ def streamed_changes(v: Views) -> DataFrame:
 
 @query
 def streamed_batches(v: Views) -> DataFrame:
-    return folds.latest(folds.run_to_end(passes.stream_batches(_cue_stream(v), 86_400_000)), ["batch"])
+    return folds.latest(folds.run_to_end(passes.stream_batches(_cue_stream(v), 86_400_000)))
 
 
 @query

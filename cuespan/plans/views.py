@@ -12,8 +12,6 @@ from cuespan.operators import frames, layout
 from cuespan.session import written
 
 CLIP_UNIT_MS = 600_000
-# Tables whose rows take long to work on.
-TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 class Views:
@@ -27,11 +25,7 @@ class Views:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            read = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-            # A table of few row groups would keep most cores idle; a large one never does.
-            cores = self.spark.sparkContext.defaultParallelism
-            small = name in TEXT_TABLES and read.rdd.getNumPartitions() < cores
-            self._tables[name] = read.repartition(cores) if small else read
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._tables[name]
 
     @cached_property
@@ -124,7 +118,7 @@ class Views:
         return self.table("conversations")
 
     def frames(self) -> DataFrame:
-        """Frames of a track with a 64-bit hash: bit i is set where feature i is positive."""
+        """Frames of a track with a hash of their features' signs."""
         features = self.table("embeddings").select(
             F.col("label").cast("bigint").alias("track"), "vec_id", "embedding"
         )

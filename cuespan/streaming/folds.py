@@ -1,9 +1,10 @@
 """Folds over streams: the state of each track is kept between micro-batches.
 
-The rows a track gets in one micro-batch are put in order and run through the same fold
-that batch jobs use. What the fold closes is given out, and so is what is still open, as
-it stands; a later version of the same row has a larger ``version``. Rows that come
-after a later one has been used are dropped and counted in ``late``.
+Rows of a track wait, in its state, until the watermark has passed them; only then do they go, in order, through
+the same fold that batch jobs use. So rows may come in any order within the delay. Each micro-batch gives out what
+is settled, marked ``settled``, and beside it what the waiting rows and the open end would come to as things stand;
+a track's later ``version`` replaces these. Rows older than the watermark are not used: Spark drops them and counts
+them in its progress report, and what reaches the state all the same is counted in ``late``.
 """
 
 from __future__ import annotations
@@ -27,66 +28,109 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class _FoldProcessor(StatefulProcessor):
-    def __init__(self, fold: Fold, columns: Sequence[str], order: Sequence[str], names: Sequence[str]):
+    def __init__(self, fold: Fold, columns: Sequence[str], order: Sequence[str], names: Sequence[str], time: str, idle_ms: int | None):
         self.fold, self.columns, self.order, self.names = fold, list(columns), list(order), list(names)
+        self.time, self.idle_ms = time, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fold", T.StructType([T.StructField("json", T.StringType())]))
+        self.handle = handle
+        told = T.StructType([T.StructField("json", T.StringType())])
+        self.state = handle.getValueState("fold", told)
+        self.waiting = handle.getListState("waiting", told)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # One micro-batch of one track; the source bounds how much that can be.
-        batch = pd.concat(list(rows)).sort_values(self.order)
+        water = timerValues.getCurrentWatermarkInMs()
+        come, late = [], 0
+        for batch in rows:
+            times = batch[self.time].astype("datetime64[ms]").astype("int64").tolist()
+            places = batch[self.order].to_numpy().tolist()
+            for at, place, row in zip(times, places, batch[self.columns].itertuples(index=False, name=None)):
+                if 0 < water and at <= water:
+                    late += 1
+                else:
+                    come.append([at, place, _plain(row)])
+        yield from self._advance(key, water, come, late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), [], 0)
+
+    def _advance(self, key, water: int, come: list, late: int) -> Iterator[pd.DataFrame]:
         held = self.state.get()
-        if held is None:
-            state, last, version, late = self.fold.fresh(), None, 0, 0
+        state, seen, version, all_late, shown = json.loads(held[0]) if held else (self.fold.fresh(), 0, 0, 0, False)
+        rows = [json.loads(r[0]) for r in self.waiting.get()] if held else []
+        rows = sorted(rows + come, key=lambda r: r[1])
+        seen = max([seen, *(r[0] for r in come)])
+        settled, waiting = [], []
+        for row in rows:
+            if 0 < water and row[0] <= water:
+                state, closed = self.fold.step(state, tuple(row[2]))
+                settled += closed
+            else:
+                waiting.append(row)
+        over = self.idle_ms is not None and not waiting and seen + self.idle_ms <= water
+        if over:
+            settled += self.fold.finish(state)
+            open_ = []
         else:
-            state, last, version, late = json.loads(held[0])
-        out: list[tuple] = []
-        places = batch[self.order].to_numpy().tolist()
-        for place, row in zip(places, batch[self.columns].itertuples(index=False, name=None)):
-            if last is not None and place <= last:
-                late += 1
-                continue
-            state, closed = self.fold.step(state, tuple(None if pd.isna(x) else x for x in _plain(row)))
-            out += closed
-            last = place
-        out += self.fold.finish(state)
-        version += 1
-        self.state.update((json.dumps([state, last, version, late]),))
+            open_, ahead = [], json.loads(json.dumps(state))
+            for row in waiting:
+                ahead, closed = self.fold.step(ahead, tuple(row[2]))
+                open_ += closed
+            open_ += self.fold.finish(ahead)
+        version, all_late = version + 1, all_late + late
+        if over:
+            self.state.clear()
+            self.waiting.clear()
+        else:
+            self.state.update((json.dumps([state, seen, version, all_late, bool(open_)]),))
+            if waiting:
+                self.waiting.put([(json.dumps(r),) for r in waiting])
+                self.handle.registerTimer(min(r[0] for r in waiting))
+            else:
+                self.waiting.clear()
+            if not waiting and self.idle_ms is not None:
+                self.handle.registerTimer(seen + self.idle_ms)
+        out = [(*key, version, all_late, True, *r) for r in settled] + [(*key, version, all_late, False, *r) for r in open_]
+        if not open_ and shown or late and not out:  # what was shown before no longer stands
+            out.append((*key, version, all_late, None, *[None] * len(self.names)))
         if out:
-            yield pd.DataFrame([(*key, version, late, *r) for r in out], columns=["track", "version", "late", *self.names])
+            yield pd.DataFrame(out, columns=["track", "version", "late", "settled", *self.names]).astype({"settled": object})
 
     def close(self) -> None:
         pass
 
 
-def _plain(row: tuple) -> tuple:
-    return tuple(x.item() if hasattr(x, "item") else x for x in row)
+def _plain(row: tuple) -> list:
+    """Values that JSON keeps as they are."""
+    values = [x.tolist() if hasattr(x, "tolist") else x for x in row]
+    return [None if not isinstance(x, list) and pd.isna(x) else x for x in values]
 
 
 def stream_fold(
     stream: DataFrame, fold: Fold, columns: Sequence[str], order: Sequence[str], schema: str,
-    time: str = "ts", delay: str = "10 minutes",
+    time: str = "ts", delay: str = "10 minutes", idle_ms: int | None = None,
 ) -> DataFrame:
-    """Fold each track of a stream. Rows older than the watermark are dropped by Spark."""
+    """Fold each track of a stream; ``order`` must follow ``time``. Rows may be ``delay`` behind the newest.
+
+    With ``idle_ms``, a track without rows for so long is settled and forgotten; one that comes back starts anew.
+    """
     body = T.StructType.fromDDL(schema)
-    out = T.StructType(
-        [stream.schema["track"], T.StructField("version", T.LongType()), T.StructField("late", T.LongType()), *body.fields]
-    )
+    told = [T.StructField("version", T.LongType()), T.StructField("late", T.LongType()), T.StructField("settled", T.BooleanType())]
+    out = T.StructType([stream.schema["track"], *told, *body.fields])
     needed = list(dict.fromkeys(["track", time, *columns, *order]))
     return (
         stream.select(*needed).withWatermark(time, delay).groupBy("track").transformWithStateInPandas(
-            statefulProcessor=_FoldProcessor(fold, columns, order, body.names),
-            outputStructType=out, outputMode="Append", timeMode="None",
+            statefulProcessor=_FoldProcessor(fold, columns, order, body.names, time, idle_ms),
+            outputStructType=out, outputMode="Append", timeMode="EventTime",
         )
     )
 
 
-def latest(rows: DataFrame, by: Sequence[str] = ("line",)) -> DataFrame:
-    """The last version of each row a streamed fold gave out."""
-    body = [c for c in rows.columns if c not in ("track", "late", *by)]
-    newest = rows.groupBy("track", *by).agg(F.max_by(F.struct(*body), "version").alias("r"))
-    return newest.select("track", *by, *[F.col(f"r.{c}").alias(c) for c in body if c != "version"])
+def latest(rows: DataFrame) -> DataFrame:
+    """What a streamed fold has come to: all that is settled, and the rest as of each track's last version."""
+    last = rows.groupBy("track").agg(F.max("version").alias("_last"))
+    kept = rows.join(last, "track").filter("settled or (not settled and version = _last)")
+    return kept.drop("version", "late", "settled", "_last")
 
 
 @contextmanager
@@ -115,10 +159,11 @@ def run_to_end(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1) -> DataFrame:
-    """A stream of the parquet files in ``folder`` that match ``name``."""
-    schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
+def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """A stream of a parquet table: one file, or a folder of files."""
+    # A path without a pattern would have to be a folder.
+    pattern = f"{path[:-1]}[{path[-1]}]"
     return (
-        spark.readStream.schema(schema).option("pathGlobFilter", name)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+        spark.readStream.schema(spark.read.parquet(path).schema)
+        .option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
     )

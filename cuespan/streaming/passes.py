@@ -1,4 +1,8 @@
-"""The single-pass loops, over streams: changes of frames, time batches, merging of cues."""
+"""The single-pass loops, over streams: changes of frames, time batches, merging of cues.
+
+``watch`` takes ``delay`` and ``idle_ms`` of ``stream_fold``. A key of several parts, such as a track and a box, goes
+into ``track`` as a struct.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +22,10 @@ class ChangeRuns(Fold):
     def fresh(self):
         return [0, None, None, 0, None]
 
+    @staticmethod
+    def _distance(a, b):
+        return sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b))
+
     def _row(self, cue):
         line, frame, start, end, n = cue
         return line, frame, start, end if n > 1 else start + self.default_s
@@ -25,7 +33,8 @@ class ChangeRuns(Fold):
     def step(self, state, row):
         hash_, ts, passed = row
         frame, before, accepted, line, cue = state
-        changed = before is None or ((hash_ ^ before) & (2**64 - 1)).bit_count() > self.max_distance
+        words = [int(w) for w in hash_] if hasattr(hash_, "__len__") else [hash_]
+        changed = before is None or self._distance(words, before) > self.max_distance
         if changed and accepted is not None and frame - accepted < self.min_frames:
             changed = False
         out = []
@@ -38,17 +47,17 @@ class ChangeRuns(Fold):
             cue = [line, frame, ts, ts, 1]
         elif cue:
             cue = [*cue[:3], ts, cue[4] + 1]
-        return [frame + 1, hash_, accepted, line, cue], out
+        return [frame + 1, words, accepted, line, cue], out
 
     def finish(self, state):
         return [self._row(state[4])] if state[4] else []
 
 
-def stream_changes(frames: DataFrame, max_distance: int = 4, min_frames: int = 0, default_s: float = 3.0) -> DataFrame:
+def stream_changes(frames: DataFrame, max_distance: int = 4, min_frames: int = 0, default_s: float = 3.0, **watch) -> DataFrame:
     """Cues from frames as they arrive. ``frames``: ``track, ts, at_s, hash, passed``."""
     return stream_fold(
         frames, ChangeRuns(max_distance, min_frames, default_s), ["hash", "at_s", "passed"], ["at_s"],
-        "line bigint, frame_no bigint, start_s double, end_s double",
+        "line bigint, frame_no bigint, start_s double, end_s double", **watch,
     )
 
 
@@ -78,11 +87,11 @@ class BatchSpans(Fold):
         return [(no, start, last, rows, context)]
 
 
-def stream_batches(cues: DataFrame, span_ms: int = 60_000) -> DataFrame:
+def stream_batches(cues: DataFrame, span_ms: int = 60_000, **watch) -> DataFrame:
     """Time batches as cues arrive, each with the last text of the batch before."""
     return stream_fold(
         cues, BatchSpans(span_ms), ["start_ms", "text"], ["start_ms", "line"],
-        "batch bigint, start_ms bigint, end_ms bigint, rows bigint, context string",
+        "batch bigint, start_ms bigint, end_ms bigint, rows bigint, context string", **watch,
     )
 
 
@@ -107,9 +116,9 @@ class MergeRuns(Fold):
         return [tuple(run)] if run else []
 
 
-def stream_merges(cues: DataFrame, max_gap_ms: int = 500) -> DataFrame:
+def stream_merges(cues: DataFrame, max_gap_ms: int = 500, **watch) -> DataFrame:
     """Equal neighbours merged as cues arrive."""
     return stream_fold(
         cues, MergeRuns(max_gap_ms), ["start_ms", "end_ms", "text"], ["start_ms", "line"],
-        "line bigint, start_ms bigint, end_ms bigint, text string",
+        "line bigint, start_ms bigint, end_ms bigint, text string", **watch,
     )

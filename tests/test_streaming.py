@@ -43,7 +43,7 @@ def _cues(spark):
 def test_streamed_merges_and_batches(spark, tmp_path):
     cues = _cues(spark)
     folder = _stored(spark, tmp_path, cues, "start_ms", 4)
-    stream = folds.file_stream(spark, folder, "*.parquet")
+    stream = folds.file_stream(spark, folder)
     given = folds.run_to_end(passes.stream_merges(stream, 500))
     assert given.agg(F.max("version")).first()[0] > 1
     numbered = neighbours.batched(cues, 1_000_000, ("start_ms", "line"), hot=False).withColumn("line", F.col("pos") + 1)
@@ -51,7 +51,7 @@ def test_streamed_merges_and_batches(spark, tmp_path):
     columns = ["track", "line", "start_ms", "end_ms", "text"]
     assert rows(folds.latest(given), *columns) == rows(want, *columns)
 
-    spans = folds.latest(folds.run_to_end(passes.stream_batches(stream, 60_000)), ["batch"])
+    spans = folds.latest(folds.run_to_end(passes.stream_batches(stream, 60_000)))
     batches = neighbours.batch_spans(neighbours.time_batches(cues, 60_000, hot=False), hot=False)
     columns = ["track", "batch", "start_ms", "end_ms", "rows"]
     assert rows(spans, *columns) == rows(batches, *columns)
@@ -61,9 +61,9 @@ def test_streamed_changes(spark, tmp_path):
     rnd = random.Random(2)
     data = [(t, i, rnd.choice([0, 0, 255, 2**63 - 1, -1]), i / 10, rnd.random() < 0.8) for t in (1, 2) for i in range(80)]
     df = spark.createDataFrame(data, "track bigint, frame_no bigint, hash bigint, at_s double, passed boolean")
-    df = df.withColumn("ts", F.timestamp_millis((F.col("at_s") * 1000).cast("bigint")))
+    df = df.withColumn("ts", F.timestamp_millis((F.col("at_s") * 1000).cast("bigint") + 1000))
     folder = _stored(spark, tmp_path, df, "at_s", 3)
-    stream = folds.file_stream(spark, folder, "*.parquet")
+    stream = folds.file_stream(spark, folder)
     got = folds.latest(folds.run_to_end(passes.stream_changes(stream, 4, min_frames=3)))
     changed = frames.debounced(frames.changes(df, 4, hot=False), 3, hot=False).withColumn("ts_s", F.col("at_s"))
     want = frames.change_cues(changed, hot=False)
@@ -71,16 +71,48 @@ def test_streamed_changes(spark, tmp_path):
     assert rows(got, *columns) == rows(want, *columns)
 
 
-def test_rows_behind_their_track_are_dropped_and_counted(spark, tmp_path):
-    first = spark.createDataFrame([(1, 5, 5000, 5100, "a")], EVENTS)
-    late = spark.createDataFrame([(1, 3, 4000, 4100, "b"), (1, 6, 6000, 6100, "a")], EVENTS)
-    (tmp_path / "in").mkdir()
+def _files(tmp_path, parts):
+    """Each part a file, to be read in this order."""
     import os
-    for i, df in enumerate((first, late)):
-        df.withColumn("ts", F.timestamp_millis("start_ms")).coalesce(1).write.parquet(str(tmp_path / f"s{i}"))
+
+    (tmp_path / "in").mkdir()
+    for i, df in enumerate(parts):
+        df.coalesce(1).write.parquet(str(tmp_path / f"s{i}"))
         part = next((tmp_path / f"s{i}").glob("part-*.parquet"))
-        part.rename(tmp_path / "in" / f"{i}.parquet")
-        os.utime(tmp_path / "in" / f"{i}.parquet", (1_700_000_000 + i * 60, 1_700_000_000 + i * 60))
-    given = folds.run_to_end(passes.stream_merges(folds.file_stream(spark, str(tmp_path / "in"), "*.parquet"), 5000))
-    assert given.agg(F.max("late")).first()[0] == 1
-    assert rows(folds.latest(given)) == [(1, 1, 5000, 6100, "a")]
+        target = tmp_path / "in" / f"{i}.parquet"
+        part.rename(target)
+        os.utime(target, (1_700_000_000 + i * 60, 1_700_000_000 + i * 60))
+    return str(tmp_path / "in")
+
+
+def test_rows_in_any_order_within_the_delay(spark, tmp_path):
+    cues = _cues(spark).cache()
+    part = F.pmod(F.xxhash64("line"), F.lit(5))
+    folder = _files(tmp_path, [cues.filter(part == i) for i in range(5)])
+    stream = folds.file_stream(spark, folder)
+    got = folds.latest(folds.run_to_end(passes.stream_merges(stream, 500, delay="2 hours")))
+    numbered = neighbours.batched(cues, 1_000_000, ("start_ms", "line"), hot=False).withColumn("line", F.col("pos") + 1)
+    want = neighbours.merge_close(numbered.select(*cues.columns[:5]), 500, hot=False)
+    columns = ["track", "line", "start_ms", "end_ms", "text"]
+    assert rows(got, *columns) == rows(want, *columns)
+
+
+def _at(spark, *rows_):
+    return spark.createDataFrame([(1, s, s, s + 100, t) for s, t in rows_], EVENTS).withColumn("ts", F.timestamp_millis("start_ms"))
+
+
+def test_rows_older_than_the_watermark_are_left_out(spark, tmp_path):
+    parts = [_at(spark, (5_000, "a"), (100_000, "b")), _at(spark, (99_500, "b"), (200_000, "c")), _at(spark, (6_000, "x"), (201_000, "c"))]
+    stream = folds.file_stream(spark, _files(tmp_path, parts))
+    given = folds.run_to_end(passes.stream_merges(stream, 5000, delay="10 seconds"))
+    assert rows(folds.latest(given)) == [(1, 1, 5_000, 5_100, "a"), (1, 2, 99_500, 100_100, "b"), (1, 3, 200_000, 201_100, "c")]
+    settled = given.filter("settled")
+    assert settled.count() == settled.select("line").distinct().count() == 1
+
+
+def test_idle_tracks_are_settled_and_forgotten(spark, tmp_path):
+    parts = [_at(spark, (5_000, "a")), _at(spark, (900_000, "z")).withColumn("track", F.lit(2).cast("bigint")),
+             _at(spark, (901_000, "z")).withColumn("track", F.lit(2).cast("bigint"))]
+    stream = folds.file_stream(spark, _files(tmp_path, parts))
+    given = folds.run_to_end(passes.stream_merges(stream, 5000, delay="10 seconds", idle_ms=60_000))
+    assert rows(given.filter("settled"), "track", "line", "text") == [(1, 1, "a")]

@@ -193,3 +193,11 @@ def test_transcript_prefers_the_given_text(spark):
     full = spark.createDataFrame([(2, " given ")], "track int, full_text string")
     assert rows(aggregates.transcript(df, True, full, hot=False), "track", "text") == [(1, "a b c"), (2, "given")]
     assert rows(aggregates.transcript(df.filter("track = 1"), False, hot=False), "text") == [("a  bc",)]
+
+
+def test_hash_of_many_features(spark):
+    low, high = [1.0] * 64 + [-1.0] * 64, [1.0] * 128
+    df = spark.createDataFrame([(1, 0, low), (1, 1, high), (1, 2, high)], "track int, frame_no bigint, features array<double>")
+    hashed = df.withColumn("hash", frames.sign_hash("features"))
+    assert hashed.first()["hash"] == [-1, 0]
+    assert rows(frames.changes(hashed, 4, hot=False), "frame_no", "distance", "changed") == [(0, None, True), (1, 64, True), (2, 0, False)]
