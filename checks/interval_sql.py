@@ -19,7 +19,7 @@ PARTS = {
                unnest(string_split(text, chr(10))) AS text
         FROM documents""",
     "clear": """
-        SELECT track, row_number() OVER (PARTITION BY track ORDER BY start_ms, line) AS line, event_id, kind,
+        SELECT track, row_number() OVER (PARTITION BY track ORDER BY line, start_ms) AS line, event_id, kind,
                start_ms, end_ms, text
         FROM (SELECT s.track, s.line, s.event_id, s.kind, s.start_ms, s.text, coalesce(z.first_zone, s.end_ms) AS end_ms,
                      z.first_zone

@@ -30,7 +30,7 @@ def clip_drop(cues: DataFrame, zones: DataFrame, min_ms: int = 100, hot: bool |
 
     A cue that starts inside a zone is dropped; one that runs into a zone ends where the
     zone starts; what is then shorter than ``min_ms`` is dropped too (untouched cues as
-    well). Lines are numbered anew.
+    well). Lines are numbered anew, in the order they had.
     """
     if hot is None:
         hot = seq.too_long(cues) or seq.too_long(zones)
@@ -57,7 +57,7 @@ def clip_drop(cues: DataFrame, zones: DataFrame, min_ms: int = 100, hot: bool |
         .filter(F.col("end_ms") - F.col("start_ms") >= min_ms)
         .select(*names)
     )
-    return renumbered(kept, hot=hot)
+    return renumbered(kept, ("line", "start_ms"), hot=hot)
 
 
 def valid_segments(segments: DataFrame, lengths: DataFrame) -> DataFrame:

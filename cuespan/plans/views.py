@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuespan import sequence as seq
 from cuespan.operators import frames, layout
-from cuespan.session import written
+from cuespan.session import ship, written
 
 CLIP_UNIT_MS = 600_000
 
@@ -20,6 +20,7 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        ship(spark)
         self._tables: dict[str, DataFrame] = {}
         self._keep = False
 

@@ -193,3 +193,18 @@ def test_interval_operators_keep_tracks_apart(spark, hot):
     zones = _cues(spark, [(200, 300, "m")], track=2)
     got = rows(intervals.clip_drop(cues, zones).select("track", F.col("end_ms")))
     assert got == [(1, 500), (2, 200)]
+
+
+def test_clipped_cues_keep_their_order_and_repeated_lines_are_retimed(spark):
+    columns = "track int, line bigint, start_ms bigint, end_ms bigint, text string"
+    cues = spark.createDataFrame([(1, 1, 9000, 9500, "late"), (1, 2, 1000, 2000, "early"), (1, 3, 5000, 5500, "gone")], columns)
+    zones = spark.createDataFrame([(1, 1, 4000, 6000)], "track int, line bigint, start_ms bigint, end_ms bigint")
+    assert rows(intervals.clip_drop(cues, zones), "line", "text") == [(1, "late"), (2, "early")]
+    timeline = spark.createDataFrame(
+        [(1, 1, 0.0, 10000.0, 0.0, 20000.0, 20000.0, "tts", None)],
+        "track int, seg_no bigint, orig_start double, orig_end double, new_start double, new_end double, new_chunk_dur double,"
+        " kind string, clip_ms bigint")
+    again = cues.withColumn("line", F.when(F.col("text") == "gone", 2).otherwise(1).cast("bigint"))
+    for by_clip in (False, True):
+        got = intervals.retime(again, timeline, by_clip=by_clip)
+        assert rows(got, "line", "start_ms", "end_ms", "text") == [(1, 18000, 19000, "late"), (1, 2000, 4000, "early"), (2, 10000, 11000, "gone")]
