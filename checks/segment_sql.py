@@ -18,6 +18,9 @@ PARTS = {
         FROM (SELECT *, flatten(list_transform(string_split(replace(s, '\\n', chr(10)), chr(10)),
                      lambda x: regexp_extract_all({strip("x")}, '{_NEAR}'))) AS p
               FROM (SELECT track, line, text, {strip("text")} AS s FROM lines))""",
+    "pieces_": rf"""
+        SELECT track, line, text, regexp_extract_all(regexp_replace(regexp_replace({strip("text")}, '\s+', ' ', 'g'),
+                   '(\pL\pL-)(\pL-?\pL)', '\1' || chr(1) || '\2', 'g'), ' |[^ \x01]+') AS pieces FROM lines""",
     "sentences_": f"""
         SELECT track, line, text, s, CASE WHEN length(s) > 50 AND regexp_matches(s, '[{_STRONG}]') THEN
                    CASE WHEN NOT regexp_matches(last, '[{_STRONG}]\\z')
@@ -45,6 +48,15 @@ PARTS = {
 }
 
 QUERIES = {
+    "soft_wrapped": ("pieces_", r"""
+        SELECT track, line, CASE WHEN text = '' THEN text ELSE regexp_replace(r.done || rtrim(r.cur), '\n\z', '') END AS wrapped
+        FROM (SELECT *, list_reduce(list_prepend({'done': '', 'cur': '', 'p': ''},
+                         list_transform(pieces, lambda x: {'done': '', 'cur': '', 'p': x})), lambda a, b: {
+                     'done': CASE WHEN (b.p = ' ' AND a.cur = '') OR length(a.cur) + length(b.p) <= 40 OR a.cur = '' THEN a.done
+                             ELSE a.done || rtrim(a.cur) || chr(10) END,
+                     'cur': CASE WHEN b.p = ' ' AND a.cur = '' THEN '' WHEN length(a.cur) + length(b.p) <= 40 THEN a.cur || b.p
+                            WHEN b.p = ' ' THEN '' ELSE b.p END,
+                     'p': ''}) AS r FROM pieces_)"""),
     "broken_near": ("near_", "SELECT track, line, broken FROM near_"),
     "broken_lines": ("near_", """
         SELECT track, line, unnest(string_split(broken, chr(10))) AS text,
