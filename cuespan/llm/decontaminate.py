@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespan.llm.texts import per_batch, text_key, whole
-from cuespan.session import written
+from cuespan.llm.texts import by_batch, text_key, whole
+from cuespan.session import ship, written
 
 WINDOW = 13
 ANCHORS = 3
@@ -39,8 +39,8 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             [batch.column(0).take(pa.array(at, pa.int64())), pa.array(runs, pa.list_(pa.string()))], ["item_id", "terms"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return benchmark.select("item_id", whole("text").alias("text")).mapInArrow(
-        per_batch(make), f"item_id {kind}, terms array<string>").select(
+    return by_batch(benchmark.select("item_id", whole("text").alias("text")), make,
+                    f"item_id {kind}, terms array<string>").select(
         "item_id", F.xxhash64("terms").alias("window_id"), "terms").distinct()
 
 
@@ -50,6 +50,7 @@ def positional_index(docs: DataFrame, terms: DataFrame, text: str = "text", bloc
 
     Terms are given to tasks ``block_terms`` at a time at most; more of them take more passes over the texts.
     """
+    ship(docs.sparkSession)
     total = terms.count()
     blocks = 1 + max(0, total - 1) // block_terms
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespan.llm.texts import per_batch, whole
+from cuespan.llm.texts import by_batch, whole
 from cuespan.session import written
 
 LENGTH = 1024
@@ -73,8 +73,8 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, length: in
             ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole(text).alias("text")).mapInArrow(
-        per_batch(make), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return by_batch(docs.select("doc_id", whole(text).alias("text")), make,
+                    f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def _any_fill(prices: np.ndarray, sizes: np.ndarray, room: int) -> dict[int, int]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuespan.llm.texts import per_batch, whole
+from cuespan.llm.texts import by_batch, whole
 from cuespan.session import written
 
 SEED = 42
@@ -55,8 +55,8 @@ def document_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "statistics"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole(text).alias("text")).mapInArrow(
-        per_batch(make), f"doc_id {kind}, statistics array<double>")
+    return by_batch(docs.select("doc_id", whole(text).alias("text")), make,
+                    f"doc_id {kind}, statistics array<double>")
 
 
 def fold_of(doc_id: Column) -> Column:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuespan.llm.texts import per_batch, text_key, whole
+from cuespan.llm.texts import by_batch, text_key, whole
 from cuespan.session import written
 
 RUN = 3
@@ -84,8 +84,8 @@ def span_table(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, text:
             ["span", "doc_id", "text_key", "first", "start", "end"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key(text).alias("text_key"), whole(text).alias("text")).mapInArrow(
-        per_batch(make), f"span bigint, doc_id {kind}, text_key bigint, first int, start int, end int")
+    return by_batch(docs.select("doc_id", text_key(text).alias("text_key"), whole(text).alias("text")), make,
+                    f"span bigint, doc_id {kind}, text_key bigint, first int, start int, end int")
 
 
 def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, text: str = "text") -> DataFrame:
@@ -138,5 +138,5 @@ def remove_repeats(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, te
             ["doc_id", "n_removed", "removed", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "text", "ranges").mapInArrow(
-        per_batch(make), f"doc_id {kind}, n_removed bigint, removed string, text string")
+    return by_batch(joined.select("doc_id", "text", "ranges"), make,
+                    f"doc_id {kind}, n_removed bigint, removed string, text string")

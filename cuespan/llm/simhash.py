@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuespan.llm.components import components
-from cuespan.llm.texts import LOWER_BYTES, per_batch, text_key, whole
+from cuespan.llm.texts import LOWER_BYTES, by_batch, text_key, whole
 from cuespan.session import written
 
 SEED = 42
@@ -54,8 +54,8 @@ def fingerprints(docs: DataFrame, kinds: tuple[tuple[int, int], ...] = ((3, SEED
             [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_key", "prints"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key(text).alias("text_key"), whole(text).alias("text")).mapInArrow(
-        per_batch(make), f"doc_id {id_type}, text_key bigint, prints array<bigint>")
+    return by_batch(docs.select("doc_id", text_key(text).alias("text_key"), whole(text).alias("text")), make,
+                    f"doc_id {id_type}, text_key bigint, prints array<bigint>")
 
 
 def pivots(count: int = PIVOTS) -> list[int]:

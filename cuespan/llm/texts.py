@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuespan.session import ship
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -33,12 +35,13 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(whole(text))
 
 
-def per_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch]):
-    """A ``mapInArrow`` function of one that turns a batch into a batch."""
+def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``df`` with ``make`` applied to each of its Arrow batches, on executors that have been given the package."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield make(batch)
 
-    return run
+    return df.mapInArrow(run, schema)
