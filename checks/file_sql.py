@@ -72,7 +72,9 @@ PARTS["scene_runs"] = islands("scene_cues", "text = ptext")
 
 TRANSLATED = """
     SELECT track, line, (no - 1) // 30 AS batch, (no - 1) % 30 AS pos,
-           first_value(line) OVER (PARTITION BY track, (no - 1) // 30 ORDER BY line) // 30 % 4 NOT IN (1, 2) AS ok, text
+           first_value(line) OVER (PARTITION BY track, (no - 1) // 30 ORDER BY line) // 30 % 4 NOT IN (1, 2) AS ok, text,
+           11 + length(string_agg(text, chr(10)) OVER (PARTITION BY track ORDER BY line
+                                                       ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS size
     FROM told_lines"""
 
 QUERIES = {
@@ -142,6 +144,13 @@ QUERIES = {
             FROM (SELECT *, regexp_replace(regexp_extract(input, '([^/]*)$', 1), '^(.+)\.mp4$', '\1') AS stem FROM (
                 SELECT page_id % 6 AS k, CASE WHEN page_id % 6 <> 5 THEN 'in/' || regexp_replace(url, '[?#].*$', '') || '.mp4' END AS input
                 FROM pages))))"""),
+    "routed_lines": (None, r"""
+        WITH p AS (SELECT page_id, 'in/' || regexp_replace(url, '[?#].*$', '') || '.mp4' AS track, html FROM pages),
+        named AS (SELECT DISTINCT track FROM p WHERE page_id % 6 = 0),
+        lines AS (SELECT page_id, track, generate_subscripts(string_split(html, chr(10)), 1) - 1 AS line FROM p)
+        SELECT page_id, line, 'out/folder/' || stem || '.srt' AS output, stem AS output_stem
+        FROM (SELECT l.*, regexp_replace(regexp_extract(track, '([^/]*)$', 1), '^(.+)\.mp4$', '\1') AS stem
+              FROM lines l JOIN named USING (track))"""),
     "boxes": (None, """
         SELECT name, x, y, w, h FROM (
             SELECT p_partkey % 7 AS k, replace(p_name, ' ', '_') AS name, p_partkey AS x, CAST(p_size AS BIGINT) AS y,
@@ -166,7 +175,7 @@ QUERIES = {
                || string_agg(line || chr(10) || {RANGE} || chr(10) || text, chr(10) || chr(10) ORDER BY line) || chr(10) || 'End.' AS message
         FROM cues GROUP BY track, (line - 1) // 30"""),
     "translated_cues": ("told_lines", f"""
-        SELECT track, line, batch, pos, CASE WHEN ok THEN '» ' || trim(text) ELSE text END AS text,
+        SELECT track, line, batch, pos, CASE WHEN ok THEN '»' || size || ' ' || trim(text) ELSE text END AS text,
                CASE WHEN ok THEN 'ok' ELSE 'failed' END AS status FROM ({TRANSLATED})"""),
     "translation_report": ("told_lines", f"""
         SELECT track, CAST(sum(n) AS BIGINT) AS total_blocks, count(*) AS total_batches, count(*) FILTER (ok) AS success,

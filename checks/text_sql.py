@@ -119,10 +119,11 @@ QUERIES = {
         FROM (SELECT track, count(*) AS n FROM frames_ GROUP BY track), range(16) r(i)"""),
     "clamped_boxes": (None, """
         SELECT p_partkey, x1, y1, x2, y2, x1 < x2 AND y1 < y2 AS valid FROM (
-            SELECT p_partkey, greatest(0, least(x, 1280)) AS x1, greatest(0, least(y, 720)) AS y1,
-                   greatest(0, least(x + w, 1280)) AS x2, greatest(0, least(y + h, 720)) AS y2
+            SELECT p_partkey, greatest(0, least(x, width)) AS x1, greatest(0, least(y, height)) AS y1,
+                   greatest(0, least(x + w, width)) AS x2, greatest(0, least(y + h, height)) AS y2
             FROM (SELECT p_partkey, CAST(p_size * 41 - 300 AS BIGINT) AS x, p_partkey % 1200 - 60 AS y, p_partkey % 700 AS w,
-                         CAST(p_size * 3 AS BIGINT) AS h FROM part))"""),
+                         CAST(p_size * 3 AS BIGINT) AS h, min(p_partkey) OVER b + 600 AS width, max(p_size) OVER b * 9 AS height
+                  FROM part WINDOW b AS (PARTITION BY p_brand)))"""),
     "active_frames": (None, """
         SELECT vec_id, len(list_filter(embedding, lambda x: abs(x) > 0.25::DOUBLE)) / len(embedding) >= 0.03 AS active
         FROM embeddings"""),

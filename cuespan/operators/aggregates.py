@@ -105,9 +105,23 @@ def clock_range(start="start_ms", end="end_ms") -> Column:
     return F.concat(stamps.ms_to_clock(start), F.lit(" --> "), stamps.ms_to_clock(end))
 
 
-def batch_messages(batched: DataFrame, template: str = "{batch_input}", context: str = "") -> DataFrame:
+def own_context(cues: DataFrame, template: str = "{text}") -> DataFrame:
+    """``(track, context)``: each track's whole text, line by line, put into a template that holds ``{text}``."""
+    ordered = F.array_sort(F.collect_list(F.struct("line", F.coalesce("text", F.lit("")).alias("text"))))
+    told = F.array_join(F.transform(ordered, lambda s: s["text"]), "\n")
+    return cues.groupBy("track").agg(told.alias("_text")).select(
+        "track", F.replace(F.lit(template), F.lit("{text}"), F.col("_text")).alias("context"))
+
+
+def batch_messages(
+    batched: DataFrame, template: str = "{batch_input}", context: str = "", contexts: DataFrame | None = None
+) -> DataFrame:
     """One message per batch: line, time and text of its cues, put into a template that may
-    hold ``{batch_input}`` and ``{context_block}``. ``batched`` has ``batch, pos, time``."""
+    hold ``{batch_input}`` and ``{context_block}``. ``batched`` has ``batch, pos, time``.
+
+    The context is one for all, or each track's own out of ``contexts`` (``track, context``). Then it comes as a
+    column of its own, for ``call_batches`` to put in its place.
+    """
     block = F.concat_ws("\n", F.col("line").cast("string"), "time", rules.strip("text"))
     ordered = F.array_sort(F.collect_list(F.struct(F.col("pos"), block.alias("block"))))
     joined = batched.groupBy("track", "batch").agg(
@@ -115,6 +129,9 @@ def batch_messages(batched: DataFrame, template: str = "{batch_input}", context:
         F.count(F.lit(1)).alias("blocks"),
     )
     filled = F.replace(F.lit(template), F.lit("{batch_input}"), F.col("_input"))
+    if contexts is not None:
+        own = joined.join(contexts.select("track", "context"), "track", "left")
+        return own.select("track", "batch", "blocks", filled.alias("message"), "context")
     filled = F.replace(filled, F.lit("{context_block}"), F.lit(context))
     return joined.select("track", "batch", "blocks", filled.alias("message"))
 

@@ -71,6 +71,13 @@ def clamped_box(x, y, w, h, width, height) -> Column:
     )
 
 
+def clamped_boxes(boxes: DataFrame, sizes: DataFrame, key: str = "source") -> DataFrame:
+    """Boxes ``key, x, y, w, h`` cut to the frame size of their source (``sizes``: ``key, width, height``). Spark
+    broadcasts the sizes if they are known to be small, and else shuffles both sides."""
+    sized = boxes.join(sizes, key)
+    return sized.withColumn("_box", clamped_box("x", "y", "w", "h", "width", "height")).select(*boxes.columns, "_box.*")
+
+
 def active_enough(cells, level: float, min_share: float = 0.03) -> Column:
     """Whether enough cells are active. Empty is not; cells that cannot be judged (NULL) pass."""
     cells = F.col(cells) if isinstance(cells, str) else cells

@@ -70,10 +70,15 @@ def call_batches(
     IntegrityError, which is tried again up to ``attempts`` times; any other error ends the
     batch at once. ``parallel`` spreads the batches over that many tasks. The task of
     a lost executor runs again, and so sends its messages again.
+
+    Where messages bring a ``context``, it goes in place of ``{context_block}``, unless the callable has a
+    ``preload(context)`` that says True: then it has been told, and the place stays empty. It is asked once for
+    each context in a row.
     """
     tries = max(1, int(attempts))
     names = messages.columns
     at_message, at_blocks = names.index("message"), names.index("blocks")
+    at_context = names.index("context") if "context" in names else None
 
     def one(call, message: str, blocks: int):
         for n in range(1, tries + 1):
@@ -91,15 +96,26 @@ def call_batches(
         return None, "failed", tries, problem
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = None
+        call = told = None
+        loaded = False
         for pdf in batches:
             if call is None and len(pdf):
                 call = model()
-            done = [one(call, r[at_message], r[at_blocks]) for r in pdf.itertuples(index=False)]
+            done = []
+            for row in pdf.itertuples(index=False):
+                message = row[at_message]
+                if at_context is not None:
+                    context = row[at_context] or ""
+                    if context != told:
+                        told, loaded = context, hasattr(call, "preload") and bool(call.preload(context))
+                    message = message.replace("{context_block}", "" if loaded else context)
+                done.append(one(call, message, row[at_blocks]))
             out = pd.DataFrame(done, columns=["reply", "status", "attempts", "error"], index=pdf.index)
             yield pd.concat([pdf, out], axis=1)
 
     spread = messages.repartition(parallel, "track", "batch") if parallel else messages
+    # Batches of one track in a row share what was preloaded.
+    spread = spread.sortWithinPartitions("track", "batch") if at_context is not None else spread
     told = T.StructType.fromDDL("reply string, status string, attempts int, error string")
     return spread.mapInPandas(run, T.StructType([*messages.schema.fields, *told.fields]))
 

@@ -181,6 +181,16 @@ def manifest_outputs(v: Views) -> DataFrame:
     return files.resolve_outputs(rows.drop("page_id"), ".srt")
 
 
+@query
+def routed_lines(v: Views) -> DataFrame:
+    """A manifest end to end: lines of the pages it names, with the file each goes to."""
+    path = F.concat(F.lit("in/"), F.regexp_replace("url", "[?#].*$", ""), F.lit(".mp4"))
+    pages = v.table("pages").select("page_id", path.alias("track"), F.posexplode(F.split("html", "\n")).alias("line", "text"))
+    manifest = pages.filter("line = 0 and page_id % 3 = 0").select(
+        F.when(F.col("page_id") % 6 != 3, F.col("track")).alias("input"), F.lit("out/folder").alias("output")).distinct()
+    return files.routed(pages, files.resolve_outputs(manifest, ".srt")).select("page_id", "line", "output", "output_stem")
+
+
 @query
 def boxes(v: Views) -> DataFrame:
     k = F.col("p_partkey") % 7
@@ -222,7 +232,8 @@ def _translated(v: Views) -> tuple[DataFrame, DataFrame]:
     cues = v.lines().filter(rules.strip("text") != "").select(
         "track", "line", (F.col("line") * 10000).alias("start_ms"), (F.col("line") * 10000 + 9000).alias("end_ms"), "text"
     )
-    return jobs.translate(cues, stand_ins.translator, 30, attempts=2, hot=False)
+    template = "{context_block}" + stand_ins.PARTED + "{batch_input}"
+    return jobs.translate(cues, stand_ins.translator, 30, template, attempts=2, hot=False, full_context="All of it:\n{text}")
 
 
 @query

@@ -6,15 +6,27 @@ from __future__ import annotations
 from cuespan.operators.models import PAYLOAD_TAG
 
 
-def translator():
-    """Puts a mark before each text. By the first block's number, some replies lack their last block, and some
-    let it end before it starts."""
+#: What parts the context from the batch in messages to the translator.
+PARTED = "\n=====\n"
+
+
+class _Translator:
+    """Puts a mark and the size of the context before each text. By the first block's number, some replies lack
+    their last block, and some let it end before it starts. Contexts of an even size may be preloaded."""
+
+    held = ""
 
-    def call(message: str) -> str:
+    def preload(self, context: str) -> bool:
+        self.held = context if len(context) % 2 == 0 else ""
+        return bool(self.held)
+
+    def __call__(self, message: str) -> str:
+        context, _, batch = message.rpartition(PARTED)
+        size = len(context or self.held)
         out = []
-        for block in message.split("\n\n"):
+        for block in batch.split("\n\n"):
             line, time, text = block.split("\n", 2)
-            out.append(f"{line}\n{time}\n» {text}")
+            out.append(f"{line}\n{time}\n»{size} {text}")
         kind = int(out[0].split("\n", 1)[0]) // 30 % 4
         if kind in (1, 2):
             line, time, text = out.pop().split("\n", 2)
@@ -22,7 +34,9 @@ def translator():
                 out.append(f"{line}\n{' --> '.join(reversed(time.split(' --> ')))}\n{text}")
         return f"<think>{len(out)} blocks</think><{PAYLOAD_TAG}>\n" + "\n\n".join(out) + f"\n</{PAYLOAD_TAG}>"
 
-    return call
+
+def translator():
+    return _Translator()
 
 
 def recogniser():

@@ -183,13 +183,13 @@ def evenly_spaced_frames(v: Views) -> DataFrame:
 @query
 def clamped_boxes(v: Views) -> DataFrame:
     boxes = v.table("part").select(
-        "p_partkey", (F.col("p_size") * 41 - 300).cast("bigint").alias("x"), (F.col("p_partkey") % 1200 - 60).alias("y"),
-        (F.col("p_partkey") % 700).alias("w"), (F.col("p_size") * 3).cast("bigint").alias("h"),
-        F.lit(1280).cast("bigint").alias("width"), F.lit(720).cast("bigint").alias("height"),
-    )
-    return boxes.select("p_partkey", frames.clamped_box("x", "y", "w", "h", "width", "height").alias("b")).select(
-        "p_partkey", "b.*"
+        "p_partkey", F.col("p_brand").alias("source"), (F.col("p_size") * 41 - 300).cast("bigint").alias("x"),
+        (F.col("p_partkey") % 1200 - 60).alias("y"), (F.col("p_partkey") % 700).alias("w"), (F.col("p_size") * 3).cast("bigint").alias("h"),
     )
+    # Frames of each source have a size of their own.
+    sizes = v.table("part").groupBy(F.col("p_brand").alias("source")).agg(
+        (F.min("p_partkey") + 600).alias("width"), (F.max("p_size") * 9).cast("bigint").alias("height"))
+    return frames.clamped_boxes(boxes, sizes).select("p_partkey", "x1", "y1", "x2", "y2", "valid")
 
 
 @query

@@ -247,4 +247,26 @@ def test_translation_job_reports_what_it_did(spark):
     merged, replies = jobs.translate(cues, stand_ins.translator, 30, attempts=2, hot=False)
     assert rows(replies, "batch", "blocks", "status", "attempts") == [(0, 30, "ok", 1), (1, 30, "failed", 2), (2, 10, "failed", 2)]
     texts = [r.text for r in merged.orderBy("line").collect()]
-    assert texts[:2] == ["» t0", "» t1"] and texts[30] == "t30" and texts[69] == "t69"
+    assert texts[:2] == ["»0 t0", "»0 t1"] and texts[30] == "t30" and texts[69] == "t69"
+
+
+def test_contexts_are_preloaded_or_put_into_messages(spark):
+    df = spark.createDataFrame([(t, b, 1, "say {context_block}!", f"about {t}") for t in (1, 2) for b in (0, 1)],
+                               "track int, batch bigint, blocks bigint, message string, context string")
+
+    def model():
+        class Echo:
+            held = None
+
+            def preload(self, context):
+                self.held = context
+                return context == "about 1"
+
+            def __call__(self, message):
+                return f"{message} {self.held}"
+
+        return Echo()
+
+    got = models.call_batches(df.coalesce(1), model)
+    assert rows(got, "track", "reply") == [(1, "say ! about 1")] * 2 + [(2, "say about 2! about 2")] * 2
+    assert [r.reply for r in models.call_batches(df.coalesce(1), lambda: str.upper).orderBy("track", "batch").collect()][0] == "SAY ABOUT 1!"
