@@ -1,5 +1,7 @@
 """SQL of the file, model and whole-job queries."""
 
+import re
+
 from checks.layout_sql import PARTS as LAYOUT
 from checks.text_sql import CENTI, CLOCK
 
@@ -23,6 +25,18 @@ def again(part: str) -> str:
     return part.replace("FROM timeline", "FROM cut_").replace("JOIN timeline", "JOIN cut_")
 
 
+#: Queries whose tracks have two frame rates.
+TWO_RATES = ("dubbed_cues", "dubbed_timeline")
+
+
+def at_two_rates(sql: str) -> str:
+    rate = "(CASE WHEN {} % 2 = 0 THEN 25.0 ELSE 30.0 END)::DOUBLE"
+    # Where points meet segments, the point's track is meant.
+    sql = re.sub(r"(p\.at_ms\) END / 1000\.0::DOUBLE\) \* )30\.0::DOUBLE(, 0\)\s*/ )30\.0::DOUBLE",
+                 lambda m: m[1] + rate.format("p.track") + m[2] + rate.format("p.track"), sql)
+    return sql.replace("30.0::DOUBLE", rate.format("track"))
+
+
 PARTS = {
     "cut_": """
         SELECT track, seg_no, orig_start, orig_end, kind, clip_ms, video_speed, audio_speed,

@@ -27,4 +27,6 @@ def oracle_sql() -> dict[str, str]:
             out[name] = head + select
         for name, (upto, head, select) in getattr(module, "RECURSIVE", {}).items():
             out[name] = head.replace("{parts}", _with(upto, parts)) + select
+    for name in file_sql.TWO_RATES:
+        out[name] = file_sql.at_two_rates(out[name])
     return out

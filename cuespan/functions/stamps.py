@@ -129,30 +129,35 @@ def scaled(ms, speed: float) -> Column:
     return F.greatest(F.lit(1), F.rint(_col(ms) / F.lit(float(speed))).cast("bigint"))
 
 
-def frames(ms, fps: float) -> Column:
+def rate(fps) -> Column:
+    """A frame rate: a number for all rows, or the name of a column that has each row's."""
+    return F.lit(float(fps)) if isinstance(fps, (int, float)) else _col(fps)
+
+
+def frames(ms, fps) -> Column:
     """Whole frames nearest to a length in milliseconds, halves to even."""
-    return F.rint((_col(ms) / 1000.0) * F.lit(float(fps)))
+    return F.rint((_col(ms) / 1000.0) * rate(fps))
 
 
-def frames_to_ms(count, fps: float) -> Column:
-    return (_col(count) / F.lit(float(fps))) * 1000.0
+def frames_to_ms(count, fps) -> Column:
+    return (_col(count) / rate(fps)) * 1000.0
 
 
-def snapped(ms, fps: float) -> Column:
+def snapped(ms, fps) -> Column:
     """A time moved to the nearest frame."""
     return frames_to_ms(frames(ms, fps), fps)
 
 
-def planned_frames(ms, video_speed, fps: float) -> Column:
+def planned_frames(ms, video_speed, fps) -> Column:
     """Frames a piece is planned to take at a new speed."""
     return F.rint(frames(ms, fps) * (F.lit(1.0) / _col(video_speed)))
 
 
-def realised_frames(ms, video_speed, fps: float) -> Column:
+def realised_frames(ms, video_speed, fps) -> Column:
     """Frames a cutter really makes of a piece: rounded up, after 4-digit rounding. Not
     the same as the plan, on purpose."""
-    stretched = (frames(ms, fps) / F.lit(float(fps))) / _col(video_speed)
-    return F.ceil(F.bround(stretched * F.lit(float(fps)), 4)).cast("double")
+    stretched = (frames(ms, fps) / rate(fps)) / _col(video_speed)
+    return F.ceil(F.bround(stretched * rate(fps), 4)).cast("double")
 
 
 def padded_window(start_ms, end_ms, pad_s: float) -> Column:

@@ -165,20 +165,22 @@ def quiet_edges(
 
 
 def drift_audit(
-    timeline: DataFrame, fps: float = 30.0, tolerance_frames: int = 3, batch_size: int = 100, hot: bool | None = None
+    timeline: DataFrame, fps: float | str = 30.0, tolerance_frames: int = 3, batch_size: int = 100, hot: bool | None = None
 ) -> DataFrame:
     """One row per track on how far a timeline strays from the frames a cutter would make:
     total drift, starts that do not rise, seams that are not contiguous, worst batch, verdict."""
     if hot is None:
         hot = seq.too_long(timeline)
-    frame_ms = F.lit(1000.0 / fps)
+    rate = stamps.rate(fps)
+    frame_ms = F.lit(1000.0) / rate
     should = stamps.realised_frames(F.col("orig_end") - F.col("orig_start"), "video_speed", fps)
-    has = F.rint(F.col("new_chunk_dur") / 1000.0 * F.lit(float(fps)))
+    has = F.rint(F.col("new_chunk_dur") / 1000.0 * rate)
     near = seq.extend(
         timeline, ["seg_no"], {"_no": seq.position(), "_start": seq.prev("new_start"), "_end": seq.prev("new_end")}, hot=hot
     )
+    near = near.withColumn("_rate", rate)
     batches = near.groupBy("track", F.floor((F.col("_no") - 1) / batch_size).alias("_batch")).agg(
-        F.count(F.lit(1)).alias("segments"),
+        F.count(F.lit(1)).alias("segments"), F.max("_rate").alias("_rate"),
         F.sum(should).alias("_should"),
         F.sum(has).alias("_has"),
         F.count_if((F.col("new_start") <= F.col("_start")) & (F.col("new_chunk_dur") > 0)).alias("not_rising"),
@@ -186,7 +188,7 @@ def drift_audit(
     )
     off = F.abs(F.col("_has") - F.col("_should"))
     summed = batches.groupBy("track").agg(
-        F.sum("segments").alias("segments"),
+        F.sum("segments").alias("segments"), F.max("_rate").alias("_rate"),
         F.sum("_should").cast("bigint").alias("expected_frames"),
         F.sum("_has").cast("bigint").alias("actual_frames"),
         F.sum("not_rising").alias("not_rising"),
@@ -201,7 +203,7 @@ def drift_audit(
     return summed.withColumns(
         {
             "drift_frames": total,
-            "drift_ms": total / F.lit(float(fps)) * 1000.0,
+            "drift_ms": total / F.col("_rate") * 1000.0,
             "verdict": F.when(good, "PASS").otherwise("FAIL"),
         }
-    )
+    ).drop("_rate")

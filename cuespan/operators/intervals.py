@@ -202,7 +202,7 @@ def complement(zones: DataFrame, totals: DataFrame, hot: bool | None = None) ->
     )
 
 
-def _remapped(at: Column, s: Column, first: Column, last: Column, fps: float) -> Column:
+def _remapped(at: Column, s: Column, first: Column, last: Column, fps) -> Column:
     span = s["orig_end"] - s["orig_start"]
     inside = s["new_start"] + ((at - s["orig_start"]) / span) * s["new_ms"]
     return (
@@ -216,14 +216,14 @@ def _remapped(at: Column, s: Column, first: Column, last: Column, fps: float) ->
     )
 
 
-def remap(points: DataFrame, timeline: DataFrame, tie: str, fps: float = 30.0, hot: bool | None = None) -> DataFrame:
+def remap(points: DataFrame, timeline: DataFrame, tie: str, fps: float | str = 30.0, hot: bool | None = None) -> DataFrame:
     """Add ``new_ms``: where each point lies on the new timeline.
 
     The first segment that holds the point (both ends included) interpolates it, a segment
     of no length gives its new start; after the last segment the point is shifted along
     with its end; before the first, or in a hole, along with the first start. Results lie
     on frames. A track without timeline is left as it is. Segments come in start order,
-    numbered by ``seg_no``.
+    numbered by ``seg_no``. ``fps`` may name a column of the timeline with the track's frame rate.
     """
     if hot is None:
         hot = seq.too_long(points) or seq.too_long(timeline)
@@ -238,7 +238,7 @@ def remap(points: DataFrame, timeline: DataFrame, tie: str, fps: float = 30.0, h
         F.lit(1).alias("_side"),
         F.col("seg_no").cast(points.schema[tie].dataType).alias(tie),
         F.when(record, body).alias("_seg"),
-        F.struct("seg_no", "orig_start", "orig_end", "new_start", "new_end").alias("_ends"),
+        F.struct("seg_no", "orig_start", "orig_end", "new_start", "new_end", stamps.rate(fps).alias("rate")).alias("_ends"),
     )
     axis = points.withColumns({"_at": F.col("at_ms").cast("double"), "_side": F.lit(0)}).unionByName(
         segments, allowMissingColumns=True
@@ -249,7 +249,7 @@ def remap(points: DataFrame, timeline: DataFrame, tie: str, fps: float = 30.0, h
         {"_hit": seq.next_seen("_seg"), "_first": seq.whole_min("_ends"), "_last": seq.whole_max("_ends")},
         hot=hot,
     ).filter("_side = 0")
-    new = _remapped(F.col("_at"), F.col("_hit"), F.col("_first"), F.col("_last"), fps)
+    new = _remapped(F.col("_at"), F.col("_hit"), F.col("_first"), F.col("_last"), F.col("_first.rate"))
     return swept.withColumn("new_ms", new).select(*points.columns, "new_ms")
 
 
@@ -278,7 +278,7 @@ def anchored(cues: DataFrame, timeline: DataFrame, within_ms: int = 100, hot: bo
 
 
 def retime(
-    cues: DataFrame, timeline: DataFrame, fps: float = 30.0, by_clip: bool = False, width: int = 0,
+    cues: DataFrame, timeline: DataFrame, fps: float | str = 30.0, by_clip: bool = False, width: int = 0,
     hot: bool | None = None,
 ) -> DataFrame:
     """Move cues to the new timeline. ``by_clip`` ends a cue with its clip, where it has one

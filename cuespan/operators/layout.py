@@ -172,19 +172,21 @@ def with_speeds(blocks: DataFrame, cap: float = 0.5, no_cap: bool = False) -> Da
     )
 
 
-def timeline(blocks: DataFrame, total: DataFrame | None = None, fps: float = 30.0, hot: bool | None = None) -> DataFrame:
+def timeline(blocks: DataFrame, total: DataFrame | None = None, fps: float | str = 30.0, hot: bool | None = None) -> DataFrame:
     """Lay blocks with speeds on a new time axis, on whole frames.
 
     Starts are running sums of whole frames. Unless the first block is a gap, the time
     before it becomes one; time after the last block becomes a tail. A block of unknown or
-    zero speed keeps its length.
+    zero speed keeps its length. ``fps`` may name a column of ``blocks`` and ``total`` with each track's frame
+    rate; the timeline then has it too.
     """
+    own = [fps] if isinstance(fps, str) else []
     if hot is None:
         hot = seq.too_long(blocks)
     vs = F.when(F.col("video_speed") > 0, F.col("video_speed")).otherwise(F.lit(1.0))
     rows = blocks.select(
         "track", F.lit(0).alias("_rank"), "start_ms", (F.col("start_ms") + F.col("slot_ms")).alias("_end"),
-        "kind", "slot_ms", "clip_ms", vs.alias("video_speed"), "audio_speed",
+        "kind", "slot_ms", "clip_ms", vs.alias("video_speed"), "audio_speed", *own,
     )
     order = ["_rank", "start_ms", "_end", "kind", "clip_ms"]
     if total is not None:
@@ -193,7 +195,7 @@ def timeline(blocks: DataFrame, total: DataFrame | None = None, fps: float = 30.
                 "track", F.lit(1).alias("_rank"), F.col("total_ms").cast("bigint").alias("start_ms"),
                 F.col("total_ms").cast("bigint").alias("_end"), F.lit("tail").alias("kind"),
                 F.lit(0).cast("bigint").alias("slot_ms"), F.lit(0).cast("bigint").alias("clip_ms"),
-                F.lit(1.0).alias("video_speed"), F.lit(1.0).alias("audio_speed"),
+                F.lit(1.0).alias("video_speed"), F.lit(1.0).alias("audio_speed"), *own,
             )
         )
     near = seq.extend(rows, order, {"_no": seq.position(), "_prev_end": seq.prev("_end")}, hot=hot)
@@ -236,13 +238,13 @@ def timeline(blocks: DataFrame, total: DataFrame | None = None, fps: float = 30.
                    F.col("kind"), F.col("video_speed"), F.col("audio_speed"), F.col("clip_ms"))
     # Numbers stay in order when the head, if any, takes number 0.
     return laid.select(
-        "track", F.posexplode(F.array(first, body)).alias("_i", "s"), "_no"
+        "track", F.posexplode(F.array(first, body)).alias("_i", "s"), "_no", *own
     ).filter("s is not null").select(
-        "track", F.when(F.col("_i") == 0, F.lit(0)).otherwise(F.col("_no")).cast("bigint").alias("seg_no"), "s.*"
+        "track", F.when(F.col("_i") == 0, F.lit(0)).otherwise(F.col("_no")).cast("bigint").alias("seg_no"), "s.*", *own
     )
 
 
-def realised(segments: DataFrame, fps: float = 30.0) -> DataFrame:
+def realised(segments: DataFrame, fps: float | str = 30.0) -> DataFrame:
     """Add ``actual_frames``: how many frames a cutter makes of each segment."""
     length = F.col("orig_end") - F.col("orig_start")
     return segments.withColumn("actual_frames", stamps.realised_frames(length, "video_speed", fps))
@@ -254,7 +256,7 @@ def measured(segments: DataFrame, lengths: DataFrame) -> DataFrame:
     return segments.join(lengths.select("track", "seg_no", "actual_frames"), ["track", "seg_no"])
 
 
-def rebase(segments: DataFrame, fps: float = 30.0, hot: bool | None = None) -> DataFrame:
+def rebase(segments: DataFrame, fps: float | str = 30.0, hot: bool | None = None) -> DataFrame:
     """Lay a timeline anew from the frames its segments really have (``actual_frames``)."""
     names = [c for c in segments.columns if c != "actual_frames"]
     laid = seq.extend(segments, ["seg_no"], {"_before": seq.total_before("actual_frames")}, hot=hot)

@@ -279,18 +279,23 @@ def clip_outcomes(v: Views) -> DataFrame:
     return aggregates.outcome_counts(_clips_made(v), F.col("ok"))
 
 
+def _rates(v: Views) -> DataFrame:
+    """Tracks of two frame rates."""
+    return v.totals().select("track", F.when(F.col("track") % 2 == 0, 25.0).otherwise(30.0).alias("fps"))
+
+
 @query
 def dubbed_cues(v: Views) -> DataFrame:
     v.store()
     cues = v.speech().select("track", "line", "start_ms", "end_ms", "text")
-    return jobs.dub(cues, v.mutes(), v.totals(), v.clips(), FPS, hot=v.hot)[1]
+    return jobs.dub(cues, v.mutes(), v.totals(), v.clips(), hot=v.hot, rates=_rates(v))[1]
 
 
 @query
 def dubbed_timeline(v: Views) -> DataFrame:
     v.store()
     cues = v.speech().select("track", "line", "start_ms", "end_ms", "text")
-    return rounded(jobs.dub(cues, v.mutes(), v.totals(), v.clips(), FPS, hot=v.hot)[0].drop("seg_no"))
+    return rounded(jobs.dub(cues, v.mutes(), v.totals(), v.clips(), hot=v.hot, rates=_rates(v))[0].drop("seg_no", "fps"))
 
 
 @query

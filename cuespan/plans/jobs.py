@@ -15,17 +15,20 @@ from cuespan.session import written
 
 def dub(
     cues: DataFrame, mutes: DataFrame, total: DataFrame, clips: DataFrame, fps: float = 30.0, cap: float = 0.5,
-    no_cap: bool = False, hot: bool | None = None,
+    no_cap: bool = False, hot: bool | None = None, rates: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The timeline of a dubbed track, as really cut, and its cues on it.
 
     Cues are cleared of the mutes, get their clips and slots, slots get speeds and places on
-    the new axis, and cues end with their clips.
+    the new axis, and cues end with their clips. ``rates`` (``track, fps``) gives each track a frame rate of its own.
     """
     if hot is None:
         hot = seq.too_long(cues) or seq.too_long(mutes)
     clear = intervals.clip_drop(cues, mutes, hot=hot)
     blocks = layout.slots(layout.with_clips(clear, clips), mutes, total, hot)
+    if rates is not None:
+        fps, rates = "fps", rates.select("track", F.col("fps").cast("double").alias("fps"))
+        blocks, total = blocks.join(rates, "track"), total.join(rates, "track")
     planned = layout.timeline(layout.with_speeds(blocks, cap, no_cap), total, fps, hot)
     # The timeline is a result, and retiming reads it twice.
     cut = written(layout.rebase(layout.realised(planned, fps), fps, hot))

@@ -125,7 +125,7 @@ def _with_times(start: Column, end: Column, text: Column) -> Column:
     return F.when(readable, line).otherwise(F.col("value"))
 
 
-def retimed(lines: DataFrame, timeline: DataFrame, width: int = 15, fps: float = 30.0, hot: bool | None = None) -> DataFrame:
+def retimed(lines: DataFrame, timeline: DataFrame, width: int = 15, fps: float | str = 30.0, hot: bool | None = None) -> DataFrame:
     """Dialogue lines on a new timeline, texts hard-wrapped; incomplete lines pass through."""
     ends = lines.select(
         "track", "line_no",
