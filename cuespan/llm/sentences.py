@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -17,33 +19,45 @@ RUN = 3
 LEAST_WORDS = 20
 LONG = 12
 
+#: A sentence: up to a word that ends with a mark, to the end of its line, or of the text.
+_SENTENCE = re.compile(r"\S(?:[^\n]*?[.!?][\"')\]]*(?!\S)|[^\n]*)")
 _WORD = re.compile(r"\S+")
-_END = re.compile(r"[.!?][\"')\]]*\Z")
+
+
+class _Cuts(dict):
+    """Whether a long sentence may be cut after a word, worked out once for each word."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = cut = word[-1] in ",;:" or zlib.crc32(word.encode()) % 6 == 0
+        return cut
+
+
+_CUTS = _Cuts()
 
 
 def sentences(text: str, long: int = LONG) -> list[tuple[int, int, list[str]]]:
     """``(start, end, words)`` in code points. A sentence ends at a word with a full stop, exclamation or
     question mark, and at a line break. One of over ``long`` words is cut further, after commas and after words whose
-    checksum is a multiple of 4: places that depend on single words only, so that copies of a passage are cut alike
+    checksum is a multiple of 6: places that depend on single words only, so that copies of a passage are cut alike
     wherever they stand."""
     found: list[tuple[int, int, list[str]]] = []
-    own: list[tuple[int, int, str]] = []
-
-    def close() -> None:
+    for m in _SENTENCE.finditer(text):
+        start, words = m.start(), m.group().split()
+        if len(words) <= long:
+            found.append((start, start + len(m.group().rstrip()), words))
+            continue
         part = 0
-        for i, (_, end, word) in enumerate(own, 1):
-            if i == len(own) or len(own) > long and (word[-1] in ",;:" or zlib.crc32(word.encode()) % 4 == 0):
-                found.append((own[part][0], end, [w for _, _, w in own[part:i]]))
+        begin = at = start
+        for i, word in enumerate(words, 1):
+            at = text.index(word, at)
+            if i - 1 == part:
+                begin = at
+            at += len(word)
+            if _CUTS[word] or i == len(words):
+                found.append((begin, at, words[part:i]))
                 part = i
-        own.clear()
-
-    for m in _WORD.finditer(text):
-        if own and "\n" in text[own[-1][1]:m.start()]:
-            close()
-        own.append((m.start(), m.end(), m.group()))
-        if _END.search(m.group()):
-            close()
-    close()
     return found
 
 
@@ -51,17 +65,17 @@ def spans(units: list[tuple[int, int, list[str]]], run: int = RUN, least: int =
     """``(hash, first, last)`` for each sentence: the run of ``run`` sentences from it on, more where that makes
     fewer than ``least`` words. Runs that the text is too short for are left out."""
     found = []
-    sizes = [len(words) for _, _, words in units]
-    texts = [" ".join(words) for _, _, words in units]
-    for i in range(len(units) - run + 1):
-        last = i + run - 1
-        total = sum(sizes[i:last + 1])
-        while total < least and last + 1 < len(units):
-            last += 1
-            total += sizes[last]
-        if total >= least:
-            value = xxhash.xxh64_intdigest("\n".join(texts[i:last + 1]).encode())
-            found.append((value - (1 << 64) if value >= 1 << 63 else value, i, last))
+    upto = [0, *itertools.accumulate(len(words) for _, _, words in units)]
+    digests = [xxhash.xxh64_digest(" ".join(words)) for _, _, words in units]
+    end, size = run, len(units)
+    for first in range(size - run + 1):
+        end = max(end, first + run)
+        while end < size and upto[end] - upto[first] < least:
+            end += 1
+        if upto[end] - upto[first] < least:
+            break
+        value = xxhash.xxh64_intdigest(b"".join(digests[first:end]))
+        found.append((value - (1 << 64) if value >= 1 << 63 else value, first, end - 1))
     return found
 
 
@@ -70,17 +84,17 @@ def span_table(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, text:
     the number of its first sentence."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, rows = [], []
-        for i, value in enumerate(batch.column(2)):
+        counts, rows = [], []
+        for value in batch.column(2):
             units = sentences(value.as_py())
-            for span, first, last in spans(units, run, least):
-                at.append(i)
-                rows.append((span, first, units[first][0], units[last][1]))
-        span, *places = [pa.array(c, t) for c, t in zip(
-            zip(*rows) if rows else ([],) * 4, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
-        owner = pa.array(at, pa.int64())
+            found = spans(units, run, least)
+            counts.append(len(found))
+            rows += [(span, first, units[first][0], units[last][1]) for span, first, last in found]
+        owner = pa.array(np.repeat(np.arange(len(counts)), counts))
+        table = np.array(rows, np.int64).reshape(-1, 4)
+        span, *places = (pa.array(np.ascontiguousarray(table[:, i])) for i in range(4))
         return pa.RecordBatch.from_arrays(
-            [span, batch.column(0).take(owner), batch.column(1).take(owner), *places],
+            [span, batch.column(0).take(owner), batch.column(1).take(owner), *(p.cast(pa.int32()) for p in places)],
             ["span", "doc_id", "text_key", "first", "start", "end"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -93,11 +107,12 @@ def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, te
     ``(start, end)`` of such spans. First is the least ``(doc_id, text_key, first)``, nulls before all."""
     found = written(span_table(docs, run, least, text))
     place = F.struct("doc_id", "text_key", "first")
-    # Distinct places: rows that are repeated whole are one document.
-    repeated = written(
-        found.groupBy("span").agg(F.min(place).alias("min"), F.max(place).alias("max"))
-        .where(~F.col("min").eqNullSafe(F.col("max"))).select(F.col("span").alias("__span"), "min"))
-    later = found.join(repeated, F.col("span") == F.col("__span")).where(~place.eqNullSafe(F.col("min")))
+    # Counts alone go through the large shuffle; places only those of spans that come again.
+    many = found.groupBy("span").agg(F.count("*").alias("n")).where("n > 1").select("span")
+    again = written(found.join(written(many), "span", "left_semi"))
+    firsts = written(again.groupBy("span").agg(F.min(place).alias("least")).select(F.col("span").alias("__span"), "least"))
+    # Rows that are repeated whole have the same places: they are one document.
+    later = again.join(firsts, F.col("span") == F.col("__span")).where(~place.eqNullSafe(F.col("least")))
     return later.groupBy("doc_id", "text_key").agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ranges"))
 
