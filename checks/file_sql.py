@@ -5,6 +5,13 @@ import re
 from checks.layout_sql import PARTS as LAYOUT
 from checks.text_sql import CENTI, CLOCK
 
+# Fixed value: the format line of styles.
+STYLE_FORMAT = (
+    "Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, "
+    "Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, "
+    "MarginR, MarginV, Encoding"
+)
+
 RANGE = f"{CLOCK.format('start_ms')} || ' --> ' || {CLOCK.format('end_ms')}"
 STRICT_BACK = ("CAST(trunc(({0} // 3600000 * 3600 + ({0} % 3600000) // 60000 * 60 + "
                "CAST(printf('%02d.%03d', ({0} % 60000) // 1000, {0} % 1000) AS DOUBLE)) * 1000) AS BIGINT)")
@@ -227,6 +234,11 @@ QUERIES = {
         FROM (SELECT *, lead(start_ms) OVER (PARTITION BY track ORDER BY start_ms, (kind = 'error')::INT, line) AS n FROM cues)
         WHERE end_ms > n GROUP BY track"""),
 }
+HEAD = ("[Script Info]", "ScriptType: v4.00+", "PlayResX: 1920", "", "[V4+ Styles]", STYLE_FORMAT, "Style: NoteStyle,Sans,60,&H00000000", "",
+        "[Events]", "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text")
+QUERIES["ass_scaled_files"] = ("ass_lines", f"""{QUERIES["ass_scaled"][1]}
+        UNION ALL SELECT track, line_no, value FROM (SELECT DISTINCT track FROM ass_lines),
+            (VALUES {", ".join(f"({i}, '{line}')" for i, line in enumerate(HEAD))}) h(line_no, value)""")
 PARTS["centi_stops"] = "SELECT track, start_ms // 10 * 10 AS at_ms FROM cues UNION SELECT track, end_ms // 10 * 10 FROM cues"
 PARTS["centi_hits"] = LAYOUT["hits"].replace("FROM stops", "FROM centi_stops")
 PARTS["centi_moved"] = (

@@ -72,14 +72,17 @@ def ass_render(v: Views) -> DataFrame:
     return cues.select("track", "line", ass.rendered(cues, 14).alias("value"))
 
 
-def _ass_lines(v: Views) -> DataFrame:
-    """ASS texts of 40 cues each, read into lines; the track is the text's name."""
+def _ass_texts(v: Views) -> DataFrame:
+    """ASS texts of 40 cues each; the track is the text's name."""
     cues = v.cues().withColumn("text", F.concat("text", F.lit(", "), "kind"))
     rendered = cues.select("track", "line", ass.rendered(cues, 14).alias("value"))
     parts = aggregates.in_parts(rendered, F.col("value"), ("line",), "\n", PART_ROWS, v.hot)
     content = F.concat(F.lit(ass.header_text(HEADER, STYLES, EVENTS) + "\n"), "text")
-    texts = parts.select(F.concat_ws("/", "track", "part").alias("track"), content.alias("content"))
-    return ass.sections(texts)
+    return parts.select(F.concat_ws("/", "track", "part").alias("track"), content.alias("content"))
+
+
+def _ass_lines(v: Views) -> DataFrame:
+    return ass.sections(_ass_texts(v))
 
 
 @query
@@ -103,6 +106,13 @@ def ass_scaled(v: Views) -> DataFrame:
     return ass.scaled(ass.dialogues(_ass_lines(v)), 1.5).select("track", "line_no", "value")
 
 
+@query
+def ass_scaled_files(v: Views) -> DataFrame:
+    """Whole files at another speed, headers included."""
+    texts = _ass_texts(v)
+    return ass.with_all_lines(texts, ass.scaled(ass.dialogues(ass.sections(texts)), 1.5))
+
+
 @query
 def ass_retimed(v: Views) -> DataFrame:
     """Dialogues on the dubbed timeline of the track they belong to."""

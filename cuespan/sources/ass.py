@@ -34,6 +34,17 @@ def sections(texts: DataFrame) -> DataFrame:
     return marked.filter("_head is null and value <> ''").select("track", "line_no", "section", "value")
 
 
+def with_all_lines(texts: DataFrame, changed: DataFrame) -> DataFrame:
+    """Whole files ``track, line_no, value``: the lines of ``changed`` in place of their own, all others, headers,
+    comments and blank lines too, as they stand in ``texts``."""
+    lines = texts.select("track", F.posexplode(F.split("content", LINE_ENDS)).alias("_i", "_raw"))
+    return (
+        lines.withColumn("line_no", F.col("_i").cast("bigint"))
+        .join(changed.select("track", "line_no", "value"), ["track", "line_no"], "left")
+        .select("track", "line_no", F.coalesce("value", "_raw").alias("value"))
+    )
+
+
 def headers(lines: DataFrame) -> DataFrame:
     """Per file: ``script_info`` map, ``styles``, and the format line of the events."""
     info = lines.filter("section = 'script info' and contains(value, ':')").select(
