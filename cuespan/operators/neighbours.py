@@ -122,21 +122,21 @@ def batched(rows: DataFrame, size: int, order=("line",), hot: bool | None = None
 
 
 class _Anchored(Fold):
-    """State: start and number of the open batch."""
+    """State: start of the open batch and, if ``numbered``, its number. Without it, the state of a piece forgets what
+    came before wherever two chains of batches meet, at a gap of one span at the latest."""
 
-    def __init__(self, span_ms: int):
-        self.span_ms = span_ms
+    def __init__(self, span_ms: int, numbered: bool):
+        self.span_ms, self.numbered = span_ms, numbered
 
     def fresh(self):
         return None
 
     def step(self, state, row):
         at, line = row
-        if state is None:
-            state = [at, 0]
-        elif at - state[0] >= self.span_ms:
-            state = [at, state[1] + 1]
-        return state, [(line, at, state[1], state[0])]
+        opens = state is None or at - state[0] >= self.span_ms
+        if opens:
+            state = [at, 0 if state is None or not self.numbered else state[1] + 1]
+        return state, [(line, at, state[1] if self.numbered else int(opens), state[0])]
 
 
 def time_batches(rows: DataFrame, span_ms: int = 60_000, at: str = "start_ms", hot: bool | None = None) -> DataFrame:
@@ -145,10 +145,18 @@ def time_batches(rows: DataFrame, span_ms: int = 60_000, at: str = "start_ms", h
     Gives ``track, line, at_ms, batch, batch_start_ms``; the anchor drifts with the data,
     so this is a fold and not a fixed window.
     """
-    return fold_tracks(
-        rows, _Anchored(span_ms), [at, "line"], [at, "line"],
+    if hot is None:
+        hot = seq.too_long(rows)
+    found = fold_tracks(
+        rows, _Anchored(span_ms, numbered=not hot), [at, "line"], [at, "line"],
         "line bigint, at_ms bigint, batch bigint, batch_start_ms bigint", hot=hot,
     )
+    if not hot:
+        return found
+    # The first row of a later piece opens a batch only where its anchor is its own time.
+    opens = F.when((F.col("batch") == 1) & (F.col("batch_start_ms") == F.col("at_ms")), 1).otherwise(0)
+    return seq.extend(found.withColumn("_opens", opens), ["at_ms", "line"], {"_no": seq.total("_opens")}, hot=hot).select(
+        "track", "line", "at_ms", (F.col("_no") - 1).alias("batch"), "batch_start_ms")
 
 
 def batch_spans(batches: DataFrame, hot: bool | None = None) -> DataFrame:

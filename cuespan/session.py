@@ -31,6 +31,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cuespan-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext.cuespan_written = [*getattr(spark.sparkContext, "cuespan_written", []), path]
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,3 +47,12 @@ def ship(spark: SparkSession) -> None:
             archive.write(path, path.relative_to(root.parent))
     context.addPyFile(str(target))
     context.cuespan_shipped = True
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete what ``written`` has written in this application. Results that have not been read yet need it still."""
+    context = spark.sparkContext
+    for path in getattr(context, "cuespan_written", []):
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    context.cuespan_written = []
