@@ -89,6 +89,25 @@ QUERIES = {
 }
 
 RECURSIVE = {
+    "merge_short": ("kinds", """
+        WITH RECURSIVE {parts},
+        walk(track, todo, done, moved) AS (
+            SELECT track, list({'s': start_ms, 'e': end_ms, 't': text} ORDER BY line), list({'s': start_ms, 'e': end_ms, 't': text}) [1:0], false
+            FROM kinds GROUP BY track
+            UNION ALL
+            SELECT track,
+                   CASE WHEN len(todo) = 0 THEN done
+                        WHEN short AND NOT back THEN list_prepend({'s': c.s, 'e': n.e, 't': trim(c.t || ' ' || n.t)}, todo[3:])
+                        ELSE todo[2:] END,
+                   CASE WHEN len(todo) = 0 THEN done[1:0]
+                        WHEN short AND back THEN list_append(done[1:len(done) - 1], {'s': b.s, 'e': c.e, 't': trim(b.t || ' ' || c.t)})
+                        WHEN short THEN done ELSE list_append(done, c) END,
+                   CASE WHEN len(todo) = 0 THEN false ELSE moved OR short END
+            FROM (SELECT *, len(done) > 0 AND (len(todo) = 1 OR c.s - b.e <= n.s - c.e) AS back,
+                         c.e - c.s < 3000000 AND (len(done) > 0 OR len(todo) > 1) AS short
+                  FROM (SELECT *, todo[1] AS c, todo[2] AS n, done[len(done)] AS b FROM walk WHERE len(todo) > 0 OR moved))),
+        joined AS (SELECT track, unnest(done) AS c, generate_subscripts(done, 1) AS line FROM walk WHERE len(todo) = 0 AND NOT moved)
+        """, "SELECT track, line, c.s AS start_ms, c.e AS end_ms, c.t AS text FROM joined"),
     "cut_speech": ("tokens", """
         WITH RECURSIVE {parts},
         spoken AS (
