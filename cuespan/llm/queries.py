@@ -80,7 +80,7 @@ sizes AS (SELECT DISTINCT n FROM windows),
 runs AS (SELECT id AS doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS run
   FROM (SELECT id, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM words, sizes WHERE side = 'd' AND len(ws) >= n)),
 met AS (SELECT doc_id, item_id, r.n, i FROM runs r JOIN windows w ON r.n = w.n AND r.run = w.run),
-hits AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM met) GROUP BY 1),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM met) GROUP BY 1),
 found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
   FROM met GROUP BY 1)
 SELECT d.id AS doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
