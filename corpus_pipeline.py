@@ -1,4 +1,8 @@
-"""Documents to packed training sequences: five stages, each written as Parquet and read by the next."""
+"""Documents to packed training sequences: five stages, each written as Parquet and read by the next.
+
+All stages take any table with ``doc_id`` and ``text``, give no rows for no rows, count null texts as empty, and leave
+other columns, whatever their names, as they are; the last gives columns of its own.
+"""
 
 from __future__ import annotations
 
@@ -14,22 +18,30 @@ from cuespan.session import shared_dir
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score by their text is 0.5 or more. Repeated rows stay or go together; without labels all stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each text, that of the largest doc_id; of rows repeated whole, one. A null doc_id stays only if its
+    text has no other."""
     return exact.drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each group of near copies, that of the smallest doc_id, null ids last. Texts without words are copies
+    of each other."""
     return simhash.drop_near_copies(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows less than a twentieth of whose words are in windows of the benchmark. Texts without words stay; repeated rows
+    stay or go together; without a benchmark all stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences; each row, repeated or not, has its pieces, an empty text one."""
     return packing.packed(docs, TOKENIZER, RANKS)
 
 

@@ -55,7 +55,8 @@ def exact_groups(docs: DataFrame, text: str = "text", heavy: int = HEAVY, tracke
 
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
-    """``docs`` with one row for each distinct text, columns as they are; repeated rows leave one."""
+    """``docs`` with one row for each distinct text, columns as they are: the one that ``exact_groups`` keeps. Rows repeated
+    whole leave one; no rows give no rows."""
     kept = exact_groups(docs, text, heavy, tracked).where("kept").select(
         F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
     one = Window.partitionBy("__digest").orderBy(F.lit(1))
