@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +46,10 @@ def statistics(text: str) -> list[float]:
     ]
 
 
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, STATISTICS)
+
+
 def document_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(doc_id, statistics)`` per row."""
 
@@ -123,18 +126,20 @@ def fit(samples: DataFrame, features: int = FEATURES, width: float = WIDTH, ridg
     wave = Fourier(np.array(about[2:2 + STATISTICS]), np.array(about[2 + STATISTICS:]), features, width, seed)
     upper = np.triu_indices(features + 1)
 
-    def equations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            z, y = wave(np.stack(batch["statistics"])), batch["quality"].to_numpy(float)
-            for fold in np.unique(batch["fold"]):
-                own = (batch["fold"] == fold).to_numpy()
+            z, folds, y = wave(_matrix(batch.column(0))), batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(float)
+            for fold in np.unique(folds).tolist():
+                own = folds == fold
                 sums[fold] = sums.get(fold, 0) + np.concatenate([(z[own].T @ z[own])[upper], z[own].T @ y[own]])
         for fold, total in sums.items():
-            yield pd.DataFrame({"fold": int(fold), "cell": range(len(total)), "value": total})
+            cell = np.arange(len(total), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full_like(cell, fold)), pa.array(cell), pa.array(total)], ["fold", "cell", "value"])
 
     cells = (
-        samples.mapInPandas(equations, "fold int, cell int, value double")
+        samples.mapInArrow(equations, "fold int, cell int, value double")
         .groupBy("fold", "cell").agg(F.sum("value").alias("value")).toPandas()
     )
     n = len(upper[0])
@@ -151,15 +156,17 @@ def fit(samples: DataFrame, features: int = FEATURES, width: float = WIDTH, ridg
         others = [h for f, h in halves.items() if f != fold] or [halves[fold]]
         of_other[fold] = _solve(sum(g for g, _ in others), sum(m for _, m in others), ridge)
 
-    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = wave(np.stack(batch["statistics"]))
-            own = np.stack([of_other[f] for f in batch["fold"]])
-            score = np.clip((z * own).sum(1), -0.5, 1.5)
-            yield pd.DataFrame({"step": np.round((score + 0.5) / 2 * STEPS).astype(int), "quality": batch["quality"].astype(int)})
+            if not batch.num_rows:
+                continue
+            own = np.stack([of_other[f] for f in batch.column(1).to_pylist()])
+            score = np.clip((wave(_matrix(batch.column(0))) * own).sum(1), -0.5, 1.5)
+            step = np.round((score + 0.5) / 2 * STEPS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(step), batch.column(2).cast(pa.int32())], ["step", "quality"])
 
     counts = (
-        samples.mapInPandas(steps, "step int, quality int").groupBy("step")
+        samples.mapInArrow(steps, "step int, quality int").groupBy("step")
         .agg(F.sum("quality").alias("good"), F.count("*").alias("n")).toPandas().sort_values("step")
     )
     knots = isotonic(counts["step"].to_numpy() / STEPS * 2 - 0.5, counts["good"].to_numpy(float), counts["n"].to_numpy(float))
@@ -169,7 +176,7 @@ def fit(samples: DataFrame, features: int = FEATURES, width: float = WIDTH, ridg
 def training_rows(found: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics of the labelled rows that may be learned from."""
     return found.join(labels.select("doc_id", "quality").where("quality is not null"), "doc_id").select(
-        "statistics", fold_of(F.col("doc_id")).alias("fold"), "quality").where("fold <> 1")
+        "statistics", fold_of(F.col("doc_id")).alias("fold"), F.col("quality").cast("int").alias("quality")).where("fold <> 1")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
@@ -185,8 +192,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text") -> Da
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                values = np.stack(batch.column(1).to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model(values))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model(_matrix(batch.column(1))))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return found.mapInArrow(score, f"doc_id {kind}, score double").select(
@@ -194,12 +200,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text") -> Da
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the rows predicted to be bad, columns as they are."""
+    """``docs`` without the rows predicted to be bad, columns as they are. Null texts are judged as empty ones, repeated
+    rows alike; without labels all rows stay; no rows give no rows."""
     labelled = docs.join(labels.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
     model = fit(written(training_rows(document_statistics(labelled, text), labels)))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model(np.array([statistics(t) for t in texts]).reshape(-1, STATISTICS)))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        scores = pa.array(model(np.array([statistics(t.as_py()) for t in texts]).reshape(-1, STATISTICS)))
+        pa.default_memory_pool().release_unused()
+        return scores
 
     return docs.where(score(whole(text)) >= 0.5)

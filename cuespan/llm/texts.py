@@ -43,5 +43,7 @@ def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], sc
         for batch in batches:
             if batch.num_rows:
                 yield make(batch)
+                # Workers live on for other stages; they should not hold what this one needed.
+                pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
