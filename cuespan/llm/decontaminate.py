@@ -118,7 +118,8 @@ def phrase_matches(index: DataFrame, windows: DataFrame, anchors: int = ANCHORS)
     """
     distinct = windows.select("window_id", "terms").distinct()
     parts = distinct.select("window_id", F.size("terms").alias("size"), F.posexplode("terms").alias("at", "term"))
-    common = index.where(F.col("term") != SIZE).groupBy("term").agg(F.sum(F.size("positions")).alias("common"))
+    # A table, so that words that stand in very many windows can be split in the join.
+    common = written(index.where(F.col("term") != SIZE).groupBy("term").agg(F.sum(F.size("positions")).alias("common")))
     # A window with a term that no document has cannot match.
     ranked = parts.join(common, "term").withColumns({
         "here": F.count("*").over(Window.partitionBy("window_id")),
@@ -183,7 +184,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """``docs`` without contaminated rows, columns as they are."""
+    """``docs`` without contaminated rows, columns as they are: see ``contamination``. Rows without words stay."""
     bad = contamination(docs, benchmark, window, text).where("contaminated").select(
         F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct()
     return (
