@@ -39,25 +39,28 @@ _CUTS = _Cuts()
 
 def sentences(text: str, long: int = LONG) -> list[tuple[int, int, list[str]]]:
     """``(start, end, words)`` in code points. A sentence ends at a word with a full stop, exclamation or
-    question mark, and at a line break. One of over ``long`` words is cut further, after commas and after words whose
-    checksum is a multiple of 6: places that depend on single words only, so that copies of a passage are cut alike
-    wherever they stand."""
+    question mark, and at a line break. One of over ``long`` words is cut further, after commas, after a word that
+    repeats the one before, and after words whose checksum is a multiple of 6: places that depend on these words only,
+    so that copies of a passage are cut alike wherever they stand."""
     found: list[tuple[int, int, list[str]]] = []
     for m in _SENTENCE.finditer(text):
         start, words = m.start(), m.group().split()
         if len(words) <= long:
             found.append((start, start + len(m.group().rstrip()), words))
             continue
-        part = 0
-        begin = at = start
+        plain = " ".join(words) == m.group()
+        part, begin, at, before = 0, start, start, ""
         for i, word in enumerate(words, 1):
-            at = text.index(word, at)
+            if not plain:
+                at = text.index(word, at)
             if i - 1 == part:
                 begin = at
             at += len(word)
-            if _CUTS[word] or i == len(words):
+            if _CUTS[word] or word == before or i == len(words):
                 found.append((begin, at, words[part:i]))
                 part = i
+            before = word
+            at += plain
     return found
 
 
