@@ -18,49 +18,69 @@ from cuespan.session import written
 RUN = 3
 LEAST_WORDS = 20
 LONG = 12
+NEAR = 5
 
 #: A sentence: up to a word that ends with a mark, to the end of its line, or of the text.
 _SENTENCE = re.compile(r"\S(?:[^\n]*?[.!?][\"')\]]*(?!\S)|[^\n]*)")
 _WORD = re.compile(r"\S+")
 
 
-class _Cuts(dict):
-    """Whether a long sentence may be cut after a word, worked out once for each word."""
+class _Ranks(dict):
+    """A word's rank among possible cuts of a long sentence, the least first, worked out once for each word."""
 
-    def __missing__(self, word: str) -> bool:
+    def __missing__(self, word: str) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        self[word] = cut = word[-1] in ",;:" or zlib.crc32(word.encode()) % 6 == 0
-        return cut
-
-
-_CUTS = _Cuts()
+        self[word] = rank = -1 if word[-1] in ",;:" else zlib.crc32(word.encode())
+        return rank
+
+
+_RANKS = _Ranks()
+
+
+def _cuts(words: list[str], near: int = NEAR) -> list[int]:
+    """The last word of each part of a long sentence: the word of least rank in each run of ``near`` words, the last
+    of equal ones, and the end."""
+    ranks, found, at = [_RANKS[w] for w in words], [], -1
+    for end in range(near - 1, len(words)):
+        first = end - near + 1
+        if at < first:
+            least = min(ranks[first:end + 1])
+            at = end
+            while ranks[at] != least:
+                at -= 1
+        elif ranks[end] <= ranks[at]:
+            at = end
+        if not found or found[-1] != at:
+            found.append(at)
+    if not found or found[-1] != len(words) - 1:
+        found.append(len(words) - 1)
+    return found
 
 
 def sentences(text: str, long: int = LONG) -> list[tuple[int, int, list[str]]]:
     """``(start, end, words)`` in code points. A sentence ends at a word with a full stop, exclamation or
-    question mark, and at a line break. One of over ``long`` words is cut further, after commas, after a word that
-    repeats the one before, and after words whose checksum is a multiple of 6: places that depend on these words only,
-    so that copies of a passage are cut alike wherever they stand."""
+    question mark, and at a line break. One of over ``long`` words is cut further, after the word of least rank in each
+    run of ``NEAR`` words: commas come first, then the least checksum. So no part has more than ``NEAR`` words, and
+    cuts depend on the ``NEAR`` - 1 words to either side only: copies of a passage are cut alike, but for its ends,
+    wherever they stand."""
     found: list[tuple[int, int, list[str]]] = []
     for m in _SENTENCE.finditer(text):
         start, words = m.start(), m.group().split()
         if len(words) <= long:
             found.append((start, start + len(m.group().rstrip()), words))
             continue
-        plain = " ".join(words) == m.group()
-        part, begin, at, before = 0, start, start, ""
-        for i, word in enumerate(words, 1):
-            if not plain:
-                at = text.index(word, at)
-            if i - 1 == part:
-                begin = at
-            at += len(word)
-            if _CUTS[word] or word == before or i == len(words):
-                found.append((begin, at, words[part:i]))
-                part = i
-            before = word
-            at += plain
+        plain, part, at = " ".join(words) == m.group(), 0, start
+        for last in _cuts(words):
+            own = words[part:last + 1]
+            if plain:
+                begin, at = at, at + sum(map(len, own)) + len(own) - 1
+            else:
+                begin = at = text.index(own[0], at)
+                for word in own:
+                    at = text.index(word, at) + len(word)
+            found.append((begin, at, own))
+            part, at = last + 1, at + plain
     return found
 
 

@@ -172,6 +172,30 @@ def test_passages_are_caught(spark):
             assert len(out[i]["text"].split()) <= 120 + 30 and out[i]["n_removed"] >= 1
 
 
+@pytest.mark.parametrize("marks", [[""], [""] * 9 + [".", ","], [""] * 12 + [". "]])
+def test_passages_inside_other_sentences(marks):
+    """By brute force: of each passage of 51 words, over half is in runs that its copy has too."""
+    import random
+
+    rnd = random.Random(5)
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(3000)]
+
+    def prose(n):
+        return " ".join(rnd.choice(vocabulary) + rnd.choice(marks) for _ in range(n))
+
+    for _ in range(1500):
+        passage = prose(51)
+        one, two = ((f"{prose(rnd.randint(5, 30))} {passage}", prose(rnd.randint(5, 30))) for _ in range(2))
+        places = []
+        for before, after in (one, two):
+            units = sentences.sentences(f"{before} {after}")
+            places.append([(h, units[a][0], units[b][1]) for h, a, b in sentences.spans(units)])
+        known, start = {h for h, *_ in places[0]}, len(two[0]) - len(passage)
+        covered = set().union(*(range(a, b) for h, a, b in places[1] if h in known))
+        starts = [start + i for i in range(len(passage)) if passage[i] != " " and (i == 0 or passage[i - 1] == " ")]
+        assert 2 * sum(i in covered for i in starts) > 51
+
+
 def test_substrings_odd_rows(none, repeated):
     assert sentences.remove_repeats(none).count() == 0
     rows = sentences.remove_repeats(repeated).collect()
