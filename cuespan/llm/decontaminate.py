@@ -127,16 +127,17 @@ def phrase_matches(index: DataFrame, windows: DataFrame, anchors: int = ANCHORS)
     ranked = written(ranked.drop("here", "common"))
     rare = ranked.where(F.col("nth") <= anchors)
     row = ["doc_id", "text_key", "window_id", "start"]
+    # Rows that repeat a doc_id and its text have a list each: which terms are there counts, not how often.
     places = written(
-        _adjusted(index.join(rare, "term")).groupBy(*row, "size").agg(F.count("*").alias("n"))
-        .where(F.col("n") == F.least("size", F.lit(anchors))).drop("n"))
+        _adjusted(index.join(rare, "term")).groupBy(*row, "size").agg(F.bit_or(F.expr("shiftleft(1L, nth - 1)")).alias("n"))
+        .where(F.bit_count("n") == F.least("size", F.lit(anchors))).drop("n"))
     rest = places.join(ranked.where(F.col("nth") > anchors).select("window_id", "at", "term"), "window_id")
     lists = index.where(F.col("term") != SIZE).select("term", F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "positions")
     checked = (
         rest.join(lists, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_key") == F.col("__key"))
                   & (rest["term"] == lists["term"]))
         .where(F.array_contains("positions", (F.col("start") + F.col("at")).cast("int")))
-        .groupBy(*row, "size").agg(F.count("*").alias("n")).where(F.col("n") == F.col("size") - anchors).drop("n")
+        .groupBy(*row, "size").agg(F.size(F.collect_set("at")).alias("n")).where(F.col("n") == F.col("size") - anchors).drop("n")
     )
     return places.where(F.col("size") <= anchors).unionByName(checked)
 

@@ -141,6 +141,20 @@ def test_contamination_odd_rows(spark, odd, none, repeated):
     assert decontaminate.contamination(odd, bench.where("false")).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 2, 3])
+def test_contamination_of_repeated_rows(spark, times):
+    """Each row as often as not: the verdict is that of the row alone."""
+    bench = spark.createDataFrame(BENCH[:2], "item_id bigint, text string")
+    own = [(1, "pad pad " + BENCH[0][1]), (2, "short item here"), (3, "short words"), (4, "item and item"), (5, None),
+           (6, " ".join(f"q{i}" for i in range(12))), (7, "q0 q1 q2 " + "pad " * 10)]
+    want = brute.contamination(own, BENCH[:2])
+    docs = spark.createDataFrame(own * times, "doc_id bigint, text string")
+    got = Counter((r["doc_id"], *tuple(r)[2:]) for r in decontaminate.contamination(docs, bench).collect())
+    assert got == Counter({(d, *r): times for d, r in want.items()}) and want[1][-1] and want[2][-1] and not want[3][-1]
+    left = Counter(r[0] for r in decontaminate.drop_contaminated(docs, bench).collect())
+    assert left == {d: times for d, r in want.items() if not r[-1]}
+
+
 def test_shards(spark, odd, repeated, none):
     assert shards.shuffled(none).count() == 0
     for docs, rows in ((odd, len(ODD)), (repeated, 2 * len(ODD) + 2), (documents(spark), 200)):
