@@ -1,4 +1,4 @@
-"""Near-duplicates by SimHash fingerprints, filtered by a table of pivot distances."""
+"""Near-duplicates by SimHash fingerprints, filtered by a table of pivot distances; near copies verified by shingles."""
 
 from __future__ import annotations
 
@@ -16,9 +16,16 @@ from cuespan.session import written
 
 SEED = 42
 PIVOTS = 24
-#: What ``drop_near_copies`` goes by: (width, seed); width 0 stands for distinct words.
+#: The fingerprints by which ``drop_near_copies`` proposes pairs: (width, seed); width 0 stands for distinct words.
 KINDS = ((3, SEED), (0, SEED), (0, SEED + 1))
 BITS = 64
+#: Near copies share this part of their distinct runs of SHINGLE words.
+SIMILAR = 0.8
+SHINGLE = 5
+#: Bands of least hashes: two texts that share 0.8 of their shingles miss all of them with a chance of 1 in 10 000.
+BANDS = 24
+BAND_ROWS = 5
+STARS = 3
 _CHUNK = 100_000
 
 
@@ -142,16 +149,62 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3, text: s
     return found.join(written(grouped.unionByName(alone)), "print").select("doc_id", "text_key", "print", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, kinds: tuple[tuple[int, int], ...] = KINDS, radius: int = 3, text: str = "text") -> DataFrame:
-    """``docs`` with one row, that of the smallest doc_id, for each group of near copies, columns as they are.
+def band_table(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(band, bucket, text_key)``: for each distinct text, ``BANDS`` hashes of ``BAND_ROWS`` least hashes of its runs of
+    ``SHINGLE`` words. Texts without words share all buckets."""
+    rng = np.random.default_rng(SEED)
+    times = rng.integers(0, 2**63, BANDS * BAND_ROWS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    plus = rng.integers(0, 2**63, BANDS * BAND_ROWS, np.int64).astype(np.uint64)
 
-    Texts are linked if, in any of ``kinds``, their fingerprints differ in ``radius`` bits at most. Beside the
-    fingerprint of shingles, two of distinct words see copies with scattered edits: one changed word counts once in
-    them, not once for each shingle over it. Groups are what links reach. Null texts count as empty, and all texts
-    without words are one group; rows that repeat a doc_id and its text leave one row; no rows give no rows.
-    """
-    found = written(fingerprints(docs, kinds, text))
-    prints = found.select("text_key", F.posexplode("prints").alias("kind", "print")).distinct()
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, digest = np.zeros((batch.num_rows, BANDS), np.int64), xxhash.xxh64_intdigest
+        for i, value in enumerate(batch.column(1)):
+            words = value.as_py().encode().translate(LOWER_BYTES).split()
+            hashes = np.array(list({digest(f) for f in shingles(words, SHINGLE)}) or [0], np.uint64)
+            # The upper half of a product depends on all bits of the hash; the lower one does not.
+            least = [int(((hashes * a + b) >> np.uint64(20)).min()) for a, b in zip(times, plus)]
+            rows = np.array(least, "<u8").reshape(BANDS, -1)
+            found[i] = [xxhash.xxh64_intdigest(r.tobytes()) >> 1 for r in rows]
+        owner = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)), pa.array(found.ravel()),
+             batch.column(0).take(owner)], ["band", "bucket", "text_key"])
+
+    return by_batch(docs.select(text_key(text).alias("text_key"), whole(text).alias("text")), make,
+                    "band int, bucket bigint, text_key bigint").distinct()
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, least: float = SIMILAR, text: str = "text") -> DataFrame:
+    """Those of ``pairs`` ``(a, b)`` of text keys whose texts share ``least`` or more of their distinct runs of
+    ``SHINGLE`` words, by the runs themselves. Two texts without words are alike."""
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("__end")).distinct())
+    texts = written(
+        docs.select(text_key(text).alias("__key"), whole(text).alias("text"))
+        .join(ends, F.col("__key") == F.col("__end"), "left_semi").dropDuplicates(["__key"]))
+    left, right = (texts.select(F.col("__key").alias(f"__{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    both = pairs.join(left, F.col("a") == F.col("__a")).join(right, F.col("b") == F.col("__b")).select("a", "b", "text_a", "text_b")
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ok, last, known = [], None, set()
+        for b, one, two in zip(batch.column(1), batch.column(2), batch.column(3)):
+            # Rows come in the order of b.
+            if b.as_py() != last:
+                last, known = b.as_py(), _runs(two.as_py())
+            own = _runs(one.as_py())
+            common = len(own & known)
+            ok.append(common >= least * (len(own) + len(known) - common))
+        return pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], ["a", "b"])
+
+    return by_batch(both, make, "a bigint, b bigint")
+
+
+def _runs(text: str) -> set[bytes]:
+    return set(shingles(text.encode().translate(LOWER_BYTES).split(), SHINGLE))
+
+
+def _proposed(docs: DataFrame, kinds: tuple[tuple[int, int], ...], radius: int, text: str) -> DataFrame:
+    """``(a, b)``: text keys with fingerprints within ``radius`` bits, each print standing for its first text."""
+    prints = written(fingerprints(docs, kinds, text).select("text_key", F.posexplode("prints").alias("kind", "print")).distinct())
     firsts = written(prints.groupBy("kind", "print").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last")))
     equal = prints.join(firsts.where("first <> last"), ["kind", "print"]).select(F.col("text_key").alias("a"), F.col("first").alias("b"))
     near = written(near_pairs(firsts, radius))
@@ -159,8 +212,59 @@ def drop_near_copies(docs: DataFrame, kinds: tuple[tuple[int, int], ...] = KINDS
     near = near.join(ends, (F.col("kind") == F.col("__kind")) & (F.col("a") == F.col("__print"))).select(
         "kind", F.col("first").alias("x"), "b").join(
         ends, (F.col("kind") == F.col("__kind")) & (F.col("b") == F.col("__print"))).select(F.col("x").alias("a"), F.col("first").alias("b"))
-    rooted = written(components(equal.unionByName(near)))
-    rows = found.select("doc_id", "text_key").join(rooted, F.col("text_key") == F.col("node"), "left").select(
+    return equal.unionByName(near)
+
+
+def similar_components(docs: DataFrame, kinds: tuple[tuple[int, int], ...] = KINDS, radius: int = 3, text: str = "text") -> DataFrame:
+    """``(node, root)`` of text keys that verified links join: see ``drop_near_copies``.
+
+    Pairs are proposed by fingerprints and by bands of least hashes. First, each text of a bucket meets a centre, which is
+    another one in each band and round. What is left then are pairs of one bucket and different components, and all
+    of them are verified: within a component there is nothing to be learned.
+    """
+    bands = written(band_table(docs, text))
+    shared = bands.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    bands = written(bands.join(written(shared), ["band", "bucket"]))
+    tried = links = rooted = None
+    for turn in range(STARS + 1):
+        if rooted is None:
+            open_ = bands.withColumn("root", F.col("text_key"))
+        else:
+            named = bands.join(rooted, F.col("text_key") == F.col("node"), "left").select(
+                "band", "bucket", "text_key", F.coalesce("root", "text_key").alias("root"))
+            named = written(named)
+            mixed = named.groupBy("band", "bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+            open_ = written(named.join(written(mixed.select("band", "bucket")), ["band", "bucket"]))
+        if turn < STARS:
+            order = F.struct(F.xxhash64("text_key", "band", F.lit(turn)), "text_key", "root")
+            centres = written(open_.groupBy("band", "bucket").agg(F.min(order).alias("centre")))
+            pairs = open_.join(centres, ["band", "bucket"]).where("root <> centre.root").select(
+                F.greatest("text_key", "centre.text_key").alias("a"), F.least("text_key", "centre.text_key").alias("b"))
+        else:
+            pairs = open_.alias("l").join(open_.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.bucket") == F.col("r.bucket"))
+                                          & (F.col("l.text_key") > F.col("r.text_key")) & (F.col("l.root") != F.col("r.root"))).select(
+                F.col("l.text_key").alias("a"), F.col("r.text_key").alias("b"))
+        if turn == 0:
+            pairs = pairs.unionByName(_proposed(docs, kinds, radius, text).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        pairs = pairs.where("a <> b").distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = written(similar_pairs(pairs, docs, SIMILAR, text))
+        links = found if links is None else links.unionByName(found)
+        rooted = written(components(links))
+    return rooted
+
+
+def drop_near_copies(docs: DataFrame, kinds: tuple[tuple[int, int], ...] = KINDS, radius: int = 3, text: str = "text") -> DataFrame:
+    """``docs`` with one row, that of the smallest doc_id, for each group of near copies, columns as they are.
+
+    Texts are linked if they share 0.8 or more of their distinct runs of five words, A-Z in lower case; every link is
+    verified on the texts. Pairs are proposed by fingerprints of ``kinds`` within ``radius`` bits and by bands of least
+    hashes. Groups are what links reach. Null texts count as empty, and all texts without words are one group; rows
+    that repeat a doc_id and its text leave one row; no rows give no rows.
+    """
+    rooted = similar_components(docs, kinds, radius, text)
+    rows = docs.select("doc_id", text_key(text).alias("text_key")).join(rooted, F.col("text_key") == F.col("node"), "left").select(
         F.struct(F.isnull("doc_id").alias("lost"), "doc_id", "text_key").alias("row"), F.coalesce("root", "text_key").alias("root"))
     kept = written(rows.groupBy("root").agg(F.min("row").alias("row"))).select(
         F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key"))

@@ -65,6 +65,44 @@ def test_near_copies_leave_one(spark, odd, none, repeated):
     assert sorted(r[0] for r in simhash.drop_near_copies(docs).select("doc_id").collect()) == [1, 3]
 
 
+def _near_groups(docs):
+    """doc_id to the smallest of its group, all pairs compared by their five-word runs."""
+    runs = {d: set(simhash.shingles(brute.lower(t).encode().split(), 5)) for d, t in docs}
+    root = {d: d for d in runs}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in runs:
+        for b in runs:
+            common = len(runs[a] & runs[b])
+            if a < b and common >= 0.8 * (len(runs[a]) + len(runs[b]) - common):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in runs}
+
+
+def test_near_copies_equal_loop(spark):
+    """Scattered edits stay copies; another order of the same words and less likeness do not."""
+    import random
+
+    rnd, docs = random.Random(4), []
+    for g in range(12):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice([8, 60, 200, 400]))]
+        docs += [base, rnd.sample(base, len(base))]
+        for edits in (1, 2, 4, 6, 9, 14, 20):
+            own = base[:]
+            for at in rnd.sample(range(len(own)), min(edits, len(own) // 2)):
+                own[at] = f"x{rnd.randrange(5000)}"
+            docs.append(own)
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    out = simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    want = set(_near_groups(docs).values())
+    assert {r[0] for r in out.select("doc_id").collect()} == want and 24 < len(want) < len(docs) - 12
+
+
 def test_simhash_odd_rows(none, repeated):
     assert simhash.simhash_components(none).count() == 0
     rows = simhash.simhash_components(repeated).collect()
