@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuespan.llm import decontaminate, exact, lines, packing, pii, quality, secrets, sentences, shards, simhash
-from cuespan.llm.texts import table
+from cuespan.llm import (
+    bpe, collocations, decontaminate, exact, lines, merkle, packing, pii, quality, secrets, sentences, shards, simhash)
+from cuespan.llm.texts import lowered, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -57,12 +58,39 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = [F.when(chosen, lowered(F.col("text"))).otherwise(F.col("text")) if f == "text" else F.col(f) for f in merkle.FIELDS]
+    found = merkle.manifest(docs, carry={"shown": merkle.leaf_digest(tampered)})
+    root, path = merkle.shown(F.col("root")), F.col("path")
+    return found.select(
+        "doc_id", merkle.shown(F.col("leaf")).alias("leaf"), merkle.shown(F.col("subroot")).alias("subroot"), root.alias("root"),
+        merkle.proof_sha256(path).alias("proof_sha256"), merkle.folded(F.col("shown"), path).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER), TOKENIZER)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), bpe.ids_sha256("ids").alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_exact_dedup, op3_line_dedup, op4_quality, op5_secrets, op6_pii, op7_packing, op8_decontamination,
-    op9_substring_dedup, op10_shards)}
+    op9_substring_dedup, op10_shards, op11_collocations, op12_manifest, op13_bpe)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR)) || ':' || {value}::VARCHAR, '-')"
+
+
 ORACLE_SQL = {
     "op2_exact_dedup": f"""
 WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
@@ -86,5 +114,58 @@ found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT
 SELECT d.id AS doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM words d LEFT JOIN hits h ON h.doc_id = d.id LEFT JOIN found f ON f.doc_id = d.id WHERE side = 'd'
+""",
+    "op11_collocations": f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+grams AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM words, (VALUES (1), (2), (3)) s(size) WHERE len(ws) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 10),
+cuts AS (SELECT lang, size, phrase, a, k, array_to_string(ws[:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+marks AS (SELECT cuts.*, h.f AS l, t.f AS r, 1000000::HUGEINT * a * a // (h.f::HUGEINT * t.f) AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail),
+best AS (SELECT * FROM marks QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(a) AS held
+  FROM (SELECT *, unnest(range(1, 3)) AS i FROM c WHERE size = 3) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_ USING (lang, phrase) WHERE held IS NULL OR 100 * held < 50 * a),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+""",
+    "op12_manifest": f"""
+WITH RECURSIVE crc AS (SELECT doc_id, 4294967295::BIGINT AS c, 0 AS i, doc_id::VARCHAR AS s FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END, i + 1, s
+  FROM (SELECT doc_id, s, i, CASE WHEN i % 8 = 0 THEN xor(c, ascii(s[i // 8 + 1])::BIGINT) ELSE c END AS x FROM crc WHERE i < 8 * len(s))),
+chosen AS (SELECT doc_id FROM crc WHERE i = 8 * len(s) AND xor(c, 4294967295::BIGINT) % 3 = 0),
+d AS (SELECT doc_id, coalesce('v' || lang, 'n') AS tree, {_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('n_chars')} AS head,
+    {_field('text')} AS body, CASE WHEN doc_id IN (FROM chosen) THEN {_field(_LOWER.replace("coalesce(text, '')", 'text'))} ELSE {_field('text')} END AS other
+  FROM documents),
+leaves AS (SELECT row_number() OVER () AS row, doc_id, tree, sha256(head || body) AS leaf, sha256(head || other) AS shown FROM d),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+nodes AS (SELECT tree, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL SELECT tree, any_value(level) + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(digest, '' ORDER BY pos))
+  FROM nodes WHERE n > 1 GROUP BY tree, pos // 8),
+subroots AS (SELECT tree, level, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS level, pos, n, digest FROM subroots
+  UNION ALL SELECT any_value(level) + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY pos // 8),
+sides AS (SELECT tree, level, pos, coalesce(string_agg(digest, '') OVER before, '') AS low, coalesce(string_agg(digest, '') OVER after, '') AS high
+  FROM nodes WHERE n > 1 WINDOW
+    before AS (PARTITION BY tree, level, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    after AS (PARTITION BY tree, level, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+topsides AS (SELECT level, pos, coalesce(string_agg(digest, '') OVER before, '') AS low, coalesce(string_agg(digest, '') OVER after, '') AS high
+  FROM tops WHERE n > 1 WINDOW
+    before AS (PARTITION BY level, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    after AS (PARTITION BY level, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+up AS (SELECT row, tree, 0 AS level, pos, shown AS folded, '' AS proof FROM placed
+  UNION ALL SELECT row, u.tree, u.level + 1, u.pos // 8, sha256(low || folded || high), proof || low || high
+  FROM up u JOIN sides s ON s.tree = u.tree AND s.level = u.level AND s.pos = u.pos),
+arrived AS (SELECT u.row, u.folded, u.proof, s.pos, s.digest AS subroot FROM up u JOIN subroots s ON s.tree = u.tree AND s.level = u.level),
+over AS (SELECT row, 0 AS level, pos, folded, proof, subroot FROM arrived
+  UNION ALL SELECT row, o.level + 1, o.pos // 8, sha256(low || folded || high), proof || low || high, subroot
+  FROM over o JOIN topsides s ON s.level = o.level AND s.pos = o.pos)
+SELECT doc_id, leaf, subroot, t.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.digest AS verified
+FROM placed JOIN over USING (row) JOIN tops t ON t.n = 1 AND t.level = over.level
 """,
 }
