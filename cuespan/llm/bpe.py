@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -15,9 +16,11 @@ from cuespan.llm.texts import by_batch, text_key, whole
 from cuespan.session import ship, written
 
 #: The most words whose ids are handed to every task; the ids of the others come through a shuffle.
-FREQUENT = 300_000
-#: A task hands on its counts of words when it holds so many.
-HELD = 300_000
+FREQUENT = 500_000
+#: A task hands on its counts, and forgets how it cut what it has seen, when it holds so many strings.
+HELD = 600_000
+#: Words that occur so often or more are not told apart by their frequency.
+OFTEN = 1024
 
 _loaded: dict[object, object] = {}
 
@@ -34,35 +37,65 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def splitter(path: str) -> Callable[[str], list[str]]:
-    """Texts to words, which a tokenizer encodes each for itself: its added tokens, and what its own rule cuts the rest into.
+def splitter(path: str) -> tuple[Callable[[str], list[str]], Callable[[str], list[str]]]:
+    """``(chunks, words)``: a text's chunks, and a chunk's words, which a tokenizer encodes each for itself.
 
-    Texts of plain characters are cut by the public pattern; all others by the tokenizer itself, as tables of
-    character classes may differ between libraries.
+    Words are added tokens, and what the tokenizer's own rule cuts the rest into. A blank before what is no blank always
+    begins a word, so a text of plain characters is cut there, and each distinct chunk, by the public
+    pattern, only once. All other texts are cut by the tokenizer itself, as tables of character classes may
+    differ between libraries; their chunks are their words.
     """
     if ("split", path) not in _loaded:
+        import re
+
         import public_tokenizers
         import regex
 
         tokenizer = _tokenizer(path)
-        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
-        rule, odd = regex.compile(public_tokenizers.PATTERN).findall, regex.compile("[^\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]").search
-        cut = tokenizer.pre_tokenizer.pre_tokenize_str
-
-        def words(text: str) -> list[str]:
-            return [text[a:b] for _, (a, b) in cut(text)] if odd(text) else rule(text)
-
-        def split(text: str) -> list[str]:
+        added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        odd, wide = re.compile("[^\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]").search, re.compile(" (?:[ \\t\\n\\r]|$)").search
+        apart, rule, cut = re.compile("(?= [^ \\t\\n\\r])").split, regex.compile(public_tokenizers.PATTERN).findall, tokenizer.pre_tokenizer.pre_tokenize_str
+
+        def plain(text: str) -> list[str]:
+            if odd(text):
+                return [text[a:b] for _, (a, b) in cut(text)]
+            if wide(text):
+                return apart(text)
+            first, *rest = text.split(" ")
+            return [first, *[" " + x for x in rest]]
+
+        def chunks(text: str) -> list[str]:
             if not special or not special.search(text):
-                return words(text)
+                return plain(text)
             parts = special.split(text)
-            return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else words(part))]
+            return [c for i, part in enumerate(parts) for c in ([part] if i % 2 else plain(part))]
 
-        _loaded["split", path] = split
+        def words(chunk: str) -> list[str]:
+            return [chunk] if odd(chunk) or chunk in added else rule(chunk)
+
+        _loaded["split", path] = chunks, words
     return _loaded["split", path]
 
 
+def split(tokenizer: str, text: str) -> list[str]:
+    chunks, words = splitter(tokenizer)
+    return [w for c in chunks(text) for w in words(c)]
+
+
+class _Known(dict):
+    """What each distinct chunk comes to, worked out when it is met first."""
+
+    def __init__(self, make: Callable[[str], object]) -> None:
+        self.make = make
+
+    def __missing__(self, chunk: str):
+        if len(self) >= HELD:
+            self.clear()
+        self[chunk] = found = self.make(chunk)
+        return found
+
+
 def _bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
@@ -73,18 +106,23 @@ def word_table(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = splitter(tokenizer), Counter()
+        (chunks, words), counts = splitter(tokenizer), Counter()
 
         def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            each = Counter()
+            for chunk, n in counts.items():
+                for word in words(chunk):
+                    each[word] += n
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(each.keys(), pa.string()), pa.array(each.values(), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for value in batch.column(0):
-                counts.update(split(value.as_py()))
+                counts.update(chunks(value.as_py()))
                 if len(counts) >= HELD:
                     yield told()
-                    counts.clear()
         yield told()
+        pa.default_memory_pool().release_unused()
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = _tokenizer(tokenizer).encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
@@ -95,56 +133,68 @@ def word_table(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame
 
 
 def _frequent(words: DataFrame, most: int) -> tuple[int, Broadcast]:
-    """``(least, ids)``: words that occur ``least`` times or more, a power of two at which there are at most ``most`` of them."""
-    steps = words.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).count().collect()
-    total, least = 0, 2 ** 63 - 1
-    for row in sorted(steps, reverse=True):
-        total += row["count"]
+    """``(least, table)``: words that occur ``least`` times or more, of which there are at most ``most``, and their ids, the
+    most frequent first."""
+    steps = words.groupBy(F.least("n", F.lit(OFTEN)).alias("n")).agg(F.count("*").alias("words")).collect()
+    total, least = 0, 2**63 - 1
+    for n, count in sorted(steps, reverse=True):
+        total += count
         if total > most:
             break
-        least = 2 ** row["step"]
-    table = {r["word"]: bytes(r["ids"]) for r in words.where(F.col("n") >= least).select("word", "ids").toLocalIterator()}
-    return least, words.sparkSession.sparkContext.broadcast(table)
+        least = n
+    table = words.where(F.col("n") >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    return least, words.sparkSession.sparkContext.broadcast((table["word"].tolist(), [bytes(x) for x in table["ids"]]))
+
+
+def _numbers(table: Broadcast) -> dict[str, int]:
+    """Numbers of the frequent words, from 1, made once per Python worker and broadcast."""
+    if _loaded.get("numbers", (None,))[0] is not table.value:
+        _loaded["numbers"] = table.value, {word: i for i, word in enumerate(table.value[0], 1)}
+    return _loaded["numbers"][1]
+
+
+def _packed(numbers: list[int]) -> bytes:
+    """Numbers below 2^24, their low bytes first, then the others: few bytes for frequent words."""
+    planes = np.array(numbers, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
+    return zlib.compress(planes.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(3, -1).astype(np.int64)
+    return planes[0] | planes[1] << 8 | planes[2] << 16
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """``(doc_id, text_key, ids)`` per row of ``docs``: the ids that ``tokenizer`` (a file of the tokenizers library, byte-level
     BPE) gives for the whole text without special tokens put in; such tokens in a text are themselves.
 
-    Words are split in Spark and encoded once each; ids come back by position. The ids of at most ``frequent`` words
-    are broadcast. Any other word's place is left open in its document, and a shuffle brings its ids there.
+    Words are split in Spark and encoded once each; ids come back by position. A document travels as the numbers of its
+    words. At most ``frequent`` words, fewer than 2^24, have one, and their ids are broadcast. Any other word leaves its
+    place open, and a shuffle brings its ids there.
     Null texts count as empty and have no ids. Rows may repeat, and each has its ids; a null doc_id is told apart
     from others by its text. No rows give no rows. Other columns are not read.
     """
     words = word_table(docs, tokenizer, text)
-    least, known = _frequent(words, frequent)
+    least, table = _frequent(words, frequent)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_key(text).alias("text_key"), whole(text).alias("text"))
 
     def places(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """What the frequent words come to, and the bytes of it after which another word's belong."""
-        split, find = splitter(tokenizer), known.value.get
-        all_ids, all_holes = [], []
+        (chunks, cut), find, found = splitter(tokenizer), _numbers(table).get, []
+        known = _Known(lambda chunk: [find(w, 0) for w in cut(chunk)])
         for value in batch.column(2):
-            ids, holes, at = [], [], 0
-            for word in split(value.as_py()):
-                own = find(word)
-                if own is None:
-                    holes.append(at)
-                else:
-                    ids.append(own)
-                    at += len(own)
-            all_ids.append(_narrow(b"".join(ids)))
-            all_holes.append(holes)
-        return pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], pa.array(all_ids, pa.binary()), pa.array(all_holes, pa.list_(pa.int32()))],
-            ["doc_id", "text_key", "ids", "holes"])
+            numbers: list[int] = []
+            for chunk in chunks(value.as_py()):
+                numbers += known[chunk]
+            found.append(_packed(numbers))
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["doc_id", "text_key", "numbers"])
 
     def missing(batch: pa.RecordBatch) -> pa.RecordBatch:
-        split, table = splitter(tokenizer), known.value
+        (chunks, cut), have = splitter(tokenizer), _numbers(table)
+        known = _Known(lambda chunk: [w for w in cut(chunk) if w not in have])
         at, nth, found = [], [], []
         for i, value in enumerate(batch.column(2)):
-            own = [w for w in split(value.as_py()) if w not in table]
+            own = [w for chunk in chunks(value.as_py()) for w in known[chunk]]
             at.extend([i] * len(own))
             nth.extend(range(len(own)))
             found.extend(own)
@@ -161,34 +211,23 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", frequent: int =
     )
 
     def filled(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out, offsets = [], [0]
-        for ids, holes, rare in zip(*(batch.column(i) for i in (2, 3, 4))):
-            ids, holes = _wide(ids.as_py()), holes.as_py()
-            if holes:
+        ids_of, out, offsets = [b"", *table.value[1]], [], [0]
+        for packed, rare in zip(batch.column(2), batch.column(3)):
+            numbers = _unpacked(packed.as_py())
+            ids = [ids_of[n] for n in numbers.tolist()]
+            if rare.is_valid:
                 own = {r["nth"]: r["ids"] for r in rare.as_py()}
-                ends = [*holes[1:], len(ids)]
-                ids = ids[:holes[0]] + b"".join(own[i] + ids[a:b] for i, (a, b) in enumerate(zip(holes, ends)))
-            out.append(ids)
-            offsets.append(offsets[-1] + len(ids) // 4)
+                for nth, place in enumerate(np.flatnonzero(numbers == 0).tolist()):
+                    ids[place] = own[nth]
+            out.append(b"".join(ids))
+            offsets.append(offsets[-1] + len(out[-1]) // 4)
         values = pa.array(np.frombuffer(b"".join(out), "<i4"))
         return pa.RecordBatch.from_arrays(
             [*batch.columns[:2], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], ["doc_id", "text_key", "ids"])
 
-    met = by_batch(rows, places, f"doc_id {kind}, text_key bigint, ids binary, holes array<int>").join(
+    met = by_batch(rows, places, f"doc_id {kind}, text_key bigint, numbers binary").join(
         rare, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_key") == F.col("__key")), "left")
-    return by_batch(met.select("doc_id", "text_key", "ids", "holes", "rare"), filled, f"doc_id {kind}, text_key bigint, ids array<int>")
-
-
-def _narrow(ids: bytes) -> bytes:
-    """Four-byte ids on their way through a shuffle: the low halves, then the high ones if any is not zero."""
-    halves = np.frombuffer(ids, "<u2").reshape(-1, 2)
-    return halves[:, 0].tobytes() + (halves[:, 1].tobytes() + b"\x01" if halves[:, 1].any() else b"")
-
-
-def _wide(ids: bytes) -> bytes:
-    parts = 2 if len(ids) % 2 else 1
-    halves = np.frombuffer(ids[:len(ids) // 2 * 2], "<u2").reshape(parts, -1)
-    return (halves[0].astype("<u4") + (halves[1].astype("<u4") << 16 if parts == 2 else 0)).astype("<u4").tobytes()
+    return by_batch(met.select("doc_id", "text_key", "numbers", "rare"), filled, f"doc_id {kind}, text_key bigint, ids array<int>")
 
 
 def piece_table(spark: SparkSession, tokenizer: str) -> DataFrame:
