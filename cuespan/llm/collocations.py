@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespan.llm.texts import lowered, whole
+from cuespan.llm.texts import whole
 from cuespan.session import written
 
-MARKS = "[.,;:!?\\x0A-\\x0D]"
+#: What parts pieces, and beside the blank, words.
+MARKS = ".,;:!?\n\x0b\x0c\r"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SUPPORT = 10
 LONGEST = 3
 SHARDS = 4
@@ -24,17 +26,22 @@ NO_LANG = "und"
 def word_places(docs: DataFrame, shards: int = SHARDS, text: str = "text") -> DataFrame:
     """``(lang, shard, words, at)``: every word of every piece, with the words of its piece. Equal texts share a shard."""
     part = F.pmod(F.xxhash64(whole(text)), F.lit(shards)).cast("int")
-    pieces = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), part.alias("shard"),
-                         F.explode(F.split(lowered(whole(text)), MARKS)).alias("piece"))
-    worded = pieces.select("lang", "shard", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''").select(
-        "lang", "shard", F.split("piece", "[ \t]+").alias("words"))
+    # One character stands for each kind of mark, as that is what splits fast.
+    plain = F.translate(whole(text), _UPPER + MARKS + "\t", _UPPER.lower() + "\n" * len(MARKS) + " ")
+    pieces = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), part.alias("shard"), F.explode(F.split(plain, "\n")).alias("piece"))
+    worded = pieces.where("piece <> ''").select("lang", "shard", F.array_remove(F.split("piece", " "), "").alias("words"))
     return worded.select("lang", "shard", "words", F.posexplode("words").alias("at", "word")).drop("word")
 
 
-def _phrase_hash(size: int) -> Column:
-    """A hash of the phrase of ``size`` words that begins here; null where the piece ends before."""
+def _phrase_hash(size: int, shards: int) -> Column:
+    """A hash of the phrase of ``size`` words that begins here, less the bits that a shard's number takes; null where the
+    piece ends before."""
     words = [F.get("words", F.col("at") + i) for i in range(size)]
-    return F.when(words[-1].isNotNull(), F.xxhash64("lang", *words))
+    return F.when(words[-1].isNotNull(), F.shiftrightunsigned(F.xxhash64("lang", *words), _shard_bits(shards)))
+
+
+def _shard_bits(shards: int) -> int:
+    return max(1, (shards - 1).bit_length())
 
 
 def local_supports(docs: DataFrame, support: int, shards: int, text: str) -> dict[int, int]:
@@ -45,27 +52,32 @@ def local_supports(docs: DataFrame, support: int, shards: int, text: str) -> dic
     return {shard: -(-support * n // sum(size.values())) for shard, n in size.items()}
 
 
-def candidate_filter(places: DataFrame, supports: dict[int, int], longest: int, bits: int = FILTER_BITS) -> DataFrame:
+def candidate_filter(places: DataFrame, supports: dict[int, int], longest: int, shards: int, bits: int = FILTER_BITS) -> DataFrame:
     """``(bucket, mask)``: a bit for the hash of each phrase that some shard finds frequent.
 
     Every shard is mined completely: all its phrases are counted by hash. Hashes or bits that meet let more phrases
     pass, never fewer. There are 2 to the power of ``bits`` - 6 rows at most, whatever the input.
     """
-    grams = places.select("shard", F.explode(F.array(*[_phrase_hash(n) for n in range(2, longest + 1)])).alias("h")).where("h is not null")
-    least = reduce(lambda rest, s: F.when(F.col("shard") == s[0], s[1]).otherwise(rest), supports.items(), F.lit(1))
-    found = grams.groupBy("shard", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    own = _shard_bits(shards)
+    grams = places.select("shard", F.explode(F.array(*[_phrase_hash(n, shards) for n in range(2, longest + 1)])).alias("h")).where("h is not null")
+    # One number for shard and hash: few bytes to sort and to send.
+    counted = grams.select(F.shiftleft("h", own).bitwiseOR(F.col("shard").cast("bigint")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    shard = F.col("key").bitwiseAND(F.lit((1 << own) - 1))
+    least = reduce(lambda rest, s: F.when(shard == s[0], s[1]).otherwise(rest), supports.items(), F.lit(1))
+    p = F.shiftrightunsigned("key", own).bitwiseAND(F.lit((1 << bits) - 1))
     return written(
-        found.select(F.pmod("h", F.lit(1 << bits)).alias("p")).select(F.shiftright("p", 6).alias("bucket"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
+        counted.where(F.col("n") >= least).select(p.alias("p"))
+        .select(F.shiftright("p", 6).alias("bucket"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
         .groupBy("bucket").agg(F.bit_or("bit").alias("mask")))
 
 
-def phrase_counts(places: DataFrame, candidates: DataFrame, support: int, longest: int, bits: int = FILTER_BITS) -> DataFrame:
+def phrase_counts(places: DataFrame, candidates: DataFrame, support: int, longest: int, shards: int, bits: int = FILTER_BITS) -> DataFrame:
     """``(lang, size, phrase, f)``: exact counts over all shards, of every word and of the candidates that have ``support``."""
     sizes = [F.struct(F.lit(1).alias("size"), F.lit(None).cast("bigint").alias("h"))]
-    sizes += [F.struct(F.lit(n).alias("size"), _phrase_hash(n).alias("h")) for n in range(2, longest + 1)]
+    sizes += [F.struct(F.lit(n).alias("size"), _phrase_hash(n, shards).alias("h")) for n in range(2, longest + 1)]
     grams = (
         places.select("lang", "words", "at", F.inline(F.array(*sizes))).where("size = 1 or h is not null")
-        .withColumn("p", F.pmod("h", F.lit(1 << bits))).withColumn("own", F.shiftright("p", 6))
+        .withColumn("p", F.col("h").bitwiseAND(F.lit((1 << bits) - 1))).withColumn("own", F.shiftright("p", 6))
     )
     passed = grams.join(F.broadcast(candidates), F.col("own") == F.col("bucket"), "left").where(
         "size = 1 or (mask & shiftleft(1L, cast(p & 63 as int))) <> 0")
@@ -125,7 +137,7 @@ def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST
     """
     supports = local_supports(docs, support, shards, text)
     places = word_places(docs, shards, text)
-    counts = phrase_counts(places, candidate_filter(places, supports, longest), support, longest)
+    counts = phrase_counts(places, candidate_filter(places, supports, longest, shards), support, longest, shards)
     best = scored(counts, longest)
     if longest > 2:
         best = best.join(_held(counts, longest).hint("merge"), (F.col("lang") == F.col("__lang")) & (F.col("phrase") == F.col("__phrase")), "left").where(
