@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -16,9 +15,11 @@ from cuespan.llm.texts import by_batch, text_key, whole
 from cuespan.session import ship, written
 
 #: The most words whose ids are handed to every task; the ids of the others come through a shuffle.
-FREQUENT = 500_000
-#: A task hands on its counts, and forgets how it cut what it has seen, when it holds so many strings.
-HELD = 600_000
+FREQUENT = 300_000
+#: A task tells of words that it has so often; the others are not frequent.
+LOCAL = 3
+#: A task hands on its counts when it holds so many.
+HELD = 400_000
 #: Words that occur so often or more are not told apart by their frequency.
 OFTEN = 1024
 
@@ -37,13 +38,12 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def splitter(path: str) -> tuple[Callable[[str], list[str]], Callable[[str], list[str]]]:
-    """``(chunks, words)``: a text's chunks, and a chunk's words, which a tokenizer encodes each for itself.
+def splitter(path: str) -> tuple[str, Callable[[str], list[str]]]:
+    """``(odd, words)``: a pattern of texts that are not plain, and any text's words, each of which a tokenizer encodes for itself:
+    its added tokens, and what its own rule cuts the rest into.
 
-    Words are added tokens, and what the tokenizer's own rule cuts the rest into. A blank before what is no blank always
-    begins a word, so a text of plain characters is cut there, and each distinct chunk, by the public
-    pattern, only once. All other texts are cut by the tokenizer itself, as tables of character classes may
-    differ between libraries; their chunks are their words.
+    Plain characters are cut by the public pattern; all others by the tokenizer itself, as tables of character
+    classes may differ between libraries.
     """
     if ("split", path) not in _loaded:
         import re
@@ -53,172 +53,201 @@ def splitter(path: str) -> tuple[Callable[[str], list[str]], Callable[[str], lis
 
         tokenizer = _tokenizer(path)
         added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        odd, wide = re.compile("[^\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]").search, re.compile(" (?:[ \\t\\n\\r]|$)").search
-        apart, rule, cut = re.compile("(?= [^ \\t\\n\\r])").split, regex.compile(public_tokenizers.PATTERN).findall, tokenizer.pre_tokenizer.pre_tokenize_str
-
-        def plain(text: str) -> list[str]:
-            if odd(text):
-                return [text[a:b] for _, (a, b) in cut(text)]
-            if wide(text):
-                return apart(text)
-            first, *rest = text.split(" ")
-            return [first, *[" " + x for x in rest]]
-
-        def chunks(text: str) -> list[str]:
-            if not special or not special.search(text):
-                return plain(text)
-            parts = special.split(text)
-            return [c for i, part in enumerate(parts) for c in ([part] if i % 2 else plain(part))]
-
-        def words(chunk: str) -> list[str]:
-            return [chunk] if odd(chunk) or chunk in added else rule(chunk)
-
-        _loaded["split", path] = chunks, words
+        strange = "[^\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]"
+        special = "(" + "|".join(map(re.escape, added)) + ")" if added else None
+        rule, cut = regex.compile(public_tokenizers.PATTERN).findall, tokenizer.pre_tokenizer.pre_tokenize_str
+        search = re.compile(strange).search
+        apart = re.compile(special).split if special else lambda text: [text]
+
+        def words(text: str) -> list[str]:
+            found = []
+            for i, part in enumerate(apart(text)):
+                found += [part] if i % 2 else [part[a:b] for _, (a, b) in cut(part)] if search(part) else rule(part)
+            return found
+
+        _loaded["split", path] = "|".join([strange, " [ \\t\\n\\r]", " $", *([special] if special else [])]), words
     return _loaded["split", path]
 
 
 def split(tokenizer: str, text: str) -> list[str]:
-    chunks, words = splitter(tokenizer)
-    return [w for c in chunks(text) for w in words(c)]
+    return splitter(tokenizer)[1](text)
 
 
-class _Known(dict):
-    """What each distinct chunk comes to, worked out when it is met first."""
+def _chunks(texts: pa.Array, odd: str) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """``(order, distinct, numbers, ends)``: rows in another order, the distinct chunks of all, and each row's chunks as their
+    numbers, one row after the other.
 
-    def __init__(self, make: Callable[[str], object]) -> None:
-        self.make = make
-
-    def __missing__(self, chunk: str):
-        if len(self) >= HELD:
-            self.clear()
-        self[chunk] = found = self.make(chunk)
-        return found
+    A blank before what is no blank always begins a word, so plain texts are cut there, and each distinct chunk
+    is cut into words only once. A text that is ``odd`` is one chunk.
+    """
+    import pyarrow.compute as pc
+
+    strange = pc.match_substring_regex(texts, odd).to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(texts.filter(pa.array(~strange)), " ")
+    ends, flat = np.diff(lists.offsets.to_numpy()).cumsum(), lists.flatten()
+    first = np.zeros(len(flat), bool)
+    first[np.concatenate([[0], ends[:-1]]).astype(np.int64)[:len(ends)]] = True
+    spaced = pc.binary_join_element_wise(pa.scalar(""), flat.filter(pa.array(~first)), " ")
+    coded = pa.concat_arrays([spaced, flat.filter(pa.array(first)), texts.filter(pa.array(strange))]).dictionary_encode()
+    codes = coded.indices.to_numpy()
+    numbers = np.empty(len(flat), np.int64)
+    numbers[~first], numbers[first] = codes[:len(spaced)], codes[len(spaced):len(flat)]
+    order = np.concatenate([np.flatnonzero(~strange), np.flatnonzero(strange)])
+    base = ends[-1] if len(ends) else 0
+    return order, coded.dictionary.to_pylist(), np.concatenate([numbers, codes[len(flat):]]), np.concatenate([ends, base + 1 + np.arange(strange.sum())])
+
+
+def _spread(lists: list[list[int]], numbers: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The members of each numbered list, one after the other, and where the rows end in them."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat = np.fromiter((x for own in lists for x in own), np.int64, int(sizes.sum()))
+    begins, lengths = np.cumsum(sizes) - sizes, sizes[numbers]
+    upto = np.cumsum(lengths)
+    members = flat[np.repeat(begins[numbers] - upto + lengths, lengths) + np.arange(int(lengths.sum()))]
+    return members, np.concatenate([[0], upto])[ends]
 
 
 def _bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def word_table(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """``(word, n, ids)``: every distinct word of ``docs``, how often it is there, and its ids, little-endian in four
-    bytes each. Tasks count before the shuffle; each distinct word is encoded once."""
+def _encoded(tokenizer: str, words: list[str]) -> list[bytes]:
+    return [_bytes(e.ids) for e in _tokenizer(tokenizer).encode_batch(words, add_special_tokens=False)]
+
+
+def frequent_words(docs: DataFrame, tokenizer: str, most: int = FREQUENT, text: str = "text") -> DataFrame:
+    """``(word, n, ids)``: at most ``most`` words, the most frequent, and their ids, little-endian in four bytes each.
+
+    ``n`` counts what tasks that have a word ``LOCAL`` times or more have of it, so that the long tail of words stays out
+    of the shuffle. Which words are taken decides about the way ids go, never about the ids.
+    """
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (chunks, words), counts = splitter(tokenizer), Counter()
+        (odd, words), counts = splitter(tokenizer), Counter()
 
         def told() -> pa.RecordBatch:
-            each = Counter()
-            for chunk, n in counts.items():
-                for word in words(chunk):
-                    each[word] += n
+            each = [(w, n) for w, n in counts.items() if n >= LOCAL]
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(each.keys(), pa.string()), pa.array(each.values(), pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in each], pa.string()), pa.array([n for _, n in each], pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for value in batch.column(0):
-                counts.update(chunks(value.as_py()))
-                if len(counts) >= HELD:
-                    yield told()
+            _, distinct, numbers, _ = _chunks(batch.column(0), odd)
+            for chunk, n in zip(distinct, np.bincount(numbers, minlength=len(distinct)).tolist()):
+                for word in words(chunk):
+                    counts[word] += n
+            if len(counts) >= HELD:
+                yield told()
         yield told()
         pa.default_memory_pool().release_unused()
 
-    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = _tokenizer(tokenizer).encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([_bytes(e.ids) for e in found], pa.binary())], ["word", "n", "ids"])
-
-    counted = docs.select(whole(text).alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return written(by_batch(counted, encode, "word string, n bigint, ids binary"))
-
-
-def _frequent(words: DataFrame, most: int) -> tuple[int, Broadcast]:
-    """``(least, table)``: words that occur ``least`` times or more, of which there are at most ``most``, and their ids, the
-    most frequent first."""
-    steps = words.groupBy(F.least("n", F.lit(OFTEN)).alias("n")).agg(F.count("*").alias("words")).collect()
+    counted = written(docs.select(whole(text).alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     total, least = 0, 2**63 - 1
-    for n, count in sorted(steps, reverse=True):
-        total += count
+    steps = counted.groupBy(F.least("n", F.lit(OFTEN)).alias("n")).agg(F.count("*").alias("words")).collect()
+    for n, words in sorted(steps, reverse=True):
+        total += words
         if total > most:
             break
         least = n
-    table = words.where(F.col("n") >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
-    return least, words.sparkSession.sparkContext.broadcast((table["word"].tolist(), [bytes(x) for x in table["ids"]]))
+
+    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(_encoded(tokenizer, batch.column(0).to_pylist()), pa.binary())], ["word", "n", "ids"])
+
+    return written(by_batch(counted.where(F.col("n") >= least), encode, "word string, n bigint, ids binary"))
 
 
 def _numbers(table: Broadcast) -> dict[str, int]:
     """Numbers of the frequent words, from 1, made once per Python worker and broadcast."""
     if _loaded.get("numbers", (None,))[0] is not table.value:
-        _loaded["numbers"] = table.value, {word: i for i, word in enumerate(table.value[0], 1)}
+        _loaded["numbers"] = table.value, {word: i for i, word in enumerate(table.value[0].to_pylist(), 1)}
     return _loaded["numbers"][1]
 
 
-def _packed(numbers: list[int]) -> bytes:
-    """Numbers below 2^24, their low bytes first, then the others: few bytes for frequent words."""
-    planes = np.array(numbers, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
-    return zlib.compress(planes.tobytes(), 1)
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^21, seven bits to a byte, the last byte of each with the eighth bit set: few bytes for frequent words."""
+    parts = np.stack([numbers >> 14, numbers >> 7 & 127, numbers & 127 | 128], 1)
+    used = np.stack([numbers >= 1 << 14, numbers >= 1 << 7, np.ones(len(numbers), bool)], 1)
+    return parts.astype(np.uint8)[used].tobytes()
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(3, -1).astype(np.int64)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
+    raw = np.frombuffer(packed, np.uint8).astype(np.int64)
+    last = np.flatnonzero(raw >> 7)
+    size = np.diff(last, prepend=-1)
+    found = raw[last] & 127
+    for back in (1, 2):
+        more = size > back
+        found[more] |= raw[last[more] - back] << 7 * back
+    return found
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """``(doc_id, text_key, ids)`` per row of ``docs``: the ids that ``tokenizer`` (a file of the tokenizers library, byte-level
     BPE) gives for the whole text without special tokens put in; such tokens in a text are themselves.
 
-    Words are split in Spark and encoded once each; ids come back by position. A document travels as the numbers of its
-    words. At most ``frequent`` words, fewer than 2^24, have one, and their ids are broadcast. Any other word leaves its
-    place open, and a shuffle brings its ids there.
+    Words are split in Spark, and each distinct one is encoded once. Those of at most ``frequent`` words, fewer than
+    2^21, are a table that is broadcast, and a document travels as their numbers. Any other word leaves its place open;
+    it goes, with its place, to the task that has all rows of that word and encodes it, and its ids join the document by position.
     Null texts count as empty and have no ids. Rows may repeat, and each has its ids; a null doc_id is told apart
     from others by its text. No rows give no rows. Other columns are not read.
     """
-    words = word_table(docs, tokenizer, text)
-    least, table = _frequent(words, frequent)
+    known = frequent_words(docs, tokenizer, frequent, text).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    table = docs.sparkSession.sparkContext.broadcast((known["word"].combine_chunks(), known["ids"].combine_chunks()))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_key(text).alias("text_key"), whole(text).alias("text"))
 
     def places(batch: pa.RecordBatch) -> pa.RecordBatch:
-        (chunks, cut), find, found = splitter(tokenizer), _numbers(table).get, []
-        known = _Known(lambda chunk: [find(w, 0) for w in cut(chunk)])
-        for value in batch.column(2):
-            numbers: list[int] = []
-            for chunk in chunks(value.as_py()):
-                numbers += known[chunk]
-            found.append(_packed(numbers))
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["doc_id", "text_key", "numbers"])
+        (odd, words), find = splitter(tokenizer), _numbers(table).get
+        order, distinct, numbers, ends = _chunks(batch.column(2), odd)
+        members, ends = _spread([[find(w, 0) for w in words(c)] for c in distinct], numbers, ends)
+        found = [_packed(members[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(i).take(pa.array(order)) for i in (0, 1)), pa.array(found, pa.binary())], ["doc_id", "text_key", "numbers"])
 
     def missing(batch: pa.RecordBatch) -> pa.RecordBatch:
-        (chunks, cut), have = splitter(tokenizer), _numbers(table)
-        known = _Known(lambda chunk: [w for w in cut(chunk) if w not in have])
-        at, nth, found = [], [], []
-        for i, value in enumerate(batch.column(2)):
-            own = [w for chunk in chunks(value.as_py()) for w in known[chunk]]
-            at.extend([i] * len(own))
-            nth.extend(range(len(own)))
-            found.extend(own)
-        at = pa.array(at, pa.int64())
+        (odd, words), have = splitter(tokenizer), _numbers(table)
+        order, distinct, numbers, ends = _chunks(batch.column(2), odd)
+        rare: dict[str, int] = {}
+        members, ends = _spread([[rare.setdefault(w, len(rare)) for w in words(c) if w not in have] for c in distinct], numbers, ends)
+        counts = np.diff(ends, prepend=0)
+        at = pa.array(np.repeat(order, counts))
+        nth = np.arange(len(members)) - np.repeat(ends - counts, counts)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), batch.column(1).take(at), pa.array(nth, pa.int32()), pa.array(found, pa.string())],
+            [batch.column(0).take(at), batch.column(1).take(at), pa.array(nth.astype(np.int32)), pa.array(rare.keys(), pa.string()).take(pa.array(members))],
             ["doc_id", "text_key", "nth", "word"])
 
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids of each word's first row, for all of its rows, which follow."""
+        last, ids = None, b""
+        for batch in batches:
+            coded = batch.column(3).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            kept = [ids] if distinct and distinct[0] == last else []
+            kept += _encoded(tokenizer, distinct[len(kept):])
+            if distinct:
+                last, ids = distinct[-1], kept[-1]
+            nth = batch.column(2).to_numpy().astype("<u4")
+            found = [n.tobytes() + kept[i] for n, i in zip(nth, coded.indices.to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["__doc", "__key", "place"])
+
     rare = (
         by_batch(rows, missing, f"doc_id {kind}, text_key bigint, nth int, word string")
-        .join(words.where(F.col("n") < least).select("word", "ids"), "word")
+        .repartition("word").sortWithinPartitions("word").mapInArrow(once, f"__doc {kind}, __key bigint, place binary")
         # Rows that repeat a doc_id and its text give the same members, so a set holds no more than one text's words.
-        .groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).agg(F.collect_set(F.struct("nth", "ids")).alias("rare"))
+        .groupBy("__doc", "__key").agg(F.collect_set("place").alias("rare"))
     )
 
     def filled(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids_of, out, offsets = [b"", *table.value[1]], [], [0]
+        if "ids" not in _loaded or _loaded["ids"][0] is not table.value:
+            _loaded["ids"] = table.value, [b"", *table.value[1].to_pylist()]
+        ids_of, out, offsets = _loaded["ids"][1], [], [0]
         for packed, rare in zip(batch.column(2), batch.column(3)):
             numbers = _unpacked(packed.as_py())
             ids = [ids_of[n] for n in numbers.tolist()]
             if rare.is_valid:
-                own = {r["nth"]: r["ids"] for r in rare.as_py()}
-                for nth, place in enumerate(np.flatnonzero(numbers == 0).tolist()):
-                    ids[place] = own[nth]
+                holes = np.flatnonzero(numbers == 0).tolist()
+                for place in rare.as_py():
+                    ids[holes[int.from_bytes(place[:4], "little")]] = place[4:]
             out.append(b"".join(ids))
             offsets.append(offsets[-1] + len(out[-1]) // 4)
         values = pa.array(np.frombuffer(b"".join(out), "<i4"))

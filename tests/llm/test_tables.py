@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -211,10 +212,13 @@ def test_bpe_odd_rows(spark, none, repeated):
     assert all(r["decoded"] in texts.values() for r in rows)
 
 
-def test_each_distinct_word_is_encoded_once(spark, odd):
-    words = bpe.word_table(odd.unionByName(odd), queries.TOKENIZER)
-    assert words.count() == words.select("word").distinct().count()
-    assert words.agg(F.sum("n")).first()[0] == 2 * sum(len(bpe.split(queries.TOKENIZER, t or "")) for _, t in ODD)
+def test_frequent_words_are_counted_and_bounded(spark, odd):
+    docs = odd.unionByName(odd).coalesce(1)
+    counts = Counter(w for _, t in ODD for w in bpe.split(queries.TOKENIZER, t or ""))
+    got = {r["word"]: r["n"] for r in bpe.frequent_words(docs, queries.TOKENIZER).collect()}
+    assert got == {w: 2 * n for w, n in counts.items() if 2 * n >= bpe.LOCAL}
+    few = {r["word"]: r["n"] for r in bpe.frequent_words(docs, queries.TOKENIZER, 7).collect()}
+    assert 0 < len(few) <= 7 and min(few.values()) > max(n for w, n in got.items() if w not in few)
 
 
 def test_decode_of_any_ids(spark):
@@ -226,12 +230,17 @@ def test_decode_of_any_ids(spark):
 
 
 def test_numbers_pack_and_unpack():
-    for numbers in ([], [1, 65535, 7, 0], [65536, 3, 2**24 - 1]):
-        assert bpe._unpacked(bpe._packed(numbers)).tolist() == numbers
+    for numbers in ([], [1, 65535, 7, 0], [127, 128, 16383, 16384, 2**21 - 1, 0, 0]):
+        assert bpe._unpacked(bpe._packed(np.array(numbers, np.int64))).tolist() == numbers
 
 
 def test_chunks_cut_where_words_begin():
+    texts = ["a  b \n c\n\n d ", " lead", "x\t y \t", "it's  'S ", "   ", "", "1 2,3 ä-é <|endoftext|> z", "two words'll do", "漢 字 a"]
+    odd, words = bpe.splitter(queries.TOKENIZER)
+    order, distinct, numbers, ends = bpe._chunks(pa.array(texts), odd)
+    for row, a, b in zip(order, [0, *ends], ends):
+        own = [w for n in numbers[a:b] for w in words(distinct[n])]
+        assert own == bpe.split(queries.TOKENIZER, texts[row])
     slow = Tokenizer.from_file(queries.TOKENIZER)
-    for text in ("a  b \n c\n\n d ", " lead", "x\t y \t", "it's  'S ", "   ", "", "1 2,3 ä-é <|endoftext|> z"):
-        words = [text[a:b] for part in text.split("<|endoftext|>")[:1] for _, (a, b) in slow.pre_tokenizer.pre_tokenize_str(part)]
-        assert bpe.split(queries.TOKENIZER, text)[:len(words)] == words
+    for text in texts[:6] + texts[7:]:
+        assert bpe.split(queries.TOKENIZER, text) == [text[a:b] for _, (a, b) in slow.pre_tokenizer.pre_tokenize_str(text)]
