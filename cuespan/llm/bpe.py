@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from cuespan.llm.texts import by_batch, text_key, whole
 from cuespan.session import ship, written
 
-#: The most words whose ids are handed to every task; the ids of the others come through a shuffle.
-FREQUENT = 300_000
-#: A task tells of words that it has so often; the others are not frequent.
-LOCAL = 3
+#: The most distinct words whose whole table is handed to every task, some 20 bytes each. Beyond them, ids go through a shuffle.
+TABLE_WORDS = 4_000_000
+#: Then, the most words, the most frequent ones, that are handed to every task all the same.
+FREQUENT = 1_000_000
 #: A task hands on its counts when it holds so many.
 HELD = 400_000
 #: Words that occur so often or more are not told apart by their frequency.
 OFTEN = 1024
+#: So many characters are looked up at a time.
+LOOKED_UP = 8_000_000
 
 _loaded: dict[object, object] = {}
 
@@ -38,9 +40,8 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
-def splitter(path: str) -> tuple[str, Callable[[str], list[str]]]:
-    """``(odd, words)``: a pattern of texts that are not plain, and any text's words, each of which a tokenizer encodes for itself:
-    its added tokens, and what its own rule cuts the rest into.
+def splitter(path: str) -> Callable[[str], list[str]]:
+    """Texts to words, each of which a tokenizer encodes for itself: its added tokens, and what its own rule cuts the rest into.
 
     Plain characters are cut by the public pattern; all others by the tokenizer itself, as tables of character
     classes may differ between libraries.
@@ -53,208 +54,208 @@ def splitter(path: str) -> tuple[str, Callable[[str], list[str]]]:
 
         tokenizer = _tokenizer(path)
         added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        strange = "[^\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]"
-        special = "(" + "|".join(map(re.escape, added)) + ")" if added else None
-        rule, cut = regex.compile(public_tokenizers.PATTERN).findall, tokenizer.pre_tokenizer.pre_tokenize_str
-        search = re.compile(strange).search
-        apart = re.compile(special).split if special else lambda text: [text]
+        special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        odd, rule = re.compile("[^\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]").search, regex.compile(public_tokenizers.PATTERN).findall
+        cut = tokenizer.pre_tokenizer.pre_tokenize_str
 
         def words(text: str) -> list[str]:
-            found = []
-            for i, part in enumerate(apart(text)):
-                found += [part] if i % 2 else [part[a:b] for _, (a, b) in cut(part)] if search(part) else rule(part)
-            return found
+            return [text[a:b] for _, (a, b) in cut(text)] if odd(text) else rule(text)
 
-        _loaded["split", path] = "|".join([strange, " [ \\t\\n\\r]", " $", *([special] if special else [])]), words
-    return _loaded["split", path]
-
-
-def split(tokenizer: str, text: str) -> list[str]:
-    return splitter(tokenizer)[1](text)
+        def split(text: str) -> list[str]:
+            if not special or not special.search(text):
+                return words(text)
+            return [w for i, part in enumerate(special.split(text)) for w in ([part] if i % 2 else words(part))]
 
-
-def _chunks(texts: pa.Array, odd: str) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """``(order, distinct, numbers, ends)``: rows in another order, the distinct chunks of all, and each row's chunks as their
-    numbers, one row after the other.
-
-    A blank before what is no blank always begins a word, so plain texts are cut there, and each distinct chunk
-    is cut into words only once. A text that is ``odd`` is one chunk.
-    """
-    import pyarrow.compute as pc
-
-    strange = pc.match_substring_regex(texts, odd).to_numpy(zero_copy_only=False)
-    lists = pc.split_pattern(texts.filter(pa.array(~strange)), " ")
-    ends, flat = np.diff(lists.offsets.to_numpy()).cumsum(), lists.flatten()
-    first = np.zeros(len(flat), bool)
-    first[np.concatenate([[0], ends[:-1]]).astype(np.int64)[:len(ends)]] = True
-    spaced = pc.binary_join_element_wise(pa.scalar(""), flat.filter(pa.array(~first)), " ")
-    coded = pa.concat_arrays([spaced, flat.filter(pa.array(first)), texts.filter(pa.array(strange))]).dictionary_encode()
-    codes = coded.indices.to_numpy()
-    numbers = np.empty(len(flat), np.int64)
-    numbers[~first], numbers[first] = codes[:len(spaced)], codes[len(spaced):len(flat)]
-    order = np.concatenate([np.flatnonzero(~strange), np.flatnonzero(strange)])
-    base = ends[-1] if len(ends) else 0
-    return order, coded.dictionary.to_pylist(), np.concatenate([numbers, codes[len(flat):]]), np.concatenate([ends, base + 1 + np.arange(strange.sum())])
-
-
-def _spread(lists: list[list[int]], numbers: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The members of each numbered list, one after the other, and where the rows end in them."""
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((x for own in lists for x in own), np.int64, int(sizes.sum()))
-    begins, lengths = np.cumsum(sizes) - sizes, sizes[numbers]
-    upto = np.cumsum(lengths)
-    members = flat[np.repeat(begins[numbers] - upto + lengths, lengths) + np.arange(int(lengths.sum()))]
-    return members, np.concatenate([[0], upto])[ends]
+        _loaded["split", path] = split
+    return _loaded["split", path]
 
 
 def _bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def _encoded(tokenizer: str, words: list[str]) -> list[bytes]:
-    return [_bytes(e.ids) for e in _tokenizer(tokenizer).encode_batch(words, add_special_tokens=False)]
-
-
-def frequent_words(docs: DataFrame, tokenizer: str, most: int = FREQUENT, text: str = "text") -> DataFrame:
-    """``(word, n, ids)``: at most ``most`` words, the most frequent, and their ids, little-endian in four bytes each.
-
-    ``n`` counts what tasks that have a word ``LOCAL`` times or more have of it, so that the long tail of words stays out
-    of the shuffle. Which words are taken decides about the way ids go, never about the ids.
-    """
+def word_table(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+    """``(word, n, ids)``: every distinct word of ``docs``, how often it is there, and its ids, little-endian in four
+    bytes each. Tasks count before the shuffle; each distinct word is encoded once."""
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (odd, words), counts = splitter(tokenizer), Counter()
+        split, counts = splitter(tokenizer), Counter()
 
         def told() -> pa.RecordBatch:
-            each = [(w, n) for w, n in counts.items() if n >= LOCAL]
+            rows = [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())]
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in each], pa.string()), pa.array([n for _, n in each], pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays(rows, ["word", "n"])
 
         for batch in batches:
-            _, distinct, numbers, _ = _chunks(batch.column(0), odd)
-            for chunk, n in zip(distinct, np.bincount(numbers, minlength=len(distinct)).tolist()):
-                for word in words(chunk):
-                    counts[word] += n
-            if len(counts) >= HELD:
-                yield told()
+            for value in batch.column(0):
+                counts.update(split(value.as_py()))
+                if len(counts) >= HELD:
+                    yield told()
         yield told()
         pa.default_memory_pool().release_unused()
 
-    counted = written(docs.select(whole(text).alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    total, least = 0, 2**63 - 1
-    steps = counted.groupBy(F.least("n", F.lit(OFTEN)).alias("n")).agg(F.count("*").alias("words")).collect()
-    for n, words in sorted(steps, reverse=True):
-        total += words
-        if total > most:
-            break
-        least = n
-
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(_encoded(tokenizer, batch.column(0).to_pylist()), pa.binary())], ["word", "n", "ids"])
+        found = _tokenizer(tokenizer).encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([_bytes(e.ids) for e in found], pa.binary())], ["word", "n", "ids"])
+
+    counted = docs.select(whole(text).alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return written(by_batch(counted, encode, "word string, n bigint, ids binary"))
+
+
+class _Words:
+    """Words with their ids, looked up many at a time."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array) -> None:
+        self.words, offsets = words, np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1) // 4 if len(ids) else np.zeros(1, np.int32)
+        self.begins, self.sizes = offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
+        self.ids = np.frombuffer(ids.buffers()[2], "<u4") if len(ids) and self.sizes.sum() else np.zeros(0, "<u4")
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers from 1, and 0 for words that are not here."""
+        import pyarrow.compute as pc
 
-    return written(by_batch(counted.where(F.col("n") >= least), encode, "word string, n bigint, ids binary"))
+        found = pc.index_in(pa.array(words, pa.string()), value_set=self.words)
+        return found.fill_null(-1).to_numpy().astype(np.int64) + 1
 
+    def spread(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words, one after the other, and where each word's end."""
+        at = numbers - 1
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.begins[at] - ends + sizes, sizes) + np.arange(int(sizes.sum()))], ends
 
-def _numbers(table: Broadcast) -> dict[str, int]:
-    """Numbers of the frequent words, from 1, made once per Python worker and broadcast."""
-    if _loaded.get("numbers", (None,))[0] is not table.value:
-        _loaded["numbers"] = table.value, {word: i for i, word in enumerate(table.value[0].to_pylist(), 1)}
-    return _loaded["numbers"][1]
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``LOOKED_UP`` bytes each, one row at least."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LOOKED_UP, side="right")))
+        yield at, upto
+        at = upto
+
+
+def _split_all(split: Callable[[str], list[str]], texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    flat: list[str] = []
+    ends = [0]
+    for value in texts:
+        flat += split(value.as_py())
+        ends.append(len(flat))
+    return flat, np.array(ends)
+
+
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view("<i4")))
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^21, seven bits to a byte, the last byte of each with the eighth bit set: few bytes for frequent words."""
-    parts = np.stack([numbers >> 14, numbers >> 7 & 127, numbers & 127 | 128], 1)
-    used = np.stack([numbers >= 1 << 14, numbers >= 1 << 7, np.ones(len(numbers), bool)], 1)
-    return parts.astype(np.uint8)[used].tobytes()
 
+def _broadcast(words: DataFrame) -> Broadcast:
+    table = words.select("word", "ids").toArrow().combine_chunks()
+    columns = [pa.concat_arrays(table[c].chunks) if table[c].num_chunks else pa.array([], t) for c, t in (("word", pa.string()), ("ids", pa.binary()))]
+    return words.sparkSession.sparkContext.broadcast(tuple(columns))
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    raw = np.frombuffer(packed, np.uint8).astype(np.int64)
-    last = np.flatnonzero(raw >> 7)
-    size = np.diff(last, prepend=-1)
-    found = raw[last] & 127
-    for back in (1, 2):
-        more = size > back
-        found[more] |= raw[last[more] - back] << 7 * back
-    return found
 
+def _known(table: Broadcast) -> _Words:
+    """The table of a broadcast, made ready once per Python worker."""
+    if _loaded.get("table", (None,))[0] is not table.value:
+        _loaded["table"] = table.value, _Words(*table.value)
+    return _loaded["table"][1]
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
+
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", table_words: int = TABLE_WORDS, frequent: int = FREQUENT) -> DataFrame:
     """``(doc_id, text_key, ids)`` per row of ``docs``: the ids that ``tokenizer`` (a file of the tokenizers library, byte-level
     BPE) gives for the whole text without special tokens put in; such tokens in a text are themselves.
 
-    Words are split in Spark, and each distinct one is encoded once. Those of at most ``frequent`` words, fewer than
-    2^21, are a table that is broadcast, and a document travels as their numbers. Any other word leaves its place open;
-    it goes, with its place, to the task that has all rows of that word and encodes it, and its ids join the document by position.
+    Words are split in Spark, and each distinct one is encoded once; ids are joined back by position. A table of at most
+    ``table_words`` words, which are counted first, is broadcast. Of a larger one, at most ``frequent`` words, the most frequent,
+    are; any other word leaves its place open, is joined to the table by a shuffle, and its ids are brought to the
+    place in its document by another. Both ways give the same.
     Null texts count as empty and have no ids. Rows may repeat, and each has its ids; a null doc_id is told apart
     from others by its text. No rows give no rows. Other columns are not read.
     """
-    known = frequent_words(docs, tokenizer, frequent, text).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    table = docs.sparkSession.sparkContext.broadcast((known["word"].combine_chunks(), known["ids"].combine_chunks()))
+    words = word_table(docs, tokenizer, text)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_key(text).alias("text_key"), whole(text).alias("text"))
+    coded = f"doc_id {kind}, text_key bigint, ids array<int>"
+    if words.count() > table_words:
+        return _by_shuffle(rows, words, kind, tokenizer, frequent)
+    table = _broadcast(words)
+    ship(docs.sparkSession)
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, known = splitter(tokenizer), _known(table)
+        for batch in batches:
+            for a, b in _slices(batch.column(2)):
+                part = batch.slice(a, b - a)
+                flat, ends = _split_all(split, part.column(2))
+                ids, upto = known.spread(known.numbers(flat))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], _lists(ids, np.concatenate([[0], upto])[ends])], ["doc_id", "text_key", "ids"])
+            pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(looked_up, coded)
+
+
+def _by_shuffle(rows: DataFrame, words: DataFrame, kind: str, tokenizer: str, frequent: int) -> DataFrame:
+    steps = words.groupBy(F.least("n", F.lit(OFTEN)).alias("n")).agg(F.count("*").alias("words")).collect()
+    total, least = 0, 2**63 - 1
+    for n, count in sorted(steps, reverse=True):
+        total += count
+        if total > frequent:
+            break
+        least = n
+    table = _broadcast(words.where(F.col("n") >= least))
 
     def places(batch: pa.RecordBatch) -> pa.RecordBatch:
-        (odd, words), find = splitter(tokenizer), _numbers(table).get
-        order, distinct, numbers, ends = _chunks(batch.column(2), odd)
-        members, ends = _spread([[find(w, 0) for w in words(c)] for c in distinct], numbers, ends)
-        found = [_packed(members[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist())]
-        return pa.RecordBatch.from_arrays(
-            [*(batch.column(i).take(pa.array(order)) for i in (0, 1)), pa.array(found, pa.binary())], ["doc_id", "text_key", "numbers"])
+        """The numbers of each row's words, 0 for a place that is open."""
+        split, known, found = splitter(tokenizer), _known(table), []
+        for a, b in _slices(batch.column(2)):
+            flat, ends = _split_all(split, batch.column(2).slice(a, b - a))
+            found.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(known.numbers(flat).astype(np.int32))))
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.concat_arrays(found)], ["doc_id", "text_key", "numbers"])
 
     def missing(batch: pa.RecordBatch) -> pa.RecordBatch:
-        (odd, words), have = splitter(tokenizer), _numbers(table)
-        order, distinct, numbers, ends = _chunks(batch.column(2), odd)
-        rare: dict[str, int] = {}
-        members, ends = _spread([[rare.setdefault(w, len(rare)) for w in words(c) if w not in have] for c in distinct], numbers, ends)
-        counts = np.diff(ends, prepend=0)
-        at = pa.array(np.repeat(order, counts))
-        nth = np.arange(len(members)) - np.repeat(ends - counts, counts)
+        split, known = splitter(tokenizer), _known(table)
+        at, nth, found = [], [], []
+        for a, b in _slices(batch.column(2)):
+            flat, ends = _split_all(split, batch.column(2).slice(a, b - a))
+            holes = np.flatnonzero(known.numbers(flat) == 0)
+            owner = np.searchsorted(ends, holes, side="right") - 1
+            counts = np.bincount(owner, minlength=b - a)
+            at.append(a + owner)
+            nth.append(np.arange(len(holes)) - np.repeat(np.cumsum(counts) - counts, counts))
+            found += [flat[i] for i in holes.tolist()]
+        at = pa.array(np.concatenate(at))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), batch.column(1).take(at), pa.array(nth.astype(np.int32)), pa.array(rare.keys(), pa.string()).take(pa.array(members))],
+            [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(nth).astype(np.int32)), pa.array(found, pa.string())],
             ["doc_id", "text_key", "nth", "word"])
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The ids of each word's first row, for all of its rows, which follow."""
-        last, ids = None, b""
-        for batch in batches:
-            coded = batch.column(3).dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            kept = [ids] if distinct and distinct[0] == last else []
-            kept += _encoded(tokenizer, distinct[len(kept):])
-            if distinct:
-                last, ids = distinct[-1], kept[-1]
-            nth = batch.column(2).to_numpy().astype("<u4")
-            found = [n.tobytes() + kept[i] for n, i in zip(nth, coded.indices.to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["__doc", "__key", "place"])
-
     rare = (
         by_batch(rows, missing, f"doc_id {kind}, text_key bigint, nth int, word string")
-        .repartition("word").sortWithinPartitions("word").mapInArrow(once, f"__doc {kind}, __key bigint, place binary")
+        .join(words.where(F.col("n") < least).select("word", "ids"), "word")
         # Rows that repeat a doc_id and its text give the same members, so a set holds no more than one text's words.
-        .groupBy("__doc", "__key").agg(F.collect_set("place").alias("rare"))
+        .groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).agg(F.collect_set(F.struct("nth", "ids")).alias("rare"))
     )
 
     def filled(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if "ids" not in _loaded or _loaded["ids"][0] is not table.value:
-            _loaded["ids"] = table.value, [b"", *table.value[1].to_pylist()]
-        ids_of, out, offsets = _loaded["ids"][1], [], [0]
-        for packed, rare in zip(batch.column(2), batch.column(3)):
-            numbers = _unpacked(packed.as_py())
-            ids = [ids_of[n] for n in numbers.tolist()]
+        known, out, ends = _known(table), [], [0]
+        for numbers, rare in zip(batch.column(2), batch.column(3)):
+            numbers = numbers.values.to_numpy()
             if rare.is_valid:
-                holes = np.flatnonzero(numbers == 0).tolist()
-                for place in rare.as_py():
-                    ids[holes[int.from_bytes(place[:4], "little")]] = place[4:]
-            out.append(b"".join(ids))
-            offsets.append(offsets[-1] + len(out[-1]) // 4)
-        values = pa.array(np.frombuffer(b"".join(out), "<i4"))
-        return pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], ["doc_id", "text_key", "ids"])
-
-    met = by_batch(rows, places, f"doc_id {kind}, text_key bigint, numbers binary").join(
+                ids, upto = known.spread(numbers[numbers > 0].astype(np.int64))
+                upto = np.concatenate([[0], upto])
+                cuts = upto[np.cumsum(numbers > 0)[numbers == 0]]
+                own = {r["nth"]: np.frombuffer(r["ids"], "<u4") for r in rare.as_py()}
+                parts = np.split(ids, cuts)
+                ids = np.concatenate([x for i, part in enumerate(parts) for x in ((own[i - 1], part) if i else (part,))])
+            else:
+                ids, _ = known.spread(numbers.astype(np.int64))
+            out.append(ids)
+            ends.append(ends[-1] + len(ids))
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], _lists(np.concatenate(out).astype("<u4"), np.array(ends))], ["doc_id", "text_key", "ids"])
+
+    met = by_batch(rows, places, f"doc_id {kind}, text_key bigint, numbers array<int>").join(
         rare, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_key") == F.col("__key")), "left")
     return by_batch(met.select("doc_id", "text_key", "numbers", "rare"), filled, f"doc_id {kind}, text_key bigint, ids array<int>")
 
@@ -281,14 +282,19 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     """
     ship(encoded.sparkSession)
     table = {r["id"]: bytes(r["piece"]) for r in piece_table(encoded.sparkSession, tokenizer).collect()}
-    shared = encoded.sparkSession.sparkContext.broadcast([table.get(i) for i in range(max(table) + 1)])
+    shared = encoded.sparkSession.sparkContext.broadcast(pa.array([table.get(i) for i in range(max(table) + 1)], pa.large_binary()))
 
     @F.arrow_udf("string")
     def joined(lists: pa.Array) -> pa.Array:
-        pieces, lists = shared.value, lists.fill_null([])
-        own = lists.flatten().to_pylist()
-        ends = np.cumsum([0, *lists.value_lengths().to_pylist()]).tolist()
-        return pa.array([b"".join([pieces[i] for i in own[a:b]]).decode("utf-8", "replace") for a, b in zip(ends, ends[1:])], pa.string())
+        lists = lists.fill_null([])
+        met = shared.value.take(lists.flatten())
+        if met.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
+        # Pieces lie one after the other, so a text is what lies between its first and its last.
+        places = np.frombuffer(met.buffers()[1], np.int64, len(met) + 1, met.offset * 8)[ends].tolist()
+        raw = memoryview(met.buffers()[2] or b"")
+        return pa.array([str(raw[a:b], "utf-8", "replace") for a, b in zip(places, places[1:])], pa.string())
 
     return encoded.withColumn("decoded", joined(F.col(ids)))
 

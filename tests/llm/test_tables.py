@@ -184,18 +184,18 @@ def test_manifest_leaves_other_columns_alone(spark):
     assert [tuple(r[:1]) for r in merkle.manifest(docs, carry={"tree": F.col("tree")}).collect()] == [(1,)]
 
 
-def coded(docs, frequent):
-    found = bpe.decode(bpe.encode(docs, queries.TOKENIZER, frequent=frequent), queries.TOKENIZER)
+def coded(docs, table_words, frequent):
+    found = bpe.decode(bpe.encode(docs, queries.TOKENIZER, table_words=table_words, frequent=frequent), queries.TOKENIZER)
     return found.withColumn("sha", bpe.ids_sha256("ids")).collect()
 
 
-@pytest.mark.parametrize("frequent", [300_000, 50, 0])
-def test_bpe_equals_the_library(spark, odd, frequent):
+@pytest.mark.parametrize("table_words, frequent", [(4_000_000, 0), (0, 1_000_000), (0, 50), (0, 0)])
+def test_bpe_equals_the_library(spark, odd, table_words, frequent):
     slow = Tokenizer.from_file(queries.TOKENIZER)
     special = spark.createDataFrame(SPECIAL, "doc_id bigint, text string")
     for docs in (odd.select("doc_id", "text").unionByName(special), documents(spark).select("doc_id", "text")):
         texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
-        rows = coded(docs, frequent)
+        rows = coded(docs, table_words, frequent)
         assert sorted(r["doc_id"] for r in rows) == sorted(texts)
         for r in rows:
             want = slow.encode(texts[r["doc_id"]], add_special_tokens=False).ids
@@ -204,21 +204,19 @@ def test_bpe_equals_the_library(spark, odd, frequent):
             assert r["sha"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
 
 
-def test_bpe_odd_rows(spark, none, repeated):
-    assert coded(none, 0) == []
-    rows = coded(repeated, 3)
+@pytest.mark.parametrize("table_words", [4_000_000, 0])
+def test_bpe_odd_rows(spark, none, repeated, table_words):
+    assert coded(none, table_words, 0) == []
+    rows = coded(repeated, table_words, 3)
     assert len(rows) == 2 * len(ODD) + 2
     texts = {brute.sha(t or ""): t or "" for _, t in ODD}
     assert all(r["decoded"] in texts.values() for r in rows)
 
 
-def test_frequent_words_are_counted_and_bounded(spark, odd):
-    docs = odd.unionByName(odd).coalesce(1)
-    counts = Counter(w for _, t in ODD for w in bpe.split(queries.TOKENIZER, t or ""))
-    got = {r["word"]: r["n"] for r in bpe.frequent_words(docs, queries.TOKENIZER).collect()}
-    assert got == {w: 2 * n for w, n in counts.items() if 2 * n >= bpe.LOCAL}
-    few = {r["word"]: r["n"] for r in bpe.frequent_words(docs, queries.TOKENIZER, 7).collect()}
-    assert 0 < len(few) <= 7 and min(few.values()) > max(n for w, n in got.items() if w not in few)
+def test_each_distinct_word_is_encoded_once(spark, odd):
+    words = {r["word"]: r["n"] for r in bpe.word_table(odd.unionByName(odd), queries.TOKENIZER).collect()}
+    counts = Counter(w for _, t in ODD for w in bpe.splitter(queries.TOKENIZER)(t or ""))
+    assert words == {w: 2 * n for w, n in counts.items()}
 
 
 def test_decode_of_any_ids(spark):
@@ -229,18 +227,15 @@ def test_decode_of_any_ids(spark):
     assert got == {i: slow.decode(x, skip_special_tokens=False) for i, x in enumerate(lists)} | {9: ""}
 
 
-def test_numbers_pack_and_unpack():
-    for numbers in ([], [1, 65535, 7, 0], [127, 128, 16383, 16384, 2**21 - 1, 0, 0]):
-        assert bpe._unpacked(bpe._packed(np.array(numbers, np.int64))).tolist() == numbers
+def test_words_are_cut_as_the_library_cuts_them():
+    slow = Tokenizer.from_file(queries.TOKENIZER)
+    for text in ("a  b \n c\n\n d ", " lead", "x\t y \t", "it's  'S ", "   ", "", "1 2,3 ä-é z", "two words'll do", "漢 字 a"):
+        assert bpe.splitter(queries.TOKENIZER)(text) == [text[a:b] for _, (a, b) in slow.pre_tokenizer.pre_tokenize_str(text)]
 
 
-def test_chunks_cut_where_words_begin():
-    texts = ["a  b \n c\n\n d ", " lead", "x\t y \t", "it's  'S ", "   ", "", "1 2,3 ä-é <|endoftext|> z", "two words'll do", "漢 字 a"]
-    odd, words = bpe.splitter(queries.TOKENIZER)
-    order, distinct, numbers, ends = bpe._chunks(pa.array(texts), odd)
-    for row, a, b in zip(order, [0, *ends], ends):
-        own = [w for n in numbers[a:b] for w in words(distinct[n])]
-        assert own == bpe.split(queries.TOKENIZER, texts[row])
-    slow = Tokenizer.from_file(queries.TOKENIZER)
-    for text in texts[:6] + texts[7:]:
-        assert bpe.split(queries.TOKENIZER, text) == [text[a:b] for _, (a, b) in slow.pre_tokenizer.pre_tokenize_str(text)]
+def test_texts_are_looked_up_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(bpe, "LOOKED_UP", 5)
+    texts = pa.array(["abc", "", "d", "x" * 20, None, "ef", "ghij"])
+    got = list(bpe._slices(texts))
+    assert got[0][0] == 0 and got[-1][1] == len(texts) and all(a < b == c for (a, b), (c, _) in zip(got, got[1:]))
+    assert all(b - a == 1 or sum(len(t.as_py() or "") for t in texts[a:b]) <= 5 for a, b in got)
