@@ -167,10 +167,11 @@ QUERIES = {
                 FROM pages))))"""),
     "routed_lines": (None, r"""
         WITH p AS (SELECT page_id, 'in/' || regexp_replace(url, '[?#].*$', '') || '.mp4' AS track, html FROM pages),
-        named AS (SELECT DISTINCT track FROM p WHERE page_id % 6 = 0),
+        named AS (SELECT track, min(page_id) AS first_id FROM p GROUP BY track),
         lines AS (SELECT page_id, track, generate_subscripts(string_split(html, chr(10)), 1) - 1 AS line FROM p)
-        SELECT page_id, line, 'out/folder/' || stem || '.srt' AS output, stem AS output_stem
-        FROM (SELECT l.*, regexp_replace(regexp_extract(track, '([^/]*)$', 1), '^(.+)\.mp4$', '\1') AS stem
+        SELECT page_id, line, CASE WHEN first_id % 2 = 0 THEN 'out/folder/' ELSE regexp_replace(track, '/[^/]*$', '') || '/' END || stem || '.srt' AS output,
+               stem AS output_stem
+        FROM (SELECT l.*, first_id, regexp_replace(regexp_extract(track, '([^/]*)$', 1), '^(.+)\.mp4$', '\1') AS stem
               FROM lines l JOIN named USING (track))"""),
     "boxes": (None, """
         SELECT name, x, y, w, h FROM (

@@ -158,6 +158,7 @@ QUERIES = {
 
 RECURSIVE = {
     "time_batches": ("cues", DAY_BATCHES, "SELECT * FROM walk"),
+    "long_time_batches": ("cues", DAY_BATCHES.replace("86400000", "3600000"), "SELECT * FROM walk"),
     "time_batch_spans": ("cues", DAY_BATCHES, """
         SELECT track, batch, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY track ORDER BY batch), last_ms) AS end_ms, rows
         FROM (SELECT track, batch, min(batch_start_ms) AS start_ms, max(at_ms) AS last_ms, count(*) AS rows

@@ -161,17 +161,20 @@ QUERIES = {
                CAST(round_even(CASE WHEN e_ms <= s_ms THEN s_ms + 100 ELSE e_ms END, 0) AS BIGINT) AS end_ms, text
         FROM clip_timed"""),
     "drift_audit": ("realised", """
-        SELECT *, CASE WHEN drift_frames <= 3 AND not_rising = 0 AND seams = 0 AND worst_batch_frames <= 3
+        SELECT *, CASE WHEN drift_frames <= 3 AND not_rising = 0 AND seams = 0 AND uneven_steps = 0 AND worst_batch_frames <= 3
                        THEN 'PASS' ELSE 'FAIL' END AS verdict
         FROM (SELECT *, abs(actual_frames - expected_frames) AS drift_frames,
                      round(abs(actual_frames - expected_frames) / 30.0::DOUBLE * 1000.0::DOUBLE, 6) AS drift_ms
               FROM (SELECT track, CAST(sum(n) AS BIGINT) AS segments, CAST(sum(should) AS BIGINT) AS expected_frames,
                            CAST(sum(has) AS BIGINT) AS actual_frames, CAST(sum(flat) AS BIGINT) AS not_rising,
-                           CAST(sum(seam) AS BIGINT) AS seams, CAST(max(abs(has - should)) AS BIGINT) AS worst_batch_frames
+                           CAST(sum(seam) AS BIGINT) AS seams,
+                           CAST(sum(uneven) AS BIGINT) AS uneven_steps, round(max(worst), 6) AS worst_step_ms, CAST(max(abs(has - should)) AS BIGINT) AS worst_batch_frames
                     FROM (SELECT track, (seg_no - 1) // 100 AS batch, count(*) AS n, sum(actual_frames) AS should, sum(frames) AS has,
                                  count(*) FILTER (new_start <= ps AND new_chunk_dur > 0) AS flat,
-                                 count(*) FILTER (abs(new_start - pe) > 1000.0 / 30.0 * 0.5) AS seam
-                          FROM (SELECT *, lag(new_start) OVER w AS ps, lag(new_end) OVER w AS pe FROM realised
+                                 count(*) FILTER (abs(new_start - pe) > 1000.0 / 30.0 * 0.5) AS seam,
+                                 count(*) FILTER (abs(new_start - ps - pf * (1000.0::DOUBLE / 30.0::DOUBLE)) > 1000.0::DOUBLE / 30.0::DOUBLE * 0.5::DOUBLE) AS uneven,
+                                 coalesce(max(abs(new_start - ps - pf * (1000.0::DOUBLE / 30.0::DOUBLE))), 0.0::DOUBLE) AS worst
+                          FROM (SELECT *, lag(new_start) OVER w AS ps, lag(new_end) OVER w AS pe, lag(actual_frames) OVER w AS pf FROM realised
                                 WINDOW w AS (PARTITION BY track ORDER BY seg_no))
                           GROUP BY track, batch)
                     GROUP BY track))"""),

@@ -21,6 +21,21 @@ PARTS = {
         SELECT track, frame_no, frame_no / 10.0::DOUBLE AS ts_s, changed,
                len(list_filter(embedding, lambda x: abs(x) > 0.25::DOUBLE)) / len(embedding) >= 0.03 AS passed
         FROM changed_""",
+    "boxes_": """
+        SELECT * FROM (
+            SELECT n_nationkey % 10 AS track, n_name AS box, greatest(0, least(x, 8)) AS x1, greatest(0, least(y, 8)) AS y1,
+                   greatest(0, least(x + w, 8)) AS x2, greatest(0, least(y + h, 8)) AS y2
+            FROM (SELECT *, n_regionkey * 2 - 1 AS x, n_nationkey % 6 - 1 AS y, n_nationkey % 5 AS w, n_nationkey % 4 + 1 AS h FROM nation))
+        WHERE x1 < x2 AND y1 < y2""",
+    "regions_": """
+        SELECT track, box, frame_no, frame_no // 2 AS step, flatten(list_transform(range(y1, y2), lambda r: embedding[r * 8 + x1 + 1:r * 8 + x2])) AS region
+        FROM frames_ JOIN boxes_ USING (track) WHERE frame_no % 2 = 0""",
+    "box_diffs_": """
+        SELECT track, box, frame_no, step, distance, prev IS NULL OR distance > 2 AS changed,
+               len(list_filter(region, lambda x: abs(x) > 0.25::DOUBLE)) / len(region) >= 0.03 AS passed
+        FROM (SELECT *, CASE WHEN prev IS NOT NULL THEN CAST(list_sum(list_transform(range(1, len(region) + 1),
+                            lambda i: CASE WHEN (region[i] > 0) <> (prev[i] > 0) THEN 1 ELSE 0 END)) AS BIGINT) END AS distance
+              FROM (SELECT *, lag(region) OVER (PARTITION BY track, box ORDER BY frame_no) AS prev FROM regions_))""",
     "replies_": """
         SELECT track, line, CASE track % 7 WHEN 1 THEN substring(text, 1, 1) WHEN 2 THEN ' None' || chr(10)
                    WHEN 3 THEN text || ' https://x.example/y' WHEN 4 THEN CAST(line AS VARCHAR)
@@ -144,7 +159,27 @@ QUERIES = {
         FROM flagged_ GROUP BY track"""),
 }
 
+BOX_WALK = """
+        WITH RECURSIVE {parts},
+        walk(track, box, step, frame_no, distance, changed, passed, last) AS (
+            SELECT track, box, step, frame_no, distance, changed, passed, frame_no FROM box_diffs_ WHERE step = 0
+            UNION ALL
+            SELECT f.track, f.box, f.step, f.frame_no, f.distance, f.changed AND f.frame_no - w.last >= 5, f.passed,
+                   CASE WHEN f.changed AND f.frame_no - w.last >= 5 THEN f.frame_no ELSE w.last END
+            FROM walk w JOIN box_diffs_ f ON f.track = w.track AND f.box = w.box AND f.step = w.step + 1)
+        """
+
 RECURSIVE = {
+    "box_changes": ("box_diffs_", BOX_WALK, "SELECT track, box, frame_no, distance, changed, passed FROM walk"),
+    "box_cues": ("box_diffs_", BOX_WALK, """
+        SELECT track, box, cue AS line, min(frame_no) AS frame_no, round(min(frame_no) / 10.0::DOUBLE, 6) AS start_s,
+               round(CASE WHEN count(*) > 1 THEN max(frame_no) / 10.0::DOUBLE ELSE min(frame_no) / 10.0::DOUBLE + 3.0::DOUBLE END, 6) AS end_s
+        FROM (SELECT *, CAST(sum(CASE WHEN changed AND passed THEN 1 ELSE 0 END)
+                             OVER (PARTITION BY track, box ORDER BY frame_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cue FROM walk)
+        WHERE cue > 0 GROUP BY track, box, cue"""),
+    "box_totals": ("box_diffs_", BOX_WALK, """
+        SELECT track, box, any_value(n) AS frames, count(*) AS processed, count(*) FILTER (changed AND passed) AS calls
+        FROM walk JOIN (SELECT track, count(*) AS n FROM frames_ GROUP BY track) USING (track) GROUP BY track, box"""),
     "debounced_changes": ("flagged_", """
         WITH RECURSIVE {parts},
         walk(track, frame_no, kept, last) AS (

@@ -85,6 +85,15 @@ def run_totals(frames: DataFrame) -> DataFrame:
     )
 
 
+def box_totals(frames: DataFrame, judged: DataFrame) -> DataFrame:
+    """Per track and box: the track's frames, those in which the box was looked at, and those handed to the recogniser.
+    ``judged``: ``track, box`` and flags ``changed, passed``, one row per sampled frame and box."""
+    all_frames = frames.groupBy("track").agg(F.count(F.lit(1)).alias("frames"))
+    looked = judged.groupBy("track", "box").agg(
+        F.count(F.lit(1)).alias("processed"), F.count_if(F.col("changed") & F.col("passed")).alias("calls"))
+    return looked.join(all_frames, "track").select("track", "box", "frames", "processed", "calls")
+
+
 def outcome_counts(rows: DataFrame, ok: Column, by=("track",)) -> DataFrame:
     """How many rows went well and how many did not."""
     return rows.groupBy(*by).agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("err"))
@@ -168,7 +177,9 @@ def drift_audit(
     timeline: DataFrame, fps: float | str = 30.0, tolerance_frames: int = 3, batch_size: int = 100, hot: bool | None = None
 ) -> DataFrame:
     """One row per track on how far a timeline strays from the frames a cutter would make:
-    total drift, starts that do not rise, seams that are not contiguous, worst batch, verdict."""
+    total drift, starts that do not rise, seams that are not contiguous, steps from one frame to the next that
+    are more than half a frame off, worst batch, verdict. Within a segment frames follow each other evenly, so
+    steps are judged where segments meet."""
     if hot is None:
         hot = seq.too_long(timeline)
     rate = stamps.rate(fps)
@@ -176,8 +187,10 @@ def drift_audit(
     should = stamps.realised_frames(F.col("orig_end") - F.col("orig_start"), "video_speed", fps)
     has = F.rint(F.col("new_chunk_dur") / 1000.0 * rate)
     near = seq.extend(
-        timeline, ["seg_no"], {"_no": seq.position(), "_start": seq.prev("new_start"), "_end": seq.prev("new_end")}, hot=hot
+        timeline, ["seg_no"],
+        {"_no": seq.position(), "_start": seq.prev("new_start"), "_end": seq.prev("new_end"), "_frames": seq.prev(should)}, hot=hot,
     )
+    off_step = F.abs(F.col("new_start") - F.col("_start") - F.col("_frames") * frame_ms)
     near = near.withColumn("_rate", rate)
     batches = near.groupBy("track", F.floor((F.col("_no") - 1) / batch_size).alias("_batch")).agg(
         F.count(F.lit(1)).alias("segments"), F.max("_rate").alias("_rate"),
@@ -185,6 +198,8 @@ def drift_audit(
         F.sum(has).alias("_has"),
         F.count_if((F.col("new_start") <= F.col("_start")) & (F.col("new_chunk_dur") > 0)).alias("not_rising"),
         F.count_if(F.abs(F.col("new_start") - F.col("_end")) > frame_ms * 0.5).alias("seams"),
+        F.count_if(off_step > frame_ms * 0.5).alias("uneven_steps"),
+        F.coalesce(F.max(off_step), F.lit(0.0)).alias("worst_step_ms"),
     )
     off = F.abs(F.col("_has") - F.col("_should"))
     summed = batches.groupBy("track").agg(
@@ -193,12 +208,13 @@ def drift_audit(
         F.sum("_has").cast("bigint").alias("actual_frames"),
         F.sum("not_rising").alias("not_rising"),
         F.sum("seams").alias("seams"),
+        F.sum("uneven_steps").alias("uneven_steps"), F.max("worst_step_ms").alias("worst_step_ms"),
         F.max(off).cast("bigint").alias("worst_batch_frames"),
     )
     total = F.abs(F.col("actual_frames") - F.col("expected_frames"))
     good = (
         (total <= tolerance_frames) & (F.col("not_rising") == 0) & (F.col("seams") == 0)
-        & (F.col("worst_batch_frames") <= tolerance_frames)
+        & (F.col("uneven_steps") == 0) & (F.col("worst_batch_frames") <= tolerance_frames)
     )
     return summed.withColumns(
         {

@@ -1,11 +1,13 @@
 """Sampling frames, finding changes, and turning changes into cues.
 
 Frames have ``track, frame_no`` and a ``hash`` (a word or an array of words) or an array of features; pixels are not
-decoded here.
+decoded here. Where operators take ``keys``, these name a sequence of frames: a track, or a track and a box.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +80,22 @@ def clamped_boxes(boxes: DataFrame, sizes: DataFrame, key: str = "source") -> Da
     return sized.withColumn("_box", clamped_box("x", "y", "w", "h", "width", "height")).select(*boxes.columns, "_box.*")
 
 
+def box_regions(frames: DataFrame, boxes: DataFrame, sizes: DataFrame, cells: str = "cells") -> DataFrame:
+    """What each frame shows in each box of its track: ``track, box, frame_no, region`` and the other columns of ``frames``.
+
+    ``cells`` is a grid, row by row, of the size that ``sizes`` (``track, width, height``) has for the track. A box
+    (``track, box, x, y, w, h``, in cells) is cut to the grid; one that lies outside is left out. Boxes are joined by track, and
+    no frame meets a box of another track.
+    """
+    cut = clamped_boxes(boxes, sizes, "track").filter("valid").join(sizes.select("track", "width"), "track")
+    met = frames.join(cut.select("track", "box", "x1", "y1", "x2", "y2", "width"), "track")
+    rows = F.transform(
+        F.sequence(F.col("y1"), F.col("y2") - 1),
+        lambda y: F.slice(cells, (y * F.col("width") + F.col("x1") + 1).cast("int"), (F.col("x2") - F.col("x1")).cast("int")))
+    others = [c for c in frames.columns if c not in ("track", "frame_no", cells)]
+    return met.select("track", "box", "frame_no", *others, F.flatten(rows).alias("region"))
+
+
 def active_enough(cells, level: float, min_share: float = 0.03) -> Column:
     """Whether enough cells are active. Empty is not; cells that cannot be judged (NULL) pass."""
     cells = F.col(cells) if isinstance(cells, str) else cells
@@ -87,10 +105,10 @@ def active_enough(cells, level: float, min_share: float = 0.03) -> Column:
     )
 
 
-def changes(frames: DataFrame, max_distance: int = 4, hot: bool | None = None) -> DataFrame:
+def changes(frames: DataFrame, max_distance: int = 4, hot: bool | None = None, keys: Sequence[str] = ("track",)) -> DataFrame:
     """Add ``distance`` to the frame before and ``changed``. The first frame is changed; the
     comparison is always with the frame right before."""
-    near = seq.extend(frames, ["frame_no"], {"_hash": seq.prev("hash")}, hot=hot)
+    near = seq.extend(frames, ["frame_no"], {"_hash": seq.prev("hash")}, keys=keys, hot=hot)
     return near.withColumn("distance", hash_distance(near, "hash", "_hash")).withColumn(
         "changed", F.col("_hash").isNull() | (F.col("distance") > max_distance)
     ).drop("_hash")
@@ -125,22 +143,24 @@ class _Debounce(Fold):
         return last, []
 
 
-def debounced(frames: DataFrame, min_frames: int, hot: bool | None = None) -> DataFrame:
+def debounced(frames: DataFrame, min_frames: int, hot: bool | None = None, keys: Sequence[str] = ("track",)) -> DataFrame:
     """Take back changes that come sooner than ``min_frames`` after the last accepted one.
     Needed only where frames lie closer together than that."""
     if hot is None:
-        hot = seq.too_long(frames)
+        hot = seq.too_long(frames, keys)
     accepted = fold_tracks(
-        frames.filter("changed"), _Debounce(min_frames), ["frame_no"], ["frame_no"], "frame_no bigint", hot=hot
+        frames.filter("changed"), _Debounce(min_frames), ["frame_no"], ["frame_no"], "frame_no bigint", keys=keys, hot=hot
     ).withColumn("_kept", F.lit(True))
     return (
-        frames.join(accepted, ["track", "frame_no"], "left")
+        frames.join(accepted, [*keys, "frame_no"], "left")
         .withColumn("changed", F.coalesce("_kept", F.lit(False)))
         .drop("_kept")
     )
 
 
-def change_cues(frames: DataFrame, default_s: float = 3.0, hot: bool | None = None) -> DataFrame:
+def change_cues(
+    frames: DataFrame, default_s: float = 3.0, hot: bool | None = None, keys: Sequence[str] = ("track",)
+) -> DataFrame:
     """Turn changes into cues: each accepted change that passes the gate opens a cue, every
     later frame up to the next one moves its end; a cue of one frame lasts ``default_s``.
 
@@ -148,12 +168,31 @@ def change_cues(frames: DataFrame, default_s: float = 3.0, hot: bool | None = No
     """
     opens = F.col("changed") & F.col("passed") if "passed" in frames.columns else F.col("changed")
     runs = seq.extend(
-        frames.select("track", "frame_no", "ts_s", F.when(opens, 1).otherwise(0).alias("_open")),
-        ["frame_no"], {"_cue": seq.total("_open")}, hot=hot,
+        frames.select(*keys, "frame_no", "ts_s", F.when(opens, 1).otherwise(0).alias("_open")),
+        ["frame_no"], {"_cue": seq.total("_open")}, keys=keys, hot=hot,
     ).filter("_cue > 0")
-    cues = runs.groupBy("track", F.col("_cue").alias("line")).agg(
+    cues = runs.groupBy(*keys, F.col("_cue").alias("line")).agg(
         F.min("frame_no").alias("frame_no"), F.min("ts_s").alias("start_s"),
         F.max("ts_s").alias("_last"), F.count(F.lit(1)).alias("_n"),
     )
     end = F.when(F.col("_n") > 1, F.col("_last")).otherwise(F.col("start_s") + F.lit(float(default_s)))
-    return cues.select("track", "line", "frame_no", "start_s", end.alias("end_s"))
+    return cues.select(*keys, "line", "frame_no", "start_s", end.alias("end_s"))
+
+
+BOX = ("track", "box")
+
+
+def box_changes(
+    regions: DataFrame, max_distance: int = 4, min_frames: int = 0, level: float = 0.25, min_share: float = 0.03,
+    hot: bool | None = None,
+) -> DataFrame:
+    """``regions`` of ``box_regions`` with ``distance, changed, passed``, each box of each track for itself.
+
+    A box changes by the hash of its region against that of the frame before; a change sooner than ``min_frames`` after
+    the last accepted one is taken back. ``passed``: whether enough of the region is active to be worth reading.
+    """
+    if hot is None:
+        hot = seq.too_long(regions, BOX)
+    hashed = regions.withColumns({"hash": sign_hash("region"), "passed": active_enough("region", level, min_share)}).drop("region")
+    found = changes(hashed, max_distance, hot=hot, keys=BOX).drop("hash")
+    return debounced(found, min_frames, hot=hot, keys=BOX) if min_frames else found

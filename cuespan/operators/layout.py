@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from operator import itemgetter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,43 +39,47 @@ class _TiedSlots(Fold):
     """Slots of tracks where several cues start at once.
 
     A cue is open until an event starts at or after the cursor; events met meanwhile wait.
-    The state is the cursor and the waiting events, which reach no farther than the
-    overlap does.
+    The state is the cursor, the waiting events, in order of their starts, and how many of these are done with. Events
+    that wait reach no farther than the overlap does; the one that closes a cue is found by bisection.
     """
 
     def fresh(self):
-        return [0, []]
+        return [0, [], 0]
 
     def step(self, state, row):
-        cursor, waiting = state
-        kind, start, end, clip = row
-        waiting = waiting + [[kind, start, end, clip]]
+        cursor, waiting, done = state
+        waiting.append(list(row))
         out: list[tuple] = []
-        while waiting:
-            k, s, e, c = waiting[0]
+        while done < len(waiting):
+            k, s, e, c = waiting[done]
             if k == "end":
                 if cursor < s:
                     out.append(("gap", cursor, s, s - cursor, None, 0))
-                waiting = waiting[1:]
+                done += 1
                 continue
             begin = max(cursor, s)
             limit = None
             if k == "mute":
                 slot = max(begin, e) - begin
             else:
-                later = next((w for w in waiting[1:] if w[1] >= begin or w[0] == "end"), None)
-                if later is None:
+                # The end of the track, wherever it lies, comes last and closes what is open.
+                events = len(waiting) - (waiting[-1][0] == "end")
+                later = bisect_left(waiting, begin, done + 1, events, key=itemgetter(1))
+                if later == len(waiting):
                     break
-                slot = later[1] - begin
-                limit = slot if later[0] == "mute" else None
+                slot = waiting[later][1] - begin
+                limit = slot if waiting[later][0] == "mute" else None
                 if slot <= 0:
                     slot = max(begin, e) - begin
             if begin > cursor:
                 out.append(("gap", cursor, begin, begin - cursor, None, 0))
             out.append((k, begin, begin + slot, slot, limit, c))
             cursor = begin + slot
-            waiting = waiting[1:]
-        return [cursor, waiting], out
+            done += 1
+        if 2 * done > len(waiting):
+            del waiting[:done]
+            done = 0
+        return [cursor, waiting, done], out
 
 
 def slots(cues: DataFrame, mutes: DataFrame, total: DataFrame, hot: bool | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cuespan import sequence as seq
 from cuespan.folds import Fold, fold_tracks
+from cuespan.session import written
 
 
 def _islands(cues: DataFrame, breaks: Column, looks_at: dict, hot: bool | None) -> DataFrame:
@@ -122,41 +123,67 @@ def batched(rows: DataFrame, size: int, order=("line",), hot: bool | None = None
 
 
 class _Anchored(Fold):
-    """State: start of the open batch and, if ``numbered``, its number. Without it, the state of a piece forgets what
-    came before wherever two chains of batches meet, at a gap of one span at the latest."""
+    """State: start of the open batch and its number."""
 
-    def __init__(self, span_ms: int, numbered: bool):
-        self.span_ms, self.numbered = span_ms, numbered
+    def __init__(self, span_ms: int):
+        self.span_ms = span_ms
 
     def fresh(self):
         return None
 
     def step(self, state, row):
         at, line = row
-        opens = state is None or at - state[0] >= self.span_ms
-        if opens:
-            state = [at, 0 if state is None or not self.numbered else state[1] + 1]
-        return state, [(line, at, state[1] if self.numbered else int(opens), state[0])]
+        if state is None or at - state[0] >= self.span_ms:
+            state = [at, 0 if state is None else state[1] + 1]
+        return state, [(line, at, state[1], state[0])]
+
+
+def batch_openers(rows: DataFrame, span_ms: int, at: str = "start_ms", hot: bool | None = None) -> DataFrame:
+    """``(track, at_ms)``: the times at which batches open, for tracks of any length.
+
+    Each time points to the first one ``span_ms`` later or more. A track's openers are what its first time reaches: in a
+    round, all openers found so far follow pointers that lead as many batches on as there were openers before, and
+    the pointers are joined to themselves. Rounds number the logarithm of the most batches that a track has.
+    """
+    times = written(rows.select("track", F.col(at).alias("at_ms")).distinct())
+    later = times.select("track", (F.col("at_ms") + span_ms).alias("at"), F.lit(0).alias("real"), F.col("at_ms").alias("origin"))
+    both = later.unionByName(times.select("track", F.col("at_ms").alias("at"), F.lit(1).alias("real"), F.lit(None).cast("bigint").alias("origin")))
+    # A time that is just one span later comes after the question for it.
+    asked = seq.extend(both, ["at", "real"], {"next": seq.next_seen(F.when(F.col("real") == 1, F.col("at")))}, hot=hot)
+    pointers = written(asked.filter("real = 0 and next is not null").select("track", F.col("origin").alias("at_ms"), "next"))
+    found = written(times.groupBy("track").agg(F.min("at_ms").alias("at_ms")))
+    while True:
+        reached = written(found.join(pointers, ["track", "at_ms"]).select("track", F.col("next").alias("at_ms")))
+        if reached.isEmpty():
+            return found
+        found = found.unionByName(reached)
+        on = pointers.select("track", F.col("at_ms").alias("next"), F.col("next").alias("_beyond"))
+        pointers = written(pointers.join(on, ["track", "next"]).select("track", "at_ms", F.col("_beyond").alias("next")))
 
 
 def time_batches(rows: DataFrame, span_ms: int = 60_000, at: str = "start_ms", hot: bool | None = None) -> DataFrame:
     """Batches that open at their first row and close at the first row ``span_ms`` later.
 
     Gives ``track, line, at_ms, batch, batch_start_ms``; the anchor drifts with the data,
-    so this is a fold and not a fixed window.
+    so this is no fixed window: a fold, or for tracks too long for one task, pointers that are doubled.
     """
     if hot is None:
         hot = seq.too_long(rows)
-    found = fold_tracks(
-        rows, _Anchored(span_ms, numbered=not hot), [at, "line"], [at, "line"],
-        "line bigint, at_ms bigint, batch bigint, batch_start_ms bigint", hot=hot,
-    )
     if not hot:
-        return found
-    # The first row of a later piece opens a batch only where its anchor is its own time.
-    opens = F.when((F.col("batch") == 1) & (F.col("batch_start_ms") == F.col("at_ms")), 1).otherwise(0)
-    return seq.extend(found.withColumn("_opens", opens), ["at_ms", "line"], {"_no": seq.total("_opens")}, hot=hot).select(
-        "track", "line", "at_ms", (F.col("_no") - 1).alias("batch"), "batch_start_ms")
+        return fold_tracks(
+            rows, _Anchored(span_ms), [at, "line"], [at, "line"],
+            "line bigint, at_ms bigint, batch bigint, batch_start_ms bigint", hot=hot,
+        )
+    openers = batch_openers(rows, span_ms, at, hot).withColumn("_opens", F.lit(True))
+    placed = rows.select("track", "line", F.col(at).alias("at_ms"))
+    # Only the first of the rows at an opener's time opens its batch.
+    near = seq.extend(placed, ["at_ms", "line"], {"_before": seq.prev("at_ms")}, hot=hot)
+    marked = near.join(openers, ["track", "at_ms"], "left").withColumn(
+        "_opens", F.col("_opens").isNotNull() & ~F.col("_before").eqNullSafe(F.col("at_ms")))
+    return seq.extend(
+        marked, ["at_ms", "line"],
+        {"_no": seq.total(F.when(F.col("_opens"), 1).otherwise(0)), "_start": seq.last_seen(F.when(F.col("_opens"), F.col("at_ms")))}, hot=hot,
+    ).select("track", "line", "at_ms", (F.col("_no") - 1).cast("bigint").alias("batch"), F.col("_start").alias("batch_start_ms"))
 
 
 def batch_spans(batches: DataFrame, hot: bool | None = None) -> DataFrame:

@@ -193,11 +193,16 @@ def manifest_outputs(v: Views) -> DataFrame:
 
 @query
 def routed_lines(v: Views) -> DataFrame:
-    """A manifest end to end: lines of the pages it names, with the file each goes to."""
+    """A manifest end to end: lines of the pages, all of which it names, with the file each goes to. Beside them it has
+    entries without an input, and inputs that no page has."""
     path = F.concat(F.lit("in/"), F.regexp_replace("url", "[?#].*$", ""), F.lit(".mp4"))
     pages = v.table("pages").select("page_id", path.alias("track"), F.posexplode(F.split("html", "\n")).alias("line", "text"))
-    manifest = pages.filter("line = 0 and page_id % 3 = 0").select(
-        F.when(F.col("page_id") % 6 != 3, F.col("track")).alias("input"), F.lit("out/folder").alias("output")).distinct()
+    named = pages.filter("line = 0").select("page_id", "track")
+    given = F.when(F.col("page_id") % 2 == 0, F.lit("out/folder"))
+    lost = F.explode(F.array(F.lit(None).cast("string"), F.concat(F.lit("in/none/"), F.col("page_id").cast("string"), F.lit(".mp4"))))
+    # Pages with one address are one input, so its output comes from the address.
+    manifest = named.groupBy(F.col("track").alias("input")).agg(F.min("page_id").alias("page_id")).select("input", given.alias("output")).unionByName(
+        named.select(lost.alias("input"), F.lit("out/folder").alias("output")))
     return files.routed(pages, files.resolve_outputs(manifest, ".srt")).select("page_id", "line", "output", "output_stem")
 
 

@@ -134,6 +134,12 @@ def time_batches(v: Views) -> DataFrame:
     return neighbours.time_batches(v.cues(), 86_400_000, hot=v.hot)
 
 
+@query
+def long_time_batches(v: Views) -> DataFrame:
+    """The same by doubled pointers, as for tracks that are too long for one task."""
+    return neighbours.time_batches(v.cues(), 3_600_000, hot=True)
+
+
 @query
 def time_batch_spans(v: Views) -> DataFrame:
     return neighbours.batch_spans(neighbours.time_batches(v.cues(), 86_400_000, hot=v.hot), hot=v.hot)

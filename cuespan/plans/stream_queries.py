@@ -34,6 +34,17 @@ def streamed_changes(v: Views) -> DataFrame:
     return cues.withColumns({"start_s": F.round("start_s", 6), "end_s": F.round("end_s", 6)})
 
 
+@query
+def streamed_box_changes(v: Views) -> DataFrame:
+    """Four files of frames, one in each micro-batch, against the table of boxes."""
+    folder = folds.stored_in_parts(v.table("embeddings"), "vec_id", 4)
+    images = folds.file_stream(v.spark, folder).select(
+        F.col("label").cast("bigint").alias("track"), F.timestamp_millis(F.col("vec_id") * 100 + 1000).alias("ts"),
+        (F.col("vec_id") / 10.0).alias("at_s"), "embedding")
+    cues = passes.stream_box_changes(images, v.boxes(), v.grids(), "embedding", max_distance=2, min_frames=5, delay="10 seconds")
+    return folds.latest(folds.run_to_end(cues), frames.BOX).withColumns({"start_s": F.round("start_s", 6), "end_s": F.round("end_s", 6)})
+
+
 @query
 def streamed_batches(v: Views) -> DataFrame:
     return folds.latest(folds.run_to_end(passes.stream_batches(_cue_stream(v), 86_400_000)))

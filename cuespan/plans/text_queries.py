@@ -235,3 +235,25 @@ def run_totals(v: Views) -> DataFrame:
         ((F.col("frame_no") % 3 == 0) & F.col("changed") & F.col("passed")).alias("called"),
     )
     return aggregates.run_totals(judged)
+
+
+def _box_flags(v: Views) -> DataFrame:
+    """Every other frame by the boxes of its track, on grids of 8 by 8."""
+    sampled = frames.every_nth(v.frames().select("track", "frame_no", "embedding"), 2, 10.0)
+    return frames.box_changes(frames.box_regions(sampled, v.boxes(), v.grids(), "embedding"), 2, 5, hot=v.hot_frames)
+
+
+@query
+def box_changes(v: Views) -> DataFrame:
+    return _box_flags(v).select("track", "box", "frame_no", "distance", "changed", "passed")
+
+
+@query
+def box_cues(v: Views) -> DataFrame:
+    cues = frames.change_cues(_box_flags(v), hot=v.hot_frames, keys=frames.BOX)
+    return cues.withColumns({"start_s": F.round("start_s", 6), "end_s": F.round("end_s", 6)})
+
+
+@query
+def box_totals(v: Views) -> DataFrame:
+    return aggregates.box_totals(v.frames(), _box_flags(v))

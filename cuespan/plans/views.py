@@ -125,3 +125,15 @@ class Views:
         )
         numbered = seq.extend(features, ["vec_id"], {"_no": seq.position()}, hot=self.hot_frames)
         return numbered.select("track", (F.col("_no") - 1).alias("frame_no"), frames.sign_hash("embedding").alias("hash"), "embedding")
+
+    def grids(self) -> DataFrame:
+        """The grid that each track's features make: 8 by 8."""
+        return self.table("embeddings").select(F.col("label").cast("bigint").alias("track")).distinct().withColumns(
+            {"width": F.lit(8).cast("bigint"), "height": F.lit(8).cast("bigint")})
+
+    def boxes(self) -> DataFrame:
+        """Boxes of tracks, some of which reach over the grid or lie outside."""
+        key = F.col("n_nationkey").cast("bigint")
+        return self.table("nation").select(
+            (key % 10).alias("track"), F.col("n_name").alias("box"), (F.col("n_regionkey") * 2 - 1).cast("bigint").alias("x"),
+            (key % 6 - 1).alias("y"), (key % 5).alias("w"), (key % 4 + 1).alias("h"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,10 +50,17 @@ def ship(spark: SparkSession) -> None:
     context.cuespan_shipped = True
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Delete what ``written`` has written in this application. Results that have not been read yet need it still."""
+def written_paths(spark: SparkSession) -> list[str]:
+    """Where ``written`` has put tables that are there still, the oldest first."""
+    return list(getattr(spark.sparkContext, "cuespan_written", []))
+
+
+def drop_written(spark: SparkSession, paths: Sequence[str] | None = None) -> None:
+    """Delete ``paths``, or all that ``written`` has written in this application. Results that have not been read yet need it
+    still."""
     context = spark.sparkContext
-    for path in getattr(context, "cuespan_written", []):
+    paths = written_paths(spark) if paths is None else list(paths)
+    for path in paths:
         target = context._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-    context.cuespan_written = []
+    context.cuespan_written = [p for p in written_paths(spark) if p not in set(paths)]

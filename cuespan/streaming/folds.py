@@ -28,9 +28,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class _FoldProcessor(StatefulProcessor):
-    def __init__(self, fold: Fold, columns: Sequence[str], order: Sequence[str], names: Sequence[str], time: str, idle_ms: int | None):
+    def __init__(self, fold: Fold, columns: Sequence[str], order: Sequence[str], names: Sequence[str], time: str, idle_ms: int | None, keys: Sequence[str]):
         self.fold, self.columns, self.order, self.names = fold, list(columns), list(order), list(names)
-        self.time, self.idle_ms = time, idle_ms
+        self.time, self.idle_ms, self.keys = time, idle_ms, list(keys)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -94,7 +94,7 @@ class _FoldProcessor(StatefulProcessor):
         if not open_ and shown or late and not out:  # what was shown before no longer stands
             out.append((*key, version, all_late, None, *[None] * len(self.names)))
         if out:
-            yield pd.DataFrame(out, columns=["track", "version", "late", "settled", *self.names]).astype({"settled": object})
+            yield pd.DataFrame(out, columns=[*self.keys, "version", "late", "settled", *self.names]).astype({"settled": object})
 
     def close(self) -> None:
         pass
@@ -108,28 +108,29 @@ def _plain(row: tuple) -> list:
 
 def stream_fold(
     stream: DataFrame, fold: Fold, columns: Sequence[str], order: Sequence[str], schema: str,
-    time: str = "ts", delay: str = "10 minutes", idle_ms: int | None = None,
+    time: str = "ts", delay: str = "10 minutes", idle_ms: int | None = None, keys: Sequence[str] = ("track",),
 ) -> DataFrame:
-    """Fold each track of a stream; ``order`` must follow ``time``. Rows may be ``delay`` behind the newest.
+    """Fold each track of a stream; ``order`` must follow ``time``. Rows may be ``delay`` behind the newest. ``keys`` name
+    what is folded for itself: a track, or, say, a track and a box.
 
     With ``idle_ms``, a track without rows for so long is settled and forgotten; one that comes back starts anew.
     """
     body = T.StructType.fromDDL(schema)
     told = [T.StructField("version", T.LongType()), T.StructField("late", T.LongType()), T.StructField("settled", T.BooleanType())]
-    out = T.StructType([stream.schema["track"], *told, *body.fields])
-    needed = list(dict.fromkeys(["track", time, *columns, *order]))
+    out = T.StructType([*[stream.schema[k] for k in keys], *told, *body.fields])
+    needed = list(dict.fromkeys([*keys, time, *columns, *order]))
     return (
-        stream.select(*needed).withWatermark(time, delay).groupBy("track").transformWithStateInPandas(
-            statefulProcessor=_FoldProcessor(fold, columns, order, body.names, time, idle_ms),
+        stream.select(*needed).withWatermark(time, delay).groupBy(*keys).transformWithStateInPandas(
+            statefulProcessor=_FoldProcessor(fold, columns, order, body.names, time, idle_ms, keys),
             outputStructType=out, outputMode="Append", timeMode="EventTime",
         )
     )
 
 
-def latest(rows: DataFrame) -> DataFrame:
+def latest(rows: DataFrame, keys: Sequence[str] = ("track",)) -> DataFrame:
     """What a streamed fold has come to: all that is settled, and the rest as of each track's last version."""
-    last = rows.groupBy("track").agg(F.max("version").alias("_last"))
-    kept = rows.join(last, "track").filter("settled or (not settled and version = _last)")
+    last = rows.groupBy(*keys).agg(F.max("version").alias("_last"))
+    kept = rows.join(last, list(keys)).filter("settled or (not settled and version = _last)")
     return kept.drop("version", "late", "settled", "_last")
 
 
@@ -159,6 +160,17 @@ def run_to_end(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+def stored_in_parts(df: DataFrame, by: str, parts: int) -> str:
+    """Write ``df`` in ``parts`` files, one after the other, of consecutive ranges of ``by``; give the folder, for ``file_stream``."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/cuespan-parts-{uuid.uuid4().hex}"
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    part = F.least(F.floor((F.col(by) - low) * parts / (high - low + 1)), F.lit(parts - 1)) if low is not None else F.lit(0)
+    for number in range(parts):
+        df.filter(part == number).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """A stream of a parquet table: one file, or a folder of files."""
     # A path without a pattern would have to be a folder.

@@ -1,14 +1,15 @@
 """The single-pass loops, over streams: changes of frames, time batches, merging of cues.
 
-``watch`` takes ``delay`` and ``idle_ms`` of ``stream_fold``. A key of several parts, such as a track and a box, goes
-into ``track`` as a struct.
+``watch`` takes ``delay``, ``idle_ms`` and ``keys`` of ``stream_fold``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cuespan.folds import Fold
+from cuespan.operators.frames import BOX, active_enough, box_regions, sign_hash
 from cuespan.streaming.folds import stream_fold
 
 
@@ -61,6 +62,20 @@ def stream_changes(frames: DataFrame, max_distance: int = 4, min_frames: int = 0
     )
 
 
+def stream_box_changes(
+    frames: DataFrame, boxes: DataFrame, sizes: DataFrame, cells: str, max_distance: int = 4, min_frames: int = 0,
+    default_s: float = 3.0, level: float = 0.25, min_share: float = 0.03, **watch,
+) -> DataFrame:
+    """Cues of each box from frames as they arrive, ``track, box, …`` as ``stream_changes`` gives them for a track.
+
+    The stream of frames (``track, ts, at_s`` and ``cells``) meets the table of boxes before the state, so that each
+    track and box has a state of its own. ``boxes`` and ``sizes`` are as in ``operators.frames.box_regions``.
+    """
+    met = box_regions(frames.withColumn("frame_no", F.lit(0)), boxes, sizes, cells)
+    judged = met.select("track", "box", "ts", "at_s", sign_hash("region").alias("hash"), active_enough("region", level, min_share).alias("passed"))
+    return stream_changes(judged, max_distance, min_frames, default_s, keys=BOX, **watch)
+
+
 class BatchSpans(Fold):
     """State: the open batch (number, start, last row, rows, text of its last row) and the
     context that the batch before left."""
