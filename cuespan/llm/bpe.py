@@ -22,8 +22,8 @@ FREQUENT = 1_000_000
 HELD = 400_000
 #: Words that occur so often or more are not told apart by their frequency.
 OFTEN = 1024
-#: So many characters are looked up at a time.
-LOOKED_UP = 8_000_000
+#: So many bytes of text, or a third as many ids, are looked up at a time.
+LOOKED_UP = 3_000_000
 
 _loaded: dict[object, object] = {}
 
@@ -104,26 +104,45 @@ def word_table(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame
 
 
 class _Words:
-    """Words with their ids, looked up many at a time."""
+    """Words with their ids, looked up many at a time: by a hash that no two of them share, and then by the word itself."""
 
     def __init__(self, words: pa.Array, ids: pa.Array) -> None:
-        self.words, offsets = words, np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1) // 4 if len(ids) else np.zeros(1, np.int32)
-        self.begins, self.sizes = offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
-        self.ids = np.frombuffer(ids.buffers()[2], "<u4") if len(ids) and self.sizes.sum() else np.zeros(0, "<u4")
+        self.key = 0
+        while True:
+            hashes = self.hashes(words.to_numpy(zero_copy_only=False))
+            order = np.argsort(hashes, kind="stable")
+            self.sorted = hashes[order]
+            if not (self.sorted[1:] == self.sorted[:-1]).any():
+                break
+            self.key += 1
+        self.words, ids = words.take(pa.array(order)), ids.take(pa.array(order))
+        offsets = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1) // 4 if len(ids) else np.zeros(1, np.int32)
+        self.begins, self.sizes = offsets[:-1].copy(), np.diff(offsets).astype(np.int32)
+        self.ids = np.frombuffer(ids.buffers()[2] or b"", "<u4").copy()
+
+    def hashes(self, words) -> np.ndarray:
+        import pandas as pd
+
+        return pd.util.hash_array(np.asarray(words, object), hash_key=f"{self.key:016d}", categorize=False)
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """Numbers from 1, and 0 for words that are not here."""
         import pyarrow.compute as pc
 
-        found = pc.index_in(pa.array(words, pa.string()), value_set=self.words)
-        return found.fill_null(-1).to_numpy().astype(np.int64) + 1
+        if not len(self.sorted):
+            return np.zeros(len(words), np.int64)
+        own = np.empty(len(words), object)
+        own[:] = words
+        hashes = self.hashes(own)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        same = pc.equal(self.words.take(pa.array(at)), pa.array(words, pa.string())).to_numpy(zero_copy_only=False)
+        return np.where(same, at + 1, 0)
 
     def spread(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of numbered words, one after the other, and where each word's end."""
-        at = numbers - 1
-        sizes = self.sizes[at]
+        sizes = self.sizes[numbers - 1].astype(np.int64)
         ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.begins[at] - ends + sizes, sizes) + np.arange(int(sizes.sum()))], ends
+        return self.ids[np.repeat(self.begins[numbers - 1] - ends + sizes, sizes) + np.arange(int(sizes.sum()))], ends
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -152,16 +171,9 @@ def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def _broadcast(words: DataFrame) -> Broadcast:
-    table = words.select("word", "ids").toArrow().combine_chunks()
+    table = words.select("word", "ids").toArrow()
     columns = [pa.concat_arrays(table[c].chunks) if table[c].num_chunks else pa.array([], t) for c, t in (("word", pa.string()), ("ids", pa.binary()))]
-    return words.sparkSession.sparkContext.broadcast(tuple(columns))
-
-
-def _known(table: Broadcast) -> _Words:
-    """The table of a broadcast, made ready once per Python worker."""
-    if _loaded.get("table", (None,))[0] is not table.value:
-        _loaded["table"] = table.value, _Words(*table.value)
-    return _loaded["table"][1]
+    return words.sparkSession.sparkContext.broadcast(_Words(*columns))
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", table_words: int = TABLE_WORDS, frequent: int = FREQUENT) -> DataFrame:
@@ -185,7 +197,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", table_words: int
     ship(docs.sparkSession)
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = splitter(tokenizer), _known(table)
+        split, known = splitter(tokenizer), table.value
         for batch in batches:
             for a, b in _slices(batch.column(2)):
                 part = batch.slice(a, b - a)
@@ -209,14 +221,14 @@ def _by_shuffle(rows: DataFrame, words: DataFrame, kind: str, tokenizer: str, fr
 
     def places(batch: pa.RecordBatch) -> pa.RecordBatch:
         """The numbers of each row's words, 0 for a place that is open."""
-        split, known, found = splitter(tokenizer), _known(table), []
+        split, known, found = splitter(tokenizer), table.value, []
         for a, b in _slices(batch.column(2)):
             flat, ends = _split_all(split, batch.column(2).slice(a, b - a))
             found.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(known.numbers(flat).astype(np.int32))))
         return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.concat_arrays(found)], ["doc_id", "text_key", "numbers"])
 
     def missing(batch: pa.RecordBatch) -> pa.RecordBatch:
-        split, known = splitter(tokenizer), _known(table)
+        split, known = splitter(tokenizer), table.value
         at, nth, found = [], [], []
         for a, b in _slices(batch.column(2)):
             flat, ends = _split_all(split, batch.column(2).slice(a, b - a))
@@ -239,7 +251,7 @@ def _by_shuffle(rows: DataFrame, words: DataFrame, kind: str, tokenizer: str, fr
     )
 
     def filled(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known, out, ends = _known(table), [], [0]
+        known, out, ends = table.value, [], [0]
         for numbers, rare in zip(batch.column(2), batch.column(3)):
             numbers = numbers.values.to_numpy()
             if rare.is_valid:
@@ -287,14 +299,19 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     @F.arrow_udf("string")
     def joined(lists: pa.Array) -> pa.Array:
         lists = lists.fill_null([])
-        met = shared.value.take(lists.flatten())
-        if met.null_count:
-            raise ValueError("an id is not in the vocabulary")
-        ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
-        # Pieces lie one after the other, so a text is what lies between its first and its last.
-        places = np.frombuffer(met.buffers()[1], np.int64, len(met) + 1, met.offset * 8)[ends].tolist()
-        raw = memoryview(met.buffers()[2] or b"")
-        return pa.array([str(raw[a:b], "utf-8", "replace") for a, b in zip(places, places[1:])], pa.string())
+        ids, ends = lists.flatten(), np.cumsum([0, *lists.value_lengths().to_pylist()])
+        texts, at = [], 0
+        while at < len(lists):
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] + LOOKED_UP // 3, side="right")) - 1)
+            met = shared.value.take(ids.slice(ends[at], ends[upto] - ends[at]))
+            if met.null_count:
+                raise ValueError("an id is not in the vocabulary")
+            # Pieces lie one after the other, so a text is what lies between its first and its last.
+            places = np.frombuffer(met.buffers()[1], np.int64, len(met) + 1)[ends[at:upto + 1] - ends[at]].tolist()
+            raw = memoryview(met.buffers()[2] or b"")
+            texts.append(pa.array([str(raw[a:b], "utf-8", "replace") for a, b in zip(places, places[1:])], pa.string()))
+            at = upto
+        return pa.concat_arrays(texts) if texts else pa.array([], pa.string())
 
     return encoded.withColumn("decoded", joined(F.col(ids)))
 
