@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespan.llm.texts import by_batch, text_key, whole
+from cuespan.llm.texts import by_batch, key_filter, parted, rows_of, text_key, whole
 from cuespan.session import ship, written
 
 WINDOW = 13
@@ -186,10 +186,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """``docs`` without contaminated rows, columns as they are: see ``contamination``. Rows without words stay."""
-    bad = contamination(docs, benchmark, window, text).where("contaminated").select(
-        F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct()
-    return (
-        docs.withColumn("__own", text_key(text))
-        .join(written(bad), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__key")), "left_anti")
-        .select(*docs.columns)
-    )
+    bad = written(contamination(docs, benchmark, window, text).where("contaminated").select("doc_id", "text_key").distinct())
+    rows = docs.select(rows_of(docs), F.col("doc_id").alias("own_id"), text_key(text).alias("own_key"))
+    hit, clean = parted(rows, key_filter(bad, "doc_id", "text_key"), "own_id", "own_key")
+    missed = hit.join(bad, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")), "left_anti")
+    return clean.select("row.*").unionByName(missed.select("row.*"))

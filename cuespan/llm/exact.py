@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespan.llm.texts import lowered, whole
+from cuespan.llm.texts import key_filter, lowered, parted, rows_of, whole
 from cuespan.session import written
 
 HEAVY = 256
@@ -55,13 +55,19 @@ def exact_groups(docs: DataFrame, text: str = "text", heavy: int = HEAVY, tracke
 
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
-    """``docs`` with one row for each distinct text, columns as they are: the one that ``exact_groups`` keeps. Rows repeated
-    whole leave one; no rows give no rows."""
-    kept = exact_groups(docs, text, heavy, tracked).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    one = Window.partitionBy("__digest").orderBy(F.lit(1))
-    return (
-        docs.withColumn("__own", text_digest(text))
-        .join(kept, F.col("__own").eqNullSafe(F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-        .withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*docs.columns)
-    )
+    """``docs`` with one row for each distinct text, columns as they are, whatever their names: the one that
+    ``exact_groups`` keeps. Rows repeated whole leave one; no rows give no rows.
+
+    A filter of the digests that have several rows tells which rows may have copies. Rows without stay where they are.
+    """
+    groups = exact_groups(docs, text, heavy, tracked)
+    several = written(groups.where("group_size > 1 and kept").select("digest", "keep_id", "group_size").distinct())
+    rows = docs.select(rows_of(docs), text_digest(text).alias("digest"))
+    copied, alone = parted(rows, key_filter(several, "digest"), "digest")
+    kept = F.col("keep_id").isNull() & F.col("group_size").isNull() | F.col("row.doc_id").eqNullSafe(F.col("keep_id"))
+    winners = several.orderBy(F.desc("group_size")).limit(heavy)
+    # Losers of the largest groups go before the shuffle.
+    left = copied.join(F.broadcast(winners), "digest", "left").where(kept).select("row", "digest")
+    one = Window.partitionBy("digest").orderBy(F.lit(1))
+    met = left.join(several.hint("merge"), "digest", "left").where(kept).withColumn("nth", F.row_number().over(one)).where("nth = 1")
+    return alone.select("row.*").unionByName(met.select("row.*"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuespan.llm.texts import by_batch, whole
+from cuespan.llm.texts import by_batch, key_filter, parted, whole
 from cuespan.session import written
 
 SEED = 42
@@ -202,7 +202,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text") -> Da
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the rows predicted to be bad, columns as they are. Null texts are judged as empty ones, repeated
     rows alike; without labels all rows stay; no rows give no rows."""
-    labelled = docs.join(labels.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
+    # Statistics are made where the texts are; only they meet the labels.
+    labelled, _ = parted(docs.select("doc_id", text), key_filter(labels, "doc_id"), "doc_id")
     model = fit(written(training_rows(document_statistics(labelled, text), labels)))
 
     @F.arrow_udf("double")

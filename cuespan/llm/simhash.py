@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuespan.llm.components import components
-from cuespan.llm.texts import LOWER_BYTES, by_batch, text_key, whole
+from cuespan.llm.texts import LOWER_BYTES, by_batch, key_filter, parted, rows_of, text_key, whole
 from cuespan.session import written
 
 SEED = 42
@@ -25,8 +25,8 @@ SHINGLE = 5
 #: Bands of least hashes: two texts that share 0.8 of their shingles miss all of them with a chance of 1 in 10 000.
 BANDS = 24
 BAND_ROWS = 5
-STARS = 3
 _CHUNK = 100_000
+_ROWS = 1024
 
 
 def _fingerprint(features: list[bytes], seed: int) -> int:
@@ -162,8 +162,8 @@ def band_table(docs: DataFrame, text: str = "text") -> DataFrame:
             words = value.as_py().encode().translate(LOWER_BYTES).split()
             hashes = np.array(list({digest(f) for f in shingles(words, SHINGLE)}) or [0], np.uint64)
             # The upper half of a product depends on all bits of the hash; the lower one does not.
-            least = [int(((hashes * a + b) >> np.uint64(20)).min()) for a, b in zip(times, plus)]
-            rows = np.array(least, "<u8").reshape(BANDS, -1)
+            least = [((part[:, None] * times + plus) >> np.uint64(20)).min(0) for part in np.split(hashes, range(_ROWS, len(hashes), _ROWS))]
+            rows = np.min(least, 0).astype("<u8").reshape(BANDS, -1)
             found[i] = [xxhash.xxh64_intdigest(r.tobytes()) >> 1 for r in rows]
         owner = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
         return pa.RecordBatch.from_arrays(
@@ -202,75 +202,79 @@ def _runs(text: str) -> set[bytes]:
     return set(shingles(text.encode().translate(LOWER_BYTES).split(), SHINGLE))
 
 
-def _proposed(docs: DataFrame, kinds: tuple[tuple[int, int], ...], radius: int, text: str) -> DataFrame:
-    """``(a, b)``: text keys with fingerprints within ``radius`` bits, each print standing for its first text."""
+def _print_groups(docs: DataFrame, kinds: tuple[tuple[int, int], ...], radius: int, text: str) -> DataFrame:
+    """``(band, bucket, text_key)``: texts whose fingerprints of one kind are equal, or reach each other over steps of at most
+    ``radius`` bits; the kinds come after the bands."""
     prints = written(fingerprints(docs, kinds, text).select("text_key", F.posexplode("prints").alias("kind", "print")).distinct())
-    firsts = written(prints.groupBy("kind", "print").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last")))
-    equal = prints.join(firsts.where("first <> last"), ["kind", "print"]).select(F.col("text_key").alias("a"), F.col("first").alias("b"))
-    near = written(near_pairs(firsts, radius))
-    ends = firsts.select(F.col("kind").alias("__kind"), F.col("print").alias("__print"), "first")
-    near = near.join(ends, (F.col("kind") == F.col("__kind")) & (F.col("a") == F.col("__print"))).select(
-        "kind", F.col("first").alias("x"), "b").join(
-        ends, (F.col("kind") == F.col("__kind")) & (F.col("b") == F.col("__print"))).select(F.col("x").alias("a"), F.col("first").alias("b"))
-    return equal.unionByName(near)
+    near = written(near_pairs(prints.select("kind", "print"), radius))
+    named = [F.struct("kind", F.col(x).alias("print")).alias(x) for x in "ab"]
+    rooted = written(components(near.select(*named)).select("node.kind", "node.print", F.col("root.print").alias("root")))
+    ends = rooted.select(F.col("kind").alias("__kind"), F.col("print").alias("__print"), "root")
+    return prints.join(ends, (F.col("kind") == F.col("__kind")) & (F.col("print") == F.col("__print")), "left").select(
+        (F.col("kind") + BANDS).alias("band"), F.coalesce("root", "print").alias("bucket"), "text_key")
 
 
 def similar_components(docs: DataFrame, kinds: tuple[tuple[int, int], ...] = KINDS, radius: int = 3, text: str = "text") -> DataFrame:
     """``(node, root)`` of text keys that verified links join: see ``drop_near_copies``.
 
-    Pairs are proposed by fingerprints and by bands of least hashes. First, each text of a bucket meets a centre, which is
-    another one in each band and round. What is left then are pairs of one bucket and different components, and all
-    of them are verified: within a component there is nothing to be learned.
+    Buckets are what bands of least hashes and groups of fingerprints bring together. In each turn, some texts of a bucket
+    are its centres, first one, then about twice as many each time. Those that are not of a centre's component
+    are verified against it; a centre has then met all others and leaves the bucket. A bucket that has come to one
+    component is done. So a group of copies takes pairs in proportion to its size, and texts that only look alike are
+    done after few turns. The first centre is chosen by one order for all buckets, so that buckets with the same texts
+    propose the same pairs.
     """
-    bands = written(band_table(docs, text))
-    shared = bands.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    bands = written(bands.join(written(shared), ["band", "bucket"]))
+    found = written(band_table(docs, text).unionByName(_print_groups(docs, kinds, radius, text)))
+    shared = written(found.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    open_ = written(found.join(shared, ["band", "bucket"]).select("band", "bucket", "text_key", F.col("text_key").alias("root")))
     tried = links = rooted = None
-    for turn in range(STARS + 1):
-        if rooted is None:
-            open_ = bands.withColumn("root", F.col("text_key"))
-        else:
-            named = bands.join(rooted, F.col("text_key") == F.col("node"), "left").select(
-                "band", "bucket", "text_key", F.coalesce("root", "text_key").alias("root"))
-            named = written(named)
-            mixed = named.groupBy("band", "bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-            open_ = written(named.join(written(mixed.select("band", "bucket")), ["band", "bucket"]))
-        if turn < STARS:
-            order = F.struct(F.xxhash64("text_key", "band", F.lit(turn)), "text_key", "root")
-            centres = written(open_.groupBy("band", "bucket").agg(F.min(order).alias("centre")))
-            pairs = open_.join(centres, ["band", "bucket"]).where("root <> centre.root").select(
-                F.greatest("text_key", "centre.text_key").alias("a"), F.least("text_key", "centre.text_key").alias("b"))
-        else:
-            pairs = open_.alias("l").join(open_.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.bucket") == F.col("r.bucket"))
-                                          & (F.col("l.text_key") > F.col("r.text_key")) & (F.col("l.root") != F.col("r.root"))).select(
-                F.col("l.text_key").alias("a"), F.col("r.text_key").alias("b"))
-        if turn == 0:
-            pairs = pairs.unionByName(_proposed(docs, kinds, radius, text).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-        pairs = pairs.where("a <> b").distinct()
+    turn = 0
+    while True:
+        rank = F.xxhash64("text_key", F.lit(turn)).bitwiseAND(F.lit((1 << 31) - 1))
+        ranked = open_.withColumn("rank", rank)
+        sizes = written(ranked.groupBy("band", "bucket").agg(F.min(F.struct("rank", "text_key")).alias("first"), F.count("*").alias("n")))
+        ranked = ranked.join(sizes, ["band", "bucket"]).withColumn(
+            "chosen", (F.col("text_key") == F.col("first.text_key")) | (F.col("rank") * F.col("n") < ((1 << turn) - 1) * (1 << 31)))
+        ranked = written(ranked.select("band", "bucket", "text_key", "root", "chosen"))
+        centres = ranked.where("chosen").select("band", "bucket", F.col("text_key").alias("centre"), F.col("root").alias("centre_root"))
+        met = ranked.join(centres, ["band", "bucket"])
+        pairs = met.where("root <> centre_root").select(F.greatest("text_key", "centre").alias("a"), F.least("text_key", "centre").alias("b")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = written(similar_pairs(pairs, docs, SIMILAR, text))
-        links = found if links is None else links.unionByName(found)
+        new = written(similar_pairs(pairs, docs, SIMILAR, text))
+        links = new if links is None else links.unionByName(new)
         rooted = written(components(links))
-    return rooted
+        named = written(
+            ranked.where("not chosen").select("band", "bucket", "text_key").join(rooted, F.col("text_key") == F.col("node"), "left")
+            .select("band", "bucket", "text_key", F.coalesce("root", "text_key").alias("root")))
+        mixed = written(named.groupBy("band", "bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").drop("x", "y"))
+        if mixed.isEmpty():
+            return rooted
+        open_ = written(named.join(mixed, ["band", "bucket"]))
+        turn += 1
 
 
 def drop_near_copies(docs: DataFrame, kinds: tuple[tuple[int, int], ...] = KINDS, radius: int = 3, text: str = "text") -> DataFrame:
-    """``docs`` with one row, that of the smallest doc_id, for each group of near copies, columns as they are.
+    """``docs`` with one row, that of the smallest doc_id, for each group of near copies, columns as they are, whatever their
+    names.
 
     Texts are linked if they share 0.8 or more of their distinct runs of five words, A-Z in lower case; every link is
     verified on the texts. Pairs are proposed by fingerprints of ``kinds`` within ``radius`` bits and by bands of least
     hashes. Groups are what links reach. Null texts count as empty, and all texts without words are one group; rows
     that repeat a doc_id and its text leave one row; no rows give no rows.
+
+    A filter of the texts whose groups have several rows tells which rows may have to go. All others stay where they are.
     """
     rooted = similar_components(docs, kinds, radius, text)
-    rows = docs.select("doc_id", text_key(text).alias("text_key")).join(rooted, F.col("text_key") == F.col("node"), "left").select(
+    short = docs.select("doc_id", text_key(text).alias("text_key")).join(rooted, F.col("text_key") == F.col("node"), "left").select(
         F.struct(F.isnull("doc_id").alias("lost"), "doc_id", "text_key").alias("row"), F.coalesce("root", "text_key").alias("root"))
-    kept = written(rows.groupBy("root").agg(F.min("row").alias("row"))).select(
-        F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key"))
-    one = Window.partitionBy("__key").orderBy(F.lit(1))
-    return (
-        docs.withColumn("__own", text_key(text))
-        .join(kept, (F.col("__own") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-        .withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*docs.columns)
-    )
+    groups = written(short.groupBy("root").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    texts = written(
+        groups.select("root", "first").join(rooted, "root", "left").select(F.coalesce("node", "root").alias("own"), "first")
+        .unionByName(groups.select(F.col("root").alias("own"), "first")).distinct())
+    rows = docs.select(rows_of(docs), text_key(text).alias("text_key"))
+    copied, alone = parted(rows, key_filter(texts, "own"), "text_key")
+    one = Window.partitionBy("text_key").orderBy(F.lit(1))
+    is_first = F.col("own").isNull() | (F.col("text_key") == F.col("first.text_key")) & F.col("row.doc_id").eqNullSafe(F.col("first.doc_id"))
+    met = copied.join(texts, F.col("text_key") == F.col("own"), "left").where(is_first).withColumn("nth", F.row_number().over(one)).where("nth = 1")
+    return alone.select("row.*").unionByName(met.select("row.*"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuespan.session import ship
+from cuespan.session import ship, written
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -35,6 +35,35 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(whole(text))
 
 
+#: Filters of keys have 2 to this power of bits, in rows of 64.
+FILTER_BITS = 26
+
+
+def rows_of(docs: DataFrame) -> Column:
+    """All columns of ``docs``, whatever their names, as one: ``select("row.*")`` gives them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+
+
+def key_filter(keys: DataFrame, *key: str | Column) -> DataFrame:
+    """``(bucket, mask)``: a bit for each key. At most 2 to the power of ``FILTER_BITS`` - 6 rows, so that it may be broadcast."""
+    place = F.xxhash64(*key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    return written(
+        keys.select(place.alias("place")).select(F.shiftright("place", 6).alias("bucket"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+        .groupBy("bucket").agg(F.bit_or("bit").alias("mask")))
+
+
+def parted(rows: DataFrame, keys: DataFrame, *key: str | Column) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose key is in the filter ``keys``, as all rows with a key that went into it are, and the others.
+
+    The others need not meet the table of keys at all, so they need no shuffle.
+    """
+    names = keys.select(F.col("bucket").alias("__bucket"), F.col("mask").alias("__mask"))
+    placed = rows.withColumn("__place", F.xxhash64(*key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)))
+    met = placed.join(F.broadcast(names), F.shiftright("__place", 6) == F.col("__bucket"), "left")
+    inside = F.coalesce(F.expr("__mask & shiftleft(1L, cast(__place & 63 as int))"), F.lit(0)) != 0
+    return met.where(inside).select(rows.columns), met.where(~inside).select(rows.columns)
+
+
 def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``df`` with ``make`` applied to each of its Arrow batches, on executors that have been given the package."""
     ship(df.sparkSession)

@@ -103,6 +103,59 @@ def test_near_copies_equal_loop(spark):
     assert {r[0] for r in out.select("doc_id").collect()} == want and 24 < len(want) < len(docs) - 12
 
 
+def test_large_groups_of_near_copies_take_few_pairs(spark, monkeypatch):
+    """One group of 2000 variants, a word or two apart from their text, and texts that share half of their words."""
+    import random
+
+    rnd = random.Random(5)
+    base = [f"word{i}" for i in range(120)]
+
+    def variant(words, n):
+        words = list(words)
+        for at in rnd.sample(range(len(words)), n):
+            words[at] = f"other{rnd.random()}"
+        return " ".join(words)
+
+    rows = [(i, variant(base, 1 + i % 2)) for i in range(2000)]
+    rows += [(5000 + i, " ".join(base[:60] + [f"own{i}x{j}" for j in range(60)])) for i in range(60)]
+    tried = []
+    verify = simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda pairs, *args: tried.append(pairs.count()) or verify(pairs, *args))
+    left = {r[0] for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id").collect()}
+    assert left == {0} | {5000 + i for i in range(60)}
+    assert sum(tried) < 10 * len(rows)
+
+
+CLASHES = ("__own", "__id", "__key", "a.b", "node", "root", "text_key", "TEXT_KEY2", "row", "digest", "keep_id", "own", "first", "nth", "__place",
+           "bucket", "own_id", "own_key", "quality", "n", "group_size", "back`tick")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from cuespan.llm import decontaminate, quality
+
+    rows = [(i, t, *[f"{name}-{i}" for name in CLASHES]) for i, t in ODD]
+    kinds = ", ".join(f"`{c.replace('`', '``')}` string" for c in CLASHES)
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, {kinds}")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    bench = spark.createDataFrame([(1, "long words again and long words again and long words again")], "item_id bigint, text string")
+    whole = {r[0]: tuple(r) for r in docs.collect()}
+    for out in (quality.keep_good(docs, labels), exact.drop_exact_copies(docs), simhash.drop_near_copies(docs), decontaminate.drop_contaminated(docs, bench)):
+        assert out.columns == docs.columns
+        got = [tuple(r) for r in out.collect()]
+        assert got and all(whole[r[0]] == r for r in got)
+    assert 12 not in {r[0] for r in decontaminate.drop_contaminated(docs, bench).select("doc_id").collect()}
+
+
+def test_filters_of_keys_miss_none(spark):
+    from cuespan.llm.texts import key_filter, parted
+
+    docs = spark.range(5000).withColumnRenamed("id", "doc_id")
+    inside, outside = parted(docs, key_filter(docs.where("doc_id % 7 = 0"), "doc_id"), "doc_id")
+    ids = {r[0] for r in inside.collect()}
+    assert set(range(0, 5000, 7)) <= ids and len(ids) < 800
+    assert ids | {r[0] for r in outside.collect()} == set(range(5000)) and inside.count() + outside.count() == 5000
+
+
 def test_simhash_odd_rows(none, repeated):
     assert simhash.simhash_components(none).count() == 0
     rows = simhash.simhash_components(repeated).collect()
