@@ -99,6 +99,9 @@ TRANSLATED = """
     FROM told_lines"""
 
 QUERIES = {
+    "srt_by_ranges": ("cues", f"""
+        SELECT line, {STRICT_BACK.format('start_ms')} AS start_ms, {STRICT_BACK.format('end_ms')} AS end_ms, track || ': ' || text AS text
+        FROM cues WHERE {STRICT_BACK.format('end_ms')} > {STRICT_BACK.format('start_ms')}"""),
     "srt_write": ("cues", parts_of("cues", f"line || chr(10) || {RANGE} || chr(10) || text || chr(10)", 40)),
     "srt_write_untimed": ("muted_lines", f"""
         SELECT track, (no - 1) // 40 AS part, string_agg(line || chr(10) || {RANGE} || chr(10), chr(10) ORDER BY line) AS text
@@ -203,6 +206,10 @@ QUERIES = {
         SELECT track, CAST(sum(n) AS BIGINT) AS total_blocks, count(*) AS total_batches, count(*) FILTER (ok) AS success,
                count(*) FILTER (NOT ok) AS failed
         FROM (SELECT track, batch, count(*) AS n, bool_and(ok) AS ok FROM ({TRANSLATED}) GROUP BY track, batch) GROUP BY track"""),
+    "ledgered_calls": ("cues", """
+        SELECT track, count(*) AS batches, count(*) AS answered, count(*) FILTER (batch % 2 = 0) AS asked_0,
+               count(*) FILTER (batch % 2 = 1) AS asked_1, CAST(0 AS BIGINT) AS asked_2
+        FROM (SELECT DISTINCT track, (line - 1) // 30 AS batch FROM cues) GROUP BY track"""),
     "batch_merge": ("cues", f"""
         SELECT track, line, CASE WHEN status = 'ok' THEN upper(text) ELSE text END AS text, status FROM (
             SELECT track, line, text, CASE WHEN batch % 4 = 3 THEN 'failed' WHEN batch % 4 = 1 AND n = 1 THEN 'failed'

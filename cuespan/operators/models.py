@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuespan.functions import text as rules
+from cuespan.session import path_exists, written
 from cuespan.sources.srt import blocks_to_cues
 
 PAYLOAD_TAG = "TRANSLATE_TEXT"
@@ -120,6 +121,52 @@ def call_batches(
     return spread.mapInPandas(run, T.StructType([*messages.schema.fields, *told.fields]))
 
 
+REPLY = ("reply", "status", "attempts", "error")
+
+
+def call_once(
+    messages: DataFrame,
+    model: Callable[[], Callable[[str], str]],
+    ledger: str,
+    check: Callable[[str, int], None] | None = None,
+    attempts: int = 3,
+    rows_per_task: int = 8,
+    rows_per_round: int = 10_000,
+) -> DataFrame:
+    """As ``call_batches``, but each message is sent once, however often this runs: replies are kept in ``ledger``, a
+    folder that executors share, by a hash of the message.
+
+    What the ledger has answered is taken from there; equal messages are one. The rest is sent in rounds of about
+    ``rows_per_round``, which are added to the ledger one after the other, so a run that breaks off loses one round at
+    most. Within a round, a task that is done has its replies stored; one that is lost sends its ``rows_per_task`` again.
+    Failed messages are in the ledger too, and are sent again by the next run.
+    """
+    spark = messages.sparkSession
+    named = [c for c in ("message", "context", "blocks") if c in messages.columns]
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in named]
+    lengths = [F.char_length(p).cast("string") for p in parts]
+    keyed = messages.withColumn("message_key", F.sha2(F.concat_ws("\n", *lengths, *parts), 256))
+    todo, run = keyed.dropDuplicates(["message_key"]), 0
+    if path_exists(spark, ledger):
+        before = spark.read.parquet(ledger)
+        run = before.agg(F.max("run")).first()[0] + 1
+        todo = todo.join(before.filter("status = 'ok'").select("message_key").distinct(), "message_key", "left_anti")
+    todo = written(todo)
+    count = todo.count()
+    rounds = -(-count // rows_per_round)
+    for number in range(rounds):
+        own = todo.filter(F.pmod(F.xxhash64("message_key"), F.lit(rounds)) == number)
+        tasks = max(1, -(-count // (rounds * rows_per_task)))
+        answered = call_batches(own, model, check, attempts, parallel=tasks)
+        answered.select("message_key", *REPLY, F.lit(run).alias("run")).write.mode("append").parquet(ledger)
+    if not path_exists(spark, ledger):
+        return call_batches(messages.filter("false"), model, check, attempts)
+    # An answer stands before a failure, and a later one before an earlier.
+    kept = spark.read.parquet(ledger).groupBy("message_key").agg(
+        F.max_by(F.struct(*REPLY), F.struct(F.col("status") == "ok", "run")).alias("kept"))
+    return keyed.join(kept, "message_key").select(*messages.columns, *[f"kept.{c}" for c in REPLY])
+
+
 def merge_replies(batched: DataFrame, replies: DataFrame, payload: bool = True) -> DataFrame:
     """Put replied texts in place of the originals, by position within the batch.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from cuespan.plans import jobs, stand_ins
 from cuespan.plans.layout_queries import FPS, rounded
 from cuespan.plans.registry import query
 from cuespan.plans.views import Views
+from cuespan.session import shared_dir
 from cuespan.sources import ass, files, srt
 
 PART_ROWS = 40
@@ -51,6 +54,16 @@ def srt_parse(v: Views) -> DataFrame:
     return srt.blocks_to_cues(_spoiled(v), ["track", "part"]).drop("part")
 
 
+@query
+def srt_by_ranges(v: Views) -> DataFrame:
+    """All cues written to files of many tracks each, which are read back by byte ranges."""
+    cues = v.cues().select("track", "line", "start_ms", "end_ms", F.concat(F.col("track").cast("string"), F.lit(": "), "text").alias("text"))
+    folder = f"{shared_dir(v.spark)}/cuespan-srt-{uuid.uuid4().hex}"
+    block = F.concat_ws("\n", F.col("line").cast("string"), aggregates.clock_range(), "text", F.lit(""))
+    cues.repartitionByRange("track", "line").sortWithinPartitions("track", "line").select(block.alias("value")).write.text(folder)
+    return srt.read_srt(v.spark, folder, by_ranges=True).select("line", "start_ms", "end_ms", "text")
+
+
 @query
 def srt_rejects(v: Views) -> DataFrame:
     return srt.bad_blocks(_spoiled(v), ["track", "part"]).drop("raw")
@@ -261,6 +274,21 @@ def translation_report(v: Views) -> DataFrame:
     return aggregates.batch_report(_translated(v)[1])
 
 
+@query
+def ledgered_calls(v: Views) -> DataFrame:
+    """A job that broke off after every other batch, and was run again, twice: how often each run asked the model, by track."""
+    split = neighbours.batched(v.cues().withColumn("time", aggregates.clock_range()), 30, hot=v.hot)
+    messages = aggregates.batch_messages(split).withColumn("message", F.concat(F.col("track").cast("string"), F.lit("/"), "message"))
+    ledger = f"{shared_dir(v.spark)}/cuespan-ledger-{uuid.uuid4().hex}"
+    models.call_once(messages.filter("batch % 2 = 0"), stand_ins.echo, ledger)
+    models.call_once(messages, stand_ins.echo, ledger)
+    replies = models.call_once(messages, stand_ins.echo, ledger)
+    asked = v.spark.read.parquet(ledger).groupBy(F.split("reply", "/")[0].cast("bigint").alias("track")).pivot("run", [0, 1, 2]).count()
+    found = replies.groupBy("track").agg(F.count(F.lit(1)).alias("batches"), F.count_if((F.col("status") == "ok") & (F.col("reply") == F.col("message"))).alias("answered"))
+    return found.join(asked, "track").select(
+        "track", "batches", "answered", *[F.coalesce(F.col(f"`{r}`"), F.lit(0)).alias(f"asked_{r}") for r in range(3)])
+
+
 @query
 def batch_merge(v: Views) -> DataFrame:
     """Ready-made replies put in place by position; some are a block short, some missing."""

@@ -69,17 +69,22 @@ def screen_text(
 def translate(
     cues: DataFrame, model: Callable, batch_size: int = 30, template: str = "{batch_input}", context: str = "",
     attempts: int = 3, parallel: int | None = None, hot: bool | None = None, full_context: str | None = None,
+    ledger: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Translated cues, and one row per batch on how it went. A batch whose reply cannot be
     used keeps its texts. ``cues`` may bring their ``time`` line. ``full_context``, a template with ``{text}`` in it,
-    gives each track its own whole text as context."""
+    gives each track its own whole text as context. With a ``ledger`` (see ``models.call_once``) what has been answered
+    before is not sent again."""
     if "time" not in cues.columns:
         cues = cues.withColumn("time", aggregates.clock_range())
     split = neighbours.batched(cues, batch_size, hot=hot)
     contexts = aggregates.own_context(cues, full_context) if full_context else None
     messages = aggregates.batch_messages(split, template, context, contexts)
     # The replies are used twice; they are written so that the model is asked once.
-    replies = written(models.call_batches(messages, model, models.reply_problem, attempts, parallel))
+    if ledger:
+        replies = written(models.call_once(messages, model, ledger, models.reply_problem, attempts))
+    else:
+        replies = written(models.call_batches(messages, model, models.reply_problem, attempts, parallel))
     merged = models.merge_replies(split, replies)
     # What counts is whether the texts were replaced.
     outcome = merged.groupBy("track", "batch").agg(F.max("status").alias("status"))

@@ -39,6 +39,10 @@ def translator():
     return _Translator()
 
 
+def echo():
+    return lambda message: message
+
+
 def recogniser():
     def call(items: list) -> list[str]:
         return [f"seen {item}" for item in items]

@@ -18,19 +18,25 @@ STYLE_FORMAT = (
 )
 
 
-def sections(texts: DataFrame) -> DataFrame:
+def sections(texts: DataFrame, hot: bool | None = None) -> DataFrame:
     """Lines of ASS texts with the section they stand in: ``track, line_no, section, value``.
 
-    A file is one row, so its lines are numbered and labelled within that row.
+    ``texts`` has whole files, as ``content``, or their lines, ``at`` and ``value``, as ``srt.read_lines`` gives them. In the
+    first case a file is one row, so its lines are numbered and labelled within one task.
     """
-    lines = F.transform(F.split("content", LINE_ENDS), lambda x: rules.strip(x))
-    numbered = texts.select("track", F.posexplode(lines).alias("_i", "value"))
+    if "content" in texts.columns:
+        lines = F.transform(F.split("content", LINE_ENDS), lambda x: rules.strip(x))
+        numbered = texts.select("track", F.posexplode(lines).alias("_i", "value")).withColumn("line_no", F.col("_i").cast("bigint"))
+        hot = False
+    else:
+        hot = seq.too_long(texts) if hot is None else hot
+        lines = F.transform(F.split("value", LINE_ENDS), lambda x: rules.strip(x))
+        parts = texts.select("track", "at", F.posexplode(lines).alias("_i", "value"))
+        placed = seq.extend(parts, ["at", "_i"], {"_no": seq.position()}, hot=hot)
+        numbered = placed.withColumn("line_no", F.col("_no") - 1)
     head = F.when(F.col("value").rlike(r"^\[.*\]\z"), F.lower(F.regexp_extract("value", r"^\[(.*)\]\z", 1)))
-    # A whole file fits one row, hence its lines fit one task.
     marked = seq.extend(
-        numbered.withColumns({"line_no": F.col("_i").cast("bigint"), "_head": head}),
-        ["line_no"], {"section": seq.last_seen("_head")}, hot=False,
-    )
+        numbered.select("track", "line_no", "value", head.alias("_head")), ["line_no"], {"section": seq.last_seen("_head")}, hot=hot)
     return marked.filter("_head is null and value <> ''").select("track", "line_no", "section", "value")
 
 

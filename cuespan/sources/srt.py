@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuespan import sequence as seq
 from cuespan.functions import stamps, text as rules
 from cuespan.operators.aggregates import clock_range, in_parts
+from cuespan.session import written
 
 # Fixed value: what ends a line, beyond the usual newlines.
 LINE_ENDS = r"\R|[\x1c-\x1e]"
@@ -21,14 +22,46 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of all files under a path or glob, by byte ranges, so that a file may be larger than a task: ``track`` (the
+    file), ``at`` and ``value``.
+
+    ``at`` orders a file's lines: where the range begins in the file, and the line's place in what its task read. Lines end
+    at line feeds, and a carriage return before one belongs to it; what follows the last one is a line if it is not empty.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("track"),
+        F.struct(F.col("_metadata.file_block_start").alias("from"), F.monotonically_increasing_id().alias("no")).alias("at"),
+        F.regexp_replace("value", r"\r\z", "").alias("value"))
+    return written(lines)
+
+
+def block_ranges(lines: DataFrame, hot: bool | None = None) -> DataFrame:
+    """Blocks of SRT files, ``track, block, raw``, from their lines as ``read_lines`` gives them. Blank lines part blocks; a block
+    has to fit a task, a file has not. A file of blanks only has none."""
+    blank = F.regexp_replace("value", r"(?U)\s+", "") == ""
+    if hot is None:
+        hot = seq.too_long(lines)
+    near = seq.extend(lines.withColumn("_blank", blank), ["at"], {"_before": seq.prev("_blank")}, hot=hot)
+    begins = F.when(~F.col("_blank") & F.coalesce("_before", F.lit(True)), 1).otherwise(0)
+    numbered = seq.extend(near.withColumn("_begins", begins), ["at"], {"block": seq.total("_begins")}, hot=hot)
+    ordered = F.array_sort(F.collect_list(F.struct("at", "value")))
+    return numbered.filter("not _blank").groupBy("track", (F.col("block") - 1).alias("block")).agg(
+        F.array_join(F.transform(ordered, lambda s: s["value"]), "\n").alias("raw"))
+
+
 def parsed_blocks(texts: DataFrame, keys=("track",), min_lines: int = 2, arrow: str = "-->") -> DataFrame:
-    """All blocks of SRT texts with what was read and why a block is unusable (``reason``)."""
-    body = F.regexp_replace(rules.strip("content"), "\r\n", "\n")
-    split = F.transform(
-        F.split(body, r"\n(?U:\s)*\n"),
-        lambda raw: F.struct(raw.alias("raw"), F.split(rules.strip(raw), LINE_ENDS).alias("_lines")),
-    )
-    blocks = texts.select(*keys, F.posexplode(split).alias("block", "_b")).select(*keys, "block", "_b.*")
+    """All blocks of SRT texts with what was read and why a block is unusable (``reason``). ``texts`` has whole texts, as
+    ``content``, or blocks, as ``block`` and ``raw``."""
+    if "raw" in texts.columns:
+        blocks = texts.select(*keys, "block", "raw", F.split(rules.strip("raw"), LINE_ENDS).alias("_lines"))
+    else:
+        body = F.regexp_replace(rules.strip("content"), "\r\n", "\n")
+        split = F.transform(
+            F.split(body, r"\n(?U:\s)*\n"),
+            lambda raw: F.struct(raw.alias("raw"), F.split(rules.strip(raw), LINE_ENDS).alias("_lines")),
+        )
+        blocks = texts.select(*keys, F.posexplode(split).alias("block", "_b")).select(*keys, "block", "_b.*")
     line = [F.get("_lines", F.lit(i)) for i in (0, 1)]
     times = F.split(line[1], arrow)
     rest = F.array_join(F.slice("_lines", 3, F.greatest(F.size("_lines") - 2, F.lit(0))), "\n")
@@ -75,9 +108,10 @@ def bad_blocks(texts: DataFrame, keys=("track",), skip_empty: bool = True) -> Da
     return blocks.withColumn("reason", reason).filter("reason is not null").select(*keys, "block", "reason", "raw")
 
 
-def read_srt(spark: SparkSession, path: str, skip_empty: bool = True) -> DataFrame:
-    """Cues of all SRT files under a path or glob."""
-    return blocks_to_cues(read_texts(spark, path), skip_empty=skip_empty)
+def read_srt(spark: SparkSession, path: str, skip_empty: bool = True, by_ranges: bool = False) -> DataFrame:
+    """Cues of all SRT files under a path or glob. ``by_ranges`` reads files of any size in many tasks."""
+    texts = block_ranges(read_lines(spark, path)) if by_ranges else read_texts(spark, path)
+    return blocks_to_cues(texts, skip_empty=skip_empty)
 
 
 def read_strict(texts: DataFrame, keys=("track",)) -> DataFrame:

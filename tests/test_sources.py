@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -270,3 +271,75 @@ def test_contexts_are_preloaded_or_put_into_messages(spark):
     got = models.call_batches(df.coalesce(1), model)
     assert rows(got, "track", "reply") == [(1, "say ! about 1")] * 2 + [(2, "say about 2! about 2")] * 2
     assert [r.reply for r in models.call_batches(df.coalesce(1), lambda: str.upper).orderBy("track", "batch").collect()][0] == "SAY ABOUT 1!"
+
+
+def _by_ranges(spark, tmp_path, size, make):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = srt.read_lines(spark, str(tmp_path / "*"))
+        assert lines.select("track", "at.from").distinct().count() > 20
+        return make(lines)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_srt_files_by_ranges_equal_whole_files(spark, tmp_path, hot):
+    rnd = random.Random(3)
+    for name, end in (("a.srt", "\n"), ("b.srt", "\r\n")):
+        blocks = []
+        for i in range(1, 120):
+            text = rnd.choice(["one", "zwei — drei", "<i>x</i>" + end + "y", "漢字 " * 30, ""])
+            blocks.append(f"{i if i % 9 else 'x'}{end}00:00:{i % 60:02d},100 --> 00:01:{i % 60:02d},200{end}{text}{end}")
+            blocks.append(rnd.choice([end, end * 3, " \t" + end + "\u3000" + end]))
+        (tmp_path / name).write_bytes((end + "  " + "".join(blocks) + end).encode())
+    whole = rows(srt.blocks_to_cues(srt.read_texts(spark, str(tmp_path / "*"))))
+    assert len(whole) > 100
+    assert _by_ranges(spark, tmp_path, 500, lambda lines: rows(srt.blocks_to_cues(srt.block_ranges(lines)))) == whole
+    bad = rows(srt.bad_blocks(srt.read_texts(spark, str(tmp_path / "*"))), "track", "block", "reason")
+    assert _by_ranges(spark, tmp_path, 500, lambda lines: rows(srt.bad_blocks(srt.block_ranges(lines)), "track", "block", "reason")) == bad
+
+
+def test_ass_files_by_ranges_equal_whole_files(spark, tmp_path, hot):
+    text = "[Script Info]\r\nTitle: a\x1cb\r\n\r\n[V4+ Styles]\nStyle: x\n" + "[Events]\n" + "".join(f"Dialogue: {i},é\r\n" for i in range(900))
+    (tmp_path / "a.ass").write_bytes(text.encode())
+    whole = rows(ass.sections(srt.read_texts(spark, str(tmp_path / "*"))))
+    assert len(whole) == 903
+    assert _by_ranges(spark, tmp_path, 400, lambda lines: rows(ass.sections(lines))) == whole
+
+
+class _Flaky:
+    """Fails on some messages until a file is there."""
+
+    def __init__(self, mark):
+        self.mark = mark
+
+    def __call__(self, message):
+        import os
+
+        if message.startswith("bad") and not os.path.exists(self.mark):
+            raise RuntimeError("no answer")
+        return message.upper()
+
+
+def test_answered_messages_are_not_sent_again(spark, tmp_path):
+    mark, ledger = str(tmp_path / "mark"), str(tmp_path / "ledger")
+    texts = ["a", "b", "bad one", "a", "c", None, "bad two", "d"]
+    df = spark.createDataFrame([(1, i, t, 1) for i, t in enumerate(texts) if t], "track bigint, batch bigint, message string, blocks bigint")
+
+    def model():
+        return _Flaky(mark)
+
+    def run(rows_per_round):
+        got = {r.batch: (r.status, r.reply) for r in models.call_once(df, model, ledger, rows_per_task=2, rows_per_round=rows_per_round).collect()}
+        sent = spark.read.parquet(ledger).groupBy("run").count().collect()
+        return got, {r["run"]: r["count"] for r in sent}
+
+    got, sent = run(3)
+    assert sent == {0: 6} and got[2] == ("failed", None) and got[0] == got[3] == ("ok", "A")
+    open(mark, "w").close()
+    got, sent = run(10)
+    assert sent == {0: 6, 1: 2} and got[2] == ("ok", "BAD ONE") and all(s == "ok" for s, _ in got.values())
+    assert run(10) == (got, sent)
+    assert models.call_once(df.filter("false"), model, str(tmp_path / "none")).count() == 0
