@@ -25,6 +25,8 @@ SHINGLE = 5
 #: Bands of least hashes: two texts that share 0.8 of their shingles miss all of them with a chance of 1 in 10 000.
 BANDS = 24
 BAND_ROWS = 5
+#: So many times as many centres in each turn.
+GROWTH = 8
 _CHUNK = 100_000
 _ROWS = 1024
 
@@ -218,7 +220,7 @@ def similar_components(docs: DataFrame, kinds: tuple[tuple[int, int], ...] = KIN
     """``(node, root)`` of text keys that verified links join: see ``drop_near_copies``.
 
     Buckets are what bands of least hashes and groups of fingerprints bring together. In each turn, some texts of a bucket
-    are its centres, first one, then about twice as many each time. Those that are not of a centre's component
+    are its centres, first one, then about 8 times as many each time. Those that are not of a centre's component
     are verified against it; a centre has then met all others and leaves the bucket. A bucket that has come to one
     component is done. So a group of copies takes pairs in proportion to its size, and texts that only look alike are
     done after few turns. The first centre is chosen by one order for all buckets, so that buckets with the same texts
@@ -227,14 +229,14 @@ def similar_components(docs: DataFrame, kinds: tuple[tuple[int, int], ...] = KIN
     found = written(band_table(docs, text).unionByName(_print_groups(docs, kinds, radius, text)))
     shared = written(found.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     open_ = written(found.join(shared, ["band", "bucket"]).select("band", "bucket", "text_key", F.col("text_key").alias("root")))
-    tried = links = rooted = None
+    tried = rooted = None
     turn = 0
     while True:
         rank = F.xxhash64("text_key", F.lit(turn)).bitwiseAND(F.lit((1 << 31) - 1))
         ranked = open_.withColumn("rank", rank)
         sizes = written(ranked.groupBy("band", "bucket").agg(F.min(F.struct("rank", "text_key")).alias("first"), F.count("*").alias("n")))
         ranked = ranked.join(sizes, ["band", "bucket"]).withColumn(
-            "chosen", (F.col("text_key") == F.col("first.text_key")) | (F.col("rank") * F.col("n") < ((1 << turn) - 1) * (1 << 31)))
+            "chosen", (F.col("text_key") == F.col("first.text_key")) | (F.col("rank") * F.col("n") < (GROWTH**turn - 1) * (1 << 31)))
         ranked = written(ranked.select("band", "bucket", "text_key", "root", "chosen"))
         centres = ranked.where("chosen").select("band", "bucket", F.col("text_key").alias("centre"), F.col("root").alias("centre_root"))
         met = ranked.join(centres, ["band", "bucket"])
@@ -242,8 +244,11 @@ def similar_components(docs: DataFrame, kinds: tuple[tuple[int, int], ...] = KIN
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = written(similar_pairs(pairs, docs, SIMILAR, text))
-        links = new if links is None else links.unionByName(new)
-        rooted = written(components(links))
+        if rooted is None:
+            rooted = written(components(new))
+        elif not new.isEmpty():
+            # What is known of components stands for the links they come from.
+            rooted = written(components(new.unionByName(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b"))))
         named = written(
             ranked.where("not chosen").select("band", "bucket", "text_key").join(rooted, F.col("text_key") == F.col("node"), "left")
             .select("band", "bucket", "text_key", F.coalesce("root", "text_key").alias("root")))
