@@ -106,24 +106,18 @@ def word_table(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame
 class _Words:
     """Words with their ids, looked up many at a time: by a hash that no two of them share, and then by the word itself."""
 
-    def __init__(self, words: pa.Array, ids: pa.Array) -> None:
-        self.key = 0
-        while True:
-            hashes = self.hashes(words.to_numpy(zero_copy_only=False))
-            order = np.argsort(hashes, kind="stable")
-            self.sorted = hashes[order]
-            if not (self.sorted[1:] == self.sorted[:-1]).any():
-                break
-            self.key += 1
-        self.words, ids = words.take(pa.array(order)), ids.take(pa.array(order))
+    def __init__(self, words: pa.Array, ids: pa.Array, hashes: np.ndarray, key: int) -> None:
+        """``hashes``, rising, are those of ``words`` by ``key``."""
+        self.words, self.sorted, self.key = words, hashes, key
         offsets = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1) // 4 if len(ids) else np.zeros(1, np.int32)
         self.begins, self.sizes = offsets[:-1].copy(), np.diff(offsets).astype(np.int32)
         self.ids = np.frombuffer(ids.buffers()[2] or b"", "<u4").copy()
 
-    def hashes(self, words) -> np.ndarray:
+    @staticmethod
+    def hashes(words: np.ndarray, key: int) -> np.ndarray:
         import pandas as pd
 
-        return pd.util.hash_array(np.asarray(words, object), hash_key=f"{self.key:016d}", categorize=False)
+        return pd.util.hash_array(words, hash_key=f"{key:016d}", categorize=False).view(np.int64)
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """Numbers from 1, and 0 for words that are not here."""
@@ -133,7 +127,7 @@ class _Words:
             return np.zeros(len(words), np.int64)
         own = np.empty(len(words), object)
         own[:] = words
-        hashes = self.hashes(own)
+        hashes = self.hashes(own, self.key)
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
         same = pc.equal(self.words.take(pa.array(at)), pa.array(words, pa.string())).to_numpy(zero_copy_only=False)
         return np.where(same, at + 1, 0)
@@ -171,9 +165,20 @@ def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def _broadcast(words: DataFrame) -> Broadcast:
-    table = words.select("word", "ids").toArrow()
+    """``words`` as a table in the order of their hashes, which Spark makes and sorts; the driver only passes it on."""
+    key = 0
+    while True:
+        def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+            own = _Words.hashes(batch.column(0).to_numpy(zero_copy_only=False), key)  # noqa: B023 - used in this turn only
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], ["word", "ids", "hash"])
+
+        table = by_batch(words.select("word", "ids"), hashed, "word string, ids binary, hash bigint").orderBy("hash").toArrow()
+        hashes = table["hash"].to_numpy()
+        if not (hashes[1:] == hashes[:-1]).any():
+            break
+        key += 1
     columns = [pa.concat_arrays(table[c].chunks) if table[c].num_chunks else pa.array([], t) for c, t in (("word", pa.string()), ("ids", pa.binary()))]
-    return words.sparkSession.sparkContext.broadcast(_Words(*columns))
+    return words.sparkSession.sparkContext.broadcast(_Words(*columns, hashes, key))
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", table_words: int = TABLE_WORDS, frequent: int = FREQUENT) -> DataFrame:
