@@ -104,14 +104,16 @@ def word_table(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame
 
 
 class _Words:
-    """Words with their ids, looked up many at a time: by a hash that no two of them share, and then by the word itself."""
+    """Words with their ids, looked up many at a time: by a hash that no two of them share, and, where others may be asked for,
+    then by the word itself."""
 
-    def __init__(self, words: pa.Array, ids: pa.Array, hashes: np.ndarray, key: int) -> None:
-        """``hashes``, rising, are those of ``words`` by ``key``."""
+    def __init__(self, words: pa.Array | None, ids: pa.Array, hashes: np.ndarray, key: int) -> None:
+        """``hashes``, rising, are those of the words by ``key``; no ``words`` if these are all that will be asked for."""
         self.words, self.sorted, self.key = words, hashes, key
         offsets = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1) // 4 if len(ids) else np.zeros(1, np.int32)
         self.begins, self.sizes = offsets[:-1].copy(), np.diff(offsets).astype(np.int32)
-        self.ids = np.frombuffer(ids.buffers()[2] or b"", "<u4").copy()
+        own = np.frombuffer(ids.buffers()[2] or b"", "<u4")
+        self.ids = own.astype("<u2" if not len(own) or own.max() < 1 << 16 else "<u4")
 
     @staticmethod
     def hashes(words: np.ndarray, key: int) -> np.ndarray:
@@ -129,6 +131,8 @@ class _Words:
         own[:] = words
         hashes = self.hashes(own, self.key)
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        if self.words is None:
+            return at + 1
         same = pc.equal(self.words.take(pa.array(at)), pa.array(words, pa.string())).to_numpy(zero_copy_only=False)
         return np.where(same, at + 1, 0)
 
@@ -136,7 +140,8 @@ class _Words:
         """The ids of numbered words, one after the other, and where each word's end."""
         sizes = self.sizes[numbers - 1].astype(np.int64)
         ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.begins[numbers - 1] - ends + sizes, sizes) + np.arange(int(sizes.sum()))], ends
+        found = self.ids[np.repeat(self.begins[numbers - 1] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+        return found.astype("<u4"), ends
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -164,21 +169,26 @@ def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view("<i4")))
 
 
-def _broadcast(words: DataFrame) -> Broadcast:
-    """``words`` as a table in the order of their hashes, which Spark makes and sorts; the driver only passes it on."""
+def _broadcast(words: DataFrame, complete: bool = False) -> Broadcast:
+    """``words`` as a table in the order of their hashes, which Spark makes and sorts; the driver only passes it on. A
+    ``complete`` one, which no other word will be looked up in, leaves the words themselves out."""
     key = 0
     while True:
         def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
             own = _Words.hashes(batch.column(0).to_numpy(zero_copy_only=False), key)  # noqa: B023 - used in this turn only
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], ["word", "ids", "hash"])
 
-        table = by_batch(words.select("word", "ids"), hashed, "word string, ids binary, hash bigint").orderBy("hash").toArrow()
+        table = by_batch(words.select("word", "ids"), hashed, "word string, ids binary, hash bigint").orderBy("hash")
+        table = (table.drop("word") if complete else table).toArrow()
         hashes = table["hash"].to_numpy()
         if not (hashes[1:] == hashes[:-1]).any():
             break
         key += 1
-    columns = [pa.concat_arrays(table[c].chunks) if table[c].num_chunks else pa.array([], t) for c, t in (("word", pa.string()), ("ids", pa.binary()))]
-    return words.sparkSession.sparkContext.broadcast(_Words(*columns, hashes, key))
+    def column(name: str, kind: pa.DataType) -> pa.Array:
+        return pa.concat_arrays(table[name].chunks) if table[name].num_chunks else pa.array([], kind)
+
+    known = _Words(None if complete else column("word", pa.string()), column("ids", pa.binary()), hashes, key)
+    return words.sparkSession.sparkContext.broadcast(known)
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", table_words: int = TABLE_WORDS, frequent: int = FREQUENT) -> DataFrame:
@@ -198,7 +208,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", table_words: int
     coded = f"doc_id {kind}, text_key bigint, ids array<int>"
     if words.count() > table_words:
         return _by_shuffle(rows, words, kind, tokenizer, frequent)
-    table = _broadcast(words)
+    table = _broadcast(words, complete=True)
     ship(docs.sparkSession)
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
