@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from cuespan.llm import (
     bpe, collocations, decontaminate, exact, lines, merkle, packing, pii, quality, secrets, sentences, shards, simhash)
 from cuespan.llm.texts import lowered, table
+from cuespan.session import shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -54,8 +57,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.shuffled(table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return shards.shard_report(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

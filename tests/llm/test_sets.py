@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -155,31 +157,58 @@ def test_contamination_of_repeated_rows(spark, times):
     assert left == {d: times for d, r in want.items() if not r[-1]}
 
 
-def test_shards(spark, odd, repeated, none):
-    assert shards.shuffled(none).count() == 0
-    for docs, rows in ((odd, len(ODD)), (repeated, 2 * len(ODD) + 2), (documents(spark), 200)):
-        got = shards.shuffled(docs, bucket_rows=7).collect()
+def _shard(doc_id, count, seed=shards.SEED):
+    """The shard with the highest hash, by a plain loop."""
+    def chained(s):
+        at = xxhash.xxh64_intdigest(struct.pack("<i", s), xxhash.xxh64_intdigest(struct.pack("<i", seed), 42))
+        at = at if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), at)
+        return at - (at >> 63 << 64)
+    return max(range(count), key=chained)
+
+
+def test_shards_equal_loop(spark, odd, repeated, none, tmp_path):
+    for i, (docs, rows) in enumerate(((none, 0), (odd, len(ODD)), (repeated, 2 * len(ODD) + 2), (documents(spark), 200))):
+        got = shards.shard_report(docs, str(tmp_path / f"out{i}"), bucket_rows=7).collect()
         assert len(got) == rows
+        want = Counter((d, len((t or "").encode()) + 1, brute.crc(t or ""), "key", _shard(d, 8), _shard(d, 9)) for d, t in pairs(docs))
+        assert Counter((*tuple(r)[:5], r["grown_shard"]) for r in got) == want
         slots = defaultdict(list)
         for r in got:
             slots[r["shard"]].append(r["slot"])
-            assert r["grown_shard"] in (r["shard"], 8) and 0 <= r["shard"] < 8
+            assert r["grown_shard"] in (r["shard"], 8)
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    texts = dict(pairs(documents(spark)))
-    for r in got:
-        assert r["size"] == len(texts[r["doc_id"]].encode()) + 1 and r["text_crc32"] == brute.crc(texts[r["doc_id"]])
-    again = shards.shuffled(documents(spark), bucket_rows=7).collect()
-    place = lambda rows: {r["doc_id"]: (r["shard"], r["slot"]) for r in rows}
-    assert place(got) == place(again)
-    assert place(got) != place(shards.shuffled(documents(spark), seed=7, bucket_rows=7).collect())
-    nine = {r["doc_id"]: r["shard"] for r in shards.shuffled(documents(spark), shards=9).collect()}
-    assert nine == {r["doc_id"]: r["grown_shard"] for r in got}
+
+
+def test_order_of_shards_depends_on_rows_and_seed_only(spark):
+    def places(docs, **how):
+        return {r["row"]["doc_id"]: (r["shard"], r["bucket"], r["at"]) for r in shards.shuffled(docs, bucket_rows=7, **how).collect()}
+
+    docs, first = documents(spark), places(documents(spark))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        assert places(docs.repartition(3)) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert places(docs, seed=7) != first
+    kept = defaultdict(list)
+    for d, (s, b, at) in first.items():
+        kept[s, b].append((at, d))
+    assert any([d for _, d in sorted(rows)] != sorted(d for _, d in rows) for rows in kept.values())
+
+
+def test_rows_that_repeat_are_dealt_over_buckets(spark):
+    same = spark.range(400).selectExpr("cast(null as bigint) doc_id", "'same' text")
+    found = Counter(r["bucket"] for r in shards.shuffled(same, shards=2, bucket_rows=20).collect())
+    assert sum(found.values()) == 400 and len(found) > 5 and max(found.values()) < 100
 
 
 def test_written_shards_read_back(spark, odd, tmp_path):
-    shards.write_shards(odd, str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r[0] for r in back.select("doc_id").collect()) == sorted(i for i, _ in ODD)
+    wide = odd.withColumn("a.b", F.lit(1)).withColumn("row", F.lit("r")).withColumn("bucket", F.lit(3))
+    shards.write_shards(wide, str(tmp_path / "out"))
+    back = shards.read_shards(spark, str(tmp_path / "out"), wide.schema).select("row.*")
+    assert back.columns == wide.columns
+    assert Counter(map(tuple, back.collect())) == Counter(map(tuple, wide.collect()))
 
 
 def test_pipeline_stages(spark, tmp_path):
