@@ -70,10 +70,10 @@ def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     """``(shard, slot, row)`` of shards that ``write_shards`` has written from rows of ``schema``; slots have no gaps, from 0."""
     form = StructType().add("bucket", "integer").add("at", "integer").add("row", schema).add("shard", "integer")
     found = spark.read.schema(form).parquet(path)
-    # One row for each bucket.
+    # One row for each bucket, written, so that the join knows its size.
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = found.groupBy("shard", "bucket").agg(F.count("*").alias("rows")).select(
-        F.col("shard").alias("__shard"), F.col("bucket").alias("__bucket"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    starts = written(found.groupBy("shard", "bucket").agg(F.count("*").alias("rows")).select(
+        F.col("shard").alias("__shard"), F.col("bucket").alias("__bucket"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start")))
     return found.join(starts, (F.col("shard") == F.col("__shard")) & (F.col("bucket") == F.col("__bucket"))).select(
         "shard", (F.col("start") + F.col("at")).alias("slot"), "row")
 
