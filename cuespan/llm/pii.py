@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuespan.llm.spans import count_of, matches, written_out
+from cuespan.llm.spans import count_of, matches, overlaps, places, written_out
 from cuespan.llm.texts import whole
 from cuespan.session import written
 
@@ -21,7 +21,11 @@ _OCTET = "^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})$"
 #: Generators of candidates: anything like a number with six digits or more, or with an at sign in it.
 NUMBER = r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){5,}+"
 ADDRESS = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)[A-Za-z0-9.-]++"
-HINT = r"(?i)(?:phone|tel|call|fax|mobile|card|visa|account|iban|ssn|passport|mail|contact|write|server|host|addr|ip)[^A-Za-z]{0,8}$"
+#: Words that say what follows, with a few that may stand between.
+HINT = (r"(?i)(?<![a-z])(?:phone|telephone|tel|call|dial|fax|mobile|cell|card|visa|account|iban|ssn|passport|e-?mail|mail|contact)"
+        r"(?:[^a-z]{1,3}(?:number|no|nr|at|is|me|us))?[^a-z]{0,8}$")
+#: A candidate that such words announce, with so many digits or written as an address, is labelled as personal.
+LEAST_DIGITS = 7
 FEATURES = {"digits": 21, "marks": 16, "plus": 2, "at": 2, "groups": 7, "hint": 2, "joined": 4}
 TREES = 40
 RATE = 0.3
@@ -32,13 +36,14 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def base_spans(text: Column) -> Column:
+def base_kinds(text: Column) -> list[Column]:
+    """The spans of each fixed pattern, in order."""
     digits = lambda s: F.length(_digits(s["value"]))
     emails = matches(text, EMAIL, 0, F.contains(text, F.lit("@")))
     ips = F.filter(matches(text, IP, 1), lambda s: F.forall(F.split(s["value"], r"\."), lambda p: F.regexp_like(p, F.lit(_OCTET))))
     cards = F.filter(matches(text, CARD, 2), lambda s: digits(s).between(12, 19) & F.call_function("luhn_check", _digits(s["value"])))
     phones = F.filter(matches(text, PHONE, 3, F.contains(text, F.lit("+"))), lambda s: digits(s).between(9, 15))
-    return F.array_sort(F.concat(emails, ips, cards, phones))
+    return [emails, ips, cards, phones]
 
 
 def candidates(text: Column) -> Column:
@@ -61,6 +66,12 @@ def features(s: Column) -> dict[str, Column]:
     }
 
 
+def _announced(s: Column) -> Column:
+    """Whether the words before a candidate, or an at sign written out, say that it is personal."""
+    told = F.regexp_like(s["before"], F.lit(HINT)) & ((s["kind"] == 5) | (F.length(_digits(s["value"])) >= LEAST_DIGITS))
+    return told | (s["kind"] == 5) & F.regexp_like(s["value"], F.lit(r"(?i)[\[(]at[\])]\x20?[a-z0-9-]+\.[a-z]"))
+
+
 def _cell(s: Column) -> Column:
     """All features as one number, under the product of their bounds (some 37 000)."""
     cell = F.lit(0)
@@ -107,7 +118,7 @@ def threshold(score: np.ndarray, yes: np.ndarray, count: np.ndarray, precision:
 def _chosen_cells(spans: DataFrame, precision: float) -> list[int]:
     """Cells of features whose candidates are to be taken. Trees learn from one half of the documents, by a hash of
     the id, and the threshold is set on the other half."""
-    grid = spans.groupBy("half", "cell").agg(F.sum("valid").alias("yes"), F.count("*").alias("n")).collect()
+    grid = spans.groupBy("half", "cell").agg(F.sum("yes").alias("yes"), F.count("*").alias("n")).collect()
     cells = sorted({r["cell"] for r in grid})
     if not cells:
         return []
@@ -128,28 +139,28 @@ def _chosen_cells(spans: DataFrame, precision: float) -> list[int]:
 def personal_data(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> DataFrame:
     """``(doc_id, base, added)`` per row: the spans of the fixed patterns, and candidates taken beside them.
 
-    A candidate counts as valid if it overlaps a span of a fixed pattern. Counts of valid and other candidates
-    by cell of the features cover all documents; the trees, fitted on these counts, and the calibrated threshold
-    select cells, and candidates in them that overlap no fixed span are added.
+    Labels are weak. A candidate counts as personal if it overlaps a span of a fixed pattern, or if the words before it
+    announce it (``HINT``) and it has ``LEAST_DIGITS`` digits or is an address. Counts of personal and other candidates by cell of
+    the features cover all documents; the trees, fitted on these counts, and the calibrated threshold
+    select cells, and candidates in them that overlap no fixed span are added; they may overlap each other.
     Null texts count as empty and have no spans; rows may repeat; no rows give no rows. Other columns are not read.
     """
     value = whole(text)
-    found = docs.select("doc_id", base_spans(value).alias("base"), candidates(value).alias("wide"))
-    found = written(found.select("doc_id", "base", F.transform("wide", lambda s: F.struct(
+    kinds = KINDS[:4]
+    found = written(docs.select("doc_id", *[c.alias(k) for k, c in zip(kinds, base_kinds(value))], candidates(value).alias("wide")))
+    found = written(found.select("doc_id", places(F.array_sort(F.concat(*kinds))).alias("base"), F.transform("wide", lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), _cell(s).alias("cell"),
-        F.exists("base", lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])).alias("valid"))).alias("wide")))
+        _announced(s).alias("told"), overlaps(s, *kinds).alias("valid"))).alias("wide")))
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
-    spans = found.select(half, F.explode("wide").alias("s")).select("half", "s.cell", F.col("s.valid").cast("int").alias("valid"))
+    spans = found.select(half, F.explode("wide").alias("s")).select("half", "s.cell", F.expr("s.valid or s.told").cast("int").alias("yes"))
     chosen = F.array(*[F.lit(c) for c in _chosen_cells(spans, precision)]).cast("array<int>")
     added = F.filter("wide", lambda s: ~s["valid"] & F.array_contains(chosen, s["cell"]))
-    return found.select("doc_id", "base", added.alias("added"))
+    return found.select("doc_id", "base", places(added).alias("added"))
 
 
 def personal_report(docs: DataFrame, text: str = "text") -> DataFrame:
     """``personal_data`` as counts of the fixed kinds, a digest of their spans, and all spans as text."""
-    places = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    base = places(F.col("base"))
     return personal_data(docs, text).select(
         "doc_id", *[count_of("base", i).alias(f"n_{KINDS[i]}") for i in range(4)],
-        F.sha2(written_out(base, KINDS), 256).alias("base_sha256"),
-        written_out(F.concat(base, places(F.col("added"))), KINDS).alias("spans"))
+        F.sha2(written_out("base", KINDS), 256).alias("base_sha256"),
+        written_out(F.concat("base", "added"), KINDS).alias("spans"))

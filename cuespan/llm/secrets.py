@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuespan.llm.spans import count_of, matches, without_overlap, written_out
+from cuespan.llm.spans import count_of, matches, overlaps, places, written_out
 from cuespan.llm.texts import whole
 from cuespan.session import written
 
@@ -17,7 +17,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
 RUN = "[A-Za-z0-9+/_=-]{12,}"
-ORDINARY = "^(?:[A-Z]?[a-z]+|[A-Z]+)(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+))*[+/_=-]*$"
+#: Identifiers: words of one case or with a capital, short numbers, and marks.
+ORDINARY = "^(?:(?:[A-Z][a-z]++|[a-z]{3,}+|[A-Z]{2,}+(?![a-z])|[0-9]{1,8}+(?![0-9]))[+/_=-]*+)++$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST = 16
 #: How many ordinary words there are for each secret: the ratio of likelihoods must exceed it.
@@ -27,9 +28,10 @@ RANDOM_SAMPLES = 20_000
 BACK_OFF = 5.0
 
 
-def base_spans(text: Column) -> Column:
+def base_kinds(text: Column) -> list[Column]:
+    """The spans of each fixed pattern, in order."""
     assigned = F.filter(matches(text, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= 12)
-    return F.array_sort(F.concat(assigned, matches(text, ACCESS, 1, F.contains(text, F.lit("AKIA"))), matches(text, HEX, 2)))
+    return [assigned, matches(text, ACCESS, 1, F.contains(text, F.lit("AKIA"))), matches(text, HEX, 2)]
 
 
 def random_samples(spark, count: int = RANDOM_SAMPLES) -> DataFrame:
@@ -40,16 +42,18 @@ def random_samples(spark, count: int = RANDOM_SAMPLES) -> DataFrame:
         F.translate(F.left(F.base64(F.unhex(digest)), F.lit(24)), ALPHABET[26:52], ALPHABET[:26]))).alias("value"))
 
 
-def _at(value: Column, i: Column) -> Column:
-    return F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))) - 1
+def _pairs(value: Column) -> Column:
+    """The numbers of all pairs of neighbouring characters."""
+    places = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    return F.zip_with(F.slice(places, F.lit(1), F.length(value) - 1), F.slice(places, F.lit(2), F.length(value) - 1),
+                      lambda a, b: a * len(ALPHABET) + b)
 
 
 def fit_markov(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios of each pair of characters, from ``(value, secret)``: a first-order model of each label
     that backs off to how common the second character is. Counts cover all samples; the driver sees one number for
     each pair and label."""
-    pairs = samples.select("secret", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("value") - 1), lambda i: _at(F.col("value"), i) * len(ALPHABET) + _at(F.col("value"), i + 1))).alias("pair"))
+    pairs = samples.select("secret", F.explode(_pairs(F.col("value"))).alias("pair"))
     n = len(ALPHABET)
     counts = {label: [0.0] * (n * n) for label in (True, False)}
     for row in pairs.groupBy("secret", "pair").agg(F.count("*").alias("n")).collect():
@@ -66,31 +70,30 @@ def fit_markov(samples: DataFrame) -> list[float]:
 def likelihood_ratio(value: Column, model: list[float]) -> Column:
     """Logarithm of how much likelier ``value`` is as a random string than as a word."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
-    return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), lambda a, i: a + F.get(
-        table, _at(value, i) * len(ALPHABET) + _at(value, i + 1)))
+    return F.aggregate(_pairs(value), F.lit(0.0), lambda a, pair: a + F.get(table, pair))
 
 
 def secrets(docs: DataFrame, text: str = "text", least: int = LEAST, odds: float = ODDS) -> DataFrame:
     """``(doc_id, base, added)`` per row: the spans of the fixed patterns, and others that the models take for secrets.
 
     Samples are runs of 12 or more of ``ALPHABET`` in all texts: secret where they overlap a fixed pattern's span,
-    ordinary where they are letters of one case, joined by marks at most; and generated random strings. A run of ``least`` characters or more that overlaps no
-    such span is added if it is more than ``odds`` times likelier under the model of secrets.
+    ordinary where they are an identifier (words, short numbers and marks); and generated random strings. A run of
+    ``least`` characters or more that overlaps no such span and is no identifier is added if it is more than ``odds`` times likelier
+    under the model of secrets. Overlaps are found by halving, not by comparing all spans.
     Null texts count as empty and have no spans; rows may repeat; no rows give no rows. Other columns are not read.
     """
     value = whole(text)
-    found = written(docs.select("doc_id", base_spans(value).alias("base"), matches(value, RUN, 3).alias("runs")))
-    free = F.transform(without_overlap(F.col("runs"), F.col("base")), lambda s: s["value"])
-    plain = F.filter(free, lambda v: F.regexp_like(v, F.lit(ORDINARY)))
-    real = F.array_except(F.transform("runs", lambda s: s["value"]), free)
-    samples = found.select(plain.alias("plain"), real.alias("marked")).select(F.explode(F.concat(
-        F.transform("plain", lambda v: F.struct(v.alias("value"), F.lit(False).alias("secret"))),
-        F.transform("marked", lambda v: F.struct(v.alias("value"), F.lit(True).alias("secret"))))).alias("s")).select("s.*")
+    kinds = ("assign", "access", "hex")
+    found = written(docs.select("doc_id", *[c.alias(k) for k, c in zip(kinds, base_kinds(value))], matches(value, RUN, 3).alias("runs")))
+    found = written(found.select("doc_id", *kinds, F.transform("runs", lambda s: F.struct(
+        s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"),
+        overlaps(s, *kinds).alias("marked"), F.regexp_like(s["value"], F.lit(ORDINARY)).alias("plain"))).alias("runs")))
+    samples = found.select(F.explode("runs").alias("s")).where("s.marked or s.plain").select("s.value", F.col("s.marked").alias("secret"))
     random = random_samples(docs.sparkSession).withColumn("secret", F.lit(True))
     model = fit_markov(samples.unionByName(random))
-    long = F.filter("runs", lambda s: s["end"] - s["start"] >= least)
-    added = F.filter(without_overlap(long, F.col("base")), lambda s: likelihood_ratio(s["value"], model) > math.log(odds))
-    return found.select("doc_id", "base", added.alias("added"))
+    added = F.filter("runs", lambda s: ~s["marked"] & ~s["plain"] & (s["end"] - s["start"] >= least)
+                     & (likelihood_ratio(s["value"], model) > math.log(odds)))
+    return found.select("doc_id", places(F.array_sort(F.concat(*kinds))).alias("base"), places(added).alias("added"))
 
 
 def secret_report(docs: DataFrame, text: str = "text") -> DataFrame:

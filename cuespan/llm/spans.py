@@ -61,6 +61,11 @@ def _placed(values: Column, gaps: Column, kind: int) -> Column:
     return F.flatten(F.zip_with(parts, F.slice(begins, F.lit(1), F.size(parts)), of_part))
 
 
+def places(spans: str | Column) -> Column:
+    """Spans without their texts."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+
 def count_of(spans: str, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
 
@@ -72,6 +77,22 @@ def written_out(spans: str | Column, kinds: tuple[str, ...]) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def without_overlap(spans: Column, others: Column) -> Column:
-    """Those of ``spans`` that share no character with any of ``others``."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])))
+def _before(spans: str, end: Column) -> Column:
+    """How many of the column ``spans``, which stand in order without overlap, begin before ``end``: by halving."""
+    step = lambda r: F.when(
+        r["low"] < r["high"], F.when(
+            F.get(F.col(spans), F.floor((r["low"] + r["high"]) / 2).cast("int"))["start"] < end,
+            F.struct((F.floor((r["low"] + r["high"]) / 2) + 1).cast("int").alias("low"), r["high"].alias("high"))).otherwise(
+            F.struct(r["low"].alias("low"), F.floor((r["low"] + r["high"]) / 2).cast("int").alias("high")))).otherwise(r)
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    return F.aggregate(halvings, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), lambda r, _: step(r))["low"]
+
+
+def overlaps(span: Column, *others: str) -> Column:
+    """Whether ``span`` shares a character with a span of the columns ``others``, each of them in order without overlap.
+    The last that begins before the span's end has the farthest end, so time grows with the logarithm of their number."""
+    met = F.lit(False)
+    for name in others:
+        met = met | (F.size(name) > 0) & F.coalesce(
+            F.get(F.col(name), _before(name, span["end"]) - 1)["end"] > span["start"], F.lit(False))
+    return met

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from cuespan.llm import pii, secrets
+from cuespan.llm import pii, secrets, spans
 from tests.llm import brute
 from tests.llm.conftest import ODD, documents, pairs
 
@@ -26,9 +27,9 @@ def _check(report, rows, brute_row, columns):
     got = {r["doc_id"]: r for r in report.collect()}
     assert len(got) == len(rows)
     for d, t in rows:
-        want, spans = brute_row(t)
-        assert tuple(got[d][c] for c in columns) == want, (d, spans, got[d]["spans"])
-        assert set(filter(None, spans.split(","))) <= set(got[d]["spans"].split(","))
+        want, base = brute_row(t)
+        assert tuple(got[d][c] for c in columns) == want, (d, base, got[d]["spans"])
+        assert set(filter(None, base.split(","))) <= set(got[d]["spans"].split(","))
     return got
 
 
@@ -54,6 +55,55 @@ def test_personal_equal_loop(spark, odd):
         _check(pii.personal_report(docs), pairs(docs), brute.personal_row, columns)
 
 
+PLANTED = ["(030) 123 4567", "call 555 867 5309", "bob [at] site.org", "ssn 123-45-6789"]
+
+
+def test_candidates_without_a_pattern_are_added(spark):
+    """Beside documents that patterns match, what only words before it or the form give away; plain numbers stay."""
+    rows = [(1000 + i, f"text {i} mail a{i}@b{i}.org or +49 30 {1000000 + i} or phone (030) {200 + i} {4000 + i} end") for i in range(200)]
+    rows += [(2000 + i, f"we saw {PLANTED[i % 4]} there") for i in range(200)]
+    rows += [(3000 + i, f"in all {100000 + 37 * i} pieces were sold") for i in range(200)]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for d, text in rows[200:400]:
+        # Where the candidate itself begins and ends.
+        start = 7 + (5 if "call" in text else 4 if "ssn" in text else 0)
+        want = f"{'address' if 'bob' in text else 'number'}:{start}:{len(text) - 6}"
+        assert want in got[d].split(","), (text, got[d])
+    assert not any(got[3000 + i] for i in range(200))
+
+
+def test_a_text_of_many_spans(spark):
+    """Some 230 kB of tokens, each a span or a run."""
+    text = "deadbeefdeadbeef00 zQ8xK2mV7pL4tR9w aB3dE6gH9jK2mN5q 10.0.0.1 555 123 4567 " * 3000
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    _check(secrets.secret_report(docs), [(1, text)], brute.secret_row, ("n_assign", "n_access", "n_hex", "base_sha256"))
+    _check(pii.personal_report(docs), [(1, text)], brute.personal_row, ("n_email", "n_ip", "n_card", "n_phone", "base_sha256"))
+
+
+def test_overlaps_equal_loop(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(200):
+        edges = np.sort(rng.choice(60, 2 * rng.integers(0, 9), replace=False))
+        others = [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
+        start = int(rng.integers(0, 55))
+        rows.append((others, (start, start + int(rng.integers(1, 6)))))
+    df = spark.createDataFrame(rows, "others array<struct<start:int,end:int>>, span struct<start:int,end:int>")
+    for r in df.withColumn("met", spans.overlaps(F.col("span"), "others")).collect():
+        assert r["met"] == any(r["span"][0] < b and a < r["span"][1] for a, b in r["others"]), r
+
+
+def test_markov_finds_tokens_and_leaves_identifiers(spark):
+    rng = np.random.default_rng(5)
+    letters = list(secrets.ALPHABET[:62])
+    plain = ["getUserNameById2", "release-2024-05-17", "com/example/server/main", "UTF8_ENCODING_TABLE", "first_name_and_last_name", "section-12-paragraph-3"]
+    rows = [(i, f"the {plain[i % 6]} of " + "word " * 50) for i in range(300)]
+    rows += [(1000 + i, "key " + "".join(rng.choice(letters, 28)) + " end") for i in range(100)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert not any(got[i] for i in range(300))
+    assert sum("markov" in got[1000 + i] for i in range(100)) >= 95
+
+
 def test_boosting_learns_a_rule():
     cells = np.array([[d, m, 0, 0, g, h, 0] for d in range(21) for m in (0, 4) for g in (1, 2, 3) for h in (0, 1)])
     rule = (cells[:, 0] > 8) & (cells[:, 1] == 4)
