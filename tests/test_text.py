@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuespan.functions import stamps, text as rules
-from cuespan.operators import aggregates, frames, neighbours
+from cuespan.operators import aggregates, frames, neighbours, segment
+from cuespan.plans.views import Views
 from tests.conftest import rows
 
 
@@ -201,3 +202,20 @@ def test_hash_of_many_features(spark):
     hashed = df.withColumn("hash", frames.sign_hash("features"))
     assert hashed.first()["hash"] == [-1, 0]
     assert rows(frames.changes(hashed, 4, hot=False), "frame_no", "distance", "changed") == [(0, None, True), (1, 64, True), (2, 0, False)]
+
+
+def _plan(spark, column):
+    df = spark.createDataFrame([("a",)], "text string").repartition(2).select(column.alias("x"))
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_text_is_matched_once_for_each_pattern(spark):
+    """Patterns that several results share are not matched anew for each."""
+    assert _plan(spark, rules.script_or_null("text", "a-z", "!?", 2)).count("regexp_extract_all") == 2
+    assert _plan(spark, segment.sentence_parts(F.col("text"), 50, True)).count("regexp_extract_all") == 1
+
+
+def test_documents_of_one_row_group_are_spread(spark):
+    views = Views(spark, "/root/testdata/sf0.001")
+    for made in (views.lines(), views.tokens()):
+        assert "hashpartitioning(doc_id" in made._jdf.queryExecution().executedPlan().toString()
