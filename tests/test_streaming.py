@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from cuespan.operators import frames, neighbours
+from cuespan.plans.queries import QUERIES
 from cuespan.streaming import folds, passes
 from tests.conftest import rows
 
@@ -116,3 +117,21 @@ def test_idle_tracks_are_settled_and_forgotten(spark, tmp_path):
     stream = folds.file_stream(spark, _files(tmp_path, parts))
     given = folds.run_to_end(passes.stream_merges(stream, 5000, delay="10 seconds", idle_ms=60_000))
     assert rows(given.filter("settled"), "track", "line", "text") == [(1, 1, "a")]
+
+
+def test_tables_whose_files_are_in_no_order_of_time(spark, tmp_path):
+    """The newest rows come in the oldest file; none is late."""
+    source, folder = "/root/testdata/sf0.001", tmp_path / "sf"
+    for name, by in (("embeddings", "vec_id"), ("events", "ts")):
+        table = spark.read.parquet(f"{source}/{name}.parquet")
+        if name == "embeddings":  # frames of 25 minutes
+            table = table.unionByName(table.withColumn("vec_id", F.col("vec_id") + 15_000))
+        edge = table.select(F.percentile_approx(F.col(by).cast("timestamp") if by == "ts" else F.col(by), 0.5).alias("m")).first()["m"]
+        value = F.col(by).cast("timestamp") if by == "ts" else F.col(by)
+        for part in (value > F.lit(edge), value <= F.lit(edge)):
+            table.filter(part).coalesce(1).write.mode("append").parquet(str(folder / f"{name}.parquet"))
+        table.coalesce(1).write.parquet(str(tmp_path / "one" / f"{name}.parquet"))
+    for query in ("streamed_changes", "streamed_merges", "streamed_batches"):
+        got, want = (QUERIES[query](spark, str(f)) for f in (folder, tmp_path / "one"))
+        assert rows(got) == rows(want)
+        assert got.count() > 0
