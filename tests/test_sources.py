@@ -1,8 +1,10 @@
 import json
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from cuespan.folds import slices
 from cuespan.operators import models
 from cuespan.plans import jobs, stand_ins
 from cuespan.sources import ass, files, srt
@@ -343,3 +345,16 @@ def test_answered_messages_are_not_sent_again(spark, tmp_path):
     assert sent == {0: 6, 1: 2} and got[2] == ("ok", "BAD ONE") and all(s == "ok" for s, _ in got.values())
     assert run(10) == (got, sent)
     assert models.call_once(df.filter("false"), model, str(tmp_path / "none")).count() == 0
+
+
+def test_texts_become_values_a_slice_at_a_time(spark):
+    batch = pa.RecordBatch.from_pydict({"a": ["x" * 400] * 10 + [None, "y" * 5000], "b": ["z" * 600] * 12})
+    parts = list(slices(batch, batch.column(0), batch.column(1), most_bytes=2000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert max(p.num_rows for p in parts) <= 3 and parts[-1].num_rows <= 2
+
+    cues = spark.createDataFrame([(1, i, i * 1000, i * 1000 + 500, f"text {i}") for i in range(1, 40)],
+                                 "track bigint, line bigint, start_ms bigint, end_ms bigint, text string")
+    # The whole text goes to the model with each batch of its track, and is not written with each reply.
+    _, replies = jobs.translate(cues, stand_ins.translator, 10, "{context_block}" + stand_ins.PARTED + "{batch_input}", full_context="{text}", hot=False)
+    assert "context" not in replies.columns and replies.count() == 4
