@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespan.llm.texts import by_batch, key_filter, parted, rows_of, text_key, whole
+from cuespan.llm.texts import by_batch, give_back, key_filter, parted, rows_of, text_key, whole
 from cuespan.session import ship, written
 
 WINDOW = 13
@@ -101,6 +101,7 @@ def _postings(shared, sizes: bool):
                     [names.take(pa.array(term)), batch.column(0).take(owner), batch.column(1).take(owner),
                      pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place.astype(np.int32)))],
                     ["term", "doc_id", "text_key", "positions"])
+            give_back()
 
     return run
 

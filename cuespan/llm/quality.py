@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuespan.llm.texts import by_batch, key_filter, parted, whole
+from cuespan.llm.texts import by_batch, give_back, key_filter, parted, whole
 from cuespan.session import written
 
 SEED = 42
@@ -209,7 +209,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFra
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         scores = pa.array(model(np.array([statistics(t.as_py()) for t in texts]).reshape(-1, STATISTICS)))
-        pa.default_memory_pool().release_unused()
+        give_back()
         return scores
 
     return docs.where(score(whole(text)) >= 0.5)

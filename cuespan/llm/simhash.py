@@ -27,6 +27,8 @@ BANDS = 24
 BAND_ROWS = 5
 #: So many times as many centres in each turn.
 GROWTH = 8
+#: Cells of a sketch, in words of 64 bits.
+CELLS = 1024
 _CHUNK = 100_000
 _ROWS = 1024
 
@@ -176,6 +178,37 @@ def band_table(docs: DataFrame, text: str = "text") -> DataFrame:
                     "band int, bucket bigint, text_key bigint").distinct()
 
 
+def sketch_table(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(sketch_key, sketch)`` for each distinct text: its number ``n`` of distinct runs of ``SHINGLE`` words, and ``w0``, ``w1``, …,
+    a bit for each of ``CELLS`` cells of hashes that some run falls into."""
+    names = [f"w{i}" for i in range(CELLS // 64)]
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cells, counts, digest = np.zeros((batch.num_rows, CELLS), np.uint8), [], xxhash.xxh64_intdigest
+        for i, value in enumerate(batch.column(1)):
+            runs = _runs(value.as_py())
+            counts.append(len(runs))
+            cells[i, [digest(r) % CELLS for r in runs]] = 1
+        words = np.packbits(cells, axis=1, bitorder="little").view("<i8")
+        held = [pa.array(counts, pa.int64()), *(pa.array(np.ascontiguousarray(w)) for w in words.T)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(held, ["n", *names])], ["sketch_key", "sketch"])
+
+    fields = ", ".join(f"{name}: bigint" for name in ["n", *names])
+    keyed = docs.select(text_key(text).alias("sketch_key"), whole(text).alias("text")).dropDuplicates(["sketch_key"])
+    return by_batch(keyed, make, f"sketch_key bigint, sketch struct<{fields}>")
+
+
+def _may_be_similar(one: Column, two: Column, least: float) -> Column:
+    """Whether two texts can share ``least`` of their runs, by their sketches. A cell that only one text has holds a run that the
+    other has not, so all pairs that can be verified pass."""
+
+    def apart(a: Column, b: Column) -> Column:
+        return sum((F.bit_count(a[f"w{i}"].bitwiseAND(F.bitwise_not(b[f"w{i}"]))) for i in range(CELLS // 64)), F.lit(0))
+
+    common = F.least(one["n"] - apart(one, two), two["n"] - apart(two, one))
+    return common >= F.lit(least) * (one["n"] + two["n"] - common)
+
+
 def similar_pairs(pairs: DataFrame, docs: DataFrame, least: float = SIMILAR, text: str = "text") -> DataFrame:
     """Those of ``pairs`` ``(a, b)`` of text keys whose texts share ``least`` or more of their distinct runs of
     ``SHINGLE`` words, by the runs themselves. Two texts without words are alike."""
@@ -224,11 +257,14 @@ def similar_components(docs: DataFrame, kinds: tuple[tuple[int, int], ...] = KIN
     are verified against it; a centre has then met all others and leaves the bucket. A bucket that has come to one
     component is done. So a group of copies takes pairs in proportion to its size, and texts that only look alike are
     done after few turns. The first centre is chosen by one order for all buckets, so that buckets with the same texts
-    propose the same pairs.
+    propose the same pairs. Pairs whose sketches show that they share too few runs are not proposed.
     """
     found = written(band_table(docs, text).unionByName(_print_groups(docs, kinds, radius, text)))
     shared = written(found.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     open_ = written(found.join(shared, ["band", "bucket"]).select("band", "bucket", "text_key", F.col("text_key").alias("root")))
+    met_somewhere = written(open_.select("text_key").distinct())
+    sketches = written(sketch_table(
+        docs.select(text_key(text).alias("text_key"), whole(text).alias("text")).join(met_somewhere, "text_key", "left_semi")))
     tried = rooted = None
     turn = 0
     while True:
@@ -237,10 +273,12 @@ def similar_components(docs: DataFrame, kinds: tuple[tuple[int, int], ...] = KIN
         sizes = written(ranked.groupBy("band", "bucket").agg(F.min(F.struct("rank", "text_key")).alias("first"), F.count("*").alias("n")))
         ranked = ranked.join(sizes, ["band", "bucket"]).withColumn(
             "chosen", (F.col("text_key") == F.col("first.text_key")) | (F.col("rank") * F.col("n") < (GROWTH**turn - 1) * (1 << 31)))
-        ranked = written(ranked.select("band", "bucket", "text_key", "root", "chosen"))
-        centres = ranked.where("chosen").select("band", "bucket", F.col("text_key").alias("centre"), F.col("root").alias("centre_root"))
+        ranked = written(ranked.join(sketches, F.col("text_key") == F.col("sketch_key")).select(
+            "band", "bucket", "text_key", "root", "chosen", "sketch"))
+        centres = ranked.where("chosen").select(
+            "band", "bucket", F.col("text_key").alias("centre"), F.col("root").alias("centre_root"), F.col("sketch").alias("centre_sketch"))
         met = ranked.join(centres, ["band", "bucket"])
-        pairs = met.where("root <> centre_root").select(F.greatest("text_key", "centre").alias("a"), F.least("text_key", "centre").alias("b")).distinct()
+        pairs = met.where((F.col("root") != F.col("centre_root")) & _may_be_similar(F.col("sketch"), F.col("centre_sketch"), SIMILAR)).select(F.greatest("text_key", "centre").alias("a"), F.least("text_key", "centre").alias("b")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = written(similar_pairs(pairs, docs, SIMILAR, text))

@@ -130,6 +130,33 @@ CLASHES = ("__own", "__id", "__key", "a.b", "node", "root", "text_key", "TEXT_KE
            "bucket", "own_id", "own_key", "quality", "n", "group_size", "back`tick")
 
 
+def test_texts_that_share_too_few_runs_are_not_proposed(spark, monkeypatch):
+    """All texts share a bucket; of the pairs, those that could be similar are proposed, and all that are."""
+    import random
+
+    rnd = random.Random(5)
+    shared = [f"s{i}" for i in range(150)]
+    apart = [" ".join([*shared, *(f"t{n}x{i}" for i in range(150))]) for n in range(30)]
+    near = [" ".join([*apart[0].split()[:-k], *(f"n{k}y{i}" for i in range(k))]) for k in range(20, 45)]
+    texts = apart + near + ["", " ", "one two"]
+    rnd.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    known = {r.key: r.text for r in docs.select(simhash.text_key("text").alias("key"), "text").collect()}
+    monkeypatch.setattr(simhash, "band_table", lambda d, text: d.select(
+        F.lit(0).alias("band"), F.lit(0).cast("bigint").alias("bucket"), simhash.text_key(text).alias("text_key")).distinct())
+    monkeypatch.setattr(simhash, "_print_groups", lambda d, kinds, radius, text: simhash.band_table(d, text).where("false"))
+    proposed, verify = [], simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda pairs, *args: proposed.extend(map(tuple, pairs.collect())) or verify(pairs, *args))
+    roots = {known[r.node]: r.root for r in simhash.similar_components(docs).collect()}
+    runs = {t: simhash._runs(t) for t in texts}
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if len(runs[a] & runs[b]) >= simhash.SIMILAR * len(runs[a] | runs[b]):
+                assert roots[a] == roots[b]
+    far = [p for p in proposed if len({known[k] for k in p} & set(apart[1:])) == 2]
+    assert not far and len(set(roots.values())) < len(near)
+
+
 def test_stages_keep_columns_of_any_name(spark):
     from cuespan.llm import decontaminate, quality
 
