@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ NEAR = 5
 #: A sentence: up to a word that ends with a mark, to the end of its line, or of the text.
 _SENTENCE = re.compile(r"\S(?:[^\n]*?[.!?][\"')\]]*(?!\S)|[^\n]*)")
 _WORD = re.compile(r"\S+")
+_BLANK = re.compile(r"\s*")
 
 
 class _Ranks(dict):
@@ -156,23 +158,28 @@ def remove_repeats(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, te
         later, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_key") == F.col("__key")), "left")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cuts, texts = [], []
-        for value, ranges in zip(batch.column(1), batch.column(2)):
-            value, merged = value.as_py(), []
-            for r in ranges.as_py() or []:
-                if merged and r["start"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], r["end"])
+        cuts, texts, lists = [[]] * batch.num_rows, [], batch.column(2)
+        sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        upto = np.append(0, np.cumsum(sizes))
+        starts, ends = (lists.flatten().field(x).to_pylist() for x in ("start", "end"))
+        for i in np.flatnonzero(sizes).tolist():
+            value, merged = batch.column(1)[i].as_py(), []
+            for start, end in zip(starts[upto[i]:upto[i + 1]], ends[upto[i]:upto[i + 1]]):
+                if merged and start <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], end)
                 else:
-                    merged.append([r["start"], r["end"]])
+                    merged.append([start, end])
             left, at = [], 0
             for start, end in merged:
                 left.append(value[at:start])
-                at = end + len(value[end:]) - len(value[end:].lstrip())
+                at = _BLANK.match(value, end).end()
             texts.append("".join(left) + value[at:])
-            cuts.append(merged)
+            cuts[i] = merged
+        # Texts that nothing was taken out of stay as they are.
+        left_over = pc.replace_with_mask(batch.column(1), pa.array(sizes > 0), pa.array(texts, batch.column(1).type))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(c) for c in cuts], pa.int64()),
-             pa.array([",".join(f"{a}:{b}" for a, b in c) for c in cuts], pa.string()), pa.array(texts, pa.string())],
+             pa.array([",".join(f"{a}:{b}" for a, b in c) for c in cuts], pa.string()), left_over],
             ["doc_id", "n_removed", "removed", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
