@@ -347,6 +347,17 @@ def test_answered_messages_are_not_sent_again(spark, tmp_path):
     assert models.call_once(df.filter("false"), model, str(tmp_path / "none")).count() == 0
 
 
+def test_rounds_read_their_own_messages_and_leave_few_files(spark, tmp_path, monkeypatch):
+    df = spark.range(100).selectExpr("1L as track", "id as batch", "concat('m', id) as message", "1L as blocks")
+    plans, send = [], models.call_batches
+    monkeypatch.setattr(models, "call_batches", lambda own, *a, **k: plans.append(own._jdf.queryExecution().executedPlan().toString()) or send(own, *a, **k))
+    ledger = str(tmp_path / "ledger")
+    got = models.call_once(df, lambda: str.upper, ledger, rows_per_task=4, rows_per_round=25).collect()
+    assert sorted(r.reply for r in got) == sorted(f"M{i}" for i in range(100))
+    assert len(plans) == 4 and all("PartitionFilters: [isnotnull(_round" in p for p in plans)
+    assert len(list((tmp_path / "ledger").glob("*.parquet"))) <= 4
+
+
 def test_texts_become_values_a_slice_at_a_time(spark):
     batch = pa.RecordBatch.from_pydict({"a": ["x" * 400] * 10 + [None, "y" * 5000], "b": ["z" * 600] * 12})
     parts = list(slices(batch, batch.column(0), batch.column(1), most_bytes=2000))
