@@ -11,7 +11,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuespan.llm.texts import by_batch, text_key, whole
+from cuespan.llm.texts import by_batch, give_back, text_key, whole
 from cuespan.session import ship, written
 
 #: The most distinct words whose whole table is handed to every task, some 20 bytes each. Beyond them, ids go through a shuffle.
@@ -93,7 +93,7 @@ def word_table(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame
                 if len(counts) >= HELD:
                     yield told()
         yield told()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = _tokenizer(tokenizer).encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
@@ -169,6 +169,28 @@ def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view("<i4")))
 
 
+def _packed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """As ``_lists``, each text's ids as one value of little-endian bytes."""
+    offsets = pa.py_buffer((ends * 4).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, offsets, pa.py_buffer(ids.astype("<u4"))])
+
+
+def _texts(ids: pa.Array, ends: np.ndarray, pieces: pa.Array) -> pa.Array:
+    """The texts that ``ids`` come to, one from each of ``ends`` to the next, some at a time."""
+    texts, at, last = [], 0, len(ends) - 1
+    while at < last:
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + LOOKED_UP // 3, side="right")) - 1)
+        met = pieces.take(ids.slice(ends[at], ends[upto] - ends[at]))
+        if met.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        # Pieces lie one after the other, so a text is what lies between its first and its last.
+        places = np.frombuffer(met.buffers()[1], np.int64, len(met) + 1)[ends[at:upto + 1] - ends[at]].tolist()
+        raw = memoryview(met.buffers()[2] or b"")
+        texts.append(pa.array([str(raw[a:b], "utf-8", "replace") for a, b in zip(places, places[1:])], pa.string()))
+        at = upto
+    return pa.concat_arrays(texts) if texts else pa.array([], pa.string())
+
+
 def _broadcast(words: DataFrame, complete: bool = False) -> Broadcast:
     """``words`` as a table in the order of their hashes, which Spark makes and sorts; the driver only passes it on. A
     ``complete`` one, which no other word will be looked up in, leaves the words themselves out."""
@@ -191,10 +213,16 @@ def _broadcast(words: DataFrame, complete: bool = False) -> Broadcast:
     return words.sparkSession.sparkContext.broadcast(known)
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", table_words: int = TABLE_WORDS, frequent: int = FREQUENT) -> DataFrame:
+def encode(
+    docs: DataFrame, tokenizer: str, text: str = "text", table_words: int = TABLE_WORDS, frequent: int = FREQUENT,
+    packed: bool = False, decoded: bool = False,
+) -> DataFrame:
     """``(doc_id, text_key, ids)`` per row of ``docs``: the ids that ``tokenizer`` (a file of the tokenizers library, byte-level
     BPE) gives for the whole text without special tokens put in; such tokens in a text are themselves.
 
+    ``packed`` gives ids as bytes, little-endian in four each, where they are an array else. ``decoded`` adds a column of that
+    name, as ``decode`` gives it, made by the same Python workers, which hold some texts at a time.
+
     Words are split in Spark, and each distinct one is encoded once; ids are joined back by position. A table of at most
     ``table_words`` words, which are counted first, is broadcast. Of a larger one, at most ``frequent`` words, the most frequent,
     are; any other word leaves its place open, is joined to the table by a shuffle, and its ids are brought to the
@@ -205,9 +233,18 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", table_words: int
     words = word_table(docs, tokenizer, text)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_key(text).alias("text_key"), whole(text).alias("text"))
-    coded = f"doc_id {kind}, text_key bigint, ids array<int>"
+    coded = f"doc_id {kind}, text_key bigint, ids {'binary' if packed else 'array<int>'}" + ", decoded string" * decoded
+    names = ["doc_id", "text_key", "ids", "decoded"][:3 + decoded]
+    pieces = _pieces(docs.sparkSession, tokenizer) if decoded else None
+
+    def told(batch: pa.RecordBatch, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        own = [(_packed if packed else _lists)(ids, ends)]
+        if decoded:
+            own.append(_texts(pa.array(ids.view("<i4")), ends, pieces.value))
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *own], names)
+
     if words.count() > table_words:
-        return _by_shuffle(rows, words, kind, tokenizer, frequent)
+        return _by_shuffle(rows, words, kind, tokenizer, frequent, told, coded)
     table = _broadcast(words, complete=True)
     ship(docs.sparkSession)
 
@@ -218,13 +255,16 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", table_words: int
                 part = batch.slice(a, b - a)
                 flat, ends = _split_all(split, part.column(2))
                 ids, upto = known.spread(known.numbers(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], _lists(ids, np.concatenate([[0], upto])[ends])], ["doc_id", "text_key", "ids"])
-            pa.default_memory_pool().release_unused()
+                yield told(part, ids, np.concatenate([[0], upto])[ends])
+            give_back()
 
     return rows.mapInArrow(looked_up, coded)
 
 
-def _by_shuffle(rows: DataFrame, words: DataFrame, kind: str, tokenizer: str, frequent: int) -> DataFrame:
+def _by_shuffle(
+    rows: DataFrame, words: DataFrame, kind: str, tokenizer: str, frequent: int,
+    told: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch], coded: str,
+) -> DataFrame:
     steps = words.groupBy(F.least("n", F.lit(OFTEN)).alias("n")).agg(F.count("*").alias("words")).collect()
     total, least = 0, 2**63 - 1
     for n, count in sorted(steps, reverse=True):
@@ -280,11 +320,11 @@ def _by_shuffle(rows: DataFrame, words: DataFrame, kind: str, tokenizer: str, fr
                 ids, _ = known.spread(numbers.astype(np.int64))
             out.append(ids)
             ends.append(ends[-1] + len(ids))
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], _lists(np.concatenate(out).astype("<u4"), np.array(ends))], ["doc_id", "text_key", "ids"])
+        return told(batch, np.concatenate(out).astype("<u4"), np.array(ends))
 
     met = by_batch(rows, places, f"doc_id {kind}, text_key bigint, numbers array<int>").join(
         rare, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_key") == F.col("__key")), "left")
-    return by_batch(met.select("doc_id", "text_key", "numbers", "rare"), filled, f"doc_id {kind}, text_key bigint, ids array<int>")
+    return by_batch(met.select("doc_id", "text_key", "numbers", "rare"), filled, coded)
 
 
 def piece_table(spark: SparkSession, tokenizer: str) -> DataFrame:
@@ -300,6 +340,12 @@ def piece_table(spark: SparkSession, tokenizer: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece binary")
 
 
+def _pieces(spark: SparkSession, tokenizer: str) -> Broadcast:
+    """The piece of each id, by place."""
+    table = {r["id"]: bytes(r["piece"]) for r in piece_table(spark, tokenizer).collect()}
+    return spark.sparkContext.broadcast(pa.array([table.get(i) for i in range(max(table) + 1)], pa.large_binary()))
+
+
 def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with a column ``decoded``: the text that ``ids`` come to, special tokens kept as their text.
 
@@ -308,25 +354,12 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     and none give an empty text; an id that the vocabulary lacks is an error.
     """
     ship(encoded.sparkSession)
-    table = {r["id"]: bytes(r["piece"]) for r in piece_table(encoded.sparkSession, tokenizer).collect()}
-    shared = encoded.sparkSession.sparkContext.broadcast(pa.array([table.get(i) for i in range(max(table) + 1)], pa.large_binary()))
+    shared = _pieces(encoded.sparkSession, tokenizer)
 
     @F.arrow_udf("string")
     def joined(lists: pa.Array) -> pa.Array:
         lists = lists.fill_null([])
-        ids, ends = lists.flatten(), np.cumsum([0, *lists.value_lengths().to_pylist()])
-        texts, at = [], 0
-        while at < len(lists):
-            upto = max(at + 1, int(np.searchsorted(ends, ends[at] + LOOKED_UP // 3, side="right")) - 1)
-            met = shared.value.take(ids.slice(ends[at], ends[upto] - ends[at]))
-            if met.null_count:
-                raise ValueError("an id is not in the vocabulary")
-            # Pieces lie one after the other, so a text is what lies between its first and its last.
-            places = np.frombuffer(met.buffers()[1], np.int64, len(met) + 1)[ends[at:upto + 1] - ends[at]].tolist()
-            raw = memoryview(met.buffers()[2] or b"")
-            texts.append(pa.array([str(raw[a:b], "utf-8", "replace") for a, b in zip(places, places[1:])], pa.string()))
-            at = upto
-        return pa.concat_arrays(texts) if texts else pa.array([], pa.string())
+        return _texts(lists.flatten(), np.cumsum([0, *lists.value_lengths().to_pylist()]), shared.value)
 
     return encoded.withColumn("decoded", joined(F.col(ids)))
 

@@ -77,8 +77,8 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER), TOKENIZER)
-    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), bpe.ids_sha256("ids").alias("ids_sha256"),
+    coded = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER, packed=True, decoded=True)
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -213,6 +213,20 @@ def test_bpe_odd_rows(spark, none, repeated, table_words):
     assert all(r["decoded"] in texts.values() for r in rows)
 
 
+@pytest.mark.parametrize("table_words, frequent", [(4_000_000, 0), (0, 3)])
+def test_bpe_packs_and_decodes_in_one_step(spark, odd, none, table_words, frequent):
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(SPECIAL, "doc_id bigint, text string"))
+    both = bpe.encode(docs, queries.TOKENIZER, table_words=table_words, frequent=frequent, packed=True, decoded=True)
+    want = {(r["doc_id"], r["text_key"]): (np.array(r["ids"], "<u4").tobytes(), r["decoded"]) for r in coded(docs, table_words, frequent)}
+    assert {(r["doc_id"], r["text_key"]): (bytes(r["ids"]), r["decoded"]) for r in both.collect()} == want
+    assert bpe.encode(none, queries.TOKENIZER, table_words=table_words, packed=True, decoded=True).collect() == []
+
+
+def test_bpe_query_needs_one_python_worker_a_task(spark):
+    plan = queries.op13_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
 def test_each_distinct_word_is_encoded_once(spark, odd):
     words = {r["word"]: r["n"] for r in bpe.word_table(odd.unionByName(odd), queries.TOKENIZER).collect()}
     counts = Counter(w for _, t in ODD for w in bpe.splitter(queries.TOKENIZER)(t or ""))
