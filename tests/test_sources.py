@@ -1,5 +1,7 @@
+import itertools
 import json
 import random
+import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -303,6 +305,33 @@ def test_srt_files_by_ranges_equal_whole_files(spark, tmp_path, hot):
     assert _by_ranges(spark, tmp_path, 500, lambda lines: rows(srt.bad_blocks(srt.block_ranges(lines)), "track", "block", "reason")) == bad
 
 
+def test_srt_blocks_by_ranges_are_cut_as_lines_come(spark, tmp_path):
+    rnd = random.Random(5)
+    lines, want = [], []
+    for track in ("a", "b", "c", "d"):
+        values = [rnd.choice(["", " ", "x", "y", "z"]) if track != "c" else "" for _ in range(300)]
+        values[100:160] = ["long"] * 60
+        values = values if track != "c" else [""] * 300
+        edges = sorted(rnd.sample(range(1, 300), 12))
+        for i, value in enumerate(values):
+            part = max([0, *(e for e in edges if e <= i)])
+            lines.append((track, (part * 10, 1000 * part + i), value))
+        runs = "\n".join(v if v.strip() else "" for v in values).strip("\n")
+        want += [(track, n, raw) for n, raw in enumerate(r for r in re.split("\n{2,}", runs) if r)]
+    ranges = [list(g) for _, g in itertools.groupby(lines, key=lambda r: (r[0], r[1][0]))]
+    rnd.shuffle(ranges)
+    df = spark.createDataFrame([row for some in ranges for row in some], "track string, at struct<from: bigint, no: bigint>, value string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for tasks in (1, 5):
+            blocks = srt.block_ranges(df.coalesce(tasks))
+            assert rows(blocks, "track", "block", "raw") == sorted(want, key=repr)
+            # Runs of lines are numbered, not lines.
+            assert "Window" not in blocks._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_ass_files_by_ranges_equal_whole_files(spark, tmp_path, hot):
     text = "[Script Info]\r\nTitle: a\x1cb\r\n\r\n[V4+ Styles]\nStyle: x\n" + "[Events]\n" + "".join(f"Dialogue: {i},é\r\n" for i in range(900))
     (tmp_path / "a.ass").write_bytes(text.encode())
