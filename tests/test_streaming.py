@@ -1,9 +1,12 @@
 """Streams in several micro-batches give what batch jobs give."""
 
+import json
 import random
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from cuespan.folds import Fold
 from cuespan.operators import frames, neighbours
 from cuespan.plans.queries import QUERIES
 from cuespan.streaming import folds, passes
@@ -135,3 +138,53 @@ def test_tables_whose_files_are_in_no_order_of_time(spark, tmp_path):
         got, want = (QUERIES[query](spark, str(f)) for f in (folder, tmp_path / "one"))
         assert rows(got) == rows(want)
         assert got.count() > 0
+
+
+class _Echo(Fold):
+    """Gives each row as it is."""
+
+    def fresh(self):
+        return 0
+
+    def step(self, state, row):
+        return state + 1, [row]
+
+
+def test_values_go_through_a_stream_as_they_are(spark, tmp_path):
+    texts = ["a", None, "  \"q\" \\ \x01 漢😀", ""] * 200
+    data = [(1, i, x, [0.5, None, x or 1.0], bool(i % 3), t, 2**62 + i) for i, (x, t) in enumerate(zip([0.1, float("inf"), None, -1e300] * 200, texts))]
+    df = spark.createDataFrame(data, "track bigint, i bigint, x double, xs array<double>, b boolean, t string, n bigint")
+    df = df.withColumn("ts", F.timestamp_millis(F.col("i") * 1000 + 1000))
+    stream = folds.file_stream(spark, _stored(spark, tmp_path, df, "i", 2))
+    names = ["i", "x", "xs", "b", "t", "n"]
+    made = folds.stream_fold(stream, _Echo(), names, ["i"], "i bigint, x double, xs array<double>, b boolean, t string, n bigint", delay="10 seconds")
+    assert rows(folds.latest(folds.run_to_end(made)), *names) == rows(df, *names)
+
+
+def test_a_short_track_takes_few_calls_of_the_state():
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *_: calls.append(name)
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        def getListState(self, *_):
+            return State()
+
+        def registerTimer(self, *_):
+            calls.append("registerTimer")
+
+    class Water:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    fold = folds._FoldProcessor(_Echo(), ["x"], ["i"], ["x"], None, ["track"], ["x", "i"], ["x"])
+    fold.init(Handle())
+    told = [(1, datetime(2024, 1, 1, 0, 0, i), f'{{"0":{i}.5,"1":{i}}}') for i in (2, 0, 1)]
+    (out,) = fold.handleInputRows((1,), iter(told), Water())
+    assert calls == ["get", "update", "registerTimer"]
+    assert [r["x"] for r in json.loads(out["_made"])] == [0.5, 1.5, 2.5] and (out["track"], out["version"], out["late"]) == (1, 1, 0)
