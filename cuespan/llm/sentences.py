@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuespan.llm.texts import by_batch, text_key, whole
-from cuespan.session import written
+from cuespan.session import drop_written, written, written_paths
 
 RUN = 3
 LEAST_WORDS = 20
 LONG = 12
 NEAR = 5
+TURNS = 4
 
 #: A sentence: up to a word that ends with a mark, to the end of its line, or of the text.
 _SENTENCE = re.compile(r"\S(?:[^\n]*?[.!?][\"')\]]*(?!\S)|[^\n]*)")
@@ -105,8 +107,7 @@ def spans(units: list[tuple[int, int, list[str]]], run: int = RUN, least: int =
 
 
 def span_table(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, text: str = "text") -> DataFrame:
-    """``(span, doc_id, text_key, first, start, end)``: each span with its place in code points, ``first`` being
-    the number of its first sentence."""
+    """``(span, doc_id, text_key, start, end)``: each span with its place in code points."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, rows = [], []
@@ -114,27 +115,35 @@ def span_table(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, text:
             units = sentences(value.as_py())
             found = spans(units, run, least)
             counts.append(len(found))
-            rows += [(span, first, units[first][0], units[last][1]) for span, first, last in found]
+            rows += [(span, units[first][0], units[last][1]) for span, first, last in found]
         owner = pa.array(np.repeat(np.arange(len(counts)), counts))
-        table = np.array(rows, np.int64).reshape(-1, 4)
-        span, *places = (pa.array(np.ascontiguousarray(table[:, i])) for i in range(4))
+        table = np.array(rows, np.int64).reshape(-1, 3)
+        span, *places = (pa.array(np.ascontiguousarray(table[:, i])) for i in range(3))
         return pa.RecordBatch.from_arrays(
             [span, batch.column(0).take(owner), batch.column(1).take(owner), *(p.cast(pa.int32()) for p in places)],
-            ["span", "doc_id", "text_key", "first", "start", "end"])
+            ["span", "doc_id", "text_key", "start", "end"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return by_batch(docs.select("doc_id", text_key(text).alias("text_key"), whole(text).alias("text")), make,
-                    f"span bigint, doc_id {kind}, text_key bigint, first int, start int, end int")
+                    f"span bigint, doc_id {kind}, text_key bigint, start int, end int")
 
 
-def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, text: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, text: str = "text", turns: int = TURNS) -> DataFrame:
     """``(doc_id, text_key, ranges)``: for rows with a repeated span that is not its first, the ranges
-    ``(start, end)`` of such spans. First is the least ``(doc_id, text_key, first)``, nulls before all."""
+    ``(start, end)`` of such spans. First is the least ``(doc_id, text_key, start)``, nulls before all.
+
+    Places go through the large shuffle in ``turns``, some spans in each, as only one turn's files lie on disk at a time."""
+    spark = docs.sparkSession
+    kept = set(written_paths(spark))
     found = written(span_table(docs, run, least, text))
-    place = F.struct("doc_id", "text_key", "first")
-    # Counts alone go through the large shuffle; places only those of spans that come again.
-    many = found.groupBy("span").agg(F.count("*").alias("n")).where("n > 1").select("span")
-    again = written(found.join(written(many), "span", "left_semi"))
+    place = F.struct("doc_id", "text_key", "start")
+    # Counts alone go through one large shuffle; places only to tell those of spans that come again.
+    many = written(found.groupBy("span").agg(F.count("*").alias("n")).where("n > 1").select("span"))
+    used = [p for p in written_paths(spark) if p not in kept]
+    again = reduce(DataFrame.unionAll, [
+        written(found.where(turn == i).join(many.where(turn == i), "span", "left_semi"))
+        for turn in [F.pmod("span", F.lit(turns))] for i in range(turns)])
+    drop_written(spark, used)
     firsts = written(again.groupBy("span").agg(F.min(place).alias("least")).select(F.col("span").alias("__span"), "least"))
     # Rows that are repeated whole have the same places: they are one document.
     later = again.join(firsts, F.col("span") == F.col("__span")).where(~place.eqNullSafe(F.col("least")))
@@ -152,8 +161,11 @@ def remove_repeats(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS, te
     stay whole; rows that repeat a doc_id and its text are one document and come out alike; no rows give no
     rows. Other columns are not read.
     """
+    spark = docs.sparkSession
+    before = set(written_paths(spark))
     later = written(repeated_spans(docs, run, least, text)).select(
         F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "ranges")
+    drop_written(spark, [p for p in written_paths(spark)[:-1] if p not in before])
     joined = docs.select("doc_id", text_key(text).alias("text_key"), whole(text).alias("text")).join(
         later, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_key") == F.col("__key")), "left")
 
