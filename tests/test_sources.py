@@ -387,6 +387,66 @@ def test_rounds_read_their_own_messages_and_leave_few_files(spark, tmp_path, mon
     assert len(list((tmp_path / "ledger").glob("*.parquet"))) <= 4
 
 
+class _Noting:
+    """Notes what it is sent in a file, and ends the worker at one message."""
+
+    def __init__(self, notes, deadly):
+        self.notes, self.deadly = notes, deadly
+
+    def __call__(self, message):
+        import os
+
+        with open(self.notes, "a") as notes:
+            notes.write(f"{message}\n")
+        if message == self.deadly:
+            os._exit(1)
+        return None if message == "m0" else message.upper()
+
+
+def test_a_lost_task_sends_few_messages_again(spark, tmp_path):
+    notes, kept = str(tmp_path / "notes"), str(tmp_path / "kept")
+    df = spark.range(20).selectExpr("1L as track", "id as batch", "concat('m', id) as message", "1L as blocks", "concat('k', id) as message_key")
+
+    def run(deadly):
+        called = models.call_batches(df.coalesce(1), lambda: _Noting(notes, deadly), attempts=1, kept=kept, kept_rows=4)
+        return sorted((r.message_key, r.reply, r.status) for r in called.collect())
+
+    with pytest.raises(Exception, match="exited|crashed"):
+        run("m10")
+    # What the lost task was writing when it was lost is cut off.
+    (part,) = tmp_path.glob("kept/*/*")
+    (part.parent / "cut").write_bytes(part.read_bytes()[:-100])
+    (part.parent / "empty").write_bytes(b"")
+    expected = sorted((f"k{i}", f"M{i}" if i else None, "ok" if i else "failed") for i in range(20))
+    assert run(None) == expected
+    sent = open(notes).read().split()
+    assert sent == [f"m{i}" for i in (*range(11), *range(8, 20))]
+    assert run(None) == expected and open(notes).read().split() == sent
+
+
+@pytest.mark.parametrize("mounted", [True, False])
+def test_a_round_takes_few_tasks_where_they_keep_replies(spark, tmp_path, monkeypatch, mounted):
+    df = spark.range(600).selectExpr("id % 7 as track", "id as batch", "concat('m', id % 500) as message", "1L as blocks")
+    tasks, send = [], models.call_batches
+
+    def call(own, *args, **named):
+        called = send(own, *args, **named)
+        tasks.append(called.rdd.getNumPartitions())
+        return called
+
+    monkeypatch.setattr(models, "call_batches", call)
+    if not mounted:
+        monkeypatch.setattr(models, "mounted", lambda *_: None)
+    ledger, before = str(tmp_path / "ledger"), written_paths(spark)
+    for _ in range(2):
+        got = models.call_once(df, lambda: str.upper, ledger, rows_per_task=1, rows_per_round=250).collect()
+        assert sorted(r.reply for r in got) == sorted(f"M{i % 500}" for i in range(600))
+    most = 4 * spark.sparkContext.defaultParallelism
+    assert tasks == [most if mounted else 250] * 2
+    assert spark.read.parquet(ledger).count() == 500 and len(list((tmp_path / "ledger").glob("*.parquet"))) == 2
+    assert written_paths(spark) == before and not list(Path(shared_dir(spark).removeprefix("file:")).glob("cuespan-*/[0-9]*"))
+
+
 def test_texts_become_values_a_slice_at_a_time(spark):
     batch = pa.RecordBatch.from_pydict({"a": ["x" * 400] * 10 + [None, "y" * 5000], "b": ["z" * 600] * 12})
     parts = list(slices(batch, batch.column(0), batch.column(1), most_bytes=2000))
